@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoexposure.llm import exact_dedup, mixing, pii, sentencepiece_codec, token_counts, token_files
+from geoexposure.llm import exact_dedup, mixing, pii, quality, sentencepiece_codec, token_counts, token_files, topk, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,16 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(_documents(spark, sf_dir))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.whole_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return topk.top_k(vectors, "vec_id % 50 = 0", 5)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.selectExpr("doc_id", "_severity AS severity", "_grade AS grade", "_p_toxic AS p_toxic", "_toxic AS toxic")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_report(_documents(spark, sf_dir))
 
@@ -45,19 +55,27 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(spark, _documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_topk": op4_topk,
+        "op5_toxicity": op5_toxicity,
         "op7_mixing": op7_mixing,
         "op8_token_counts": op8_token_counts,
         "op9_token_files": op9_token_files,
+        "op10_quality": op10_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_exact_dedup": exact_dedup.DUPLICATES_SQL,
+        "op4_topk": topk.TOP5_SQL,
         "op7_mixing": mixing.REPORT_SQL,
     }

@@ -1,54 +1,19 @@
-"""Helpers that several text operators use: the shared folder, kept tables, and words as Arrow arrays."""
+"""Helpers that several text operators use: kept tables, and words as Arrow arrays."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: A broadcast side may have this many rows at most; above it a shuffle join is used.
-BROADCAST_ROWS = 200_000
-#: Texts handled at once in a Python worker, in bytes.
-SLICE_BYTES = 8 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a temporary folder of its own.
-    """
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="shared-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+from geoexposure.sources.workspace import bounded, fresh_path, keep, shared_dir
 
+__all__ = ["Words", "bounded", "filled", "fresh_path", "keep", "shared_dir", "slices", "sums"]
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again: the lineage ends there."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def bounded(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``small`` with a broadcast hint if it has ``rows`` rows at most, else as it is."""
-    return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
+#: Texts handled at once in a Python worker, in bytes.
+SLICE_BYTES = 8 << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -62,7 +27,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
-            yield batch.slice(start, stop - start)
+            # Copied, as some of Arrow's functions on strings misread arrays that start within their buffers.
+            yield batch.take(pa.array(np.arange(start, stop)))
             start = stop
 
 
