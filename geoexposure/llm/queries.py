@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoexposure.llm import exact_dedup, mixing, pii, quality, sentencepiece_codec, token_counts, token_files, topk, toxicity
+from geoexposure.llm import exact_dedup, mixing, pii, quality, sentencepiece_codec, simhash, token_counts, token_files, topk, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.selectExpr("doc_id", "_severity AS severity", "_grade AS grade", "_p_toxic AS p_toxic", "_toxic AS toxic")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_documents(spark, sf_dir), words=3, bits=3)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_report(_documents(spark, sf_dir))
 
@@ -66,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_dedup": op3_exact_dedup,
         "op4_topk": op4_topk,
         "op5_toxicity": op5_toxicity,
+        "op6_simhash": op6_simhash,
         "op7_mixing": op7_mixing,
         "op8_token_counts": op8_token_counts,
         "op9_token_files": op9_token_files,
