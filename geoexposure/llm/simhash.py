@@ -256,3 +256,110 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame
     named = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     fingerprint = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return rows.join(keep(named, "simhash-named"), "fp").select("doc_id", fingerprint, "component_id")
+
+
+#: The similarity stage: 64-bit words of its fingerprints, masks and bits of a mask, differing bits of a candidate, partners that a row proposes.
+WORDS, MASKS, MASK_BITS, CANDIDATE_BITS, PARTNERS = 4, 32, 20, 48, 6
+_SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+
+
+def word_fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, w0 to w3): fingerprints of 256 bits of the texts' distinct words, for finding candidates."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, limit=1 << 20):
+            digests, ends = [], []
+            for text in filled(part.column("text")).to_pylist():
+                digests += map(xxhash.xxh64_digest, set(features(text, 1)), itertools.repeat(SEED))
+                ends.append(len(digests))
+            base = np.frombuffer(b"".join(digests), ">u8").astype(np.uint64)
+            wide = np.stack([(x := base * np.uint64(m)) ^ (x >> np.uint64(31)) for m in _SPREAD], 1).astype(">u8").view(np.uint8).reshape(-1, 8 * WORDS)
+            fps = majority(wide, np.array(ends)).view(">i8").astype(np.int64)
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id")} | {f"w{k}": pa.array(fps[:, k]) for k in range(WORDS)})
+
+    return docs.select("doc_id", "text").mapInArrow(hashed, "doc_id long, " + ", ".join(f"w{k} long" for k in range(WORDS)))
+
+
+def sampled_masks() -> list[list[int]]:
+    """MASKS masks of MASK_BITS fixed pseudo-random bits of a wide fingerprint, as signed longs."""
+    draws = np.random.default_rng(SEED)
+    out = []
+    for _ in range(MASKS):
+        words = [0] * WORDS
+        for bit in draws.choice(64 * WORDS, MASK_BITS, replace=False).tolist():
+            words[bit // 64] |= 1 << (bit % 64)
+        out.append([w - (1 << 64) if w >> 63 else w for w in words])
+    return out
+
+
+def candidates(fps: DataFrame) -> DataFrame:
+    """(a, b) pairs of ids, a < b, whose wide fingerprints are close and share a masked pattern.
+
+    Of each row under each root the PARTNERS closest are proposed, so that a large group gives pairs in proportion to its members.
+    """
+    wide = [f"w{k}" for k in range(WORDS)]
+    patterns = F.posexplode(F.array(*[F.xxhash64(*[F.col(w).bitwiseAND(F.lit(m)) for w, m in zip(wide, mask, strict=True)]) for mask in sampled_masks()]))
+    rows = fps.select("doc_id", *wide, patterns.alias("_mask", "_pattern"))
+    rows = split_roots(rows, F.col("doc_id")).withColumn("_rank", gray_rank(F.col("w0")))
+
+    def handle(keys: np.ndarray, values: np.ndarray) -> list:
+        values = values.astype(np.int64)
+        ids, words = values[:, 0], np.ascontiguousarray(values[:, 1:]).view(np.uint64)
+        parts = [np.zeros((0, 3), np.int64)]
+        for start, end in runs(keys):
+            own, n = words[start:end], end - start
+            step = max(1, PAIRS // (n * WORDS))
+            for at in range(0, n, step):
+                far = differences(own[at : at + step, None], own[None])
+                far[np.arange(len(far)), at + np.arange(len(far))] = 1 << 20
+                near = np.argpartition(far, min(PARTNERS, n - 1) - 1, axis=1)[:, :PARTNERS] if n > PARTNERS else np.tile(np.arange(n), (len(far), 1))
+                gap = np.take_along_axis(far, near, 1)
+                i, j = np.nonzero(gap <= CANDIDATE_BITS)
+                parts.append(np.stack([ids[start + at + i], ids[start + near[i, j]], gap[i, j]], 1))
+        found = np.concatenate(parts)
+        return [found[:, 0], found[:, 1], found[:, 2]]
+
+    found = by_root(rows, ["doc_id", *wide], handle, "a long, b long, gap long").distinct()
+    closest = Window.partitionBy("a").orderBy("gap", "b")
+    found = found.withColumn("_n", F.row_number().over(closest)).where(F.col("_n") <= PARTNERS)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+
+
+def similar_pairs(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of ids whose texts' sets of shingles have a Jaccard similarity of ``similarity`` or more."""
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            sets = [np.unique(np.array([xxhash.xxh32_intdigest(f) for f in features(t, words)], np.uint32)).tobytes() for t in filled(part.column("text")).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "shingles": pa.array(sets, pa.binary())})
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = docs.select("doc_id", "text").join(bounded(keep(named, "similar-named")), "doc_id", "left_semi").mapInArrow(shingled, "doc_id long, shingles binary")
+    sets = keep(sets, "similar-sets")
+    met = pairs.join(sets.selectExpr("doc_id AS a", "shingles AS sa"), "a").join(sets.selectExpr("doc_id AS b", "shingles AS sb"), "b")
+    return met.select("a", "b", "sa", "sb").mapInArrow(compared, "a long, b long")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` without near copies: of documents that links connect, the one with the smallest id stays.
+
+    Documents link if their sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more. A 64-bit
+    fingerprint of shingles differs in up to a quarter of its bits at 0.8, too many for any index, so candidates come
+    from wide fingerprints of distinct words (few bits differ there) under sampled masks, and each candidate is held against
+    the exact similarity. Texts without words and rows without id stay as they are. Rows that repeat an id are one document.
+    """
+    usable = docs.where(F.col("doc_id").isNotNull() & F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select(F.col("doc_id").cast("long"), "text")
+    pairs = keep(candidates(keep(word_fingerprints(usable), "similar-rows")), "similar-candidates")
+    links = keep(similar_pairs(usable, pairs, words, similarity), "similar-links")
+    labels = connected_components(links, "a", "b")
+    gone = keep(labels.where("node <> component").select(F.col("node").alias("doc_id")), "similar-gone")
+    return docs.join(bounded(gone), "doc_id", "left_anti").select(*docs.columns)
