@@ -11,7 +11,6 @@ from geoexposure.operators.stats import derive
 from geoexposure.plans.fixtures import Tables
 from geoexposure.plans.registry import query
 
-LON, LAT = F.col("lon"), F.col("lat")
 r6 = lambda c, name: F.round(c, 6).alias(name)
 
 
@@ -20,14 +19,14 @@ SELECT fid, round(6378137e0*radians(lon), 4) AS x,
   round(6378137e0/2*(1-6.69437999014131e-3)*(s/(1-6.69437999014131e-3*s*s) - ln((1-8.1819190842621e-2*s)/(1+8.1819190842621e-2*s))/(2*8.1819190842621e-2)), 3) AS y
 FROM (SELECT *, sin(radians(lat)) AS s FROM geo) q""")
 def prj1(t: Tables):
-    x, y = J.to_equal_area(LON, LAT)
+    x, y = J.to_equal_area(F.col("lon"), F.col("lat"))
     return t.geo.select("fid", F.round(x, 4).alias("x"), F.round(y, 3).alias("y"))
 
 
 @query("prj2_to_web_mercator", """
 SELECT fid, round(6378137e0*radians(lon), 4) AS x, round(6378137e0*ln(tan(pi()/4+radians(lat)/2)), 4) AS y, round(lon, 6) AS lon2, round(lat, 6) AS lat2 FROM geo""")
 def prj2(t: Tables):
-    x, y = J.to_web_mercator(LON, LAT)
+    x, y = J.to_web_mercator(F.col("lon"), F.col("lat"))
     lon, lat = J.from_web_mercator(x, y)
     return t.geo.select("fid", F.round(x, 4).alias("x"), F.round(y, 4).alias("y"), r6(lon, "lon2"), r6(lat, "lat2"))
 
@@ -42,7 +41,7 @@ SELECT fid, z AS zone, CASE WHEN lat < -80 THEN 'Too far South' WHEN lat > 84 TH
   substr(CASE (z-1)%3 WHEN 0 THEN 'ABCDEFGH' WHEN 1 THEN 'JKLMNPQR' ELSE 'STUVWXYZ' END, CAST(floor(e/1e5) AS INTEGER), 1) ||
   substr(CASE (z-1)%2 WHEN 0 THEN 'ABCDEFGHJKLMNPQRSTUV' ELSE 'FGHJKLMNPQRSTUVABCDE' END, CAST(floor(nn/1e5) AS INTEGER)%20+1, 1) END AS square FROM c""")
 def prj3(t: Tables):
-    return t.geo.select("fid", J.utm_zone(LON).alias("zone"), J.to_mgrs_100k(LON, LAT).alias("square"))
+    return t.geo.select("fid", J.utm_zone(F.col("lon")).alias("zone"), J.to_mgrs_100k(F.col("lon"), F.col("lat")).alias("square"))
 
 
 def _boxes(t: Tables):
@@ -106,7 +105,7 @@ def prj15(t: Tables):
 @query("prj16_shift_lon_360", "SELECT fid, round(CASE WHEN lon < 0 THEN lon + 360 ELSE lon END, 6) AS lon, max(lon) OVER () - min(lon) OVER () > 300 AS crosses FROM geo")
 def prj16(t: Tables):
     span = t.geo.agg(F.min("lon").alias("a"), F.max("lon").alias("b")).select(J.crosses_date_line(F.col("a"), F.col("b")).alias("crosses"))
-    return t.geo.crossJoin(F.broadcast(span)).select("fid", r6(J.shift_lon_360(LON), "lon"), "crosses")
+    return t.geo.crossJoin(F.broadcast(span)).select("fid", r6(J.shift_lon_360(F.col("lon")), "lon"), "crosses")
 
 
 @query("prj17_radiance_scale", "SELECT row, col, round(CASE WHEN v >= -900 THEN v*1e5 END, 4) AS v FROM (SELECT row, col, CASE WHEN cls = 1 THEN -999e0 ELSE value/1e9 END AS v FROM px) q")
@@ -117,7 +116,7 @@ def prj17(t: Tables):
 
 @query("prj18_local_overpass_utc", "SELECT fid, CAST(epoch_us(TIMESTAMP '2024-03-01') + round((5400 - lon/15*3600)*1000000) AS BIGINT) AS at_us FROM geo")
 def prj18(t: Tables):
-    return t.geo.select("fid", F.unix_micros(J.local_overpass_utc(F.to_date(F.lit("2024-03-01")), LON)).alias("at_us"))
+    return t.geo.select("fid", F.unix_micros(J.local_overpass_utc(F.to_date(F.lit("2024-03-01")), F.col("lon"))).alias("at_us"))
 
 
 @query("prj19_night_hours", """
@@ -126,7 +125,7 @@ SELECT fid, CAST(round_even(24 - 2*degrees(acos(greatest(-1e0, least(1e0, -tan(r
 FROM (SELECT fid, lat, CAST(fid % 365 + 1 AS DOUBLE) AS d FROM geo) q""")
 def prj19(t: Tables):
     day = (F.col("fid") % 365 + 1).cast("double")
-    return t.geo.select("fid", J.night_hours(LAT, day).alias("hours"), r6(J.night_hours_simple(LAT, day), "simple"))
+    return t.geo.select("fid", J.night_hours(F.col("lat"), day).alias("hours"), r6(J.night_hours_simple(F.col("lat"), day), "simple"))
 
 
 @query("prj20_baseline_period", """
@@ -190,7 +189,7 @@ def scn1(t: Tables):
 @query("scn9_pass_offset_km", "SELECT fid, CAST(trunc(abs(lon-(fid % 50))*111.32e0*cos(radians(lat))) AS INTEGER) AS km FROM geo WHERE fid % 90 >= 20")
 def scn9(t: Tables):
     passes = t.geo.withColumn("elevation", F.col("fid") % 90).where("elevation >= 20")
-    return passes.select("fid", S.pass_offset_km(LON, LAT, F.col("fid") % 50).alias("km"))
+    return passes.select("fid", S.pass_offset_km(F.col("lon"), F.col("lat"), F.col("fid") % 50).alias("km"))
 
 
 @query("scn10_snap_to_pulse", "SELECT event_id, round(floor((t-12.5e0)/85.41667e0)*85.41667e0+12.5e0, 2) AS start FROM (SELECT event_id, epoch(ts) % 86400 AS t FROM events) q")
