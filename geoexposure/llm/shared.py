@@ -7,10 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from geoexposure.sources.workspace import bounded, fresh_path, keep, shared_dir
 
-__all__ = ["Words", "bounded", "filled", "fresh_path", "keep", "shared_dir", "slices", "sums"]
+__all__ = ["Words", "bounded", "filled", "fresh_path", "id_and_text", "keep", "shared_dir", "slices", "sums"]
 
 #: Texts handled at once in a Python worker, in bytes.
 SLICE_BYTES = 8 << 20
@@ -32,6 +34,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             start = stop
 
 
+def id_and_text(docs: DataFrame) -> DataFrame:
+    """doc_id as a long and text as a string, without other columns."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def filled(texts: pa.Array) -> pa.Array:
     """Null texts count as empty."""
     return pc.fill_null(texts, "")

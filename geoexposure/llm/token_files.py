@@ -19,13 +19,18 @@ from pyarrow import fs, ipc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from geoexposure.llm.shared import filled, fresh_path, keep, slices
-from geoexposure.llm.token_words import TextEncoder
+from geoexposure.llm.shared import filled, fresh_path, id_and_text, keep, slices
+from geoexposure.llm.token_words import text_encoder
 
 SEQUENCE, BATCH = 2048, 64
 #: The id that ends each document.
 END = 0
-DATA = pa.schema([("ids", pa.list_(pa.uint32(), SEQUENCE)), ("mask", pa.list_(pa.uint8(), SEQUENCE))])
+
+def data_schema(wide: bool) -> pa.Schema:
+    """Ids of 16 bits where the vocabulary allows it, else of 32; masks of one bit."""
+    return pa.schema([("ids", pa.list_(pa.uint32() if wide else pa.uint16(), SEQUENCE)), ("mask", pa.list_(pa.bool_(), SEQUENCE))])
+
+
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
@@ -37,12 +42,14 @@ def _opened(folder: str) -> tuple[fs.FileSystem, str]:
 class SequenceWriter:
     """Writes ids to one data file, in whole batches as they fill up."""
 
-    def __init__(self, sink: pa.NativeFile):
-        self.writer = ipc.new_file(sink, DATA)
+    def __init__(self, sink: pa.NativeFile, wide: bool):
+        self.schema = data_schema(wide)
+        self.kind = np.uint32 if wide else np.uint16
+        self.writer = ipc.new_file(sink, self.schema)
         self.waiting, self.held, self.total = [], 0, 0
 
     def add(self, ids: np.ndarray) -> None:
-        self.waiting.append(ids)
+        self.waiting.append(ids.astype(self.kind))
         self.held += len(ids)
         self.total += len(ids)
         if self.held >= SEQUENCE * BATCH:
@@ -53,8 +60,8 @@ class SequenceWriter:
             self.waiting, self.held = [ids[whole:]], len(ids) - whole
 
     def _write(self, ids: np.ndarray, real: int) -> None:
-        mask = (np.arange(len(ids)) < real).astype(np.uint8)
-        self.writer.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(x), SEQUENCE) for x in (ids, mask)], schema=DATA))
+        mask = np.arange(len(ids)) < real
+        self.writer.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(x), SEQUENCE) for x in (ids, mask)], schema=self.schema))
 
     def close(self) -> None:
         if self.held:
@@ -95,17 +102,17 @@ def write(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
         part = TaskContext.get().partitionId()
         store, root = _opened(folder)
         store.create_dir(root)
-        encoder, name, own = TextEncoder(tokenizer), f"part-{part:06d}", uuid.uuid4().hex
+        encoder, name, own = text_encoder(tokenizer), f"part-{part:06d}", uuid.uuid4().hex
         n_docs = 0
         with store.open_output_stream(f"{root}/.{name}.{own}.arrow") as data, store.open_output_stream(f"{root}/.{name}.{own}.index") as index:
-            sequences, entries = SequenceWriter(data), ipc.new_file(index, INDEX)
+            sequences, entries = SequenceWriter(data, encoder.tokenizer.get_vocab_size() > 1 << 16), ipc.new_file(index, INDEX)
             for piece in slices(batches):
                 ids, counts = encoder.ids(filled(piece.column("text")))
                 ids = np.insert(ids, np.cumsum(counts), END)
                 counts = counts + 1
                 starts = sequences.total + np.cumsum(counts) - counts
                 entries.write_batch(pa.record_batch([piece.column("doc_id"), pa.array(starts), pa.array(counts)], schema=INDEX))
-                sequences.add(ids.astype(np.uint32))
+                sequences.add(ids)
                 n_docs += len(counts)
             total = sequences.total
             sequences.close()
@@ -114,7 +121,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
             store.move(f"{root}/.{name}.{own}.{kind}", f"{root}/{name}.{kind}")
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "file": [name], "n_docs": pa.array([n_docs], pa.int64()), "n_tokens": pa.array([total], pa.int64())})
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = id_and_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return keep(ordered.mapInArrow(write_range, "part long, file string, n_docs long, n_tokens long"), "token-files")
 
 
@@ -139,7 +146,7 @@ def read(files: DataFrame, folder: str) -> DataFrame:
                         for i, (start, n) in enumerate(zip(starts.tolist(), counts.tolist(), strict=True)):
                             crc = 0
                             for part in sequences.tokens(start, start + n):
-                                crc = zlib.crc32(part.astype("<u4", copy=False), crc)
+                                crc = zlib.crc32(part.astype("<u4"), crc)
                             sums[i] = crc
                         yield pa.RecordBatch.from_pydict({"doc_id": docs.column("doc_id"), "start": pa.array(starts + base), "n_tokens": docs.column("n_tokens"), "ids_crc32": pa.array(sums)})
 

@@ -7,14 +7,18 @@ Texts with other white space around spaces, or with special strings, go to the l
 
 from __future__ import annotations
 
+import functools
+import itertools
 import os
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct chunks that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+#: Distinct chunks that a worker remembers.
+REMEMBERED = 500_000
+#: Strings that the library encodes in one call: its encodings are large while they live.
+AT_ONCE = 2_000
 _SPACES = r"\t\n\v\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _CROWDED = f"[{_SPACES}] | [{_SPACES}]"
 
@@ -27,11 +31,13 @@ def chunked(texts: pa.Array, special: tuple[str, ...] = ()) -> tuple[np.ndarray,
     whole = pc.match_substring_regex(texts, _CROWDED)
     for s in special:
         whole = pc.or_(whole, pc.match_substring(texts, s))
-    lists = pc.split_pattern(pc.if_else(whole, None, texts), " ")
+    whole = whole.to_numpy(zero_copy_only=False)
+    lists = pc.split_pattern(texts.filter(pa.array(~whole)), " ")
     flat = lists.flatten().dictionary_encode()
-    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    lengths = np.zeros(len(texts), np.int64)
+    lengths[~whole] = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
     offsets = np.concatenate([[0], np.cumsum(lengths)])
-    return flat.indices.to_numpy().astype(np.int64), flat.dictionary, offsets, whole.to_numpy(zero_copy_only=False)
+    return flat.indices.to_numpy().astype(np.int64), flat.dictionary, offsets, whole
 
 
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -41,27 +47,31 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class IdPool:
-    """Ids of remembered strings, one after the other in a growing array."""
+    """Ids of remembered strings, one after the other in a growing array.
+
+    The first REMEMBERED strings stay (frequent ones come early); later ones are forgotten at the next call.
+    """
 
     def __init__(self, encode):
         self.encode = encode
-        self.clear()
-
-    def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.pool, self.used = np.empty(1 << 20, np.uint32), 0
         self.starts, self.lengths = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
+        self.passing: list[str] = []
 
     def places(self, strings: list[str]) -> np.ndarray:
-        """The numbers under which the strings are remembered."""
-        if len(self.at) > REMEMBERED:
-            self.clear()
+        """The numbers under which the strings are found until the next call."""
+        for s in self.passing:
+            del self.at[s]
         new = [s for s in dict.fromkeys(strings) if s not in self.at]
+        n = len(self.at)
+        self.used = int(self.starts[n - 1] + self.lengths[n - 1]) if n else 0
+        self.passing = new[max(0, REMEMBERED - n) :]
         if new:
             ids = self.encode(new)
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((x for one in ids for x in one), np.uint32, int(lengths.sum()))
-            n, total = len(self.at), self.used + len(flat)
+            flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths.sum()))
+            total = self.used + len(flat)
             while total > len(self.pool):
                 self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
             while n + len(new) > len(self.starts):
@@ -69,11 +79,16 @@ class IdPool:
             self.pool[self.used : total] = flat
             self.starts[n : n + len(new)] = self.used + np.cumsum(lengths) - lengths
             self.lengths[n : n + len(new)] = lengths
-            self.used = total
             self.at.update(zip(new, range(n, n + len(new)), strict=True))
         return np.fromiter(map(self.at.__getitem__, strings), np.int64, len(strings))
 
 
+@functools.lru_cache(maxsize=2)
+def text_encoder(path: str) -> TextEncoder:
+    """The encoder of this Python process: a worker that runs several tasks loads and remembers once."""
+    return TextEncoder(path)
+
+
 class TextEncoder:
     """Ids of whole texts as the library for a tokenizer file gives them, without added special tokens."""
 
@@ -88,7 +103,10 @@ class TextEncoder:
         self.pool = IdPool(self._encode)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found = []
+        for at in range(0, len(texts), AT_ONCE):
+            found += [e.ids for e in self.tokenizer.encode_batch_fast(texts[at : at + AT_ONCE], add_special_tokens=False)]
+        return found
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each text)."""
