@@ -9,6 +9,7 @@ truncation to a token budget and "does it fit" need no further encoding.
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Iterator
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from geoexposure.llm.shared import filled, slices, sums
+from geoexposure.llm.shared import filled, id_and_text, slices, sums
 from geoexposure.llm.token_words import REMEMBERED, chunked
 
 # Fixed value: the pre-token pattern of byte-level BPE.
@@ -35,6 +36,12 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+@functools.lru_cache(maxsize=2)
+def prefix_counter(path: str) -> PrefixCounter:
+    """The counter of this Python process: a worker that runs several tasks loads and remembers once."""
+    return PrefixCounter(path)
+
+
 class PrefixCounter:
     """Token counts of texts and of their prefixes, for a tokenizer file of the byte-level BPE kind."""
 
@@ -57,9 +64,9 @@ class PrefixCounter:
     def _may_follow(self, a: str, b: str) -> bool:
         """Whether the two tokens next to each other encode to themselves."""
         if (known := self.follows.get((a, b))) is None:
-            if len(self.follows) > 4 * REMEMBERED:
-                self.follows.clear()
-            known = self.follows[a, b] = self._merged(a + b) == [a, b]
+            known = self._merged(a + b) == [a, b]
+            if len(self.follows) < 2 * REMEMBERED:
+                self.follows[a, b] = known
         return known
 
     def _merged(self, text: str) -> list[str]:
@@ -90,9 +97,9 @@ class PrefixCounter:
 
     def _piece(self, piece: str) -> int:
         if (n := self.pieces.get(piece)) is None:
-            if len(self.pieces) > REMEMBERED:
-                self.pieces.clear()
-            n = self.pieces[piece] = self.piece_table(piece)[-1]
+            n = self.piece_table(piece)[-1]
+            if len(self.pieces) < REMEMBERED:
+                self.pieces[piece] = n
         return n
 
     def count(self, text: str) -> int:
@@ -128,9 +135,9 @@ class PrefixCounter:
 
     def _chunk(self, chunk: str) -> int:
         if (n := self.chunks.get(chunk)) is None:
-            if len(self.chunks) > REMEMBERED:
-                self.chunks.clear()
-            n = self.chunks[chunk] = self.count(chunk)
+            n = self.count(chunk)
+            if len(self.chunks) < REMEMBERED:
+                self.chunks[chunk] = n
         return n
 
     def counts(self, texts: pa.Array, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,10 +194,10 @@ def report(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFrame:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
 
-        counter = PrefixCounter(tokenizer)
+        counter = prefix_counter(tokenizer)
         for part in slices(batches):
             texts = filled(part.column("text"))
             totals, fits = counter.counts(texts, limit)
             yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_bytes": pc.binary_length(texts).cast(pa.int64()), "n_tokens": pa.array(totals), "over_limit": pa.array(totals > limit), "fit_chars": pa.array(fits)})
 
-    return docs.select("doc_id", "text").mapInArrow(counted, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
+    return id_and_text(docs).mapInArrow(counted, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
