@@ -9,6 +9,7 @@ taken and the text is marked, so ids always are those of the model.
 
 from __future__ import annotations
 
+import functools
 import os
 import struct
 import zlib
@@ -18,9 +19,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geoexposure.llm.shared import filled, slices, sums
-from geoexposure.llm.token_words import REMEMBERED, chunked, spread
+from geoexposure.llm.token_words import AT_ONCE, REMEMBERED, chunked, spread
 
 MARK = "▁"
 # Piece types and model types of the file format.
@@ -89,7 +92,7 @@ class Model:
 
 
 def tokenizer_of(model: Model):
-    """The tokenizers library's counterpart of the model, without the dummy prefix (see ``Codec.prepared``)."""
+    """The tokenizers library's counterpart of the model."""
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
     if model.kind == BPE:
@@ -102,6 +105,8 @@ def tokenizer_of(model: Model):
     steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
     if model.trim:
         steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
+    if model.dummy_prefix:
+        steps.append(normalizers.Prepend(" "))  # not before an empty text
     if model.escape:
         steps.append(normalizers.Replace(" ", MARK))
     made.normalizer = normalizers.Sequence(steps)
@@ -109,6 +114,12 @@ def tokenizer_of(model: Model):
     return made
 
 
+@functools.lru_cache(maxsize=2)
+def codec_of(path: str) -> Codec:
+    """The codec of this Python process: a worker that runs several tasks loads and remembers once."""
+    return Codec(path)
+
+
 class Codec:
     """Encodes and decodes texts; remembers distinct strings up to a bound."""
 
@@ -127,27 +138,26 @@ class Codec:
         self.same: list[bool] = []
         self.back: list[str] = []
 
-    def prepared(self, text: str) -> str:
-        """The dummy prefix goes before a text that is not empty."""
-        return f" {text}" if text and self.model.dummy_prefix else text
-
     def _remember(self, strings: list[str]) -> np.ndarray:
         """Numbers of ``strings``: words or whole texts, each standing as at the start of a text."""
         if len(self.at) > REMEMBERED:
             self.clear()
         if new := [s for s in dict.fromkeys(strings) if s not in self.at]:
-            ours = [e.ids for e in self.tokenizer.encode_batch_fast(list(map(self.prepared, new)), add_special_tokens=False)]
-            theirs = self.known.encode(new, num_threads=2)
-            self.same += [a == b for a, b in zip(ours, theirs, strict=True)]
-            self.back += self.tokenizer.decode_batch(theirs, skip_special_tokens=False)
             self.at.update(zip(new, range(len(self.ids), len(self.ids) + len(new)), strict=True))
-            self.ids += [np.array(x, np.uint32) for x in theirs]
+            for at in range(0, len(new), AT_ONCE):
+                part = new[at : at + AT_ONCE]
+                ours = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+                theirs = self.known.encode(part, num_threads=2)
+                self.same += [a == b for a, b in zip(ours, theirs, strict=True)]
+                self.back += self.tokenizer.decode_batch(theirs, skip_special_tokens=False)
+                self.ids += [np.array(x, np.uint32) for x in theirs]
         return np.fromiter(map(self.at.__getitem__, strings), np.int64, len(strings))
 
     def encode(self, texts: pa.Array) -> dict[str, np.ndarray | pa.Array]:
         """ids (one after the other), n_tokens, same (both libraries agree) and decoded of each text."""
         if self.model.by_words:
-            codes, values, offsets, whole = chunked(texts)
+            # The marker itself in a text stands for a space, so such texts stay whole.
+            codes, values, offsets, whole = chunked(texts, (MARK,))
             # An empty chunk at the start or end is a space at the edge: it takes part like a word, but for an empty text.
             whole |= pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " ")).to_numpy(zero_copy_only=False)
         else:
@@ -161,7 +171,6 @@ class Codec:
         order = np.insert(places[: len(words)][codes], (ends - counts)[whole], places[len(words) :])
         counts = counts + whole
         offsets = np.concatenate([[0], np.cumsum(counts)])
-        lengths = np.fromiter((len(self.ids[p]) for p in places), np.int64, len(places))
         distinct, inverse = np.unique(order, return_inverse=True)
         pool = [self.ids[p] for p in distinct]
         lengths = np.fromiter(map(len, pool), np.int64, len(pool))
@@ -187,9 +196,9 @@ def encoded(docs: DataFrame, model: str, columns: tuple[str, ...] = ("doc_id",))
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model)
-        for part in slices(batches):
-            texts = filled(part.column("text"))
+        codec = codec_of(model)
+        for part in slices(batches, "_text"):
+            texts = filled(part.column("_text"))
             found = codec.encode(texts)
             offsets = np.concatenate([[0], np.cumsum(found["n_tokens"])])
             plain = found["ids"].astype("<u4")
@@ -204,6 +213,6 @@ def encoded(docs: DataFrame, model: str, columns: tuple[str, ...] = ("doc_id",))
                 }
             )
 
-    kept = docs.select(*columns, "text")
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(encode, f"{types}, ids array<int>, n_tokens long, ids_crc32 long, round_trip boolean, same_ids boolean")
+    kept = docs.select(*columns, F.col("text").cast("string").alias("_text"))
+    added = T.StructType.fromDDL("ids array<int>, n_tokens long, ids_crc32 long, round_trip boolean, same_ids boolean")
+    return kept.mapInArrow(encode, T.StructType([docs.schema[c] for c in columns] + added.fields))
