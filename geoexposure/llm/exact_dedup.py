@@ -70,10 +70,10 @@ def duplicates(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_D
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     gone = duplicates(docs).where(~F.col("kept") & ~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    rows = docs.withColumn("_hash", F.sha2(F.coalesce("text", F.lit("")), 256))
-    rows = rows.join(gone, rows["doc_id"].eqNullSafe(gone["_id"]) & (rows["_hash"] == gone["_sha"]), "left_anti")
-    order = Window.partitionBy("doc_id", "_hash").orderBy(F.lit(1))
-    return rows.withColumn("_turn", F.row_number().over(order)).where("_turn = 1").drop("_turn", "_hash")
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col("doc_id").alias("key"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    rows = rows.join(gone, rows["key"].eqNullSafe(gone["_id"]) & (rows["sha"] == gone["_sha"]), "left_anti")
+    repeats = Window.partitionBy("key", "sha").orderBy(F.lit(1))
+    return rows.withColumn("turn", F.row_number().over(repeats)).where("turn = 1").select("row.*")
 
 
 DUPLICATES_SQL = """

@@ -10,7 +10,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from geoexposure.llm.shared import slices
+from geoexposure.llm.shared import id_and_text, slices
 
 # The kinds in the order in which spans at the same place are listed; base kinds first.
 BASE = ("email", "ip", "card", "phone")
@@ -155,4 +155,4 @@ def report(docs: DataFrame) -> DataFrame:
     gives an empty table. A text of any length is read once for each kind.
     """
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores string"
-    return docs.select("doc_id", "text").mapInArrow(_report, schema)
+    return id_and_text(docs).mapInArrow(_report, schema)

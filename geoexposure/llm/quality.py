@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoexposure.llm.features import BITS, SAMPLE, HashedWords, bins, held_out, pairs_of, sample
-from geoexposure.llm.shared import filled, keep, slices, sums
+from geoexposure.llm.shared import filled, id_and_text, keep, slices, sums
 
 #: Learning rate, smoothing and penalties of the updates, and passes over the sample.
 ALPHA, BETA, L1, L2, EPOCHS = 0.2, 1.0, 0.02, 0.1, 3
@@ -85,7 +85,7 @@ def _fit(rows: pd.DataFrame) -> pd.DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> tuple[np.ndarray, float]:
     """Weights (as many as bins) and bias, learned by one task from a sample of ``rows`` labelled documents at most."""
     chosen = keep(sample(labels, "quality", rows), "quality-sample")
-    examples = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").mapInArrow(_examples, "doc_id long, label int, bins array<int>, counts array<float>")
+    examples = id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").mapInArrow(_examples, "doc_id long, label int, bins array<int>, counts array<float>")
     found = examples.groupBy().applyInPandas(_fit, "bin long, weight double").toPandas()
     weights, bias = np.zeros(1 << BITS), 0.0
     if len(found):
@@ -111,5 +111,5 @@ def score(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
             s = 1 / (1 + np.exp(-np.clip(linear(own, hashed, filled(part.column("text"))) + bias, -30, 30)))
             yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "score": pa.array(s), "predicted": pa.array((s >= THRESHOLD).astype(np.int32))})
 
-    rows_in = docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text")
+    rows_in = id_and_text(docs).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text")
     return rows_in.mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoexposure.llm.shared import bounded, filled, keep, slices
+from geoexposure.llm.shared import bounded, filled, id_and_text, keep, slices
 from geoexposure.operators.components import connected_components
 
 SEED = 42
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
             fp = majority(rows, np.array(ends)).view(">i8").ravel().astype(np.int64)
             yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "fp": pa.array(fp)})
 
-    return docs.select("doc_id", "text").mapInArrow(hashed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return id_and_text(docs).mapInArrow(hashed, "doc_id long, fp long")
 
 
 def root_masks(bits: int) -> list[int]:
@@ -277,7 +277,7 @@ def word_fingerprints(docs: DataFrame) -> DataFrame:
             fps = majority(wide, np.array(ends)).view(">i8").astype(np.int64)
             yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id")} | {f"w{k}": pa.array(fps[:, k]) for k in range(WORDS)})
 
-    return docs.select("doc_id", "text").mapInArrow(hashed, "doc_id long, " + ", ".join(f"w{k} long" for k in range(WORDS)))
+    return id_and_text(docs).mapInArrow(hashed, "doc_id long, " + ", ".join(f"w{k} long" for k in range(WORDS)))
 
 
 def sampled_masks() -> list[list[int]]:
@@ -343,7 +343,7 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, words: int, similarity: flo
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.select("doc_id", "text").join(bounded(keep(named, "similar-named")), "doc_id", "left_semi").mapInArrow(shingled, "doc_id long, shingles binary")
+    sets = id_and_text(docs).join(bounded(keep(named, "similar-named")), "doc_id", "left_semi").mapInArrow(shingled, "doc_id long, shingles binary")
     sets = keep(sets, "similar-sets")
     met = pairs.join(sets.selectExpr("doc_id AS a", "shingles AS sa"), "a").join(sets.selectExpr("doc_id AS b", "shingles AS sb"), "b")
     return met.select("a", "b", "sa", "sb").mapInArrow(compared, "a long, b long")

@@ -17,9 +17,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geoexposure.llm.features import SAMPLE, plain_word, sample
-from geoexposure.llm.shared import Words, filled, keep, slices, sums
+from geoexposure.llm.shared import Words, filled, id_and_text, keep, slices, sums
 from geoexposure.llm.token_words import REMEMBERED, spread
 
 TELLING_ROWS, TELLING_SHARE = 20, 0.9
@@ -137,7 +138,7 @@ def _fit(rows: pd.DataFrame) -> pd.DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds), learned by one task from a sample of ``rows`` labelled documents at most."""
     chosen = keep(sample(labels, "toxic", rows), "toxicity-sample")
-    examples = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").mapInArrow(_examples, "doc_id long, label int, bins array<int>, counts array<float>")
+    examples = id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").mapInArrow(_examples, "doc_id long, label int, bins array<int>, counts array<float>")
     found = examples.groupBy().applyInPandas(_fit, "bin long, weight double").toPandas()
     weights, cuts = np.zeros(1 << TOXIC_BITS), np.full(2, 30.0)
     if len(found):
@@ -152,7 +153,7 @@ def score(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...] = ("doc_i
 
     A null or empty text has the grade that the thresholds alone give; without labels nothing is toxic. Repeated rows
     are scored alike; null ids are scored and never learned from. The model has 2 ** BITS weights whatever the input's
-    size, and scoring shuffles nothing. Added columns have the names _severity, _grade, _p_toxic and _toxic, so none clashes.
+    size, and scoring shuffles nothing. Added columns have the names _severity, _grade, _p_toxic and _toxic, so a column of the input must not have these.
     """
     weights, cuts = fit(docs, labels, rows)
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
@@ -160,20 +161,20 @@ def score(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...] = ("doc_i
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value.astype(np.float64)
         stems = Stems(own != 0)
-        for part in slices(batches):
-            at, values, offsets = stems(filled(part.column("text")))
+        for part in slices(batches, "_text"):
+            at, values, offsets = stems(filled(part.column("_text")))
             x = sums(own[at] * values, offsets)
             above = np.stack([_logistic(x - c) for c in cuts])
             chances = np.stack([1 - above[0], above[0] - above[1], above[1]])
             added = [pa.array(above.sum(0)), pa.array(chances.argmax(0).astype(np.int32)), pa.array(above[0]), pa.array(above[0] >= TOXIC)]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *added], names=[*columns, "_severity", "_grade", "_p_toxic", "_toxic"])
 
-    needed = docs.select(*dict.fromkeys([*columns, "text"]))
-    types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return needed.mapInArrow(scored, f"{types}, _severity double, _grade int, _p_toxic double, _toxic boolean")
+    needed = docs.select(*columns, F.col("text").cast("string").alias("_text"))
+    added = T.StructType.fromDDL("_severity double, _grade int, _p_toxic double, _toxic boolean")
+    return needed.mapInArrow(scored, T.StructType([docs.schema[c] for c in columns] + added.fields))
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not toxic, with all their columns."""
-    names = tuple(docs.columns)
-    return score(docs, labels, names).where("NOT _toxic").select(*(f"`{c}`" for c in names))
+    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), "doc_id", "text")
+    return score(packed, labels, ("row",)).where("NOT _toxic").select("row.*")
