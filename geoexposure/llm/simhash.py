@@ -258,8 +258,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame
     return rows.join(keep(named, "simhash-named"), "fp").select("doc_id", fingerprint, "component_id")
 
 
-#: The similarity stage: 64-bit words of its fingerprints, masks and bits of a mask, differing bits of a candidate, partners that a row proposes.
-WORDS, MASKS, MASK_BITS, CANDIDATE_BITS, PARTNERS = 4, 32, 20, 48, 6
+#: The similarity stage: 64-bit words of its fingerprints, masks and bits of a mask, differing bits of a candidate, partners that a row proposes: the closest, and those with the smallest ids.
+WORDS, MASKS, MASK_BITS, CANDIDATE_BITS, PARTNERS, LEADERS = 4, 32, 20, 48, 6, 4
+#: Rounds in which groups look for links to each other; partners double with each.
+ROUNDS = 3
 _SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 
@@ -292,47 +294,59 @@ def sampled_masks() -> list[list[int]]:
     return out
 
 
-def candidates(fps: DataFrame) -> DataFrame:
-    """(a, b) pairs of ids, a < b, whose wide fingerprints are close and share a masked pattern.
+def candidates(fps: DataFrame, partners: int = PARTNERS) -> DataFrame:
+    """(a, b) pairs of ids, a < b, of different groups, whose wide fingerprints are close and share a masked pattern. ``fps``: doc_id, grp, w0 to w3.
 
-    Of each row under each root the PARTNERS closest are proposed, so that a large group gives pairs in proportion to its members.
+    Each row proposes the ``partners`` closest rows that it meets, and of those that are close the LEADERS with the smallest ids, which
+    the members of a large group have in common. So a group gives pairs in proportion to its members.
     """
     wide = [f"w{k}" for k in range(WORDS)]
     patterns = F.posexplode(F.array(*[F.xxhash64(*[F.col(w).bitwiseAND(F.lit(m)) for w, m in zip(wide, mask, strict=True)]) for mask in sampled_masks()]))
-    rows = fps.select("doc_id", *wide, patterns.alias("_mask", "_pattern"))
+    rows = fps.select("doc_id", "grp", *wide, patterns.alias("_mask", "_pattern"))
     rows = split_roots(rows, F.col("doc_id")).withColumn("_rank", gray_rank(F.col("w0")))
 
     def handle(keys: np.ndarray, values: np.ndarray) -> list:
         values = values.astype(np.int64)
-        ids, words = values[:, 0], np.ascontiguousarray(values[:, 1:]).view(np.uint64)
+        ids, groups, words = values[:, 0], values[:, 1], np.ascontiguousarray(values[:, 2:]).view(np.uint64)
         parts = [np.zeros((0, 3), np.int64)]
         for start, end in runs(keys):
             own, n = words[start:end], end - start
             step = max(1, PAIRS // (n * WORDS))
             for at in range(0, n, step):
                 far = differences(own[at : at + step, None], own[None])
-                far[np.arange(len(far)), at + np.arange(len(far))] = 1 << 20
-                near = np.argpartition(far, min(PARTNERS, n - 1) - 1, axis=1)[:, :PARTNERS] if n > PARTNERS else np.tile(np.arange(n), (len(far), 1))
+                far[groups[start + at : start + at + len(far), None] == groups[None, start:end]] = 1 << 20
+                near = np.argpartition(far, partners - 1, axis=1)[:, :partners] if n > partners else np.tile(np.arange(n), (len(far), 1))
                 gap = np.take_along_axis(far, near, 1)
                 i, j = np.nonzero(gap <= CANDIDATE_BITS)
                 parts.append(np.stack([ids[start + at + i], ids[start + near[i, j]], gap[i, j]], 1))
+                first = np.where(far <= CANDIDATE_BITS, ids[start:end], np.iinfo(np.int64).max).argmin(1)
+                gap = far[np.arange(len(far)), first]
+                i = np.flatnonzero(gap <= CANDIDATE_BITS)
+                parts.append(np.stack([ids[start + at + i], ids[start + first[i]], gap[i]], 1))
         found = np.concatenate(parts)
         return [found[:, 0], found[:, 1], found[:, 2]]
 
-    found = by_root(rows, ["doc_id", *wide], handle, "a long, b long, gap long").distinct()
-    closest = Window.partitionBy("a").orderBy("gap", "b")
-    found = found.withColumn("_n", F.row_number().over(closest)).where(F.col("_n") <= PARTNERS)
+    found = by_root(rows, ["doc_id", "grp", *wide], handle, "a long, b long, gap long").distinct()
+    closest, lowest = (Window.partitionBy("a").orderBy(*o) for o in (("gap", "b"), ("b",)))
+    found = found.select("*", F.row_number().over(closest).alias("_n"), F.row_number().over(lowest).alias("_m"))
+    found = found.where((F.col("_n") <= partners) | (F.col("_m") <= LEADERS))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
 
 
-def similar_pairs(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) of ids whose texts' sets of shingles have a Jaccard similarity of ``similarity`` or more."""
+def shingle_sets(docs: DataFrame, named: DataFrame, words: int) -> DataFrame:
+    """(doc_id, shingles): the sorted hashes of the distinct shingles of the documents that ``named`` (doc_id) holds."""
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             sets = [np.unique(np.array([xxhash.xxh32_intdigest(f) for f in features(t, words)], np.uint32)).tobytes() for t in filled(part.column("text")).to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "shingles": pa.array(sets, pa.binary())})
 
+    return id_and_text(docs).join(bounded(named), "doc_id", "left_semi").mapInArrow(shingled, "doc_id long, shingles binary")
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose sets of shingles have a Jaccard similarity of ``similarity`` or more."""
+
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
@@ -342,9 +356,6 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, words: int, similarity: flo
                 ok.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = id_and_text(docs).join(bounded(keep(named, "similar-named")), "doc_id", "left_semi").mapInArrow(shingled, "doc_id long, shingles binary")
-    sets = keep(sets, "similar-sets")
     met = pairs.join(sets.selectExpr("doc_id AS a", "shingles AS sa"), "a").join(sets.selectExpr("doc_id AS b", "shingles AS sb"), "b")
     return met.select("a", "b", "sa", "sb").mapInArrow(compared, "a long, b long")
 
@@ -355,11 +366,28 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     Documents link if their sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more. A 64-bit
     fingerprint of shingles differs in up to a quarter of its bits at 0.8, too many for any index, so candidates come
     from wide fingerprints of distinct words (few bits differ there) under sampled masks, and each candidate is held against
-    the exact similarity. Texts without words and rows without id stay as they are. Rows that repeat an id are one document.
+    the exact similarity. A row proposes its closest partners only, so groups that have formed look for links to each other in
+    further rounds. Texts without words and rows without id stay as they are. Rows that repeat an id are one document.
     """
     usable = docs.where(F.col("doc_id").isNotNull() & F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select(F.col("doc_id").cast("long"), "text")
-    pairs = keep(candidates(keep(word_fingerprints(usable), "similar-rows")), "similar-candidates")
-    links = keep(similar_pairs(usable, pairs, words, similarity), "similar-links")
-    labels = connected_components(links, "a", "b")
+    fps = keep(word_fingerprints(usable), "similar-rows")
+    links, sets, labels = None, None, None
+    for k in range(ROUNDS):
+        if labels is None:
+            grouped = fps.withColumn("grp", F.col("doc_id"))
+        else:
+            grouped = involved.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("grp", F.coalesce("component", "doc_id"))
+        pairs = keep(candidates(grouped, PARTNERS << k), "similar-candidates")
+        if sets is None:
+            named = keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "similar-named")
+            sets = keep(shingle_sets(usable, named, words), "similar-sets")
+            involved = keep(fps.join(bounded(named), "doc_id", "left_semi"), "similar-involved")
+        new = keep(similar_pairs(pairs, sets, similarity), "similar-links")
+        if new.isEmpty():
+            break
+        links = new if links is None else links.unionByName(new)
+        labels = keep(connected_components(links, "a", "b"), "similar-labels")
+    if labels is None:
+        return docs
     gone = keep(labels.where("node <> component").select(F.col("node").alias("doc_id")), "similar-gone")
     return docs.join(bounded(gone), "doc_id", "left_anti").select(*docs.columns)
