@@ -54,24 +54,36 @@ def ring_area(rings: list[np.ndarray]) -> float:
 
 
 def block_weights(rings: list[np.ndarray], col0: int, row0: int, size: int) -> np.ndarray:
-    """Covered fraction of each unit cell of a block of ``size`` x ``size`` cells."""
-    part = clip_rect(rings, col0, row0, col0 + size, row0 + size)
-    out = np.zeros((size, size))
-    if not part:
-        return out
-    covered = ring_area(part)
-    if abs(covered - size * size) < 1e-9:
-        return np.ones((size, size))
-    for i in range(size):
-        strip = clip_rect(part, col0, row0 + i, col0 + size, row0 + i + 1)
-        if not strip:
-            continue
-        if abs(ring_area(strip) - size) < 1e-12:
-            out[i] = 1.0
-            continue
-        for j in range(size):
-            out[i, j] = ring_area(clip_rect(strip, col0 + j, row0 + i, col0 + j + 1, row0 + i + 1))
-    return np.where(out < 1e-15, 0.0, out)
+    """Covered fraction of each unit cell of a block of ``size`` x ``size`` cells.
+
+    Each side is cut at the grid lines; a piece covers its cell to its right and all cells further right, by its signed height. So the
+    work goes with the cells that sides cross, and cells inside come from a running sum.
+    """
+    own, right = np.zeros((size, size)), np.zeros((size, size + 1))
+    for ring in rings:
+        p = ring - (col0, row0)
+        q = np.roll(p, -1, 0)
+        (x0, y0), (x1, y1) = p.T, q.T
+        met = (y0 != y1) & (np.maximum(y0, y1) > 0) & (np.minimum(y0, y1) < size) & (np.minimum(x0, x1) < size)
+        for a, b in zip(p[met], q[met], strict=True):
+            d = b - a
+            cuts = [np.array([0.0, 1.0])]
+            for axis in (0, 1):
+                low, high = sorted((a[axis], b[axis]))
+                lines = np.arange(max(0, np.ceil(low)), min(size, np.floor(high)) + 1)
+                if d[axis] and len(lines):
+                    cuts.append((lines - a[axis]) / d[axis])
+            t = np.unique(np.clip(np.concatenate(cuts), 0, 1))
+            x, y = (a + d * ((t[:-1] + t[1:]) / 2)[:, None]).T
+            height = d[1] * np.diff(t)
+            inside = (y >= 0) & (y < size) & (x < size)
+            x, row, height = x[inside], np.floor(y[inside]).astype(int), height[inside]
+            col = np.floor(x).astype(int)
+            here = col >= 0
+            np.add.at(own, (row[here], col[here]), height[here] * (1 - (x - col)[here]))
+            np.add.at(right, (row, np.maximum(col + 1, 0)), height)
+    out = np.abs(own + np.cumsum(right, axis=1)[:, :size])
+    return np.where(out < 1e-12, 0.0, np.minimum(out, 1.0))
 
 
 def parts_inside(line: np.ndarray, rings: list[np.ndarray]) -> list[np.ndarray]:

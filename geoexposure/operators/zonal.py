@@ -19,8 +19,8 @@ BLOCK = 16
 def zone_cell_weights(zones: DataFrame, nrows: int, ncols: int, block: int = BLOCK) -> DataFrame:
     """(zone_id, row, col, w): the area fraction of every cell of the unit grid that a zone's polygon covers.
 
-    Zones are exploded into blocks of cells, so a zone of any size is spread over tasks; whole blocks
-    inside get weight 1 without clipping and only blocks at a border are clipped.
+    Zones are exploded into blocks of cells, so a zone of any size is spread over tasks, and
+    the work in a block goes with the cells that the zone's sides cross.
     """
     box = G.bbox(F.flatten("geom"))
     zones = zones.select("zone_id", "geom", box.alias("_b")).where(F.col("_b.xmin").isNotNull())
