@@ -8,8 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoexposure.llm.shared import Words
-from geoexposure.llm.token_words import REMEMBERED
+from geoexposure.llm.shared import REMEMBERED_WORDS, Words
 
 BITS = 18
 #: Labelled rows that a classifier learns from at most: those with the smallest hash of their doc_id.
@@ -44,7 +43,7 @@ class HashedWords:
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hashes of plain words, hashes of shapes, offsets) of the words of all texts."""
         words = Words(texts)
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED_WORDS:
             self.known.clear()
         known, pairs = self.known, []
         for w in words.values.to_pylist():

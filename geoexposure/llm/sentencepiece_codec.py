@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geoexposure.llm.shared import filled, slices, sums
-from geoexposure.llm.token_words import AT_ONCE, REMEMBERED, chunked, spread
+from geoexposure.llm.token_words import AT_ONCE, IdPool, chunked, spread
 
 MARK = "▁"
+#: Distinct strings that a worker remembers, and bytes of text that it encodes at once: two workers share an executor with the JVM.
+REMEMBERED_STRINGS, PART_BYTES = 100_000, 1 << 20
 # Piece types and model types of the file format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -130,28 +132,28 @@ class Codec:
         self.model = Model(path)
         self.tokenizer = tokenizer_of(self.model)
         self.known = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.same: list[bool] = []
-        self.back: list[str] = []
-
-    def _remember(self, strings: list[str]) -> np.ndarray:
-        """Numbers of ``strings``: words or whole texts, each standing as at the start of a text."""
-        if len(self.at) > REMEMBERED:
-            self.clear()
-        if new := [s for s in dict.fromkeys(strings) if s not in self.at]:
-            self.at.update(zip(new, range(len(self.ids), len(self.ids) + len(new)), strict=True))
-            for at in range(0, len(new), AT_ONCE):
-                part = new[at : at + AT_ONCE]
-                ours = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-                theirs = self.known.encode(part, num_threads=2)
-                self.same += [a == b for a, b in zip(ours, theirs, strict=True)]
-                self.back += self.tokenizer.decode_batch(theirs, skip_special_tokens=False)
-                self.ids += [np.array(x, np.uint32) for x in theirs]
-        return np.fromiter(map(self.at.__getitem__, strings), np.int64, len(strings))
+        self.pool = IdPool(self._both, REMEMBERED_STRINGS)
+        #: Strings whose ids differ between the libraries, and decoded strings that are not the string behind a space.
+        self.different: set[str] = set()
+        self.backs: dict[str, str] = {}
+
+    def _both(self, strings: list[str]) -> list[list[int]]:
+        """Ids of strings, each standing as at the start of a text, by both libraries."""
+        if len(self.different) + len(self.backs) > REMEMBERED_STRINGS:
+            raise ValueError("the rebuilt tokenizer does not match its model")
+        found = []
+        for at in range(0, len(strings), AT_ONCE):
+            part = strings[at : at + AT_ONCE]
+            ours = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            theirs = self.known.encode(part, num_threads=2)
+            self.different |= {s for s, a, b in zip(part, ours, theirs, strict=True) if a != b}
+            back = self.tokenizer.decode_batch(theirs, skip_special_tokens=False)
+            self.backs |= {s: b for s, b in zip(part, back, strict=True) if b != self._behind_space(s)}
+            found += theirs
+        return found
+
+    def _behind_space(self, string: str) -> str:
+        return f" {string}" if string and self.model.dummy_prefix else string
 
     def encode(self, texts: pa.Array) -> dict[str, np.ndarray | pa.Array]:
         """ids (one after the other), n_tokens, same (both libraries agree) and decoded of each text."""
@@ -166,21 +168,20 @@ class Codec:
         codes = codes[spread(offsets[:-1], counts)]
         words = values.to_pylist()
         entire = [texts[int(i)].as_py() for i in np.flatnonzero(whole)]
-        places = self._remember(words + entire)
+        strings = words + entire
+        places = self.pool.places(strings)
         ends = np.cumsum(counts)
-        order = np.insert(places[: len(words)][codes], (ends - counts)[whole], places[len(words) :])
+        # Numbers of the strings that make up the texts, in order.
+        order = np.insert(codes, (ends - counts)[whole], np.arange(len(words), len(strings)))
         counts = counts + whole
         offsets = np.concatenate([[0], np.cumsum(counts)])
-        distinct, inverse = np.unique(order, return_inverse=True)
-        pool = [self.ids[p] for p in distinct]
-        lengths = np.fromiter(map(len, pool), np.int64, len(pool))
-        flat = np.concatenate([*pool, np.zeros(0, np.uint32)])
-        ids = flat[spread((np.cumsum(lengths) - lengths)[inverse], lengths[inverse])]
-        same = sums(np.array([not self.same[p] for p in distinct], np.int64)[inverse], offsets) == 0
-        strings = pa.array([self.back[p] for p in distinct], pa.string()).take(pa.array(inverse))
-        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), strings), "")
+        lengths = self.pool.lengths[places][order]
+        ids = self.pool.pool[spread(self.pool.starts[places][order], lengths)]
+        odd = np.fromiter((s in self.different for s in strings), np.int64, len(strings))
+        backs = pa.array([self.backs.get(s, self._behind_space(s)) for s in strings], pa.string()).take(pa.array(order))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), backs), "")
         decoded = pc.if_else(pc.starts_with(joined, " "), pc.utf8_slice_codeunits(joined, 1), joined) if self.model.dummy_prefix else joined
-        return {"ids": ids, "n_tokens": sums(lengths[inverse], offsets), "same": same, "decoded": decoded}
+        return {"ids": ids, "n_tokens": sums(lengths, offsets), "same": sums(odd[order], offsets) == 0, "decoded": decoded}
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; the space that stands for the dummy prefix goes."""
@@ -197,7 +198,7 @@ def encoded(docs: DataFrame, model: str, columns: tuple[str, ...] = ("doc_id",))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model)
-        for part in slices(batches, "_text"):
+        for part in slices(batches, "_text", PART_BYTES):
             texts = filled(part.column("_text"))
             found = codec.encode(texts)
             offsets = np.concatenate([[0], np.cumsum(found["n_tokens"])])

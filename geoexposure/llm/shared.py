@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,10 +13,20 @@ from pyspark.sql import functions as F
 
 from geoexposure.sources.workspace import bounded, fresh_path, keep, shared_dir
 
-__all__ = ["Words", "bounded", "filled", "fresh_path", "id_and_text", "keep", "shared_dir", "slices", "sums"]
+__all__ = ["REMEMBERED_WORDS", "Words", "bounded", "filled", "fresh_path", "give_back", "id_and_text", "keep", "shared_dir", "slices", "sums"]
 
+#: Distinct words whose features a worker remembers.
+REMEMBERED_WORDS = 100_000
 #: Texts handled at once in a Python worker, in bytes.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+
+
+def give_back() -> None:
+    """Return freed memory to the system, as a worker that waits for its next task keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -32,6 +43,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             # Copied, as some of Arrow's functions on strings misread arrays that start within their buffers.
             yield batch.take(pa.array(np.arange(start, stop)))
             start = stop
+        give_back()
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:

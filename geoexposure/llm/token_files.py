@@ -39,6 +39,13 @@ def _opened(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder if ":" in folder.split("/")[0] else f"file://{os.path.abspath(folder)}")
 
 
+def _put(store: fs.FileSystem, made: str, name: str) -> None:
+    """Give a whole file its name. If an earlier run of the task has left one (some stores do not replace it), its content is the same."""
+    if store.get_file_info(name).type != fs.FileType.NotFound:
+        store.delete_file(name)
+    store.move(made, name)
+
+
 class SequenceWriter:
     """Writes ids to one data file, in whole batches as they fill up."""
 
@@ -118,7 +125,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
             sequences.close()
             entries.close()
         for kind in ("arrow", "index"):
-            store.move(f"{root}/.{name}.{own}.{kind}", f"{root}/{name}.{kind}")
+            _put(store, f"{root}/.{name}.{own}.{kind}", f"{root}/{name}.{kind}")
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "file": [name], "n_docs": pa.array([n_docs], pa.int64()), "n_tokens": pa.array([total], pa.int64())})
 
     ordered = id_and_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")

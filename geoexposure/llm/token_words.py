@@ -49,11 +49,11 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class IdPool:
     """Ids of remembered strings, one after the other in a growing array.
 
-    The first REMEMBERED strings stay (frequent ones come early); later ones are forgotten at the next call.
+    The first ``most`` strings stay (frequent ones come early); later ones are forgotten at the next call.
     """
 
-    def __init__(self, encode):
-        self.encode = encode
+    def __init__(self, encode, most: int = REMEMBERED):
+        self.encode, self.most = encode, most
         self.at: dict[str, int] = {}
         self.pool, self.used = np.empty(1 << 20, np.uint32), 0
         self.starts, self.lengths = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
@@ -66,7 +66,7 @@ class IdPool:
         new = [s for s in dict.fromkeys(strings) if s not in self.at]
         n = len(self.at)
         self.used = int(self.starts[n - 1] + self.lengths[n - 1]) if n else 0
-        self.passing = new[max(0, REMEMBERED - n) :]
+        self.passing = new[max(0, self.most - n) :]
         if new:
             ids = self.encode(new)
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))

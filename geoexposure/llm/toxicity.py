@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geoexposure.llm.features import SAMPLE, plain_word, sample
-from geoexposure.llm.shared import REMEMBERED_WORDS, Words, filled, id_and_text, keep, slices, sums
+from geoexposure.llm.shared import REMEMBERED_WORDS, Words, filled, give_back, id_and_text, keep, slices, sums
 from geoexposure.llm.token_words import spread
 
 TELLING_ROWS, TELLING_SHARE = 20, 0.9
@@ -130,7 +130,9 @@ def _fit(rows: pd.DataFrame) -> pd.DataFrame:
     common = (np.bincount(at, minlength=1 << TOXIC_BITS) >= LEARNED_ROWS)[at]
     at, values, offsets = at[common], values[common], np.concatenate([[0], np.cumsum(common)])[offsets]
     toxic = rows["label"].to_numpy()
+    rows = None
     weights, cuts = learn(at, values, offsets, grades(at, offsets, toxic))
+    give_back()
     full = np.flatnonzero(weights)
     return pd.DataFrame({"bin": np.append(full, [-1, -2]), "weight": np.append(weights[full], cuts)})
 
