@@ -212,6 +212,35 @@ def test_one_of_each(edge_docs, no_docs, spark):
     assert simhash.one_of_each(no_docs).count() == 0
 
 
+def test_one_of_each_finds_all_links(spark, monkeypatch):
+    rnd = np.random.default_rng(5)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    texts = []
+    # Copies with a passage appended, whose new words make their wide fingerprints differ.
+    for g in range(60):
+        words = rnd.choice(vocabulary, 200).tolist()
+        texts += [words, words + rnd.choice(vocabulary, 44).tolist()]
+    # Texts of the same words in other orders, which are alike in words only, and near copies of each by another order of its end.
+    base = rnd.choice(vocabulary, 120, replace=False).tolist()
+    for g in range(70):
+        words = rnd.permutation(base).tolist()
+        texts += [words, words[:-14] + words[:-15:-1]]
+    # Texts with a common passage that takes up a part of them just below and just above the limit.
+    head = rnd.choice(vocabulary, 150).tolist()
+    texts += [head + rnd.choice(vocabulary, 14 + g % 12).tolist() for g in range(80)]
+    rows = [(int(i), " ".join(t)) for i, t in zip(rnd.permutation(len(texts)), texts, strict=True)]
+    sets = {i: set(simhash.features(t, 5)) for i, t in rows}
+    near = [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = {i for i, c in components(near, sets).items() if i == c}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == want
+    # Also where the first candidates find nothing and large shingles are split into blocks.
+    monkeypatch.setattr(simhash, "CANDIDATE_BITS", -1)
+    monkeypatch.setattr(simhash, "PARTNERS", 1)
+    monkeypatch.setattr(simhash.split_roots, "__defaults__", (40,))
+    assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == want
+
+
 def test_quality(edge_docs, no_docs, labels, no_labels, spark, sf_dir):
     rows = quality.score(edge_docs, labels).collect()
     assert len(rows) == edge_docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
