@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,22 +80,33 @@ def prune_similar(cells: DataFrame, by: str = "tile", similar: float = 0.5) -> D
     return cells.groupBy(by).applyInPandas(walk, f"{by} {cells.schema[by].dataType.simpleString()}, rank int")
 
 
-def minimum_cover(cells: DataFrame, target: DataFrame, most: int = 3) -> DataFrame:
-    """(ids, covered, pct): the smallest set of up to ``most`` granules that covers the most of the target cells, then the lowest ids.
+def minimum_cover(cells: DataFrame, target: DataFrame, most: int | None = 3) -> DataFrame:
+    """(ids, covered, pct): the smallest set of up to ``most`` granules (None: of any number) that covers the most of the target cells, then the lowest ids.
 
-    ``cells``: granule, cell; few granules. Cells are counted by combination with a self-join on the cell, by inclusion and exclusion over pairs for sets of two.
+    ``cells``: granule, cell; few granules. Cells that the same granules hold count as one, so Spark counts cells by set of granules, and the
+    search over those counts on the driver goes through the sizes until one covers all that any can. Without a granule on the target there is no row.
     """
     own = cells.join(target, "cell", "left_semi").select("granule", "cell").distinct()
     total = target.select("cell").distinct().count()
-    sets = own.groupBy("granule").agg(F.collect_set("cell").alias("cells")).select(F.array("granule").alias("ids"), "cells")
-    best = sets
-    single = sets.select(F.col("ids")[0].alias("_g"), F.col("cells").alias("_c"))
-    grown = sets
-    for _ in range(most - 1):
-        grown = grown.join(single, F.col("_g") > F.element_at("ids", -1)).select(F.array_append("ids", F.col("_g")).alias("ids"), F.array_union("cells", "_c").alias("cells"))
-        best = best.unionByName(grown)
-    ranked = best.select("ids", F.size("cells").alias("covered"))
-    return ranked.orderBy(F.desc("covered"), F.size("ids"), "ids").limit(1).withColumn("pct", F.col("covered") * 100.0 / max(total, 1))
+    held = own.groupBy("cell").agg(F.sort_array(F.collect_set("granule")).alias("by")).groupBy("by").count().collect()
+    granules = sorted({g for row in held for g in row["by"]})
+    bit = {g: 1 << k for k, g in enumerate(granules)}
+    sets = [(sum(bit[g] for g in row["by"]), row["count"]) for row in held]
+    reach = sum(n for _, n in sets)
+    best = (0, ())
+    for size in range(1, min(len(granules), most or len(granules)) + 1):
+        for ids in itertools.combinations(granules, size):
+            chosen = sum(bit[g] for g in ids)
+            covered = sum(n for by, n in sets if by & chosen)
+            if covered > best[0]:
+                best = (covered, ids)
+                if covered == reach:
+                    break
+        if best[0] == reach:
+            break
+    kind = cells.schema["granule"].dataType.simpleString()
+    rows = [(list(best[1]), best[0])] if granules else []
+    return cells.sparkSession.createDataFrame(rows, f"ids array<{kind}>, covered int").withColumn("pct", F.col("covered") * 100.0 / max(total, 1))
 
 
 def scene_filter(scenes: DataFrame, overlap: float, most_cloud: float, assets: list[str]) -> DataFrame:

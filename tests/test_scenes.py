@@ -36,6 +36,17 @@ def test_minimum_cover(spark):
         assert tuple(row.ids) == best and row.covered == len(set().union(*(sets[g] for g in best)) & target)
 
 
+def test_minimum_cover_of_any_size(spark):
+    # Five strips cover the target; the sixth granule repeats half of two of them.
+    sets = {g: set(range(5 * g, 5 * g + 5)) for g in range(5)} | {5: {3, 4, 5, 6}}
+    cells = spark.createDataFrame([(g, c) for g, own in sets.items() for c in own], "granule int, cell int")
+    row = scenes.minimum_cover(cells, spark.createDataFrame([(c,) for c in range(25)], "cell int"), most=None).first()
+    assert (row.ids, row.covered, row.pct) == ([0, 1, 2, 3, 4], 25, 100.0)
+    # Where no set covers all, the smallest that covers the most is taken.
+    row = scenes.minimum_cover(cells, spark.createDataFrame([(c,) for c in range(50)], "cell int"), most=None).first()
+    assert (row.ids, row.covered, row.pct) == ([0, 1, 2, 3, 4], 25, 50.0)
+
+
 def test_squares_of_boxes_hold_their_points(spark):
     boxes = spark.createDataFrame([(0, 5.0, 50.0, 9.0, 53.0), (1, -3.0, -2.0, 1.0, 2.0), (2, 179.0, 60.0, 179.9, 61.0)], "id int, xmin double, ymin double, xmax double, ymax double")
     found = {(r.id, r.square) for r in J.mgrs_tiles_for_bbox(boxes).collect()}
