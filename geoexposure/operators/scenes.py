@@ -62,22 +62,27 @@ def greedy_cover(cells: DataFrame, by: str = "tile", most: int = 10) -> DataFram
 def prune_similar(cells: DataFrame, by: str = "tile", similar: float = 0.5) -> DataFrame:
     """(tile, rank) of scenes that are kept: one that shares more than ``similar`` of its union with the cover so far is left out, the first never.
 
-    Which scenes the cover holds depends on all before, so a tile's scenes are walked through in one task; its cells are a bounded grid.
+    Which scenes the cover holds depends on all before, so a tile's scenes are walked through in one task, one row with its cells after the other; the task
+    holds a batch of them and the cover, and a tile's cells are a bounded grid.
     """
 
-    def walk(key, rows):
+    def walk(batches):
         import pandas as pd
 
-        cover, kept = set(), []
-        for rank, own in rows.groupby("rank")["cell"]:
-            own = set(own)
-            if cover and len(own & cover) / len(own | cover) > similar:
-                continue
-            cover |= own
-            kept.append(int(rank))
-        return pd.DataFrame({by: [key[0]] * len(kept), "rank": kept})
-
-    return cells.groupBy(by).applyInPandas(walk, f"{by} {cells.schema[by].dataType.simpleString()}, rank int")
+        tile, cover = None, set()
+        for batch in batches:
+            kept = []
+            for key, rank, own in zip(batch[by], batch["rank"], batch["cells"], strict=True):
+                if tile is None or key != tile:
+                    tile, cover = key, set()
+                own = set(own)
+                if not cover or len(own & cover) / len(own | cover) <= similar:
+                    cover |= own
+                    kept.append((key, int(rank)))
+            yield pd.DataFrame(kept, columns=[by, "rank"])
+
+    rows = cells.groupBy(by, "rank").agg(F.collect_set("cell").alias("cells"))
+    return rows.repartition(by).sortWithinPartitions(by, "rank").mapInPandas(walk, f"{by} {cells.schema[by].dataType.simpleString()}, rank int")
 
 
 def minimum_cover(cells: DataFrame, target: DataFrame, most: int | None = 3) -> DataFrame:

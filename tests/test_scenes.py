@@ -25,6 +25,21 @@ def test_prune_similar(spark):
     assert {tuple(r) for r in scenes.prune_similar(df).collect()} == want
 
 
+def test_walks_take_all_scenes_of_a_tile(spark):
+    from geoexposure.plans import queries_scenes
+
+    # The first 25 scenes share one footprint, later ones add cells.
+    rows = [(k, 1, 0, 5) for k in range(25)] + [(25, 1, 1, 60)]
+    view = spark.createDataFrame(rows, "scene_id long, tile long, cloud int, coverage int")
+
+    class Own:
+        def sql(self, text):
+            return spark.sql(text, scenes=view)
+
+    for plan, want in ((queries_scenes.scn5_all, [1, 26]), (queries_scenes.scn6, [1, 26])):
+        assert sorted(r["rank"] for r in plan(Own()).collect()) == want
+
+
 def test_minimum_cover(spark):
     rnd = random.Random(2)
     for size in (6, 14):
