@@ -3,8 +3,8 @@
 The model file is parsed here: pieces with scores and types, and the normaliser's settings. From them the
 normaliser, the metaspace marker, the model (unigram scores, or merges for a BPE model) and byte
 fallback are rebuilt in the tokenizers library, which encodes in batches on several threads. Each distinct
-string that a worker encodes is held against the sentencepiece library; where they differ, the latter's ids are
-taken and the text is marked, so ids always are those of the model.
+string that a worker encodes is held against the sentencepiece library and against its own decoding. A string whose ids
+differ is marked and gets the ids of the model, so a difference never goes unseen or on.
 """
 
 from __future__ import annotations
@@ -23,11 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geoexposure.llm.shared import filled, slices, sums
-from geoexposure.llm.token_words import AT_ONCE, IdPool, chunked, spread
+from geoexposure.llm.token_words import AT_ONCE, IdPool, chunked, flattened, spread
 
 MARK = "▁"
-#: Distinct strings that a worker remembers, and bytes of text that it encodes at once: two workers share an executor with the JVM.
-REMEMBERED_STRINGS, PART_BYTES = 100_000, 1 << 20
+#: Threads that encode a batch: as many as an executor commonly has cores.
+THREADS = 2
+#: Marks of strings: the libraries' ids differ; the ids do not decode to the string.
+DIFFERENT, BENT = 1, 2
 # Piece types and model types of the file format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -123,65 +125,69 @@ def codec_of(path: str) -> Codec:
 
 
 class Codec:
-    """Encodes and decodes texts; remembers distinct strings up to a bound."""
+    """Encodes and decodes texts; remembers distinct strings up to a bound in bytes."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         import sentencepiece
 
         self.model = Model(path)
         self.tokenizer = tokenizer_of(self.model)
         self.known = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.pool = IdPool(self._both, REMEMBERED_STRINGS)
-        #: Strings whose ids differ between the libraries, and decoded strings that are not the string behind a space.
-        self.different: set[str] = set()
-        self.backs: dict[str, str] = {}
-
-    def _both(self, strings: list[str]) -> list[list[int]]:
-        """Ids of strings, each standing as at the start of a text, by both libraries."""
-        if len(self.different) + len(self.backs) > REMEMBERED_STRINGS:
-            raise ValueError("the rebuilt tokenizer does not match its model")
-        found = []
+        self.pool = IdPool(self._both)
+        #: The bytes that each id stands for.
+        self.bytes = pa.array([bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces], pa.binary())
+
+    def _both(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of strings, each standing as at the start of a text, their numbers, and marks."""
+        found, marks = [], np.zeros(len(strings), np.uint8)
         for at in range(0, len(strings), AT_ONCE):
             part = strings[at : at + AT_ONCE]
             ours = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            theirs = self.known.encode(part, num_threads=2)
-            self.different |= {s for s, a, b in zip(part, ours, theirs, strict=True) if a != b}
-            back = self.tokenizer.decode_batch(theirs, skip_special_tokens=False)
-            self.backs |= {s: b for s, b in zip(part, back, strict=True) if b != self._behind_space(s)}
-            found += theirs
-        return found
-
-    def _behind_space(self, string: str) -> str:
-        return f" {string}" if string and self.model.dummy_prefix else string
+            theirs = self.known.encode(part, num_threads=1)
+            if ours != theirs:
+                marks[at : at + len(part)] = [DIFFERENT * (a != b) for a, b in zip(ours, theirs, strict=True)]
+            found += theirs if ours != theirs else ours
+        flat, lengths = flattened(found)
+        kept = pa.array(strings, pa.string()).cast(pa.binary())
+        if self.model.dummy_prefix:
+            kept = pc.if_else(pc.equal(kept, b""), kept, pc.binary_join_element_wise(pa.scalar(b" "), kept, pa.scalar(b"")))
+        marks |= BENT * pc.not_equal(self._joined(flat, lengths), kept).to_numpy(zero_copy_only=False).astype(np.uint8)
+        return flat, lengths, marks
+
+    def _joined(self, flat: np.ndarray, lengths: np.ndarray) -> pa.Array:
+        """The bytes of lists of ids."""
+        offsets = np.concatenate([[0], np.cumsum(lengths)])
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), self.bytes.take(pa.array(flat))), b"")
 
     def encode(self, texts: pa.Array) -> dict[str, np.ndarray | pa.Array]:
         """ids (one after the other), n_tokens, same (both libraries agree) and decoded of each text."""
         if self.model.by_words:
             # The marker itself in a text stands for a space, so such texts stay whole.
-            codes, values, offsets, whole = chunked(texts, (MARK,))
+            codes, words, offsets, whole = chunked(texts, (MARK,))
             # An empty chunk at the start or end is a space at the edge: it takes part like a word, but for an empty text.
             whole |= pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " ")).to_numpy(zero_copy_only=False)
         else:
-            codes, values, offsets, whole = np.zeros(0, np.int64), pa.array([], pa.string()), np.zeros(len(texts) + 1, np.int64), np.ones(len(texts), bool)
+            codes, words, offsets, whole = np.zeros(0, np.int64), pa.array([], pa.string()), np.zeros(len(texts) + 1, np.int64), np.ones(len(texts), bool)
         counts = np.where(whole, 0, np.diff(offsets))
-        codes = codes[spread(offsets[:-1], counts)]
-        words = values.to_pylist()
-        entire = [texts[int(i)].as_py() for i in np.flatnonzero(whole)]
-        strings = words + entire
-        places = self.pool.places(strings)
-        ends = np.cumsum(counts)
+        codes = codes[spread(offsets[:-1], counts)] if whole.any() else codes
         # Numbers of the strings that make up the texts, in order.
-        order = np.insert(codes, (ends - counts)[whole], np.arange(len(words), len(strings)))
+        order = self.pool.places(pa.concat_arrays([words, texts.filter(pa.array(whole))]))
+        ends = np.cumsum(counts)
+        order = np.insert(order[codes], (ends - counts)[whole], order[len(words) :])
         counts = counts + whole
         offsets = np.concatenate([[0], np.cumsum(counts)])
-        lengths = self.pool.lengths[places][order]
-        ids = self.pool.pool[spread(self.pool.starts[places][order], lengths)]
-        odd = np.fromiter((s in self.different for s in strings), np.int64, len(strings))
-        backs = pa.array([self.backs.get(s, self._behind_space(s)) for s in strings], pa.string()).take(pa.array(order))
-        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), backs), "")
-        decoded = pc.if_else(pc.starts_with(joined, " "), pc.utf8_slice_codeunits(joined, 1), joined) if self.model.dummy_prefix else joined
-        return {"ids": ids, "n_tokens": sums(lengths, offsets), "same": sums(odd[order], offsets) == 0, "decoded": decoded}
+        lengths = self.pool.lengths[order]
+        ids = self.pool.pool[spread(self.pool.starts[order], lengths)]
+        n_tokens, marks = sums(lengths, offsets), self.pool.marks[order]
+        back = sums(marks & BENT, offsets) == 0
+        starts = np.cumsum(n_tokens) - n_tokens
+        decoded = texts
+        if not back.all():
+            bent = [self.decode(ids[starts[i] : starts[i] + n_tokens[i]].tolist()) for i in np.flatnonzero(~back)]
+            decoded = pc.replace_with_mask(texts, pa.array(~back), pa.array(bent, texts.type))
+        return {"ids": ids, "n_tokens": n_tokens, "same": sums(marks & DIFFERENT, offsets) == 0, "decoded": decoded}
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; the space that stands for the dummy prefix goes."""
@@ -192,13 +198,14 @@ class Codec:
 def encoded(docs: DataFrame, model: str, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Per row: ``columns``, ids, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers), round_trip (decoding gives the text) and same_ids.
 
-    A null text counts as empty (no ids). Rows are handled on their own, without a shuffle, so repeats, null
-    ids and other columns change nothing; an empty table gives an empty table. What a worker remembers is bounded.
+    A null text counts as empty (no ids). Rows are handled on their own, without a shuffle, so repeats, ties, null
+    ids and other columns (clashing names too) change nothing; an empty table gives an empty table. What a worker remembers is bounded in bytes, so very
+    long texts are encoded whole and then forgotten.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model)
-        for part in slices(batches, "_text", PART_BYTES):
+        for part in slices(batches, "_text"):
             texts = filled(part.column("_text"))
             found = codec.encode(texts)
             offsets = np.concatenate([[0], np.cumsum(found["n_tokens"])])

@@ -18,7 +18,7 @@ __all__ = ["REMEMBERED_WORDS", "Words", "bounded", "filled", "fresh_path", "give
 #: Distinct words whose features a worker remembers.
 REMEMBERED_WORDS = 100_000
 #: Texts handled at once in a Python worker, in bytes.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 
 
 def give_back() -> None:
@@ -43,7 +43,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             # Copied, as some of Arrow's functions on strings misread arrays that start within their buffers.
             yield batch.take(pa.array(np.arange(start, stop)))
             start = stop
-        give_back()
+    give_back()
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:

@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct chunks that a worker remembers.
-REMEMBERED = 500_000
+#: Bytes of the distinct chunks that a worker remembers, and, where their number counts, how many.
+REMEMBERED_BYTES, REMEMBERED = 8 << 20, 500_000
 #: Strings that the library encodes in one call: its encodings are large while they live.
 AT_ONCE = 2_000
 _SPACES = r"\t\n\v\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -49,38 +49,40 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class IdPool:
     """Ids of remembered strings, one after the other in a growing array.
 
-    The first ``most`` strings stay (frequent ones come early); later ones are forgotten at the next call.
+    Strings stay in the order in which they come (frequent ones come early) up to ``most`` bytes of text; later ones are forgotten at the next call.
+    ``encode`` gives for a list of strings their ids one after the other, the number of ids of each, and a mark of each.
     """
 
-    def __init__(self, encode, most: int = REMEMBERED):
+    def __init__(self, encode, most: int = REMEMBERED_BYTES):
         self.encode, self.most = encode, most
-        self.at: dict[str, int] = {}
-        self.pool, self.used = np.empty(1 << 20, np.uint32), 0
-        self.starts, self.lengths = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
-        self.passing: list[str] = []
-
-    def places(self, strings: list[str]) -> np.ndarray:
-        """The numbers under which the strings are found until the next call."""
-        for s in self.passing:
-            del self.at[s]
-        new = [s for s in dict.fromkeys(strings) if s not in self.at]
-        n = len(self.at)
-        self.used = int(self.starts[n - 1] + self.lengths[n - 1]) if n else 0
-        self.passing = new[max(0, self.most - n) :]
-        if new:
-            ids = self.encode(new)
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths.sum()))
-            total = self.used + len(flat)
-            while total > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
-            while n + len(new) > len(self.starts):
-                self.starts, self.lengths = (np.concatenate([a, np.empty_like(a)]) for a in (self.starts, self.lengths))
-            self.pool[self.used : total] = flat
-            self.starts[n : n + len(new)] = self.used + np.cumsum(lengths) - lengths
-            self.lengths[n : n + len(new)] = lengths
-            self.at.update(zip(new, range(n, n + len(new)), strict=True))
-        return np.fromiter(map(self.at.__getitem__, strings), np.int64, len(strings))
+        self.known = pa.array([], pa.string())
+        self.pool, self.lengths, self.marks = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.uint8)
+        self.starts = self.lengths
+
+    def places(self, strings: pa.Array) -> np.ndarray:
+        """The numbers under which the strings (repeats are allowed) are found until the next call."""
+        n = len(self.known)
+        used = int(self.lengths[:n].sum())
+        self.pool, self.lengths, self.marks = self.pool[:used], self.lengths[:n], self.marks[:n]
+        found = pc.index_in(strings, value_set=self.known)
+        missing = found.is_null()
+        places = found.fill_null(0).to_numpy().astype(np.int64)
+        if found.null_count:
+            unknown = strings.filter(missing)
+            new = unknown.unique()
+            flat, lengths, marks = self.encode(new.to_pylist())
+            self.pool, self.lengths, self.marks = np.concatenate([self.pool, flat]), np.concatenate([self.lengths, lengths]), np.concatenate([self.marks, marks])
+            places[missing.to_numpy(zero_copy_only=False)] = n + pc.index_in(unknown, value_set=new).to_numpy()
+            ends = np.cumsum(pc.binary_length(new).to_numpy().astype(np.int64)) + self.known.nbytes
+            self.known = pa.concat_arrays([self.known, new[: int(np.searchsorted(ends, self.most))]])
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        return places
+
+
+def flattened(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(all ids one after the other, number of ids of each list)."""
+    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths
 
 
 @functools.lru_cache(maxsize=2)
@@ -102,24 +104,23 @@ class TextEncoder:
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.pool = IdPool(self._encode)
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         found = []
         for at in range(0, len(texts), AT_ONCE):
             found += [e.ids for e in self.tokenizer.encode_batch_fast(texts[at : at + AT_ONCE], add_special_tokens=False)]
-        return found
+        return *flattened(found), np.zeros(len(texts), np.uint8)
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each text)."""
-        codes, values, offsets, whole = chunked(texts, self.special)
-        words = values.to_pylist()
+        codes, words, offsets, whole = chunked(texts, self.special)
         firsts = offsets[:-1][~whole]
-        strings = [" " + w for w in words] + [words[c] for c in codes[firsts]] + [texts[int(i)].as_py() for i in np.flatnonzero(whole)]
-        places = self.pool.places(strings)
-        # One place for each chunk, in order; a whole text is a single chunk.
+        inner = pc.binary_join_element_wise(pa.scalar(" "), words, "")
+        # One place for each chunk, in order; a whole text is a single chunk. First chunks have no space before them.
+        places = self.pool.places(pa.concat_arrays([inner, words.take(pa.array(codes[firsts])), texts.filter(pa.array(whole))]))
         of_chunk = places[: len(words)][codes]
         of_chunk[firsts] = places[len(words) : len(words) + len(firsts)]
         counts = np.diff(offsets)
-        order = np.insert(of_chunk, offsets[:-1][whole], places[len(words) + len(firsts) :])
+        order = np.insert(of_chunk, offsets[:-1][whole], places[len(words) + len(firsts) :]) if whole.any() else of_chunk
         counts = counts + whole
         lengths = self.pool.lengths[order]
         ids = self.pool.pool[spread(self.pool.starts[order], lengths)]

@@ -55,7 +55,9 @@ def test_pii_spans():
     texts += ["a@b.c@d.e", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111 2", "0001.2.3.4", "+1 (017) 555-7713", "9" * 50000, "1." * 30000, "a" * 50000 + "@"]
     for t in texts[:-3] + ["x" + t for t in texts[:50]]:
         assert [(s.start, s.kind, s.end) for s in pii.find(t) if s.kind < 4] == brute_spans(t)
-    assert [pii.find(t) for t in texts[-3:]] == [[], [], []] or pii.find(texts[-2])
+    # The three longest, whose answer is plain; the expressions of the brute force backtrack on them.
+    nines, dots, sign = ([(s.start, s.kind, s.end) for s in pii.find(t) if s.kind < 4] for t in texts[-3:])
+    assert nines == [] and sign == [] and dots == [(8 * i, 1, 8 * i + 7) for i in range(7500)]
 
 
 def test_pii_added_kinds():
@@ -147,6 +149,15 @@ def test_codec_matches_sentencepiece(codec, texts):
     assert [codec.decode(w) for w in want] == [codec.known.decode(w) for w in want]
 
 
+def test_codec_forgets_texts_with_the_marker(codec):
+    """Texts that hold the marker decode to others; 180,000 distinct ones are no failure and leave nothing behind."""
+    for k in range(3):
+        texts = pa.array([f"a▁{i} b" for i in range(60_000 * k, 60_000 * (k + 1))])
+        found = codec.encode(texts)
+        assert found["same"].all() and found["decoded"].to_pylist()[:2] == [f"a {60_000 * k + i} b" for i in (0, 1)]
+        assert codec.pool.known.nbytes <= 2 * codec.pool.most and len(codec.pool.pool) < 10_000_000
+
+
 def test_codec_of_a_unigram_model(tmp_path):
     """A small unigram file written here field by field is rebuilt like the library reads it."""
     import struct
