@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import re
+import ast
+import operator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,10 +65,31 @@ def extent_by_code(boxes: DataFrame, by: str | None = "iso3") -> DataFrame:
     return boxes.groupBy(by).agg(*agg) if by else boxes.agg(*agg)
 
 
+#: What a formula may hold besides names, numbers and functions; a division by zero gives null.
+_OPERATIONS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: F.try_divide, ast.Pow: F.pow}
+
+
+def formula(expression: str, names: dict[str, str] | None = None) -> Column:
+    """The column of a formula of names, numbers, + - * / **, and functions; ``names`` says which columns stand for them. Dividing by zero gives null."""
+
+    def column(node: ast.AST) -> Column:
+        match node:
+            case ast.BinOp(left, op, right) if type(op) in _OPERATIONS:
+                return _OPERATIONS[type(op)](column(left), column(right))
+            case ast.UnaryOp(ast.USub(), value):
+                return -column(value)
+            case ast.Name(name):
+                return F.col(f"`{(names or {}).get(name, name)}`")
+            case ast.Constant(int() | float() as value):
+                return F.lit(value)
+            case ast.Call(ast.Name(name), args, []):
+                return F.call_function(name, *map(column, args))
+        raise ValueError(f"a formula can't hold {ast.unparse(node)!r}")
+
+    return column(ast.parse(expression.strip(), mode="eval").body)
+
+
 def derive(df: DataFrame, name: str, expression: str, suffix: str = "") -> DataFrame:
-    """Add a variable by its formula; with a suffix the formula's names get it as whole names (never parts of them)."""
-    if suffix:
-        names = sorted({c.removesuffix(suffix) for c in df.columns if c.endswith(suffix)}, key=len, reverse=True)
-        for n in names:
-            expression = re.sub(rf"(?<![\w.]){re.escape(n)}(?!\w)", f"`{n}{suffix}`", expression)
-    return df.withColumn(f"{name}{suffix}", F.expr(expression))
+    """Add a variable by its formula; with a suffix the formula's names get it as whole names (never parts of them). A division by zero gives null."""
+    names = {c.removesuffix(suffix): c for c in df.columns if c.endswith(suffix)} if suffix else {}
+    return df.withColumn(f"{name}{suffix}", formula(expression, names))

@@ -146,7 +146,7 @@ def prj22(t: Tables):
 
 
 @query("prj23_derive", """
-SELECT iso, (c+e)/a*100 AS dependency, (ca+ea)/aa*100 AS dependency_affected FROM (
+SELECT iso, (c+e)/nullif(a, 0)*100 AS dependency, (ca+ea)/nullif(aa, 0)*100 AS dependency_affected FROM (
   SELECT iso, CAST(sum(CASE WHEN age < 15 THEN 1 ELSE 0 END) AS DOUBLE) AS c, CAST(sum(CASE WHEN age BETWEEN 15 AND 64 THEN 1 ELSE 0 END) AS DOUBLE) AS a, CAST(sum(CASE WHEN age > 64 THEN 1 ELSE 0 END) AS DOUBLE) AS e,
     CAST(sum(CASE WHEN age < 15 THEN sex ELSE 0 END) AS DOUBLE) AS ca, CAST(sum(CASE WHEN age BETWEEN 15 AND 64 THEN sex ELSE 0 END) AS DOUBLE) AS aa, CAST(sum(CASE WHEN age > 64 THEN sex ELSE 0 END) AS DOUBLE) AS ea FROM feats GROUP BY iso) q""")
 def prj23(t: Tables):

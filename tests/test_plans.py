@@ -2,6 +2,7 @@
 
 import pytest
 
+from geoexposure.operators.stats import derive, formula
 from geoexposure.plans import assess
 from geoexposure.plans.catalog import CATALOG, Variable, in_order
 from geoexposure.sources import readers
@@ -28,3 +29,23 @@ def test_window_and_box_reach_the_scan(spark, tmp_path):
     found = readers.bbox_filter(spark.read.parquet(str(tmp_path / "b")), 10, 5, 12, 7, subtype="a")
     assert found.count() == 4
     assert "PushedFilters" in found._jdf.queryExecution().toString() and "LessThan(bbox.xmin,12.0)" in found._jdf.queryExecution().toString()
+
+
+def test_formulas_of_an_empty_zone_are_null(spark):
+    """A zone without affected cells, and one without any people, have null ratios and end no job."""
+    names = [v.source for v in CATALOG["population"] if not v.formula]
+    cells = spark.createDataFrame([(0, 0, True, *[1.0] * 6), (0, 1, False, *[2.0] * 6), (0, 2, True, *[0.0] * 6)], ", ".join(["row int", "col int", "affected boolean", *[f"{n} double" for n in names]]))
+    weights = spark.createDataFrame([(1, 0, 0, 1.0), (2, 0, 1, 1.0), (3, 0, 2, 1.0)], "zone_id long, row int, col int, w double")
+    zones = spark.createDataFrame([(1,), (2,), (3,), (4,)], "zone_id long")
+    got = {r.zone_id: r for r in assess.assess_raster("population", zones, weights, cells, True).collect()}
+    assert (got[1].dependency, got[1].dependency_affected, got[1].total) == (200.0, 200.0, 6.0)
+    assert (got[2].dependency, got[2].dependency_affected, got[2].total_affected) == (200.0, None, 0.0)
+    assert got[3].dependency is None and got[4].total is None
+
+
+def test_formulas(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 3.0, 5.0)], "a double, ab double, a_x double, ab_x double")
+    r = derive(derive(df, "c", "-a + ab ** 2 * 3"), "c", "-a + ab ** 2 * 3", "_x").select("c", "c_x", formula("greatest(a, ab) / 4").alias("g"), formula("a / (ab - 2)").alias("n")).first()
+    assert tuple(r) == (11.0, 72.0, 0.5, None)
+    with pytest.raises(ValueError):
+        formula("a if ab else 1")
