@@ -164,13 +164,13 @@ def runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
         yield int(bounds[k]), int(bounds[k + 1])
 
 
-def by_root(rows: DataFrame, columns: list[str], handle: Callable[[np.ndarray, np.ndarray], list], schema: str) -> DataFrame:
-    """Apply ``handle`` (keys, values) to the rows under each root, in the order of ``_rank``; roots do not cross tasks.
+def by_root(rows: DataFrame, columns: list[str], handle: Callable[[np.ndarray, np.ndarray], list], schema: str, roots: tuple[str, ...] = ("_mask", "_pattern", "_i", "_j"), order: str = "_rank") -> DataFrame:
+    """Apply ``handle`` (keys, values) to the rows under each root, in the order of ``order``; roots do not cross tasks.
 
     Rows come in batches; only the root that a batch ends in waits for the next one. ``handle`` gets whole roots,
     several at once, and returns arrays for the columns of ``schema``.
     """
-    roots = ["_mask", "_pattern", "_i", "_j"]
+    roots = list(roots)
 
     def per_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting = None
@@ -189,7 +189,7 @@ def by_root(rows: DataFrame, columns: list[str], handle: Callable[[np.ndarray, n
                 yield pd.DataFrame(dict(zip(names, handle(keys[:cut], both[columns].iloc[:cut].to_numpy()), strict=True)))
             waiting = both.iloc[cut:] if batch is not None else None
 
-    placed = rows.repartition(*roots).sortWithinPartitions(*roots, "_rank")
+    placed = rows.repartition(*roots).sortWithinPartitions(*roots, order)
     return placed.select(*roots, *columns).mapInPandas(per_task, schema)
 
 
@@ -256,221 +256,3 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame
     named = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     fingerprint = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return rows.join(keep(named, "simhash-named"), "fp").select("doc_id", fingerprint, "component_id")
-
-
-#: The similarity stage: 64-bit words of its fingerprints, masks and bits of a mask, differing bits of a candidate, partners that a row proposes: the closest, and those with the smallest ids.
-WORDS, MASKS, MASK_BITS, CANDIDATE_BITS, PARTNERS, LEADERS = 4, 32, 20, 48, 6, 4
-#: The exact pass over shingles: rows under one shingle that all propose each other, 64-bit words of a bitmap of shingles.
-FEW, BITMAP = 32, 8
-_SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
-
-
-def word_fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, w0 to w3): fingerprints of 256 bits of the texts' distinct words, for finding candidates."""
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, limit=1 << 20):
-            digests, ends = [], []
-            for text in filled(part.column("text")).to_pylist():
-                digests += map(xxhash.xxh64_digest, set(features(text, 1)), itertools.repeat(SEED))
-                ends.append(len(digests))
-            base = np.frombuffer(b"".join(digests), ">u8").astype(np.uint64)
-            wide = np.stack([(x := base * np.uint64(m)) ^ (x >> np.uint64(31)) for m in _SPREAD], 1).astype(">u8").view(np.uint8).reshape(-1, 8 * WORDS)
-            fps = majority(wide, np.array(ends)).view(">i8").astype(np.int64)
-            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id")} | {f"w{k}": pa.array(fps[:, k]) for k in range(WORDS)})
-
-    return id_and_text(docs).mapInArrow(hashed, "doc_id long, " + ", ".join(f"w{k} long" for k in range(WORDS)))
-
-
-def sampled_masks() -> list[list[int]]:
-    """MASKS masks of MASK_BITS fixed pseudo-random bits of a wide fingerprint, as signed longs."""
-    draws = np.random.default_rng(SEED)
-    out = []
-    for _ in range(MASKS):
-        words = [0] * WORDS
-        for bit in draws.choice(64 * WORDS, MASK_BITS, replace=False).tolist():
-            words[bit // 64] |= 1 << (bit % 64)
-        out.append([w - (1 << 64) if w >> 63 else w for w in words])
-    return out
-
-
-def candidates(fps: DataFrame, partners: int = PARTNERS) -> DataFrame:
-    """(a, b) pairs of ids, a < b, of different groups, whose wide fingerprints are close and share a masked pattern. ``fps``: doc_id, grp, w0 to w3.
-
-    Each row proposes the ``partners`` closest rows that it meets, and of those that are close the LEADERS with the smallest ids, which
-    the members of a large group have in common. So a group gives pairs in proportion to its members.
-    """
-    wide = [f"w{k}" for k in range(WORDS)]
-    patterns = F.posexplode(F.array(*[F.xxhash64(*[F.col(w).bitwiseAND(F.lit(m)) for w, m in zip(wide, mask, strict=True)]) for mask in sampled_masks()]))
-    rows = fps.select("doc_id", "grp", *wide, patterns.alias("_mask", "_pattern"))
-    rows = split_roots(rows, F.col("doc_id")).withColumn("_rank", gray_rank(F.col("w0")))
-
-    def handle(keys: np.ndarray, values: np.ndarray) -> list:
-        values = values.astype(np.int64)
-        ids, groups, words = values[:, 0], values[:, 1], np.ascontiguousarray(values[:, 2:]).view(np.uint64)
-        parts = [np.zeros((0, 3), np.int64)]
-        for start, end in runs(keys):
-            own, n = words[start:end], end - start
-            step = max(1, PAIRS // (n * WORDS))
-            for at in range(0, n, step):
-                far = differences(own[at : at + step, None], own[None])
-                far[groups[start + at : start + at + len(far), None] == groups[None, start:end]] = 1 << 20
-                near = np.argpartition(far, partners - 1, axis=1)[:, :partners] if n > partners else np.tile(np.arange(n), (len(far), 1))
-                gap = np.take_along_axis(far, near, 1)
-                i, j = np.nonzero(gap <= CANDIDATE_BITS)
-                parts.append(np.stack([ids[start + at + i], ids[start + near[i, j]], gap[i, j]], 1))
-                first = np.where(far <= CANDIDATE_BITS, ids[start:end], np.iinfo(np.int64).max).argmin(1)
-                gap = far[np.arange(len(far)), first]
-                i = np.flatnonzero(gap <= CANDIDATE_BITS)
-                parts.append(np.stack([ids[start + at + i], ids[start + first[i]], gap[i]], 1))
-        found = np.concatenate(parts)
-        return [found[:, 0], found[:, 1], found[:, 2]]
-
-    found = by_root(rows, ["doc_id", "grp", *wide], handle, "a long, b long, gap long").distinct()
-    closest, lowest = (Window.partitionBy("a").orderBy(*o) for o in (("gap", "b"), ("b",)))
-    found = found.select("*", F.row_number().over(closest).alias("_n"), F.row_number().over(lowest).alias("_m"))
-    found = found.where((F.col("_n") <= partners) | (F.col("_m") <= LEADERS))
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-
-
-def rare_shingles(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(doc_id, size, token): of each document the rarest of its distinct shingles, as many as it must share one of with any document that is similar.
-
-    Documents that reach ``similarity`` share at least that part of either's ``size`` shingles. So, in any one order of all shingles, the first of each
-    that are one more than the rest of the set hold a common one. Here shingles go by the number of documents that have them. Those of one document
-    come first and meet nothing, so they only use up places, and a document without enough shared shingles has no rows.
-    """
-
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, limit=1 << 20):
-            digests, sizes = [], []
-            for text in filled(part.column("text")).to_pylist():
-                own = set(features(text, words))
-                digests += map(xxhash.xxh64_digest, own, itertools.repeat(SEED))
-                sizes.append(len(own))
-            tokens = np.frombuffer(b"".join(digests), ">i8").astype(np.int64)
-            ids = np.repeat(part.column("doc_id").to_numpy(zero_copy_only=False), sizes)
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids), "size": pa.array(np.repeat(sizes, sizes).astype(np.int64)), "token": pa.array(tokens)})
-
-    rows = id_and_text(docs).mapInArrow(shingled, "doc_id long, size long, token long")
-    one = F.count(F.lit(1))
-    shared = rows.withColumn("_df", one.over(Window.partitionBy("token"))).where("_df > 1")
-    own = Window.partitionBy("doc_id")
-    placed = shared.select("*", one.over(own).alias("_shared"), F.row_number().over(own.orderBy("_df", "token")).alias("_n"))
-    rarest = placed.where(F.col("_n") <= 1 + F.col("_shared") - F.ceil(F.col("size") * similarity - 1e-9)).select("doc_id", "size", "token")
-    return rarest.withColumn("_met", one.over(Window.partitionBy("token"))).where("_met > 1").drop("_met")
-
-
-def meeting(rare: DataFrame, sets: DataFrame, labels: DataFrame, similarity: float, partners: int) -> DataFrame:
-    """(a, b, cut): pairs of different groups that share a rare shingle and that neither sizes nor bitmaps of shingles rule out.
-
-    Every two rows under a shingle are held against each other. Under one with more than FEW rows, a row proposes at most its ``partners``
-    closest and the one with the smallest id; ``cut`` says that it left out others. A pair is missing only if both rows left it out.
-    """
-    words = [f"b{k}" for k in range(BITMAP)]
-    rows = rare.join(sets.select("doc_id", *words), "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    rows = rows.select("doc_id", F.coalesce("component", "doc_id").alias("grp"), "size", *words, F.lit(0).alias("_mask"), F.col("token").alias("_pattern"))
-    rows = split_roots(rows, F.col("doc_id")).withColumn("_rank", F.col("size"))
-
-    def handle(keys: np.ndarray, values: np.ndarray) -> list:
-        values = values.astype(np.int64)
-        ids, groups, sizes, bits = values[:, 0], values[:, 1], values[:, 2], np.ascontiguousarray(values[:, 3:]).view(np.uint64)
-
-        def gaps(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            """Differing bits of the bitmaps, as many as differing shingles at most; a large number where the pair is ruled out."""
-            out = differences(bits[i], bits[j])
-            a, b = sizes[i], sizes[j]
-            ok = (groups[i] != groups[j]) & (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9) & (out <= (1 - similarity) / (1 + similarity) * (a + b) + 1e-9)
-            return np.where(ok, out, 1 << 20)
-
-        bounds = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]])
-        starts, lengths = bounds[:-1], np.diff(bounds)
-        apart = np.minimum.reduceat(groups, starts) != np.maximum.reduceat(groups, starts)
-        last = np.repeat(bounds[1:], lengths)
-        i = np.flatnonzero(np.repeat(apart & (lengths <= FEW), lengths))
-        parts = [np.zeros((0, 3), np.int64)]
-        for d in range(1, FEW):
-            i = i[i + d < last[i]]
-            for at in range(0, len(i), PAIRS // BITMAP):
-                x = i[at : at + PAIRS // BITMAP]
-                x = x[gaps(x, x + d) < 1 << 20]
-                parts.append(np.stack([ids[x], ids[x + d], np.zeros_like(x)], 1))
-        for k in np.flatnonzero(apart & (lengths > FEW)):
-            own = np.arange(bounds[k], bounds[k + 1])
-            step = max(1, PAIRS // (len(own) * BITMAP))
-            for at in range(0, len(own), step):
-                some = own[at : at + step]
-                far = gaps(some[:, None], own[None])
-                open_ = (far < 1 << 20).sum(1)
-                cut = open_ > partners + 1
-                taken = far < 1 << 20
-                for r in np.flatnonzero(cut):
-                    taken[r] = False
-                    taken[r, np.argpartition(far[r], partners - 1)[:partners]] = True
-                    taken[r, np.where(far[r] < 1 << 20, ids[own], np.iinfo(np.int64).max).argmin()] = True
-                x, y = np.nonzero(taken)
-                parts.append(np.stack([ids[some[x]], ids[own[y]], cut[x]], 1))
-        found = np.concatenate(parts)
-        return [np.minimum(found[:, 0], found[:, 1]), np.maximum(found[:, 0], found[:, 1]), found[:, 2] > 0]
-
-    return by_root(rows, ["doc_id", "grp", "size", *words], handle, "a long, b long, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut"))
-
-
-def shingle_sets(docs: DataFrame, named: DataFrame, words: int) -> DataFrame:
-    """(doc_id, shingles, b0 to b7): the sorted hashes of the distinct shingles of the documents that ``named`` (doc_id) holds, and a bitmap of which of 512 classes of hashes have odd numbers."""
-
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            sets = [np.unique(np.array([xxhash.xxh32_intdigest(f) for f in features(t, words)], np.uint32)) for t in filled(part.column("text")).to_pylist()]
-            odd = np.stack([np.bincount(s % (64 * BITMAP), minlength=64 * BITMAP) & 1 for s in sets]).astype(np.uint8)
-            bits = np.packbits(odd, axis=1).view(np.int64)
-            columns = {"doc_id": part.column("doc_id"), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())}
-            yield pa.RecordBatch.from_pydict(columns | {f"b{k}": pa.array(bits[:, k]) for k in range(BITMAP)})
-
-    schema = "doc_id long, shingles binary, " + ", ".join(f"b{k} long" for k in range(BITMAP))
-    return id_and_text(docs).join(bounded(named), "doc_id", "left_semi").mapInArrow(shingled, schema)
-
-
-def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose sets of shingles have a Jaccard similarity of ``similarity`` or more."""
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    met = pairs.join(sets.selectExpr("doc_id AS a", "shingles AS sa"), "a").join(sets.selectExpr("doc_id AS b", "shingles AS sb"), "b")
-    return met.select("a", "b", "sa", "sb").mapInArrow(compared, "a long, b long")
-
-
-def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` without near copies: of documents that links connect, the one with the smallest id stays.
-
-    Documents link if their sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more. A 64-bit
-    fingerprint of shingles differs in up to a quarter of its bits at 0.8, too many for any index, so first candidates come
-    from wide fingerprints of distinct words (few bits differ there) under sampled masks, and each candidate is held against
-    the exact similarity. What they leave apart then meets under rare shingles, which no similar pair can miss, until no row
-    has left out a pair. Texts without words and rows without id stay as they are. Rows that repeat an id are one document.
-    """
-    usable = docs.where(F.col("doc_id").isNotNull() & F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select(F.col("doc_id").cast("long"), "text")
-    fps = keep(word_fingerprints(usable), "similar-rows")
-    pairs = keep(candidates(fps.withColumn("grp", F.col("doc_id"))), "similar-candidates")
-    rare = keep(rare_shingles(usable, words, similarity), "similar-rare")
-    named = keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(rare.select("doc_id")).distinct(), "similar-named")
-    sets = keep(shingle_sets(usable, named, words), "similar-sets")
-    links, tried, partners, more = keep(similar_pairs(pairs, sets, similarity), "similar-links"), pairs, PARTNERS, True
-    labels = keep(connected_components(links, "a", "b"), "similar-labels")
-    while more:
-        met = keep(meeting(rare, sets, labels, similarity, partners), "similar-met")
-        pairs = keep(met.select("a", "b").join(tried, ["a", "b"], "left_anti"), "similar-candidates")
-        new = keep(similar_pairs(pairs, sets, similarity), "similar-links")
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            labels = keep(connected_components(links, "a", "b"), "similar-labels")
-        tried, partners, more = tried.unionByName(pairs), 4 * partners, not met.where("cut").isEmpty()
-    gone = keep(labels.where("node <> component").select(F.col("node").alias("doc_id")), "similar-gone")
-    return docs.join(bounded(gone), "doc_id", "left_anti").select(*docs.columns)

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from geoexposure.llm import exact_dedup, mixing, quality, simhash, topk, toxicity
+from geoexposure.llm import exact_dedup, mixing, quality, similar, simhash, topk, toxicity
 from geoexposure.llm import queries as text_queries
 
 
@@ -224,12 +224,12 @@ def test_one_of_each(edge_docs, no_docs, spark):
     sets = {i: set(simhash.features(t, 5)) for i, t in rows}
     near = [(a, b) for a, b in itertools.combinations(sets, 2) if a // 10 == b // 10 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     want = {i for i, c in components(near, sets).items() if i == c}
-    got = {r.doc_id for r in simhash.one_of_each(docs).collect()}
+    got = {r.doc_id for r in similar.one_of_each(docs).collect()}
     assert want <= got and len(got - want) <= 0.05 * len(sets)
-    stay = simhash.one_of_each(edge_docs)
+    stay = similar.one_of_each(edge_docs)
     assert stay.columns == edge_docs.columns
     assert {r.doc_id for r in stay.select("doc_id").collect()} >= {0, 1, 2, 3, 4, 5, 6, 8, 10, None, 100}
-    assert simhash.one_of_each(no_docs).count() == 0
+    assert similar.one_of_each(no_docs).count() == 0
 
 
 def test_one_of_each_finds_all_links(spark, monkeypatch):
@@ -253,12 +253,13 @@ def test_one_of_each_finds_all_links(spark, monkeypatch):
     near = [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     want = {i for i, c in components(near, sets).items() if i == c}
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == want
-    # Also where the first candidates find nothing and large shingles are split into blocks.
-    monkeypatch.setattr(simhash, "CANDIDATE_BITS", -1)
-    monkeypatch.setattr(simhash, "PARTNERS", 1)
+    assert {r.doc_id for r in similar.one_of_each(docs).collect()} == want
+    # Also where the first candidates find nothing and large shingles are split into blocks, and where large neighbourhoods are.
+    monkeypatch.setattr(similar, "close_links", lambda *_: spark.createDataFrame([], "src long, dst long"))
     monkeypatch.setattr(simhash.split_roots, "__defaults__", (40,))
-    assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == want
+    assert {r.doc_id for r in similar.one_of_each(docs).collect()} == want
+    monkeypatch.setattr(similar, "MEMBERS", 24)
+    assert {r.doc_id for r in similar.one_of_each(docs).collect()} == want
 
 
 def test_quality(edge_docs, no_docs, labels, no_labels, spark, sf_dir):
