@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoexposure.llm import exact_dedup, mixing, sentencepiece_codec, simhash, toxicity
+from geoexposure.llm import exact_dedup, mixing, sentencepiece_codec, similar, toxicity
 from geoexposure.llm.queries import tokenizer_path
 from geoexposure.llm.shared import fresh_path
 
@@ -21,7 +21,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of similarity 0.8 or more on five-word shingles connect."""
-    return simhash.one_of_each(docs, words=5, similarity=0.8)
+    return similar.one_of_each(docs, words=5, similarity=0.8)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
