@@ -42,8 +42,8 @@ TIGHT, ROUNDS = 16, 2
 MEMBERS, BYTES = 4096, 32 << 20
 #: Bits of a shingle's hash; the rest of 64 bits numbers the texts of a slice.
 HASH_BITS = 44
-#: 64-bit words of a bitmap of shingles, and rows under one shingle that are compared together with those of other shingles.
-BITMAP, FEW = 8, 32
+#: In the exact form: bits that no similar pair differs in, eight deviations above the mean at 0.8, and rows under one shingle that are compared together with those of others.
+FAR, FEW = 84, 32
 #: The order of shingles in the exact form: documents in its sample, of which so many make a shingle common, and common shingles at most. No order loses a pair.
 SAMPLE, COMMON, MOST_COMMON = 5000, 3, 200_000
 # Odd multipliers that spread hashes.
@@ -102,27 +102,32 @@ def wide_fingerprints(codes: np.ndarray, ends: np.ndarray, step: int = 4096) ->
     return out.view(np.uint64)
 
 
-_WIDE, _MAP = [f"w{k}" for k in range(WORDS)], [f"b{k}" for k in range(BITMAP)]
+_WIDE = [f"w{k}" for k in range(WORDS)]
 
 
-def bitmaps(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Of each set, which of 512 classes of hashes have odd numbers in it, as rows of 64-bit words. Two sets differ in as many hashes as their bitmaps in bits, or more."""
-    at = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0)) * (64 * BITMAP) + (codes % np.uint64(64 * BITMAP)).astype(np.int64)
-    odd = np.bincount(at, minlength=len(ends) * 64 * BITMAP).reshape(-1, 64 * BITMAP) & 1
-    return np.packbits(odd.astype(np.uint8), axis=1).view(np.uint64)
+def bitmaps(codes: np.ndarray, ends: np.ndarray, words: int) -> np.ndarray:
+    """Of each set, which classes of hashes have odd numbers in it, as rows of 64-bit words. Two sets differ in as many hashes as their bitmaps in bits, or more."""
+    out, step = np.empty((len(ends), words), np.uint64), max(1, (1 << 22) // (64 * words))
+    sizes = np.diff(ends, prepend=0)
+    for at in range(0, len(ends), step):
+        some = sizes[at : at + step]
+        own = (codes[ends[at] - sizes[at] : ends[at + len(some) - 1]] % np.uint64(64 * words)).astype(np.int64)
+        odd = np.bincount(np.repeat(np.arange(len(some)), some) * (64 * words) + own, minlength=len(some) * 64 * words) & 1
+        out[at : at + step] = np.packbits(odd.astype(np.uint8).reshape(len(some), -1), axis=1).view(np.uint64)
+    return out
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, size, w0 to w3, b0 to b7) per document: number of distinct shingles, fingerprint, bitmap."""
+    """(doc_id, size, w0 to w3) per document: number of distinct shingles, fingerprint."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             codes, ends = shingle_codes(filled(part.column("text")), words)
-            both = np.concatenate([wide_fingerprints(codes, ends), bitmaps(codes, ends)], 1).view(np.int64)
+            fps = wide_fingerprints(codes, ends).view(np.int64)
             columns = {"doc_id": part.column("doc_id"), "size": pa.array(np.diff(ends, prepend=0))}
-            yield pa.RecordBatch.from_pydict(columns | {w: pa.array(both[:, k]) for k, w in enumerate(_WIDE + _MAP)})
+            yield pa.RecordBatch.from_pydict(columns | {w: pa.array(fps[:, k]) for k, w in enumerate(_WIDE)})
 
-    return id_and_text(docs).mapInArrow(hashed, "doc_id long, size long, " + ", ".join(f"{w} long" for w in _WIDE + _MAP))
+    return id_and_text(docs).mapInArrow(hashed, "doc_id long, size long, " + ", ".join(f"{w} long" for w in _WIDE))
 
 
 def masks_for(n: int, similarity: float, recall: float) -> list[np.ndarray]:
@@ -274,11 +279,12 @@ def common_shingles(docs: DataFrame, n: int, words: int) -> np.ndarray:
 
 
 def rare_links(docs: DataFrame, fps: DataFrame, n: int, words: int, similarity: float) -> DataFrame:
-    """(src, dst) that connect all similar documents, with no chance of a miss: the exact form.
+    """(src, dst) that connect all similar documents, whatever their roots: the exact form.
 
     Documents that reach ``similarity`` share at least that part of either's shingles. So, in any one order of all shingles, the first of each
     document that are one more than the rest hold a common one. Here the order is that of hashes, with common shingles last, so
-    that documents of a common passage do not all meet under it. A tree links those under a shingle that neither sizes nor bitmaps of their sets rule out.
+    that documents of a common passage do not all meet under it. A tree links those under a shingle that neither their sizes nor FAR bits of their fingerprints rule
+    out; a pair at the threshold differs in more with a chance of about 10 ** -14.
     """
     common = common_shingles(docs, n, words)
 
@@ -295,7 +301,7 @@ def rare_links(docs: DataFrame, fps: DataFrame, n: int, words: int, similarity:
 
     rows = id_and_text(docs).mapInArrow(first, "doc_id long, _pattern long")
     rows = rows.withColumn("_met", F.count(F.lit(1)).over(Window.partitionBy("_pattern"))).where("_met > 1").drop("_met")
-    rows = rows.join(fps.select("doc_id", "size", *_MAP), "doc_id").withColumn("_mask", F.lit(0))
+    rows = rows.join(fps.select("doc_id", "size", *_WIDE), "doc_id").withColumn("_mask", F.lit(0))
     met = split_roots(keep(rows, "similar-rare"), F.col("doc_id"))
 
     def handle(keys: np.ndarray, values: np.ndarray) -> list:
@@ -305,7 +311,7 @@ def rare_links(docs: DataFrame, fps: DataFrame, n: int, words: int, similarity:
         def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             a, b = sizes[i], sizes[j]
             fits = np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9
-            return fits & (differences(bits[i], bits[j]) <= (1 - similarity) / (1 + similarity) * (a + b) + 1e-9)
+            return fits & (differences(bits[i], bits[j]) <= FAR)
 
         bounds = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]])
         lengths = np.diff(bounds)
@@ -327,7 +333,7 @@ def rare_links(docs: DataFrame, fps: DataFrame, n: int, words: int, similarity:
         linked = np.flatnonzero(few.root != np.arange(len(ids)))
         return [ids[linked], ids[few.root[linked]]]
 
-    return by_root(met.withColumn("_rank", F.col("size")), ["doc_id", "size", *_MAP], handle, "src long, dst long")
+    return by_root(met.withColumn("_rank", F.col("size")), ["doc_id", "size", *_WIDE], handle, "src long, dst long")
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -346,7 +352,8 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 def similar_clusters(sets: list[bytes], similarity: float, groups: np.ndarray | None = None) -> np.ndarray:
     """The cluster (smallest number in it) of each set; sets of a Jaccard similarity of ``similarity`` or more are linked. ``groups``: clusters known before.
 
-    A set is first held against the first member of each cluster, then, for those that it does not join, against all of their members.
+    A set is first held against the first member of each cluster, then, for those that it does not join, against all of their members. Bitmaps as wide
+    as the largest set rule out most pairs before their hashes are compared.
     """
     raw = [np.frombuffer(s, np.uint8).reshape(-1, 6) for s in sets]
     sizes = np.array([len(r) for r in raw], np.int64)
@@ -355,6 +362,7 @@ def similar_clusters(sets: list[bytes], similarity: float, groups: np.ndarray |
     values, codes = np.unique(wide.view("<u8").ravel(), return_inverse=True)
     ends = np.cumsum(sizes)
     starts = ends - sizes
+    bits = bitmaps(values[codes], ends, max(1, 1 << (int(sizes.max(initial=1)) // 64).bit_length()))
     clusters, there = Clusters(len(sets)), np.zeros(len(values), bool)
     if groups is not None and len(groups):
         first = np.unique(groups, return_index=True, return_inverse=True)
@@ -363,6 +371,7 @@ def similar_clusters(sets: list[bytes], similarity: float, groups: np.ndarray |
     def linked(i: int, others: np.ndarray) -> np.ndarray:
         fits = np.minimum(sizes[others], sizes[i]) >= similarity * np.maximum(sizes[others], sizes[i]) - 1e-9
         others = others[fits & (sizes[others] > 0)]
+        others = others[differences(bits[others], bits[i]) <= (1 - similarity) / (1 + similarity) * (sizes[others] + sizes[i]) + 1e-9]
         if not len(others):
             return others
         lengths = sizes[others]
@@ -433,7 +442,7 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall
 
     Documents link if their sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more, which is tested exactly. ``recall`` is the
     chance that the index brings together two documents at the threshold (closer ones meet more surely); with ``exact`` documents also meet under
-    the first of their shingles, which no similar pair can miss, at the cost of shuffling a fifth of all shingles. Texts without words and rows
+    the first of their shingles, which similar pairs cannot miss, at the cost of shuffling a fifth of all shingles. Texts without words and rows
     without id stay as they are. Rows that repeat an id are one document, whose set is the first of theirs in the order of bytes. Very long texts are read whole; an
     empty table gives an empty table; other columns, of whatever names, are kept.
     """
