@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from geoexposure.llm import exact_dedup, mixing, quality, similar, simhash, topk, toxicity
 from geoexposure.llm import queries as text_queries
@@ -68,16 +69,41 @@ def test_exact_dedup(edge_docs, no_docs, documents, capacity):
     assert exact_dedup.duplicates(no_docs).count() == 0 and exact_dedup.deduplicated(no_docs).count() == 0
 
 
-def test_directory_doubles_where_it_must(spark):
+def test_directory_doubles_until_no_bucket_is_overfull(spark):
+    """Keys that share their first 50 bits and more split as well."""
     keys = spark.range(500).selectExpr("cast(id as long) * 3 AS _key").unionByName(spark.range(200).selectExpr("xxhash64(id) AS _key")).distinct()
-    rows = exact_dedup.directory(keys, capacity=20, max_depth=10).collect()
-    assert sorted(r._prefix for r in rows if r._prefix >= 0) == sorted({r._prefix for r in rows})
-    held = Counter()
-    bucket = {r._prefix: (r._bucket, r._depth) for r in rows}
+    known = exact_dedup.directory(keys.withColumn("n", F.lit(100)), capacity=20, bits=10)
+    held, depths = Counter(), set()
+    entries = {(level, r._prefix % 2**64): r for level, table in known for r in table.collect()}
     for r in keys.collect():
-        held[bucket[(r._key % 2**64) >> 54]] += 1
-    assert all(n <= 20 or depth == 10 for (_, depth), n in held.items())
-    assert len({d for _, d in bucket.values()}) > 1
+        key = r._key % 2**64
+        (bucket,) = [e for level, _ in known if (e := entries.get((level, key >> (64 - level))))]
+        held[bucket._bucket] += 1
+        depths.add(bucket._depth)
+        assert key >> (64 - bucket._depth) == (bucket._bucket % 2**64) >> (64 - bucket._depth) and 1 <= bucket._owners <= 25
+    assert max(held.values()) <= 20 and len(depths) > 1 and max(depths) > 50
+
+
+def test_exact_dedup_reads_its_directory(spark, documents):
+    """The result comes through the directory: without one of its entries keys are lost, with an entry twice rows count twice."""
+    known = exact_dedup.directory_of(documents, 16)
+    want = sorted(map(tuple, exact_dedup.duplicates(documents, known=known).collect()))
+    assert want == sorted(map(tuple, exact_dedup.duplicates(documents).collect())) and len(want) == documents.count()
+    (level, table), *rest = known
+    taken = table.orderBy("_prefix").first()._prefix
+    with pytest.raises(Exception, match="outside the directory"):
+        exact_dedup.duplicates(documents, known=[(level, table.where(f"_prefix <> {taken}")), *rest]).collect()
+    assert exact_dedup.duplicates(documents, known=[(level, table.unionByName(table)), *rest]).count() > len(want)
+
+
+def test_exact_dedup_of_many_equal_rows(spark):
+    """Rows without id that all have one text, dealt over partitions: one stays, and owners share the bucket."""
+    docs = spark.range(3000, numPartitions=7).selectExpr("CAST(NULL AS LONG) AS doc_id", "IF(id % 3 = 0, 'other ' || id, 'same text') AS text")
+    known = exact_dedup.directory_of(docs, 64)
+    assert max(r._owners for _, t in known for r in t.collect()) > 4
+    rows = exact_dedup.duplicates(docs, known=known).collect()
+    assert len(rows) == 3000 and sum(r.kept for r in rows) == 1001 and Counter(r.group_size for r in rows) == {1: 1000, 2000: 2000}
+    assert exact_dedup.deduplicated(docs).count() == 1001
 
 
 def test_mixing(edge_docs, no_docs, documents):
