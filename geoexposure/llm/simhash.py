@@ -28,8 +28,8 @@ SEED = 42
 LEAF, FAN = 16, 8
 #: Fingerprints under one root that a task handles; larger roots are split into pairs of blocks.
 BLOCK = 4096
-#: Pairs in memory at once.
-PAIRS = 1 << 20
+#: Pairs of 64-bit words in memory at once.
+PAIRS = 1 << 19
 
 
 def features(text: str | None, words: int) -> list[bytes]:
@@ -95,7 +95,7 @@ class GrayIndex:
     """The nodes over fingerprints (rows of 64-bit words) that are sorted by Gray rank; level 0 are the lowest nodes."""
 
     def __init__(self, fps: np.ndarray):
-        self.fps, self.levels = fps, []
+        self.fps, self.levels, self.pairs = fps, [], PAIRS // fps.shape[1]
         common = (~np.zeros_like(fps), fps)
         for size in itertools.chain([LEAF], itertools.repeat(FAN)):
             masks, patterns = common
@@ -110,7 +110,7 @@ class GrayIndex:
     def close(self, queries: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(query, member) numbers of all pairs with ``most`` differing bits or fewer, in parts."""
         top = len(self.levels[-1][1])
-        step = max(1, PAIRS // (top * 64))
+        step = max(1, self.pairs // (top * 64))
         for at in range(0, len(queries), step):
             q = np.repeat(np.arange(at, min(at + step, len(queries))), top)
             yield from self._down(queries, q, np.tile(np.arange(top), len(q) // top), np.zeros(len(q), np.int32), len(self.levels) - 1, most)
@@ -125,7 +125,7 @@ class GrayIndex:
         stay = met <= most
         q, node, met = q[stay], node[stay], met[stay]
         below = len(self.levels[level - 1][1]) if level else len(self.fps)
-        step = max(1, PAIRS // size)
+        step = max(1, self.pairs // size)
         for at in range(0, len(q), step):
             child = (node[at : at + step, None] * size + np.arange(size)).ravel()
             qs, mets = np.repeat(q[at : at + step], size), np.repeat(met[at : at + step], size)

@@ -40,6 +40,8 @@ NODE = 1024
 TIGHT, ROUNDS = 16, 2
 #: Members and bytes of shingles of a neighbourhood that a task holds; larger ones are split.
 MEMBERS, BYTES = 4096, 32 << 20
+#: Bytes of text whose shingles are worked out at once.
+PART_BYTES = 2 << 20
 #: Bits of a shingle's hash; the rest of 64 bits numbers the texts of a slice.
 HASH_BITS = 44
 #: In the exact form: bits that no similar pair differs in, eight deviations above the mean at 0.8, and rows under one shingle that are compared together with those of others.
@@ -121,7 +123,7 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, size, w0 to w3) per document: number of distinct shingles, fingerprint."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, limit=PART_BYTES):
             codes, ends = shingle_codes(filled(part.column("text")), words)
             fps = wide_fingerprints(codes, ends).view(np.int64)
             columns = {"doc_id": part.column("doc_id"), "size": pa.array(np.diff(ends, prepend=0))}
@@ -270,7 +272,7 @@ def common_shingles(docs: DataFrame, n: int, words: int) -> np.ndarray:
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, limit=PART_BYTES):
             yield pa.RecordBatch.from_pydict({"token": pa.array(shingle_codes(filled(part.column("text")), words)[0].astype(np.int64))})
 
     counts = id_and_text(some).mapInArrow(shingled, "token long").groupBy("token").count().where(F.col("count") >= COMMON)
@@ -289,7 +291,7 @@ def rare_links(docs: DataFrame, fps: DataFrame, n: int, words: int, similarity:
     common = common_shingles(docs, n, words)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, limit=PART_BYTES):
             codes, ends = shingle_codes(filled(part.column("text")), words)
             sizes = np.diff(ends, prepend=0)
             place = np.searchsorted(common, codes)
@@ -340,7 +342,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, shingles): the ascending 44-bit hashes of the distinct shingles, six bytes each."""
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, limit=PART_BYTES):
             codes, ends = shingle_codes(filled(part.column("text")), words)
             raw = codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
             offsets = pa.array(np.concatenate([[0], 6 * ends]), pa.int32())

@@ -23,6 +23,8 @@ from geoexposure.llm.shared import filled, fresh_path, id_and_text, keep, slices
 from geoexposure.llm.token_words import text_encoder
 
 SEQUENCE, BATCH = 2048, 64
+#: Bytes of text that are encoded at once: the larger, the more often a rare word is encoded once only.
+PART_BYTES = 8 << 20
 #: The id that ends each document.
 END = 0
 
@@ -113,7 +115,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
         n_docs = 0
         with store.open_output_stream(f"{root}/.{name}.{own}.arrow") as data, store.open_output_stream(f"{root}/.{name}.{own}.index") as index:
             sequences, entries = SequenceWriter(data, encoder.tokenizer.get_vocab_size() > 1 << 16), ipc.new_file(index, INDEX)
-            for piece in slices(batches):
+            for piece in slices(batches, limit=PART_BYTES):
                 ids, counts = encoder.ids(filled(piece.column("text")))
                 ids = np.insert(ids, np.cumsum(counts), END)
                 counts = counts + 1
