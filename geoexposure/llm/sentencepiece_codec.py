@@ -28,6 +28,8 @@ from geoexposure.llm.token_words import AT_ONCE, IdPool, chunked, flattened, spr
 MARK = "▁"
 #: Threads that encode a batch: as many as an executor commonly has cores.
 THREADS = 2
+#: Bytes of text encoded at once, and bytes of distinct strings that a worker remembers: two workers share an executor with the JVM.
+PART_BYTES, REMEMBERED_BYTES = 2 << 20, 4 << 20
 #: Marks of strings: the libraries' ids differ; the ids do not decode to the string.
 DIFFERENT, BENT = 1, 2
 # Piece types and model types of the file format.
@@ -135,7 +137,7 @@ class Codec:
         self.model = Model(path)
         self.tokenizer = tokenizer_of(self.model)
         self.known = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.pool = IdPool(self._both)
+        self.pool = IdPool(self._both, REMEMBERED_BYTES)
         #: The bytes that each id stands for.
         self.bytes = pa.array([bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces], pa.binary())
 
@@ -205,7 +207,7 @@ def encoded(docs: DataFrame, model: str, columns: tuple[str, ...] = ("doc_id",))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model)
-        for part in slices(batches, "_text"):
+        for part in slices(batches, "_text", PART_BYTES):
             texts = filled(part.column("_text"))
             found = codec.encode(texts)
             offsets = np.concatenate([[0], np.cumsum(found["n_tokens"])])

@@ -288,6 +288,48 @@ def test_one_of_each_finds_all_links(spark, monkeypatch):
     assert {r.doc_id for r in similar.one_of_each(docs).collect()} == want
 
 
+def test_recall_of_the_index_and_of_the_exact_form(spark):
+    """5,000 rows: copies with edits and with appended passages around the threshold, and a group of 1,300 near copies; against brute force."""
+    rnd = np.random.default_rng(6)
+    vocabulary = np.array([f"w{k}" for k in range(6000)])
+    texts, group = [], []
+    for g in range(925):
+        words = rnd.choice(vocabulary, int(rnd.integers(40, 400)))
+        texts.append(words)
+        for k in range(3):
+            other = words.copy()
+            if k:
+                at = rnd.choice(len(words), max(1, int(len(words) * rnd.uniform(0.0, 0.03))), replace=False)
+                other[at] = "changed"
+            else:
+                other = np.concatenate([words, rnd.choice(vocabulary, int(len(words) * rnd.uniform(0.1, 0.3)))])
+            texts.append(other)
+        group += [g] * 4
+    words = rnd.choice(vocabulary, 300)
+    for k in range(1300):
+        other = words.copy()
+        other[rnd.choice(300, 3, replace=False)] = f"own{k}"
+        texts.append(other)
+    group += [-1] * 1300
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = {i: set(simhash.features(t, 5)) for i, t in rows}
+    near = []
+    for g, own in itertools.groupby(range(len(rows)), key=lambda i: group[i]):
+        for a, b in itertools.combinations(own, 2) if g >= 0 else ((3700, i) for i in range(3701, 5000)):
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                near.append((a, b))
+    want = components(near, sets)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    stay = {r.doc_id for r in similar.one_of_each(docs).select("doc_id").collect()}
+    assert stay == {i for i, c in want.items() if i == c} and sum(i >= 3700 for i in stay) == 1
+    fast = {r.doc_id for r in similar.one_of_each(docs, exact=False).select("doc_id").collect()}
+    gone = {i for i, c in want.items() if i != c}
+    small = {i for i in gone if i < 3700}
+    print("recall", len(small - fast) / len(small), "of", len(small))
+    assert len(small - fast) >= 0.95 * len(small) and stay <= fast and sum(i >= 3700 for i in fast) == 1
+
+
 def test_quality(edge_docs, no_docs, labels, no_labels, spark, sf_dir):
     rows = quality.score(edge_docs, labels).collect()
     assert len(rows) == edge_docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
