@@ -86,13 +86,13 @@ def block_weights(rings: list[np.ndarray], col0: int, row0: int, size: int) -> n
     return np.where(out < 1e-12, 0.0, np.minimum(out, 1.0))
 
 
-def parts_inside(line: np.ndarray, rings: list[np.ndarray]) -> list[np.ndarray]:
-    """The parts of a line within a polygon, as two-point lines: segments are cut at the rings and kept by the parity of their middles."""
+def spans_inside(line: np.ndarray, rings: list[np.ndarray]) -> list[tuple[int, float, float]]:
+    """The parts of a line within a polygon: (segment, from, to) in shares of the segment. Segments are cut at the rings and kept by the parity of their middles."""
     sides = np.concatenate([np.hstack([r, np.roll(r, -1, 0)]) for r in rings])
     x1, y1, x2, y2 = sides.T
     e = sides[:, 2:] - sides[:, :2]
-    parts = []
-    for p, q in zip(line[:-1], line[1:], strict=True):
+    spans = []
+    for k, (p, q) in enumerate(zip(line[:-1], line[1:], strict=True)):
         d = q - p
         w = sides[:, :2] - p
         cross = d[0] * e[:, 1] - d[1] * e[:, 0]
@@ -107,8 +107,19 @@ def parts_inside(line: np.ndarray, rings: list[np.ndarray]) -> list[np.ndarray]:
         with np.errstate(divide="ignore", invalid="ignore"):
             right = x < (x2 - x1) * (y - y1) / (y2 - y1) + x1
         inside = (across & right).sum(1) % 2 == 1
-        parts += [np.array([p + d * a, p + d * b]) for a, b in zip(ends[:-1][inside], ends[1:][inside], strict=True) if b > a]
-    return parts
+        spans += [(k, float(a), float(b)) for a, b in zip(ends[:-1][inside], ends[1:][inside], strict=True) if b > a]
+    return spans
+
+
+def parts_inside(line: np.ndarray, rings: list[np.ndarray]) -> list[np.ndarray]:
+    """The parts of a line within a polygon, as two-point lines."""
+    return [line[k] + (line[k + 1] - line[k]) * np.array([[a], [b]]) for k, a, b in spans_inside(line, rings)]
+
+
+def common_spans(one: list[tuple[int, float, float]], other: list[tuple[int, float, float]]) -> list[tuple[int, float, float]]:
+    """What two lists of spans of one line have in common."""
+    met = [(k, max(a, c), min(b, d)) for k, a, b in one for m, c, d in other if k == m]
+    return [s for s in met if s[2] > s[1]]
 
 
 def length_inside(line: np.ndarray, rings: list[np.ndarray]) -> float:

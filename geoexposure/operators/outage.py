@@ -21,10 +21,15 @@ def scene_scalar(cells: DataFrame, value: Column, how: str = "mean") -> float |
     return cells.where("valid").agg(agg).first()[0]
 
 
-def invalid_share_gate(granules: DataFrame, cloudy: Column, invalid: Column, by: str = "granule") -> DataFrame:
-    """Per granule whether its cloud mask is used (less than 95 % cloudy) and whether it is kept (less than 97 % invalid, rounded)."""
+def invalid_share_gate(granules: DataFrame, cloudy: Column, invalid: Column, by: str = "granule", add_clouds: bool = False) -> DataFrame:
+    """Per granule whether its cloud mask is used (less than 95 % cloudy) and whether it is kept (less than 97 % invalid, rounded).
+
+    With ``add_clouds`` cloudy cells are invalid too where the cloud mask is used.
+    """
     share = lambda c: F.round(F.avg(c.cast("double")) * 100)
-    return granules.groupBy(by).agg((share(cloudy) < 95).alias("use_mask"), (share(invalid) < 97).alias("keep"))
+    used = share(cloudy) < 95
+    bad = F.when(used, share(invalid | cloudy)).otherwise(share(invalid)) if add_clouds else share(invalid)
+    return granules.groupBy(by).agg(used.alias("use_mask"), (bad < 97).alias("keep"))
 
 
 def cloud_pct(granules: DataFrame, value: str = "cloud", by: str = "granule") -> DataFrame:
@@ -71,7 +76,7 @@ def outage_logdiff(cells: DataFrame, nrows: int, ncols: int, drop: float = 50, z
 def outage_zscore(cells: DataFrame, floor: float = 0.15) -> DataFrame:
     """(row, col, z_score, health): 0 healthy, 1 dimming, 2 outage, after taking out the median shift of the scene.
 
-    Cells carry ``std``, the baseline's deviation in linear units. Clumps of single cells are dropped from outages by ``drop_small_clumps``.
+    Cells carry ``std``, the baseline's deviation in linear units.
     """
     shift = scene_scalar(cells, F.col("daily") - F.col("base"), "median")
     rest = F.col("daily") - F.col("base") - F.lit(shift)

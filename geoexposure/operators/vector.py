@@ -52,6 +52,12 @@ def _pairs(lines: DataFrame, zones: DataFrame, step: float) -> DataFrame:
     return both.where((F.col("_cx") == corner("xmin")) & (F.col("_cy") == corner("ymin"))).drop("_cx", "_cy")
 
 
+def _rings_by(ids: pd.Series, geoms: pd.Series) -> dict:
+    """The rings of the polygons of a batch, made once for each id."""
+    first = ~ids.duplicated()
+    return {z: K.rings_of(g) for z, g in zip(ids[first], geoms[first], strict=True)}
+
+
 def overlay_lines(lines: DataFrame, zones: DataFrame, step: float = 8.0) -> DataFrame:
     """Lines with the zones that they run through and the length inside (positive); all columns of the lines."""
     pairs = _pairs(lines, zones, step)
@@ -59,7 +65,8 @@ def overlay_lines(lines: DataFrame, zones: DataFrame, step: float = 8.0) -> Data
 
     def clip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            inside = [K.length_inside(np.array([(p["x"], p["y"]) for p in line]), K.rings_of(geom)) for line, geom in zip(batch["line"], batch["geom"], strict=True)]
+            rings = _rings_by(batch["zone_id"], batch["geom"])
+            inside = [K.length_inside(np.array([(p["x"], p["y"]) for p in line]), rings[z]) for line, z in zip(batch["line"], batch["zone_id"], strict=True)]
             out = batch[names].assign(length=np.array(inside, float))
             yield out[out["length"] > 0]
 
@@ -68,9 +75,12 @@ def overlay_lines(lines: DataFrame, zones: DataFrame, step: float = 8.0) -> Data
 
 
 def overlay_masked(lines: DataFrame, zones: DataFrame, mask: DataFrame, step: float = 8.0) -> DataFrame:
-    """Pieces of lines within both a zone and a mask polygon (fid, zone_id, length): the line is clipped to the mask first, keeping its parts."""
+    """Lines with the zones that they run through and the length within both the zone and the union of the mask's polygons; all columns of the lines.
+
+    What lies under several polygons of the mask counts once: spans of a line's segments are merged by a window over their starts.
+    """
     pairs = _pairs(lines, zones, step).withColumnRenamed("geom", "zone_geom")
-    masks = on_grid(mask.select(F.col("zone_id").alias("mask_id"), F.col("geom").alias("mask_geom")), F.flatten("mask_geom"), step)
+    masks = on_grid(mask.select(F.col("zone_id").alias("_mask_id"), F.col("geom").alias("mask_geom")), F.flatten("mask_geom"), step)
     a = on_grid(pairs, F.col("line"), step)
     corner = lambda c: F.greatest(F.floor(G.bbox(F.col("line"))[c] / step), F.floor(G.bbox(F.flatten("mask_geom"))[c] / step))
     met = a.join(masks, ["_cx", "_cy"]).where((F.col("_cx") == corner("xmin")) & (F.col("_cy") == corner("ymin")))
@@ -78,15 +88,20 @@ def overlay_masked(lines: DataFrame, zones: DataFrame, mask: DataFrame, step: fl
 
     def clip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            inside = []
-            for line, zone, hazard in zip(batch["line"], batch["zone_geom"], batch["mask_geom"], strict=True):
+            zone, hazard = _rings_by(batch["zone_id"], batch["zone_geom"]), _rings_by(batch["_mask_id"], batch["mask_geom"])
+            at, spans = [], []
+            for i, (line, z, m) in enumerate(zip(batch["line"], batch["zone_id"], batch["_mask_id"], strict=True)):
                 points = np.array([(p["x"], p["y"]) for p in line])
-                inside.append(sum(K.length_inside(part, K.rings_of(zone)) for part in K.parts_inside(points, K.rings_of(hazard))))
-            out = batch[names].assign(length=np.array(inside, float))
-            yield out[out["length"] > 0]
+                for k, start, end in K.common_spans(K.spans_inside(points, zone[z]), K.spans_inside(points, hazard[m])):
+                    at.append(i)
+                    spans.append((k, start, end, float(np.hypot(*(points[k + 1] - points[k])))))
+            yield batch[names].iloc[at].reset_index(drop=True).assign(**dict(zip(("_segment", "_from", "_to", "_length"), np.array(spans, float).reshape(-1, 4).T, strict=True)))
 
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema if f.name in names)
-    return met.select(*names, "line", "zone_geom", "mask_geom").mapInPandas(clip, f"{types}, length double")
+    spans = met.select(*names, "line", "zone_geom", "_mask_id", "mask_geom").mapInPandas(clip, f"{types}, _segment double, _from double, _to double, _length double")
+    before = Window.partitionBy("fid", "zone_id", "_segment").orderBy("_from", "_to").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.greatest(F.lit(0.0), F.col("_to") - F.greatest("_from", F.coalesce(F.max("_to").over(before), F.lit(0.0)))) * F.col("_length")
+    return spans.withColumn("_fresh", fresh).groupBy(*names).agg(F.sum("_fresh").alias("length")).where("length > 0")
 
 
 def lines_intersect_zones(lines: DataFrame, zones: DataFrame, step: float = 8.0) -> DataFrame:
@@ -115,13 +130,17 @@ def exclude_disputed(zones: DataFrame, lines: DataFrame, step: float = 8.0) -> D
     return zones.join(overlay_lines(lines, zones, step).select("zone_id").distinct(), "zone_id", "left_anti")
 
 
-def nearest_place(points: DataFrame, places: DataFrame, step: float = 1.0, largest: float = 1e6) -> DataFrame:
-    """Each point (fid, x, y) with its nearest place (place_id, px, py) and the distance; ties to the smaller id.
+def nearest_place(points: DataFrame, places: DataFrame, step: float = 1.0) -> DataFrame:
+    """Each point (fid, x, y) with its nearest place (place_id, px, py) and the distance, however far; ties to the smaller id.
 
     Points meet the places of the 3 x 3 buckets around them; a nearest place within a bucket's width is final, and what
-    is left goes on with buckets four times as wide.
+    is left goes on with buckets four times as wide. Points and places without finite coordinates take no part; without places there are no rows.
     """
-    found, left = [], points
+    finite = lambda *c: [F.abs(v) < float("inf") for v in c]
+    found, left = [], points.where(reduce(Column.__and__, finite("x", "y"))).select("fid", "x", "y")
+    places = places.where(reduce(Column.__and__, finite("px", "py")))
+    if places.isEmpty():
+        return left.select("fid", F.lit(None).cast(places.schema["place_id"].dataType).alias("place_id"), F.lit(0.0).alias("distance")).where("false")
     while True:
         cells = left.select("*", F.floor(F.col("x") / step).alias("_cx"), F.floor(F.col("y") / step).alias("_cy"))
         around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
@@ -134,7 +153,7 @@ def nearest_place(points: DataFrame, places: DataFrame, step: float = 1.0, large
         found.append(best)
         left = keep(left.join(best, "fid", "left_anti"), "nearest-left")
         step *= 4
-        if left.isEmpty() or step > largest:
+        if left.isEmpty():
             return reduce(DataFrame.unionByName, found)
 
 

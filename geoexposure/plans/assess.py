@@ -45,7 +45,7 @@ def assess_raster(component: str, zones: DataFrame, weights: DataFrame, cells: D
 
 
 def assess_lines(component: str, zones: DataFrame, lines: DataFrame, mask: DataFrame | None) -> DataFrame:
-    """A line component. ``lines``: fid, cls, geom; ``mask``: polygons (zone_id, geom) of the hazard, which must not overlap."""
+    """A line component. ``lines``: fid, cls, geom; ``mask``: polygons (zone_id, geom) of the hazard; where they overlap a line counts once."""
     variables = CATALOG[component]
     area = zones.select("zone_id", G.area(F.col("geom")).alias("_area"))
     pieces = vector.overlay_lines(lines, zones)
@@ -90,7 +90,9 @@ def detect_outage(observations: DataFrame, baseline: DataFrame, nrows: int, ncol
     nearly all invalid are skipped, the first clear observation of a cell counts, and outages of fewer than ``least`` connected cells go.
     """
     seen = observations.withColumn("_cloud", pixels.cloud_from_quality(F.col("quality")))
-    gate = outage.invalid_share_gate(seen, F.col("_cloud"), F.col("_cloud") | F.col("radiance").isNull())
+    masked = baseline.select("row", "col", pixels.analysis_mask(F.col("land_water"), F.col("radiance")).alias("_masked"))
+    there = seen.join(masked, ["row", "col"], "left")
+    gate = outage.invalid_share_gate(there, F.col("_cloud"), F.col("radiance").isNull() | F.coalesce("_masked", F.lit(True)), add_clouds=True)
     seen = seen.join(gate, "granule").where("keep")
     clear = raster.first_clear_observation(seen, ["order", "granule"], F.col("radiance").isNotNull() & ~(F.col("_cloud") & F.col("use_mask")))
     base = baseline.select("row", "col", pixels.log_radiance(F.col("radiance")).alias("base"), pixels.analysis_mask(F.col("land_water"), F.col("radiance")).alias("_out"))

@@ -127,9 +127,9 @@ def jn13(t: Tables):
 
 @query("jn14_within_distance", """
 SELECT DISTINCT fid FROM (SELECT f.fid, x, y, x1, y1, x2-x1 AS dx, y2-y1 AS dy, CASE WHEN x1=x2 AND y1=y2 THEN 0 ELSE greatest(0, least(1, ((x-x1)*(x2-x1)+(y-y1)*(y2-y1))/((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)))) END AS s
-  FROM feats f JOIN lines l ON l.fid % 10 = 0 AND x BETWEEN least(x1,x2)-1 AND greatest(x1,x2)+1 AND y BETWEEN least(y1,y2)-1 AND greatest(y1,y2)+1) q WHERE hypot(x-x1-s*dx, y-y1-s*dy) <= 7e-1""")
+  FROM feats f JOIN lines l ON x BETWEEN least(x1,x2)-1 AND greatest(x1,x2)+1 AND y BETWEEN least(y1,y2)-1 AND greatest(y1,y2)+1) q WHERE hypot(x-x1-s*dx, y-y1-s*dy) <= 7e-1""")
 def jn14(t: Tables):
-    return V.within_distance(t.feats, t.lines.where("fid % 10 = 0"), 0.7).select("fid")
+    return V.within_distance(t.feats, t.lines, 0.7).select("fid")
 
 
 @query("jn16_polygons_to_grid_pieces", """

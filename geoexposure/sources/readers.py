@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,16 +45,55 @@ def clip_to_bbox(boxes: DataFrame, xmin: float, ymin: float, xmax: float, ymax:
     return boxes.withColumns(low | {"xmax": F.least("xmax", F.lit(xmax)), "ymax": F.least("ymax", F.lit(ymax))}).where("xmin < xmax AND ymin < ymax")
 
 
-def read_geojson(texts: DataFrame, column: str = "text") -> DataFrame:
-    """Features of FeatureCollection texts: id, tags (map) and a point: the point itself, or the mean of all corners of other geometries.
+def _parts(shape: dict) -> Iterator[tuple[int, float, float, float]]:
+    """(dimension, weight, x, y) of what a GeoJSON geometry is made of: points, segments by length, rings by area, holes less."""
+    kind, at = shape.get("type"), shape.get("coordinates") or []
+    if kind == "GeometryCollection":
+        for part in shape.get("geometries") or []:
+            yield from _parts(part)
+    elif kind and kind.startswith("Multi"):
+        for part in at:
+            yield from _parts({"type": kind[5:], "coordinates": part})
+    elif kind == "Point" and at:
+        yield 0, 1.0, float(at[0]), float(at[1])
+    elif kind in ("LineString", "Polygon"):
+        for k, ring in enumerate([at] if kind == "LineString" else at):
+            p = np.array([c[:2] for c in ring], float).reshape(-1, 2)
+            yield from ((0, 1.0, x, y) for x, y in p.tolist())
+            for (x, y), length in zip(((p[:-1] + p[1:]) / 2).tolist(), np.hypot(*(p[1:] - p[:-1]).T).tolist(), strict=True):
+                yield 1, length, x, y
+            if kind == "Polygon" and len(p):
+                a, b = p - p[0], np.roll(p, -1, 0) - p[0]
+                cross = a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0]
+                if cross.sum():
+                    x, y = (a + b).T @ cross / (3 * cross.sum()) + p[0]
+                    yield 2, abs(cross.sum()) * (-1 if k else 1), float(x), float(y)
+
+
+def centroid_of(text: str | None) -> tuple[str | None, float | None, float | None]:
+    """(type, lon, lat) of a GeoJSON geometry: the centroid of its parts of the highest dimension; nulls without coordinates."""
+    shape = json.loads(text) if text else {}
+    parts = np.array(list(_parts(shape or {})), float).reshape(-1, 4)
+    for dimension in (2, 1, 0):
+        own = parts[parts[:, 0] == dimension]
+        total = own[:, 1].sum()
+        if total > 0:
+            x, y = own[0, 2:] if len(own) == 1 else own[:, 1] @ own[:, 2:] / total
+            return shape.get("type"), float(x), float(y)
+    return (shape or {}).get("type"), None, None
+
 
-    Coordinates of any depth are read as text, so one schema serves points, lines, polygons and their multiples.
-    """
-    schema = "features array<struct<id:string, properties:struct<tags:map<string,string>>, geometry:struct<type:string, coordinates:string>>>"
+def read_geojson(texts: DataFrame, column: str = "text") -> DataFrame:
+    """Features of FeatureCollection texts: id, tags (map), type, and the centroid of the geometry (lon, lat), of collections and multiples too."""
+    schema = "features array<struct<id:string, properties:struct<tags:map<string,string>>, geometry:string>>"
     f = texts.select(F.explode(F.from_json(column, schema)["features"]).alias("f"))
-    numbers = F.transform(F.regexp_extract_all("f.geometry.coordinates", F.lit(r"\[\s*(-?[0-9.eE+-]+\s*,\s*-?[0-9.eE+-]+)[^\[\]]*\]"), F.lit(1)), lambda s: F.transform(F.split(s, ","), lambda v: F.trim(v).cast("double")))
-    mean = lambda k: F.aggregate(numbers, F.lit(0.0), lambda a, p: a + p[k]) / F.size(numbers)
-    return f.select(F.col("f.id").alias("id"), F.col("f.properties.tags").alias("tags"), F.col("f.geometry.type").alias("type"), mean(0).alias("lon"), mean(1).alias("lat"))
+
+    @F.pandas_udf("type string, lon double, lat double")
+    def centre(geometry: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(map(centroid_of, geometry), columns=["type", "lon", "lat"])
+
+    placed = f.select("f.id", "f.properties.tags", centre("f.geometry").alias("c"))
+    return placed.select("id", "tags", "c.type", "c.lon", "c.lat")
 
 
 def parse_catalog(names: DataFrame, column: str = "name") -> DataFrame:

@@ -75,3 +75,35 @@ def test_unknown_operators_raise(spark):
         zonal.raster_op("nope")
     with pytest.raises(ValueError):
         vector.line_stats(spark.range(1), spark.range(1), ("nope",))
+
+
+def test_overlapping_masks_count_once(spark):
+    zones = spark.createDataFrame([(1, 0.0, 0.0, 20.0, 20.0)], "zone_id long, a double, b double, c double, d double").select("zone_id", G.rectangle(*map(F.col, "abcd")).alias("geom"))
+    boxes = [(7, 2.0, 0.0, 8.0, 20.0), (8, 5.0, 0.0, 12.0, 20.0), (9, 6.0, 0.0, 7.0, 20.0)]
+    mask = spark.createDataFrame(boxes, "zone_id long, a double, b double, c double, d double").select("zone_id", G.rectangle(*map(F.col, "abcd")).alias("geom"))
+    lines = spark.createDataFrame([(1, "A", -5.0, 3.0, 25.0, 3.0)], "fid long, cls string, a double, b double, c double, d double").select("fid", "cls", G.segment(*map(F.col, "abcd")).alias("geom"))
+    (row,) = vector.overlay_masked(lines, zones, mask).collect()
+    assert (row.fid, row.cls, row.zone_id) == (1, "A", 1) and row.length == pytest.approx(10.0)
+
+
+def test_nearest_place_has_no_limit(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 9e6, 0.0), (3, None, 1.0)], "fid long, x double, y double")
+    places = spark.createDataFrame([(5, 1.0, 0.0), (4, -1.0, 0.0)], "place_id long, px double, py double")
+    assert sorted(map(tuple, vector.nearest_place(points, places).collect())) == [(1, 4, 1.0), (2, 5, 9e6 - 1)]
+    assert vector.nearest_place(points, places.where("false")).count() == 0
+
+
+def test_geojson_centroids():
+    from geoexposure.sources.readers import centroid_of
+
+    def centre(kind, at):
+        return centroid_of(f'{{"type": "{kind}", "coordinates": {at}}}')[1:]
+
+    triangle = "[[[0,0],[4,0],[4,1],[0,0]]]"
+    assert centre("Polygon", triangle) == pytest.approx((8 / 3, 1 / 3))
+    assert centre("MultiPolygon", f"[{triangle}, [[[10,0],[12,0],[12,2],[10,2],[10,0]]]]") == pytest.approx((2 * (8 / 3) / 6 + 4 * 11 / 6, (2 / 3 + 4) / 6))
+    assert centre("Polygon", "[[[0,0],[4,0],[4,4],[0,4],[0,0]],[[2,0],[4,0],[4,4],[2,4],[2,0]]]") == pytest.approx((1.0, 2.0))
+    assert centre("LineString", "[[0,0],[3,0],[3,1]]") == pytest.approx((1.875, 0.125))
+    assert centre("LineString", "[[2,2],[2,2]]") == (2.0, 2.0) and centre("Point", "[1, 2, 3]") == (1.0, 2.0) and centre("MultiPoint", "[[0,0],[1,2]]") == (0.5, 1.0)
+    both = f'{{"type": "GeometryCollection", "geometries": [{{"type": "Point", "coordinates": [50, 50]}}, {{"type": "Polygon", "coordinates": {triangle}}}]}}'
+    assert centroid_of(both) == ("GeometryCollection", pytest.approx(8 / 3), pytest.approx(1 / 3)) and centroid_of(None) == (None, None, None)
