@@ -37,6 +37,23 @@ def signed_area(ring: Column) -> Column:
     return _total(_sides(ring, lambda p, q: (p["x"] * q["y"] - q["x"] * p["y"]) / 2))
 
 
+def ring_sides(ring: Column) -> Column:
+    """The sides of a ring (x1, y1, x2, y2), one from its last point to its first included."""
+    to = lambda i: F.get(ring, (i + 1) % F.size(ring))
+    return F.transform(ring, lambda p, i: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), to(i)["x"].alias("x2"), to(i)["y"].alias("y2")))
+
+
+def between(low: Column, high: Column) -> Column:
+    """Array of the whole numbers in [low, high]."""
+    first, last = F.ceil(low).cast("long"), F.floor(high).cast("long")
+    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<long>"))
+
+
+def steps(values: Column, of) -> Column:
+    """Array of ``of(value, next value)`` of an array."""
+    return _sides(values, of)
+
+
 def area(polygon: Column) -> Column:
     """Planar area; holes subtract."""
     return F.abs(_total(F.transform(polygon, signed_area)))

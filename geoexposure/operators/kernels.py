@@ -116,12 +116,6 @@ def parts_inside(line: np.ndarray, rings: list[np.ndarray]) -> list[np.ndarray]:
     return [line[k] + (line[k + 1] - line[k]) * np.array([[a], [b]]) for k, a, b in spans_inside(line, rings)]
 
 
-def common_spans(one: list[tuple[int, float, float]], other: list[tuple[int, float, float]]) -> list[tuple[int, float, float]]:
-    """What two lists of spans of one line have in common."""
-    met = [(k, max(a, c), min(b, d)) for k, a, b in one for m, c, d in other if k == m]
-    return [s for s in met if s[2] > s[1]]
-
-
 def length_inside(line: np.ndarray, rings: list[np.ndarray]) -> float:
     """Length of the parts of a line within a polygon."""
     return float(sum(np.hypot(*(b - a)) for a, b in parts_inside(line, rings)))

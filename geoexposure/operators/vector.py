@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from geoexposure.functions import geometry as G
 from geoexposure.operators import kernels as K
+from geoexposure.operators import zonal
 from geoexposure.sources.workspace import keep
 
 
@@ -42,66 +43,73 @@ def read_features(features: DataFrame, zones: DataFrame, step: float = 16.0) ->
     return met.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
-def _pairs(lines: DataFrame, zones: DataFrame, step: float) -> DataFrame:
-    """Lines (fid, geom) and zones whose extents share a grid cell, each pair once."""
-    a = on_grid(lines.withColumnRenamed("geom", "line"), F.col("line"), step)
-    b = on_grid(zones.select("zone_id", "geom"), F.flatten("geom"), step)
-    both = a.join(b, ["_cx", "_cy"])
-    corner = lambda c: F.greatest(F.floor(G.bbox(F.col("line"))[c] / step), F.floor(G.bbox(F.flatten("geom"))[c] / step))
-    # A pair that shares several cells is taken in the first of them only: no shuffle for distinct.
-    return both.where((F.col("_cx") == corner("xmin")) & (F.col("_cy") == corner("ymin"))).drop("_cx", "_cy")
-
+def line_spans(lines: DataFrame, zones: DataFrame, step: float = 8.0) -> DataFrame:
+    """The parts of the segments of lines (fid, geom) within zones: fid, zone_id, _segment, _from and _to in shares of the segment, _length of the segment,
+    and the other columns of the lines as the struct _line. ``fid`` names a line.
 
-def _rings_by(ids: pd.Series, geoms: pd.Series) -> dict:
-    """The rings of the polygons of a batch, made once for each id."""
-    first = ~ids.duplicated()
-    return {z: K.rings_of(g) for z, g in zip(ids[first], geoms[first], strict=True)}
+    Segments and extents of zones meet on grid cells. Segments are then cut into bands of height ``step`` and meet the sides of their zone in the band
+    only: first to be cut at the crossings, then to count the sides to the right of the middle of each part, whose parity tells whether it is inside.
+    """
+    others = [c for c in lines.columns if c not in ("fid", "geom")]
+    ends = F.posexplode(G.steps(F.col("geom"), lambda p, q: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2"))))
+    segments = lines.select("fid", F.struct(F.lit(0).alias("_"), *others).alias("_line"), ends.alias("_segment", "_at")).select("fid", "_line", "_segment", "_at.*")
+    own = lambda f, axis: f(f"{axis}1", f"{axis}2")
+    cells = segments.withColumn("_cx", F.explode(G.cover(own(F.least, "x"), own(F.greatest, "x"), step)))
+    cells = cells.withColumn("_cy", F.explode(G.cover(own(F.least, "y"), own(F.greatest, "y"), step)))
+    extents = on_grid(zones.select("zone_id", G.bbox(F.flatten("geom")).alias("_zone"), "geom"), F.flatten("geom"), step).drop("geom")
+    # A pair that shares several cells is taken in the first of them only: no shuffle for distinct.
+    first = lambda axis: F.floor(F.greatest(own(F.least, axis), F.col(f"_zone.{axis}min")) / step)
+    met = cells.join(extents, ["_cx", "_cy"]).where((F.col("_cx") == first("x")) & (F.col("_cy") == first("y"))).drop("_cx", "_cy", "_zone")
+
+    x1, y1, x2, y2 = map(F.col, ("x1", "y1", "x2", "y2"))
+    dx, dy = x2 - x1, y2 - y1
+    levels = F.when(dy != 0, F.transform(G.between(F.least(y1, y2) / step, F.greatest(y1, y2) / step), lambda v: (v * step - y1) / dy)).otherwise(F.array().cast("array<double>"))
+    part = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    between = lambda inner: F.filter(G.steps(F.array_sort(inner), part), lambda p: p["b"] > p["a"])
+    bands = met.select("*", F.explode(between(F.concat(F.array(F.lit(0.0), F.lit(1.0)), levels))).alias("_t"))
+    keys = ["zone_id", "_band", "fid", "_segment", "_a"]
+    bands = bands.select("zone_id", F.floor((y1 + dy * (F.col("_t.a") + F.col("_t.b")) / 2) / step).alias("_band"), "fid", "_segment", F.col("_t.a").alias("_a"), F.struct(F.col("_t.b").alias("b"), "x1", "y1", "x2", "y2", "_line").alias("_p"))
+
+    sides = zonal.polygon_sides(zones).where("y1 IS NOT NULL AND y2 IS NOT NULL").toDF("zone_id", "sx1", "sy1", "sx2", "sy2")
+    sides = sides.withColumn("_band", F.explode(G.cover(F.least("sy1", "sy2"), F.greatest("sy1", "sy2"), step)))
+    sx1, sy1, sx2, sy2 = map(F.col, ("sx1", "sy1", "sx2", "sy2"))
+    px, py, qx, qy = (F.col(f"_p.{c}") for c in ("x1", "y1", "x2", "y2"))
+    cross = (qx - px) * (sy2 - sy1) - (qy - py) * (sx2 - sx1)
+    along = F.try_divide((sx1 - px) * (sy2 - sy1) - (sy1 - py) * (sx2 - sx1), cross)
+    on_side = F.try_divide((sx1 - px) * (qy - py) - (sy1 - py) * (qx - px), cross)
+    hit = (on_side >= 0) & (on_side <= 1) & (along > F.col("_a")) & (along < F.col("_p.b"))
+    cut = bands.join(sides, ["zone_id", "_band"]).groupBy(*keys).agg(F.any_value("_p").alias("_p"), F.collect_list(F.when(hit, along)).alias("_hits"))
+    parts = cut.withColumn("_t", F.explode(between(F.concat(F.array("_a", "_p.b"), "_hits")))).where(F.col("_t.b") - F.col("_t.a") > 1e-12)
+    half = (F.col("_t.a") + F.col("_t.b")) / 2
+    mx, my = px + (qx - px) * half, py + (qy - py) * half
+    parts = parts.select(*keys, "_p", "_t", mx.alias("_mx"), my.alias("_my")).alias("p").join(sides.alias("s"), ["zone_id", "_band"])
+    across = (sy1 > F.col("_my")) != (sy2 > F.col("_my"))
+    right = F.col("_mx") < (sx2 - sx1) * (F.col("_my") - sy1) / F.when(across, sy2 - sy1).otherwise(1.0) + sx1
+    inside = parts.where(across & right).groupBy(*keys, "_t").agg(F.any_value("_p").alias("_p"), F.count("*").alias("_n")).where("_n % 2 = 1")
+    return inside.select("fid", "zone_id", "_segment", F.col("_t.a").alias("_from"), F.col("_t.b").alias("_to"), F.hypot(qx - px, qy - py).alias("_length"), "_p._line")
+
+
+def _lengths(spans: DataFrame, lines: DataFrame, share: Column) -> DataFrame:
+    """All columns of the lines but their geometry, zone_id and the length that ``share`` of the spans' segments gives."""
+    found = spans.groupBy("fid", "zone_id").agg(F.any_value("_line").alias("_line"), F.sum(share * F.col("_length")).alias("length")).where("length > 0")
+    return found.select(*["fid" if c == "fid" else f"_line.{c}" for c in lines.columns if c != "geom"], "zone_id", "length")
 
 
 def overlay_lines(lines: DataFrame, zones: DataFrame, step: float = 8.0) -> DataFrame:
     """Lines with the zones that they run through and the length inside (positive); all columns of the lines."""
-    pairs = _pairs(lines, zones, step)
-    names = [c for c in pairs.columns if c not in ("line", "geom")]
-
-    def clip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rings = _rings_by(batch["zone_id"], batch["geom"])
-            inside = [K.length_inside(np.array([(p["x"], p["y"]) for p in line]), rings[z]) for line, z in zip(batch["line"], batch["zone_id"], strict=True)]
-            out = batch[names].assign(length=np.array(inside, float))
-            yield out[out["length"] > 0]
-
-    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema if f.name in names)
-    return pairs.select(*names, "line", "geom").mapInPandas(clip, f"{types}, length double")
+    return _lengths(line_spans(lines, zones, step), lines, F.col("_to") - F.col("_from"))
 
 
 def overlay_masked(lines: DataFrame, zones: DataFrame, mask: DataFrame, step: float = 8.0) -> DataFrame:
     """Lines with the zones that they run through and the length within both the zone and the union of the mask's polygons; all columns of the lines.
 
-    What lies under several polygons of the mask counts once: spans of a line's segments are merged by a window over their starts.
+    What lies under several polygons of the mask counts once: spans under the mask lose what spans before them on the segment have.
     """
-    pairs = _pairs(lines, zones, step).withColumnRenamed("geom", "zone_geom")
-    masks = on_grid(mask.select(F.col("zone_id").alias("_mask_id"), F.col("geom").alias("mask_geom")), F.flatten("mask_geom"), step)
-    a = on_grid(pairs, F.col("line"), step)
-    corner = lambda c: F.greatest(F.floor(G.bbox(F.col("line"))[c] / step), F.floor(G.bbox(F.flatten("mask_geom"))[c] / step))
-    met = a.join(masks, ["_cx", "_cy"]).where((F.col("_cx") == corner("xmin")) & (F.col("_cy") == corner("ymin")))
-    names = [c for c in pairs.columns if c not in ("line", "zone_geom")]
-
-    def clip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            zone, hazard = _rings_by(batch["zone_id"], batch["zone_geom"]), _rings_by(batch["_mask_id"], batch["mask_geom"])
-            at, spans = [], []
-            for i, (line, z, m) in enumerate(zip(batch["line"], batch["zone_id"], batch["_mask_id"], strict=True)):
-                points = np.array([(p["x"], p["y"]) for p in line])
-                for k, start, end in K.common_spans(K.spans_inside(points, zone[z]), K.spans_inside(points, hazard[m])):
-                    at.append(i)
-                    spans.append((k, start, end, float(np.hypot(*(points[k + 1] - points[k])))))
-            yield batch[names].iloc[at].reset_index(drop=True).assign(**dict(zip(("_segment", "_from", "_to", "_length"), np.array(spans, float).reshape(-1, 4).T, strict=True)))
-
-    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema if f.name in names)
-    spans = met.select(*names, "line", "zone_geom", "_mask_id", "mask_geom").mapInPandas(clip, f"{types}, _segment double, _from double, _to double, _length double")
-    before = Window.partitionBy("fid", "zone_id", "_segment").orderBy("_from", "_to").rowsBetween(Window.unboundedPreceding, -1)
-    fresh = F.greatest(F.lit(0.0), F.col("_to") - F.greatest("_from", F.coalesce(F.max("_to").over(before), F.lit(0.0)))) * F.col("_length")
-    return spans.withColumn("_fresh", fresh).groupBy(*names).agg(F.sum("_fresh").alias("length")).where("length > 0")
+    before = Window.partitionBy("fid", "_segment").orderBy("_from", "_to").rowsBetween(Window.unboundedPreceding, -1)
+    hazard = line_spans(lines.select("fid", "geom"), mask, step)
+    hazard = hazard.select("fid", "_segment", F.greatest("_from", F.coalesce(F.max("_to").over(before), F.lit(0.0))).alias("_low"), F.col("_to").alias("_high"))
+    both = line_spans(lines, zones, step).join(hazard.where("_high > _low"), ["fid", "_segment"])
+    return _lengths(both, lines, F.greatest(F.lit(0.0), F.least("_to", "_high") - F.greatest("_from", "_low")))
 
 
 def lines_intersect_zones(lines: DataFrame, zones: DataFrame, step: float = 8.0) -> DataFrame:

@@ -2,46 +2,53 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoexposure.functions import geometry as G
-from geoexposure.operators import kernels as K
 
-#: Side of the blocks in which cell weights are found, in cells.
+#: Rows of a zone that go to one task together.
 BLOCK = 16
 
 
+def polygon_sides(zones: DataFrame) -> DataFrame:
+    """(zone_id, x1, y1, x2, y2): one row for each side of each ring of polygons."""
+    rings = zones.select("zone_id", F.explode("geom").alias("_ring"))
+    return rings.select("zone_id", F.explode(G.ring_sides(F.col("_ring"))).alias("_side")).select("zone_id", "_side.*")
+
+
 def zone_cell_weights(zones: DataFrame, nrows: int, ncols: int, block: int = BLOCK) -> DataFrame:
     """(zone_id, row, col, w): the area fraction of every cell of the unit grid that a zone's polygon covers.
 
-    Zones are exploded into blocks of cells, so a zone of any size is spread over tasks, and
-    the work in a block goes with the cells that the zone's sides cross.
+    Sides are cut at the grid lines. A piece covers its own cell to its right and all cells further right, by its signed height, so a running
+    sum along a row gives the weights. No geometry is copied: what is shuffled are the cells that sides cross, by zone and ``block`` rows, and the
+    cells inside come as runs.
     """
-    box = G.bbox(F.flatten("geom"))
-    zones = zones.select("zone_id", "geom", box.alias("_b")).where(F.col("_b.xmin").isNotNull())
-    clamp = lambda c, n: F.greatest(F.lit(0.0), F.least(F.lit(float(n - 1)), c))
-    rows = zones.where((F.col("_b.xmax") > 0) & (F.col("_b.xmin") < ncols) & (F.col("_b.ymax") > 0) & (F.col("_b.ymin") < nrows))
-    rows = rows.withColumn("_bx", F.explode(G.cover(clamp(F.col("_b.xmin"), ncols), clamp(F.col("_b.xmax"), ncols), block)))
-    rows = rows.withColumn("_by", F.explode(G.cover(clamp(F.col("_b.ymin"), nrows), clamp(F.col("_b.ymax"), nrows), block)))
-
-    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = []
-            for zone, geom, bx, by in batch.itertuples(index=False):
-                w = K.block_weights(K.rings_of(geom), int(bx) * block, int(by) * block, block)
-                i, j = np.nonzero(w)
-                found.append(pd.DataFrame({"zone_id": zone, "row": i + int(by) * block, "col": j + int(bx) * block, "w": w[i, j]}))
-            if found:
-                out = pd.concat(found)
-                yield out[(out["row"] < nrows) & (out["col"] < ncols)]
-
-    spread = rows.select("zone_id", "geom", "_bx", "_by").repartition("zone_id", "_bx", "_by")
-    return spread.mapInPandas(weigh, f"zone_id {zones.schema['zone_id'].dataType.simpleString()}, row int, col int, w double")
+    x1, y1, x2, y2 = map(F.col, ("x1", "y1", "x2", "y2"))
+    met = (y1 != y2) & (F.greatest(y1, y2) > 0) & (F.least(y1, y2) < nrows) & (F.least(x1, x2) < ncols)
+    cut = lambda t, x, y: F.struct(t.alias("t"), x.alias("x"), y.alias("y"))
+    lines = lambda a, b, n: G.between(F.greatest(F.lit(0.0), F.least(a, b)), F.least(F.lit(float(n)), F.greatest(a, b)))
+    across = F.when(x1 != x2, lines(x1, x2, ncols)).otherwise(F.array().cast("array<long>"))
+    upright = F.transform(across, lambda v: cut((v - x1) / (x2 - x1), v.cast("double"), y1 + (y2 - y1) * ((v - x1) / (x2 - x1))))
+    level = F.transform(lines(y1, y2, nrows), lambda v: cut((v - y1) / (y2 - y1), x1 + (x2 - x1) * ((v - y1) / (y2 - y1)), v.cast("double")))
+    cuts = F.array_sort(F.concat(F.array(cut(F.lit(0.0), x1, y1), cut(F.lit(1.0), x2, y2)), upright, level))
+    sides = polygon_sides(zones).where(met).select("zone_id", cuts.alias("_cuts"))
+    middle = lambda p, q: F.struct(((p["x"] + q["x"]) / 2).alias("x"), ((p["y"] + q["y"]) / 2).alias("y"), (q["y"] - p["y"]).alias("h"))
+    pieces = sides.select("zone_id", F.explode(G.steps(F.col("_cuts"), middle)).alias("_p")).select("zone_id", "_p.*")
+    pieces = pieces.where((F.col("h") != 0) & (F.col("y") >= 0) & (F.col("y") < nrows) & (F.col("x") < ncols))
+    own = F.when(F.col("x") >= 0, F.col("h") * (1 - (F.col("x") - F.floor("x")))).otherwise(0.0)
+    pieces = pieces.select("zone_id", F.floor("y").cast("int").alias("row"), F.greatest(F.lit(-1), F.floor("x")).cast("int").alias("col"), own.alias("own"), "h")
+    keys = ["zone_id", "_block", "row"]
+    crossed = pieces.withColumn("_block", F.floor(F.col("row") / block)).repartition("zone_id", "_block").groupBy(*keys, "col").agg(F.sum("own").alias("own"), F.sum("h").alias("h"))
+    order = Window.partitionBy(*keys).orderBy("col")
+    before = F.coalesce(F.sum("h").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    crossed = crossed.select(*keys, "col", "own", "h", before.alias("_before"), F.coalesce(F.lead("col").over(order), F.lit(ncols)).alias("_next"))
+    run = lambda first, last, w: F.struct(first.alias("first"), last.alias("last"), F.least(F.lit(1.0), F.abs(w)).alias("w"))
+    runs = F.array(run(F.col("col"), F.col("col"), F.col("own") + F.col("_before")), run(F.col("col") + 1, F.col("_next") - 1, F.col("_before") + F.col("h")))
+    # A sum that rounds to nothing is no cover.
+    runs = F.filter(runs, lambda r: (r["first"] <= r["last"]) & (r["last"] >= 0) & (r["w"] >= 1e-12))
+    found = crossed.select("zone_id", "row", F.explode(runs).alias("_run"))
+    return found.select("zone_id", "row", F.explode(F.sequence("_run.first", "_run.last")).alias("col"), "_run.w")
 
 
 #: Raster operators by name; ``v`` is a value, ``w`` its weight, ``on`` a condition on the cell.

@@ -107,3 +107,25 @@ def test_geojson_centroids():
     assert centre("LineString", "[[2,2],[2,2]]") == (2.0, 2.0) and centre("Point", "[1, 2, 3]") == (1.0, 2.0) and centre("MultiPoint", "[[0,0],[1,2]]") == (0.5, 1.0)
     both = f'{{"type": "GeometryCollection", "geometries": [{{"type": "Point", "coordinates": [50, 50]}}, {{"type": "Polygon", "coordinates": {triangle}}}]}}'
     assert centroid_of(both) == ("GeometryCollection", pytest.approx(8 / 3), pytest.approx(1 / 3)) and centroid_of(None) == (None, None, None)
+
+
+def test_spans_of_lines_equal_the_kernel(spark):
+    rings = {1: [star(3), star(3)[::-1] * 0.25 + np.array([6.0, 5.25])], 2: [star(5)], 3: [np.array([(0, 0), (16, 0), (16, 8), (0, 8), (0, 0)], float)]}
+    rnd = random.Random(4)
+    lines = {k: np.array([(rnd.uniform(-2, 18), rnd.uniform(-2, 16)) for _ in range(4)]) for k in range(60)} | {90: np.array([(-3.0, 8.0), (20.0, 8.0)]), 91: np.array([(1.0, 1.0), (1.0, 1.0), (9.0, 1.0)])}
+    want = {(f, z): n for f, line in lines.items() for z, r in rings.items() if (n := K.length_inside(line, r)) > 1e-9}
+    zones = spark.createDataFrame([*((z, rows(r)) for z, r in rings.items()), (4, []), (5, None)], f"zone_id long, geom {G.POLYGON}")
+    df = spark.createDataFrame([*((f, "a", rows([line])[0]) for f, line in lines.items()), (95, "b", []), (96, None, None)], f"fid long, cls string, geom {G.LINE}")
+    for step in (2.0, 8.0):
+        got = {(r.fid, r.zone_id): r.length for r in vector.overlay_lines(df, zones, step).collect()}
+        assert got == {k: pytest.approx(n) for k, n in want.items()}
+
+
+def test_polygon_of_many_sides(spark):
+    n = 100_000
+    ring = F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: G.point(F.cos(i * (2 * math.pi / n)) * 40 + 50, F.sin(i * (2 * math.pi / n)) * 40 + 50))
+    zones = spark.range(1).select(F.lit(1).alias("zone_id"), F.array(ring).alias("geom"))
+    lines = spark.createDataFrame([(1, 0.0, 50.0, 100.0, 50.0), (2, 50.0, 50.0, 50.0, 200.0)], "fid long, a double, b double, c double, d double").select("fid", G.segment(*map(F.col, "abcd")).alias("geom"))
+    assert {r.fid: r.length for r in vector.overlay_lines(lines, zones).collect()} == {1: pytest.approx(80.0, rel=1e-6), 2: pytest.approx(40.0, rel=1e-6)}
+    weights = zonal.zone_cell_weights(zones, 100, 100).agg(F.sum("w").alias("w"), F.max("w").alias("most")).first()
+    assert weights.w == pytest.approx(math.pi * 1600, rel=1e-6) and weights.most <= 1.0
