@@ -59,9 +59,10 @@ def bins(hashes: np.ndarray, salt: int) -> np.ndarray:
     return (mixed >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def pairs_of(hashes: np.ndarray) -> np.ndarray:
-    """Hash of each word with the next; the last one stands with nothing. Equal neighbours share one hash per kind of pair."""
-    after = np.append(hashes[1:], np.uint64(0)) if len(hashes) else hashes
+def pairs_of(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Hash of each word with the next one of its text; the last one of a text stands with nothing."""
+    after = np.append(hashes[1:], np.uint64(0)) if len(hashes) else hashes.copy()
+    after[offsets[1:][np.diff(offsets) > 0] - 1] = 0
     return (hashes * np.uint64(_MIX[1])) ^ ((after << np.uint64(17)) | (after >> np.uint64(47)))
 
 

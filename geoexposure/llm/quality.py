@@ -23,12 +23,13 @@ THRESHOLD = 0.3
 def grams(hashed: HashedWords, texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
     """Bins of the four families (words, word pairs, shapes, shape pairs), each with one bin for each word; offsets of the texts.
 
-    The pair families mark a word that repeats the one before it.
+    The pair families mark a word that repeats the one before it. Pairs lie within a text, so a score does not depend on the texts beside it.
     """
     words, shapes, offsets = hashed(texts)
     again = np.zeros(len(words), bool)
     again[1:] = words[1:] == words[:-1]
-    pairs, shape_pairs = pairs_of(words), pairs_of(shapes)
+    again[offsets[:-1][np.diff(offsets) > 0]] = False
+    pairs, shape_pairs = pairs_of(words, offsets), pairs_of(shapes, offsets)
     pairs[again] = np.uint64(1)
     shape_pairs[again] = np.uint64(2)
     return [bins(words, 3), bins(pairs, 4), bins(shapes, 5), bins(shape_pairs, 6)], offsets
@@ -99,7 +100,8 @@ def score(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
     """Per row: doc_id, held_out, score (0 to 1, higher: better), predicted.
 
     A null or empty text has the score of the bias alone; without labels every score is 0.5. A row of a repeated document is
-    scored like the first; null ids are scored and never learned from; other columns are ignored. The model has
+    scored like the first; null ids are scored and never learned from; other columns, of whatever names, are ignored. A very long text
+    is scored whole, an empty table gives an empty table. The model has
     2 ** BITS weights whatever the input's size, and scoring shuffles nothing.
     """
     weights, bias = fit(docs, labels, rows)
