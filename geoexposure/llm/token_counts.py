@@ -48,6 +48,7 @@ class PrefixCounter:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             stored = json.load(f)
+        self._refuse_others(stored)
         letters = byte_letters()
         self.letters = [letters[b] for b in range(256)]
         self.special = tuple(t["content"] for t in stored["added_tokens"])
@@ -61,6 +62,23 @@ class PrefixCounter:
         self.pieces: dict[str, int] = {}
         self.chunks: dict[str, int] = {}
 
+    @staticmethod
+    def _refuse_others(stored: dict) -> None:
+        """Another kind of file would give wrong counts without an error, so it ends the job."""
+        before = stored.get("pre_tokenizer") or {}
+        plain = {"ignore_merges": False, "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None}
+        faults = [
+            *(["a normaliser"] if stored.get("normalizer") else []),
+            *(["a pre-tokenizer that is not byte-level"] if before.get("type") != "ByteLevel" else []),
+            *(["a prefix space"] if before.get("add_prefix_space") else []),
+            *(["no splitting pattern"] if not before.get("use_regex", True) else []),
+            *(["a model that is not BPE"] if stored["model"].get("type", "BPE") != "BPE" else []),
+            *(name for name, value in plain.items() if (stored["model"].get(name) or None) != (value or None)),
+            *(["added tokens with options"] if any(t[o] for t in stored["added_tokens"] for o in ("single_word", "lstrip", "rstrip", "normalized")) else []),
+        ]
+        if faults:
+            raise ValueError(f"prefix counts are for plain byte-level BPE files; this one has {', '.join(faults)}")
+
     def _may_follow(self, a: str, b: str) -> bool:
         """Whether the two tokens next to each other encode to themselves."""
         if (known := self.follows.get((a, b))) is None:

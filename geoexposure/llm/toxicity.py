@@ -154,7 +154,7 @@ def score(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...] = ("doc_i
     """Per row: ``columns``, severity (expected grade, 0 to 2), grade (the likeliest), p_toxic and toxic.
 
     A null or empty text has the grade that the thresholds alone give; without labels nothing is toxic. Repeated rows
-    are scored alike; null ids are scored and never learned from. The model has 2 ** BITS weights whatever the input's
+    are scored alike; null ids are scored and never learned from. A very long text is scored whole, an empty table gives an empty table. The model has 2 ** TOXIC_BITS weights whatever the input's
     size, and scoring shuffles nothing. Added columns have the names _severity, _grade, _p_toxic and _toxic, so a column of the input must not have these.
     """
     weights, cuts = fit(docs, labels, rows)

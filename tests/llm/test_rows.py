@@ -195,3 +195,8 @@ def test_codec_query(edge_docs, no_docs, codec):
         assert list(r.ids) == codec.known.encode(texts[r.doc_id]) and r.same_ids
         assert r.round_trip == (codec.known.decode(list(r.ids)) == texts[r.doc_id])
     assert sentencepiece_codec.encoded(no_docs, path).count() == 0
+
+
+def test_counter_refuses_other_files():
+    with pytest.raises(ValueError, match="normaliser"):
+        token_counts.PrefixCounter(tokenizer_path("word_bpe_49k.json"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from geoexposure.llm import exact_dedup, mixing, quality, similar, simhash, topk, toxicity
 from geoexposure.llm import queries as text_queries
+from geoexposure.llm.queries import tokenizer_path
 
 
 def texts_of(docs):
@@ -357,6 +359,60 @@ def test_toxicity(edge_docs, no_docs, labels, no_labels, spark, sf_dir):
     assert np.mean([s for _, y, s in held if y]) > 1 > np.mean([s for _, y, s in held if not y])
 
 
+def brute_toxic_features(text):
+    """Bins and values of one text, word by word."""
+    words = re.findall(r"[^\x20\x09-\x0d]+", text or "")
+    counts = {}
+    for w in words:
+        low = w.lower()
+        while low and not low[0].isalnum():
+            low = low[1:]
+        while low and not low[-1].isalnum():
+            low = low[:-1]
+        for f in ["=" + low, *(low[:n] for n in (4, 5, 6, 7) if len(low) >= n)] if low else []:
+            b = xxhash.xxh64_intdigest(f) >> 44
+            counts[b] = counts.get(b, 0) + 1
+    return {b: math.log1p(n * 200 / max(200, len(words))) for b, n in counts.items()}
+
+
+def test_toxicity_scores_equal_brute_force(spark, edge_docs, monkeypatch):
+    draws = np.random.default_rng(7)
+    weights, cuts = np.where(draws.random(1 << 20) < 0.5, draws.normal(0, 0.3, 1 << 20), 0.0).astype(np.float32), np.array([0.5, 1.5])
+    monkeypatch.setattr(toxicity, "fit", lambda *_: (weights, cuts))
+    rows = toxicity.score(edge_docs, None, ("doc_id", "text")).collect()
+    assert len(rows) == edge_docs.count()
+    for r in rows:
+        x = sum(float(weights[b]) * v for b, v in brute_toxic_features(r.text).items())
+        above = [1 / (1 + math.exp(-(x - c))) for c in cuts]
+        chances = [1 - above[0], above[0] - above[1], above[1]]
+        assert r._severity == pytest.approx(sum(above)) and r._p_toxic == pytest.approx(above[0]) and chances[r._grade] == pytest.approx(max(chances))
+        assert r._toxic == (r._p_toxic >= toxicity.TOXIC)
+
+
+def test_quality_scores_equal_brute_force(spark, edge_docs, monkeypatch):
+    from geoexposure.llm.features import _shape, plain_word
+
+    draws = np.random.default_rng(8)
+    weights, bias = draws.normal(0, 0.3, 1 << 18).astype(np.float32), -0.2
+    monkeypatch.setattr(quality, "fit", lambda *_: (weights, bias))
+    full, mixers = 2**64 - 1, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+    turned = lambda h: ((h << 17) | (h >> 47)) & full
+    weight = lambda h, salt: float(weights[((((h ^ (h >> 29)) * mixers[salt % 3]) + salt) & full) >> 46])
+    texts = ["one two two three", "Three more, please!", "a a a", "", "a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for r in quality.score(docs, None).collect():
+        words = texts[r.doc_id].split()
+        total = 0.0
+        for k, w in enumerate(words):
+            for kind, salts in ((plain_word, (3, 4)), (_shape, (5, 6))):
+                seed = 0 if kind is plain_word else 1
+                own = [xxhash.xxh64_intdigest(kind(v), seed) for v in words[k : k + 2]]
+                repeats = k > 0 and xxhash.xxh64_intdigest(plain_word(words[k - 1])) == xxhash.xxh64_intdigest(plain_word(w))
+                total += weight(own[0], salts[0])
+                total += weight(1 + seed if repeats else ((own[0] * mixers[1]) & full) ^ turned(own[1] if len(own) > 1 else 0), salts[1])
+        assert r.score == pytest.approx(1 / (1 + math.exp(-(8.0 * total / max(1, len(words)) + bias))))
+
+
 def test_thresholds_are_ordered():
     draws = np.random.default_rng(5)
     at = draws.integers(0, 50, 4000)
@@ -379,6 +435,28 @@ def test_pipeline(spark, sf_dir, edge_docs, no_docs):
             assert done.count() <= 3 * docs.count()
 
 
+def test_pipeline_equals_brute_force(spark, sf_dir):
+    """Every stage but the mix's order in plain Python, over whole tables."""
+    import corpus_pipeline
+    import sentencepiece
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    toxic = {r.doc_id for r in toxicity.score(docs, labels).collect() if r._toxic}
+    rows = {r.doc_id: r for r in docs.collect() if r.doc_id not in toxic}
+    last = {rows[i].text or "": i for i in sorted(rows)}
+    rows = {i: rows[i] for i in last.values()}
+    sets = {i: set(simhash.features(r.text or "", 5)) for i, r in rows.items()}
+    sets = {i: s for i, s in sets.items() if s}
+    near = [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    gone = {i for i, c in components(near, sets).items() if i != c}
+    rows = {i: r for i, r in rows.items() if i not in gone}
+    copies = {r.doc_id: r.copies for r in mixing.mixed_report(spark.createDataFrame(list(rows.values()), docs.schema)).collect() if r.copies}
+    out = corpus_pipeline.run(spark, sf_dir).collect()
+    assert Counter(r.doc_id for r in out) == Counter(copies) and gone and toxic
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    assert all(list(r.ids) == model.encode(rows[r.doc_id].text or "") for r in out)
+
+
 def test_arrow_slices_are_whole():
     from geoexposure.llm.shared import Words, slices
 
