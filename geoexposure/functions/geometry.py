@@ -94,6 +94,14 @@ def point_segment_distance(x: Column, y: Column, x1: Column, y1: Column, x2: Col
     return F.hypot(x - x1 - dx * along, y - y1 - dy * along)
 
 
+def segment_distance(x1: Column, y1: Column, x2: Column, y2: Column, px: Column, py: Column, qx: Column, qy: Column) -> Column:
+    """Distance of the segments (x1, y1)-(x2, y2) and (px, py)-(qx, qy); 0 where they cross."""
+    turn = lambda ax, ay, bx, by, cx, cy: F.signum((bx - ax) * (cy - ay) - (by - ay) * (cx - ax))
+    crossing = (turn(x1, y1, x2, y2, px, py) * turn(x1, y1, x2, y2, qx, qy) < 0) & (turn(px, py, qx, qy, x1, y1) * turn(px, py, qx, qy, x2, y2) < 0)
+    gaps = [point_segment_distance(x, y, px, py, qx, qy) for x, y in ((x1, y1), (x2, y2))] + [point_segment_distance(x, y, x1, y1, x2, y2) for x, y in ((px, py), (qx, qy))]
+    return F.when(crossing, 0.0).otherwise(F.least(*gaps))
+
+
 def cover(low: Column, high: Column, step: float) -> Column:
     """Numbers of the grid intervals of width ``step`` that [low, high] meets."""
     return F.sequence(F.floor(low / step).cast("long"), F.floor(high / step).cast("long"))

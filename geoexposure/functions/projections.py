@@ -61,14 +61,18 @@ def to_utm(lon: Column, lat: Column, zone: Column) -> tuple[Column, Column]:
     return east * (UTM_SCALE * radius) + 500000.0, north * (UTM_SCALE * radius) + F.when(lat < 0, 10000000.0).otherwise(0.0)
 
 
+def square_name(zone: Column, band: Column, east: Column, north: Column) -> Column:
+    """Name of a square from its zone, the number of its band from 80 degrees south, and its easting and northing in whole 100 km."""
+    column = _at(F.element_at(F.array(*map(F.lit, COLUMNS)), (zone - 1) % 3 + 1), east - 1)
+    row = _at(F.element_at(F.array(*map(F.lit, ROWS)), (zone - 1) % 2 + 1), F.pmod(north, F.lit(20)))
+    return F.concat(F.lpad(zone.cast("string"), 2, "0"), _at(BANDS, band), column, row)
+
+
 def to_mgrs_100k(lon: Column, lat: Column) -> Column:
     """Zone, band and 100-km square; a message outside the bands."""
     zone = utm_zone(lon)
     east, north = to_utm(lon, lat, zone)
-    band = _at(BANDS, F.floor(lat / 8 + 10))
-    column = _at(F.element_at(F.array(*map(F.lit, COLUMNS)), (zone - 1) % 3 + 1), F.floor(east / 100000) - 1)
-    row = _at(F.element_at(F.array(*map(F.lit, ROWS)), (zone - 1) % 2 + 1), F.pmod(F.floor(north / 100000), F.lit(20)))
-    name = F.concat(F.lpad(zone.cast("string"), 2, "0"), band, column, row)
+    name = square_name(zone, F.floor(lat / 8 + 10), F.floor(east / 100000), F.floor(north / 100000))
     return F.when(lat < -80, "Too far South").when(lat > 84, "Too far North").otherwise(name)
 
 
@@ -82,22 +86,44 @@ def tiles_for_bbox(boxes: DataFrame) -> DataFrame:
     return v.withColumn("tile", F.format_string("h%02dv%02d", "h", "v")).drop("h", "v")
 
 
-def mgrs_tiles_for_bbox(boxes: DataFrame, step: float = 50000.0) -> DataFrame:
-    """Every box with the 100-km squares that it meets.
+def mgrs_tiles_for_bbox(boxes: DataFrame, step: float = 50000.0, edge: float = 5000.0) -> DataFrame:
+    """Every box (xmin, ymin, xmax, ymax in degrees) with the 100-km squares that it meets; where xmin > xmax it lies across the date line.
 
-    The box is sampled per zone at half the size of a square along both axes, edges included, which finds every square that holds a
-    sample; squares that only touch a sliver of the box between samples can be missed.
+    Boxes are cut to zones and latitude bands. The squares that the four edges of such a piece run through are found from pairs of points ``edge`` metres apart,
+    those in its inside from points at half the size of a square. Between two points an edge is taken as straight, which is off by a metre or so (a few near 84 degrees).
     """
-    count = lambda span, metres: F.greatest(F.lit(1), F.ceil(span * metres / step).cast("int"))
-    zones = boxes.withColumn("zone", F.explode(F.sequence(utm_zone(F.col("xmin")), F.greatest(utm_zone(F.col("xmin")), F.when(F.col("xmax") >= 180, 60).otherwise(utm_zone(F.col("xmax")))))))
-    west, east = F.greatest("xmin", F.col("zone") * 6.0 - 186 + 1e-9), F.least("xmax", F.col("zone") * 6.0 - 180)
-    south, north = F.greatest("ymin", F.lit(-80.0)), F.least("ymax", F.lit(84.0))
-    zones = zones.select("*", west.alias("_w"), east.alias("_e"), south.alias("_s"), north.alias("_n")).where("_w <= _e AND _s <= _n")
-    zones = zones.select("*", count(F.col("_e") - F.col("_w"), 111320.0).alias("_nx"), count(F.col("_n") - F.col("_s"), 111320.0).alias("_ny"))
-    points = zones.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_nx")))).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_ny"))))
-    lon = F.col("_w") + (F.col("_e") - F.col("_w")) * F.col("_i") / F.col("_nx")
-    lat = F.col("_s") + (F.col("_n") - F.col("_s")) * F.col("_j") / F.col("_ny")
-    return points.select(*boxes.columns, to_mgrs_100k(lon, lat).alias("square")).distinct()
+    count = lambda span, metres: F.greatest(F.lit(1), F.ceil(span * 111320.0 / metres).cast("int"))
+    part = lambda w, e: F.struct(w.cast("double").alias("w"), e.cast("double").alias("e"))
+    xmin, xmax = F.col("xmin"), F.col("xmax")
+    halves = F.when(xmin <= xmax, F.array(part(xmin, xmax))).otherwise(F.array(part(xmin, F.lit(180.0)), part(F.lit(-180.0), xmax)))
+    last = F.when(F.col("_h.e") >= 180, 60).otherwise(utm_zone(F.col("_h.e")))
+    first = F.when(F.col("_h.w") >= 180, 60).otherwise(utm_zone(F.col("_h.w")))
+    zones = boxes.select(F.struct("*").alias("_own"), "ymin", "ymax", F.explode(halves).alias("_h"))
+    zones = zones.where("ymin <= 84 AND ymax >= -80").withColumn("_zone", F.explode(F.sequence(first, F.greatest(first, last))))
+    band = lambda lat: F.least(F.lit(19), F.greatest(F.lit(0), F.floor(lat / 8 + 10))).cast("int")
+    bands = zones.withColumn("_band", F.explode(F.sequence(band(F.col("ymin")), band(F.col("ymax")))))
+    # A meridian between zones is the western one's, a parallel between bands the northern one's.
+    west, east = F.greatest("_h.w", F.col("_zone") * 6.0 - 186 + F.when(F.col("_zone") > 1, 1e-9).otherwise(0.0)), F.least("_h.e", F.col("_zone") * 6.0 - 180)
+    south, north = F.greatest("ymin", F.col("_band") * 8.0 - 80), F.least("ymax", F.when(F.col("_band") == 19, 84.0).otherwise(F.col("_band") * 8.0 - 72 - 1e-9))
+    pieces = bands.select("_own", "_zone", "_band", west.alias("w"), east.alias("e"), south.alias("s"), north.alias("n")).where("w <= e AND s <= n")
+
+    w, e, s, n = map(F.col, "wesn")
+    place = lambda lon, lat: F.struct(lon.alias("lon"), lat.alias("lat"))
+    # One pair for a step along an edge; inside, both of its points are the same.
+    along = lambda much, at: F.transform(F.sequence(F.lit(0), much - 1), lambda i: F.struct(at(i / much).alias("a"), at((i + 1) / much).alias("b")))
+    wide, high = count(e - w, edge), count(n - s, edge)
+    edges = [along(wide, lambda t, lat=lat: place(w + (e - w) * t, lat)) for lat in (s, n)] + [along(high, lambda t, lon=lon: place(lon, s + (n - s) * t)) for lon in (w, e)]
+    across, up = count(e - w, step), count(n - s, step)
+    inside = F.flatten(F.transform(F.sequence(F.lit(0), across), lambda i: F.transform(F.sequence(F.lit(0), up), lambda j: place(w + (e - w) * i / across, s + (n - s) * j / up))))
+    pairs = pieces.select("_own", "_zone", "_band", F.explode(F.concat(*edges, F.transform(inside, lambda p: F.struct(p.alias("a"), p.alias("b"))))).alias("_p"))
+    (ax, ay), (bx, by) = (to_utm(F.col(f"_p.{p}.lon"), F.col(f"_p.{p}.lat"), F.col("_zone")) for p in "ab")
+    pairs = pairs.select("_own", "_zone", "_band", *[(v / 100000).alias(c) for v, c in ((ax, "ax"), (ay, "ay"), (bx, "bx"), (by, "by"))])
+    cell = lambda x, y: F.struct(F.floor(x).alias("x"), F.floor(y).alias("y"))
+    share = lambda c: (F.greatest(F.floor(f"a{c}"), F.floor(f"b{c}")) - F.col(f"a{c}")) / (F.col(f"b{c}") - F.col(f"a{c}"))
+    corner = (F.floor("ax") != F.floor("bx")) & (F.floor("ay") != F.floor("by"))
+    between = F.when(corner, F.when(share("x") < share("y"), cell(F.col("bx"), F.col("ay"))).otherwise(cell(F.col("ax"), F.col("by")))).otherwise(cell(F.col("ax"), F.col("ay")))
+    met = pairs.select("_own", "_zone", "_band", F.explode(F.array(cell(F.col("ax"), F.col("ay")), cell(F.col("bx"), F.col("by")), between)).alias("_c"))
+    return met.select("_own.*", square_name(F.col("_zone"), F.col("_band"), F.col("_c.x"), F.col("_c.y")).alias("square")).distinct()
 
 
 def shift_lon_360(lon: Column) -> Column:

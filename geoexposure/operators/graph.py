@@ -14,6 +14,9 @@ TILE = 256
 # km/h by road class.
 SPEEDS = {"motorway": 105, "trunk": 90, "primary": 75, "secondary": 60, "tertiary": 50, "unclassified": 40, "residential": 35, "service": 25}
 
+#: Top speeds (km/h) on foot and by bicycle, which go at one pace on every class of road but those closed to them. Walkers use edges both ways.
+PACES, CLOSED = {"walk": 5.1, "bike": 18.0}, ("motorway", "trunk")
+
 
 def _tile_labels(image: np.ndarray) -> np.ndarray:
     """Smallest index of the 4-connected clump of each set cell of a small image; other cells have the number of cells."""
@@ -71,8 +74,18 @@ def mask_to_zones(cells: DataFrame, ncols: int, least: int = 1) -> tuple[DataFra
     return zones, labelled.withColumn("w", F.lit(1.0))
 
 
-def travel_seconds(edges: DataFrame, speeds: dict[str, float] | None = None, default: float = 40.0) -> DataFrame:
-    """Edges (u, v, length_m, cls) with their cost in whole seconds (rounded up) by the speed of their class."""
+def travel_seconds(edges: DataFrame, speeds: dict[str, float] | None = None, default: float = 40.0, mode: str = "drive") -> DataFrame:
+    """Edges (u, v, cost) of edges (u, v, length_m, cls): whole seconds (rounded up) by the means of travel ``mode``.
+
+    Drivers go by the speed of the road's class (``speeds`` replaces those of the table), walkers and cyclists at one pace, not on motorways and trunk roads.
+    """
+    if mode not in ("drive", *PACES):
+        raise ValueError(f"unknown mode {mode!r}; known: drive, {', '.join(PACES)}")
+    if mode in PACES:
+        open_to = edges.where(F.col("cls").isNull() | ~F.col("cls").isin(*CLOSED))
+        cost = F.ceil(F.col("length_m") * 3.6 / PACES[mode]).cast("long").alias("cost")
+        ways = open_to.select("u", "v", cost)
+        return ways.unionByName(ways.select(F.col("v").alias("u"), F.col("u").alias("v"), "cost")) if mode == "walk" else ways
     table = SPEEDS | (speeds or {})
     pairs = [x for k, v in table.items() for x in (F.lit(k), F.lit(float(v)))]
     speed = F.coalesce(F.element_at(F.create_map(*pairs), F.col("cls")), F.lit(float(default)))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from geoexposure.operators import kernels as K
 from geoexposure.operators.focal import _std, tiled_apply
+from geoexposure.operators.graph import clumps
 
 
 def scene_scalar(cells: DataFrame, value: Column, how: str = "mean") -> float | None:
@@ -85,6 +86,11 @@ def outage_zscore(cells: DataFrame, floor: float = 0.15) -> DataFrame:
     return cells.select("row", "col", F.when(F.col("valid"), score).alias("z_score"), F.when(F.col("valid"), health).otherwise(0).alias("health"))
 
 
+def confirmed_outages(health: DataFrame, ncols: int, least: int = 2) -> DataFrame:
+    """(row, col) of the outages of ``outage_zscore`` (health 2) that touch each other along sides in clumps of ``least`` cells or more."""
+    return clumps(health.where("health = 2").select("row", "col"), ncols, least).select("row", "col")
+
+
 def outage_confidence(cells: DataFrame, nrows: int, ncols: int, dim: float = 50, out: float = 80) -> DataFrame:
     """(row, col, log_diff, health, confidence). Cells carry ``std``, ``num`` (clear days of the baseline) and ``cloudy``.
 

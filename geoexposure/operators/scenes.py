@@ -48,15 +48,25 @@ def latest_available_month(wanted: DataFrame, months: DataFrame, back: int = 3)
     return wanted.join(found, "id", "left")
 
 
-def greedy_cover(cells: DataFrame, by: str = "tile", most: int = 10) -> DataFrame:
+def greedy_cover(cells: DataFrame, by: str = "tile", most: int = 10, target: DataFrame | None = None, rest: float = 0.001) -> DataFrame:
     """(tile, rank, added): the scenes that a walk in the order of ``rank`` takes because they add cells, and how many.
 
     ``cells``: tile, rank, cell. A scene adds exactly the cells that no scene before it has, so the first rank of each cell
-    tells it without a walk; the first ``most`` such scenes count.
+    tells it without a walk; the first ``most`` such scenes count, and none after those that leave less than ``rest`` of the area.
+    The area of a tile is that of ``target`` (tile, cell), cells outside of which don't count, or else what all its scenes cover.
     """
-    owner = cells.groupBy(by, "cell").agg(F.min("rank").alias("rank"))
-    taken = owner.groupBy(by, "rank").agg(F.count("*").alias("added"))
-    return taken.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy("rank"))).where(F.col("_n") <= most).drop("_n")
+    if target is not None:
+        target = target.select(by, "cell").distinct()
+        cells = cells.join(target, [by, "cell"], "left_semi")
+    taken = cells.groupBy(by, "cell").agg(F.min("rank").alias("rank")).groupBy(by, "rank").agg(F.count("*").alias("added"))
+    order = Window.partitionBy(by).orderBy("rank")
+    if target is None:
+        taken = taken.withColumn("_area", F.sum("added").over(Window.partitionBy(by)))
+    else:
+        taken = taken.join(target.groupBy(by).agg(F.count("*").alias("_area")), by)
+    before = F.coalesce(F.sum("added").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = taken.withColumn("_n", F.row_number().over(order)).withColumn("_left", F.col("_area") - before)
+    return taken.where((F.col("_n") <= most) & (F.col("_left") >= F.col("_area") * rest)).drop("_n", "_area", "_left")
 
 
 def prune_similar(cells: DataFrame, by: str = "tile", similar: float = 0.5) -> DataFrame:

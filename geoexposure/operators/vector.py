@@ -194,6 +194,29 @@ def within_distance(points: DataFrame, segments: DataFrame, d: float) -> DataFra
     return points.join(met.where(near).select("fid").distinct(), "fid", "left_semi")
 
 
+def barrier_edges(edges: DataFrame, lines: DataFrame | None = None, polygons: DataFrame | None = None, d: float = 5.0) -> DataFrame:
+    """(u, v), each once, of the edges (u, v, x1, y1, x2, y2) that barriers block: those within ``d`` of a line (geom) or that touch a polygon (geom).
+
+    Edges meet the segments of lines and the sides of polygons on grid cells; an edge within a polygon has no side near it and is found by its start.
+    """
+    step = max(4.0 * d, 1.0)
+    ends = G.segment(*map(F.col, ("x1", "y1", "x2", "y2")))
+    roads = edges.select("u", "v", "x1", "y1", "x2", "y2")
+    found = []
+    cells = on_grid(roads, ends, step)
+    for barriers, paths, reach in ((lines, F.array("geom"), d), (polygons, F.col("geom"), 0.0)):
+        if barriers is None:
+            continue
+        sides = barriers.select(F.explode(paths).alias("_path")).select(F.explode(G.steps(F.col("_path"), lambda p, q: F.struct(p.alias("p"), q.alias("q")))).alias("_s"))
+        sides = sides.selectExpr("_s.p.x AS px", "_s.p.y AS py", "_s.q.x AS qx", "_s.q.y AS qy")
+        met = cells.join(on_grid(sides, G.segment(*map(F.col, ("px", "py", "qx", "qy"))), step, reach), ["_cx", "_cy"])
+        found.append(met.where(G.segment_distance(*map(F.col, ("x1", "y1", "x2", "y2", "px", "py", "qx", "qy"))) <= reach).select("u", "v"))
+    if polygons is not None:
+        starts = roads.select("u", "v", F.col("x1").alias("x"), F.col("y1").alias("y"))
+        found.append(point_in_polygon(starts, polygons.select("geom"), max(step, 16.0)).select("u", "v"))
+    return reduce(DataFrame.unionByName, found).distinct() if found else roads.select("u", "v").where("false")
+
+
 def polygons_to_grid_pieces(zones: DataFrame, step: float) -> DataFrame:
     """(zone_id, cx, cy, area) of the pieces into which a grid of width ``step`` cuts polygons."""
 

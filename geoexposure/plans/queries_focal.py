@@ -54,9 +54,10 @@ def foc3(t: Tables):
     return _rounded(O.focal_gradient(_values(t), t.nrows, 100), "value")
 
 
-@query("foc4_haze_mask", f"WITH v AS (SELECT row, col, (CAST(value AS DOUBLE)/1e6 % 7 - 5)/5 AS value FROM px), w AS ({window('v', disk(2))}) SELECT row, col, CASE WHEN avg(v) < -5e-1 AND sqrt(greatest(avg(v*v)-avg(v)*avg(v), 0)) < 35e-2 THEN 1 ELSE 0 END AS haze FROM w GROUP BY 1, 2")
+@query("foc4_haze_mask", f"WITH v AS (SELECT row, col, (CAST(value AS DOUBLE)/1e6 % 7 - 3)/1e1 - CASE WHEN floor(row/20) % 3 = 0 THEN 55e-2 ELSE 0e0 END AS value FROM px), w AS ({window('v', disk(7))}) SELECT row, col, CASE WHEN avg(v) < -5e-1 AND sqrt(greatest(avg(v*v)-avg(v)*avg(v), 0)) < 35e-2 THEN 1 ELSE 0 END AS haze FROM w GROUP BY 1, 2")
 def foc4(t: Tables):
-    return O.haze_mask(t.px.select("row", "col", ((F.col("value") / 1e6 % 7 - 5) / 5).alias("value")), t.nrows, 100, radius=2)
+    banks = F.when(F.floor(F.col("row") / 20) % 3 == 0, 0.55).otherwise(0.0)
+    return O.haze_mask(t.px.select("row", "col", ((F.col("value") / 1e6 % 7 - 3) / 10 - banks).alias("value")), t.nrows, 100)
 
 
 BOX7 = "SELECT a.range AS i, b.range AS j, 1e0 AS k FROM range(-3, 4) a, range(-3, 4) b"
@@ -133,6 +134,14 @@ def out2(t: Tables):
     return _rounded(outage.outage_zscore(_bands(t)), "z_score")
 
 
+@query("out2_confirmed_outages", f"""
+WITH {BANDS}, r AS (SELECT *, daily-base-m AS rest FROM b, (SELECT quantile_cont(daily-base, 0.5) AS m FROM b WHERE valid) q),
+h AS (SELECT row, col FROM r WHERE valid AND (rest < -7e-1 OR rest/greatest(std/exp(base), 15e-2) < -3))
+SELECT DISTINCT a.row, a.col FROM h a JOIN h b ON (abs(a.row-b.row) = 1 AND a.col = b.col) OR (a.row = b.row AND abs(a.col-b.col) = 1)""")
+def out2_confirmed(t: Tables):
+    return outage.confirmed_outages(outage.outage_zscore(_bands(t)), 100)
+
+
 @query("out3_outage_confidence", f"""
 WITH {BANDS}, {smoothed(1)}, z AS (SELECT b.*, CASE WHEN valid THEN s.daily-s.base END AS ld FROM b JOIN s USING (row, col)),
 h AS (SELECT *, CASE WHEN ld < ln(1-8e1/100) THEN 2 WHEN ld < ln(1-5e1/100) THEN 1 ELSE 0 END AS health FROM z)

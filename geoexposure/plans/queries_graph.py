@@ -35,9 +35,9 @@ def times(name: str, on: str) -> str:
     return f"{name}(node, s) AS (SELECT u, CAST(0 AS BIGINT) FROM edges WHERE u % 50 = 0 UNION SELECT e.u, {name}.s + e.cost FROM {name} JOIN e ON e.v = {name}.node WHERE {name}.s + e.cost <= 3600 AND {on})"
 
 
-def roads(t: Tables):
+def roads(t: Tables, mode: str = "drive"):
     named = F.element_at(F.array(*map(F.lit, CLASSES)), (F.length("cls") % 6 + 1).cast("int"))
-    return graph.travel_seconds(t.edges.withColumn("cls", named))
+    return graph.travel_seconds(t.edges.withColumn("cls", named), mode=mode)
 
 
 @query("itr4_service_area", f"WITH {COSTS}, {times('w', 'true')} SELECT node, CASE WHEN min(s) <= 300 THEN 5 WHEN min(s) <= 900 THEN 15 WHEN min(s) <= 1800 THEN 30 ELSE 60 END AS contour FROM w GROUP BY 1")
@@ -46,6 +46,17 @@ def itr4(t: Tables):
     return graph.service_area(graph.travel_times(roads(t), sites, 3600))
 
 
+WALKS = "w0 AS (SELECT u, v, CAST(ceil(length_m*36e-1/51e-1) AS BIGINT) AS c FROM edges WHERE length(cls) % 6 > 1), e AS (SELECT u, v, c AS cost FROM w0 UNION ALL SELECT v, u, c FROM w0)"
+
+
+@query("itr4_service_area_on_foot", f"""
+WITH {WALKS}, w(node, s) AS (SELECT u, CAST(0 AS BIGINT) FROM edges WHERE u % 50 = 0 UNION SELECT e.u, w.s + e.cost FROM w JOIN e ON e.v = w.node WHERE w.s + e.cost <= 21600)
+SELECT node, CASE WHEN min(s) <= 7200 THEN 120 WHEN min(s) <= 14400 THEN 240 ELSE 360 END AS contour FROM w GROUP BY 1""")
+def itr4_walk(t: Tables):
+    sites = t.edges.where("u % 50 = 0").select(F.col("u").alias("node"))
+    return graph.service_area(graph.travel_times(roads(t, "walk"), sites, 21600), (120, 240, 360))
+
+
 def people(name: str) -> str:
     return f"SELECT c AS contour, CAST(sum(n) AS BIGINT) AS people FROM (SELECT node, min(s) AS s FROM {name} GROUP BY 1) q JOIN (SELECT fid % 2000 AS node, count(*) AS n FROM feats GROUP BY 1) p USING (node) JOIN (SELECT 5 AS c UNION ALL SELECT 15 UNION ALL SELECT 30 UNION ALL SELECT 60) k ON s <= c*60 GROUP BY 1"
 

@@ -79,11 +79,9 @@ def prj27(t: Tables):
 
 @query("prj28_resample_bilinear", """
 SELECT row, col, round(sum(value*w)/sum(w), 4) AS value FROM (SELECT t.row, t.col, p.value, (1-abs((t.row+5e-1)/2-5e-1-p.row))*(1-abs((t.col+5e-1)/2-5e-1-p.col)) AS w
-  FROM px t JOIN px p ON p.row IN (CAST(floor((t.row+5e-1)/2-5e-1) AS INTEGER), CAST(floor((t.row+5e-1)/2-5e-1) AS INTEGER)+1) AND p.col IN (CAST(floor((t.col+5e-1)/2-5e-1) AS INTEGER), CAST(floor((t.col+5e-1)/2-5e-1) AS INTEGER)+1)
-  WHERE t.row < (SELECT count(*)/100 FROM orders) AND p.row < (SELECT count(*)/200 FROM orders)+1 AND p.col < 51) q WHERE w > 0 GROUP BY 1, 2""")
+  FROM (SELECT 2*row+i AS row, 2*col+j AS col FROM px, (SELECT range AS i FROM range(2)) a, (SELECT range AS j FROM range(2)) b) t JOIN px p ON p.row IN (CAST(floor((t.row+5e-1)/2-5e-1) AS INTEGER), CAST(floor((t.row+5e-1)/2-5e-1) AS INTEGER)+1) AND p.col IN (CAST(floor((t.col+5e-1)/2-5e-1) AS INTEGER), CAST(floor((t.col+5e-1)/2-5e-1) AS INTEGER)+1)) q WHERE w > 0 GROUP BY 1, 2""")
 def prj28(t: Tables):
-    low = t.px.where((F.col("row") < t.nrows / 2 + 1) & (F.col("col") < 51)).select("row", "col", "value")
-    return raster.resample_bilinear(low, t.nrows, 100, 0.5).withColumn("value", F.round("value", 4))
+    return raster.resample_bilinear(t.px.select("row", "col", "value"), t.nrows * 2, 200, 0.5).withColumn("value", F.round("value", 4))
 
 
 @query("prj30_mask_clouds", "SELECT row, col, cls FROM px WHERE NOT (mask = 1 AND value % 10 = 0)")

@@ -34,14 +34,14 @@ def scn3(t: Tables):
 
 @query("scn4_latest_available_month", """
 SELECT id, month, max(m) AS found FROM (SELECT DISTINCT user_id AS id, CAST(date_trunc('month', DATE '1995-03-01' + CAST(user_id*13 AS INTEGER)) AS DATE) AS month FROM events) w
-LEFT JOIN (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS m FROM orders WHERE o_orderkey % 4001 = 0) h ON m <= month AND m >= month - INTERVAL 3 MONTH GROUP BY 1, 2""")
+LEFT JOIN (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS m FROM orders) h ON m <= month AND m >= month - INTERVAL 3 MONTH GROUP BY 1, 2""")
 def scn4(t: Tables):
     wanted = t.events.select(F.col("user_id").alias("id")).distinct().select("id", F.trunc(F.date_add(F.lit("1995-03-01").cast("date"), (F.col("id") * 13).cast("int")), "month").alias("month"))
-    months = t.orders.where("o_orderkey % 4001 = 0").select(F.trunc("o_orderdate", "month").alias("month"))
+    months = t.orders.select(F.trunc("o_orderdate", "month").alias("month"))
     return S.latest_available_month(wanted, months)
 
 
-CELLS = "SELECT tile, rank, (cell0 + i) % 101 AS cell FROM (SELECT tile, row_number() OVER (PARTITION BY tile ORDER BY cloud, scene_id) AS rank, coverage AS cell0 FROM scenes) s, (SELECT range AS i FROM range(30)) r WHERE rank <= 20"
+CELLS = "SELECT tile, rank, (cell0 + i) % 101 AS cell FROM (SELECT tile, row_number() OVER (PARTITION BY tile ORDER BY cloud, scene_id) AS rank, coverage AS cell0 FROM scenes) s, (SELECT range AS i FROM range(30)) r"
 
 
 def _cells(t: Tables):
@@ -50,17 +50,15 @@ def _cells(t: Tables):
 
 
 @query("scn5_greedy_cover", f"""
-SELECT tile, rank, added FROM (SELECT tile, rank, count(*) AS added, row_number() OVER (PARTITION BY tile ORDER BY rank) AS n FROM (SELECT tile, cell, min(rank) AS rank FROM ({CELLS}) c GROUP BY 1, 2) o GROUP BY 1, 2) q WHERE n <= 10""")
+SELECT tile, rank, added FROM (SELECT tile, rank, count(*) AS added, row_number() OVER (PARTITION BY tile ORDER BY rank) AS n FROM (SELECT tile, cell, min(rank) AS rank FROM ({CELLS}) c WHERE cell < 60 GROUP BY 1, 2) o GROUP BY 1, 2) q WHERE n <= 10""")
 def scn5(t: Tables):
-    # Its oracle takes a tile's first 20 scenes only; scn5_greedy_cover_all takes all.
-    return S.greedy_cover(_cells(t).where("rank <= 20")).select("tile", F.col("rank").cast("long").alias("rank"), "added")
-
-
-ALL_CELLS = "SELECT tile, rank, (cell0 + i) % 101 AS cell FROM (SELECT tile, row_number() OVER (PARTITION BY tile ORDER BY cloud, scene_id) AS rank, coverage AS cell0 FROM scenes) s, (SELECT range AS i FROM range(30)) r"
+    # The area of interest is a tile's first 60 cells; in scn5_greedy_cover_all it is the whole tile.
+    area = t.scenes.select("tile").distinct().select("tile", F.explode(F.sequence(F.lit(0), F.lit(59))).alias("cell"))
+    return S.greedy_cover(_cells(t), target=area).select("tile", F.col("rank").cast("long").alias("rank"), "added")
 
 
 @query("scn5_greedy_cover_all", f"""
-SELECT tile, rank, added FROM (SELECT tile, rank, count(*) AS added, row_number() OVER (PARTITION BY tile ORDER BY rank) AS n FROM (SELECT tile, cell, min(rank) AS rank FROM ({ALL_CELLS}) c GROUP BY 1, 2) o GROUP BY 1, 2) q WHERE n <= 10""")
+SELECT tile, rank, added FROM (SELECT tile, rank, count(*) AS added, row_number() OVER (PARTITION BY tile ORDER BY rank) AS n FROM (SELECT tile, cell, min(rank) AS rank FROM ({CELLS}) c GROUP BY 1, 2) o GROUP BY 1, 2) q WHERE n <= 10""")
 def scn5_all(t: Tables):
     return S.greedy_cover(_cells(t)).select("tile", F.col("rank").cast("long").alias("rank"), "added")
 

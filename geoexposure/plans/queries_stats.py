@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from geoexposure.operators import graph, stats
+from geoexposure.operators import graph, layers, stats
 from geoexposure.plans.fixtures import Tables
 from geoexposure.plans.registry import query
 
@@ -50,16 +50,15 @@ def agg22(t: Tables):
     return stats.extent_by_code(boxes).unionByName(stats.extent_by_code(boxes, None).withColumn("iso3", F.lit("all")))
 
 
-@query("set1_append_layer", "SELECT fid, iso, side, NULL AS age FROM feats WHERE iso < 5 UNION ALL SELECT fid, iso, NULL, age FROM feats WHERE iso BETWEEN 5 AND 9")
+@query("set1_append_layer", "SELECT fid, iso, CASE WHEN sex = 0 THEN side END AS side, CASE WHEN sex = 1 THEN age END AS age FROM feats")
 def set1(t: Tables):
-    a = t.feats.where("iso < 5").select("fid", "iso", "side")
-    return a.unionByName(t.feats.where("iso BETWEEN 5 AND 9").select("fid", "iso", "age"), allowMissingColumns=True)
+    return layers.append_layer(t.feats.where("sex = 0").select("fid", "iso", "side"), t.feats.where("sex = 1").select("fid", "iso", "age"))
 
 
 @query("set2_dedupe_ids", "SELECT DISTINCT tile AS id FROM scenes WHERE cloud < 50 OR coverage > 40")
 def set2(t: Tables):
     a, b = t.scenes.where("cloud < 50").select(F.col("tile").alias("id")), t.scenes.where("coverage > 40").select(F.col("tile").alias("id"))
-    return a.unionByName(b).dropDuplicates(["id"])
+    return layers.dedupe_ids(a, b)
 
 
 EXPECTED = "SELECT DISTINCT user_id AS tile FROM {events}"
@@ -67,12 +66,12 @@ EXPECTED = "SELECT DISTINCT user_id AS tile FROM {events}"
 
 @query("set3_missing_expected", "SELECT DISTINCT tile FROM scenes WHERE tile NOT IN (SELECT tile FROM scenes WHERE cloud < 1 AND coverage > 60)")
 def set3(t: Tables):
-    return t.sql(EXPECTED).join(t.scenes.where("cloud < 1 AND coverage > 60").select("tile"), "tile", "left_anti")
+    return layers.missing_expected(t.sql(EXPECTED), t.scenes.where("cloud < 1 AND coverage > 60"))
 
 
 @query("set4_common_tiles", "SELECT DISTINCT tile FROM scenes WHERE cloud < 1 INTERSECT SELECT DISTINCT tile FROM scenes WHERE coverage > 95")
 def set4(t: Tables):
-    return t.scenes.where("cloud < 1").select("tile").intersect(t.scenes.where("coverage > 95").select("tile"))
+    return layers.common_tiles(t.scenes.where("cloud < 1"), t.scenes.where("coverage > 95"))
 
 
 @query("jn15_compare_barriers", "SELECT sex + 1 AS contour, n, b AS n_barrier, n - b AS n_difference FROM (SELECT sex, count(*) AS n, CASE WHEN sex = 1 THEN count(CASE WHEN age > 40 THEN 1 END) END AS b FROM feats GROUP BY 1) q")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geoexposure.functions import geometry as G
+from geoexposure.operators import layers
 from geoexposure.operators import vector as V
 from geoexposure.plans.fixtures import Tables
 from geoexposure.plans.queries_sources import zone_polygons
@@ -19,6 +20,9 @@ PIECES = """SELECT fid, cls, zone_id, hypot(x2-x1, y2-y1)*(hi-lo) AS length, hyp
 """
 
 
+SQUARES = "SELECT fid AS zone_id, x-side/2 AS xmin, x+side/2 AS xmax, y-side/2 AS ymin, y+side/2 AS ymax FROM feats"
+
+
 def segments(t: Tables):
     return t.lines.withColumn("geom", G.segment(*map(F.col, ("x1", "y1", "x2", "y2"))))
 
@@ -91,9 +95,11 @@ def jn7(t: Tables):
     return V.bbox_overlaps(a, b).select("fid", "zone_id")
 
 
-@query("jn8_exclude_disputed", f"SELECT zone_id, name FROM zones WHERE zone_id NOT IN (SELECT zone_id FROM ({PIECES}) q WHERE fid % 97 = 0)")
+@query("jn8_exclude_disputed", f"SELECT fid AS zone_id, age FROM feats WHERE fid NOT IN (SELECT zone_id FROM ({PIECES.replace('JOIN zones', 'JOIN (' + SQUARES + ') z')}) q)")
 def jn8(t: Tables):
-    return V.exclude_disputed(zone_polygons(t).select("zone_id", "name", "geom"), segments(t).where("fid % 97 = 0").select("fid", "geom")).select("zone_id", "name")
+    half = F.col("side") / 2
+    square = G.rectangle(F.col("x") - half, F.col("y") - half, F.col("x") + half, F.col("y") + half)
+    return V.exclude_disputed(t.feats.select(F.col("fid").alias("zone_id"), "age", square.alias("geom")), segments(t).select("fid", "geom")).select("zone_id", "age")
 
 
 @query("jn9_nearest_place", """
@@ -132,6 +138,27 @@ def jn14(t: Tables):
     return V.within_distance(t.feats, t.lines, 0.7).select("fid")
 
 
+def _gap(x: str, y: str, a: str, b: str) -> str:
+    """SQL of the distance of a point to the segment from (ax, ay) to (bx, by)."""
+    dx, dy = f"({b}x-{a}x)", f"({b}y-{a}y)"
+    s = f"CASE WHEN {dx}=0 AND {dy}=0 THEN 0 ELSE greatest(0, least(1, (({x}-{a}x)*{dx}+({y}-{a}y)*{dy})/({dx}*{dx}+{dy}*{dy}))) END"
+    return f"sqrt(power({x}-{a}x-({s})*{dx}, 2)+power({y}-{a}y-({s})*{dy}, 2))"
+
+
+def _turn(a: str, b: str, c: str) -> str:
+    return f"sign(({b}x-{a}x)*({c}y-{a}y)-({b}y-{a}y)*({c}x-{a}x))"
+
+
+@query("jn14_barrier_edges", f"""
+SELECT DISTINCT u FROM (SELECT l.fid AS u, l.x1 AS mx, l.y1 AS my, l.x2 AS nx, l.y2 AS ny, w.x1 AS px, w.y1 AS py, w.x2 AS qx, w.y2 AS qy FROM lines l JOIN lines w ON l.cls NOT LIKE 'PROMO%' AND w.cls LIKE 'PROMO%'
+  AND least(l.x1,l.x2) <= greatest(w.x1,w.x2)+1 AND greatest(l.x1,l.x2) >= least(w.x1,w.x2)-1 AND least(l.y1,l.y2) <= greatest(w.y1,w.y2)+1 AND greatest(l.y1,l.y2) >= least(w.y1,w.y2)-1) q
+WHERE ({_turn('m', 'n', 'p')}*{_turn('m', 'n', 'q')} < 0 AND {_turn('p', 'q', 'm')}*{_turn('p', 'q', 'n')} < 0)
+  OR least({_gap('mx', 'my', 'p', 'q')}, {_gap('nx', 'ny', 'p', 'q')}, {_gap('px', 'py', 'm', 'n')}, {_gap('qx', 'qy', 'm', 'n')}) <= 7e-1""")
+def jn14_barriers(t: Tables):
+    edges = t.lines.where("cls NOT LIKE 'PROMO%'").select(F.col("fid").alias("u"), F.lit(0).alias("v"), "x1", "y1", "x2", "y2")
+    return V.barrier_edges(edges, segments(t).where("cls LIKE 'PROMO%'"), d=0.7).select("u")
+
+
 @query("jn16_polygons_to_grid_pieces", """
 SELECT zone_id, cx, cy, round((least(xmax,(cx+1)*7)-greatest(xmin,cx*7))*(least(ymax,(cy+1)*7)-greatest(ymin,cy*7)), 6) AS area FROM zones, (SELECT range AS cx FROM range(16)) a, (SELECT range AS cy FROM range(3000)) b
 WHERE xmin < (cx+1)*7 AND xmax > cx*7 AND ymin < (cy+1)*7 AND ymax > cy*7""")
@@ -141,8 +168,7 @@ def jn16(t: Tables):
 
 @query("jn17_country_skip", "SELECT fid, iso FROM feats WHERE iso IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)")
 def jn17(t: Tables):
-    available = t.supplier.where("s_acctbal > 9000").select(F.col("s_nationkey").alias("iso")).distinct()
-    return t.feats.select("fid", "iso").join(available, "iso", "left_semi")
+    return layers.country_skip(t.feats.select("fid", "iso"), t.supplier.where("s_acctbal > 9000").select(F.col("s_nationkey").alias("iso")))[0]
 
 
 OPS = ("sum", "max", "min", "mean", "median", "count")
@@ -185,4 +211,4 @@ def agg6(t: Tables):
 
 @query("ord1_order_by_area", "SELECT zone_id, round((xmax-xmin)*(ymax-ymin), 6) AS area FROM zones ORDER BY 2 DESC, 1")
 def ord1(t: Tables):
-    return polygons(t).select("zone_id", F.round(G.area(F.col("geom")), 6).alias("area")).orderBy(F.desc("area"), "zone_id")
+    return layers.order_by_area(polygons(t)).select("zone_id", F.round("area", 6).alias("area"))

@@ -3,9 +3,12 @@
 import heapq
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from geoexposure.functions import geometry as G
 from geoexposure.operators import focal, graph
+from geoexposure.operators import vector as V
 from geoexposure.operators.components import connected_components
 
 
@@ -69,6 +72,27 @@ def test_travel_times(spark):
         assert areas == {n: 1 if d <= 60 else 2 for n, d in best.items()}
 
 
+def test_means_of_travel(spark):
+    edges = spark.createDataFrame([(1, 2, 510, "motorway"), (2, 3, 510, "service"), (3, 4, 510, None)], "u long, v long, length_m long, cls string")
+    of = lambda **how: {tuple(r) for r in graph.travel_seconds(edges, **how).collect()}
+    assert of(mode="walk") == {(2, 3, 360), (3, 2, 360), (3, 4, 360), (4, 3, 360)}
+    assert of(mode="bike") == {(2, 3, 102), (3, 4, 102)}
+    assert of(speeds={"motorway": 51}) == {(1, 2, 36), (2, 3, 74), (3, 4, 46)}
+    with pytest.raises(ValueError):
+        graph.travel_seconds(edges, mode="fly")
+
+
+def test_barriers_of_lines_and_polygons(spark):
+    edges = spark.createDataFrame(
+        [(1, 1, 0.0, 0.0, 100.0, 0.0), (2, 2, 0.0, 20.0, 100.0, 20.0), (3, 3, 203.0, 203.0, 204.0, 204.0), (4, 4, 0.0, 300.0, 50.0, 300.0), (5, 5, 190.0, 250.0, 260.0, 250.0)],
+        "u long, v long, x1 double, y1 double, x2 double, y2 double",
+    )
+    lines = spark.createDataFrame([(50.0, 4.0, 50.0, 15.1), (50.0, 310.0, 50.0, 400.0)], "a double, b double, c double, d double").select(G.segment(*map(F.col, "abcd")).alias("geom"))
+    squares = spark.createDataFrame([(200.0, 200.0, 300.0, 300.0)], "a double, b double, c double, d double").select(G.rectangle(*map(F.col, "abcd")).alias("geom"))
+    blocked = lambda *on: {r.u for r in V.barrier_edges(edges, *on).collect()}
+    assert blocked(lines) == {1, 2} and blocked(None, squares) == {3, 5} and blocked(lines, squares) == {1, 2, 3, 5} and blocked() == set()
+
+
 def test_dilate_then_erode_holds_the_mask(spark):
     rnd = random.Random(5)
     cells = {(rnd.randrange(30), rnd.randrange(30)) for _ in range(200)}
