@@ -19,7 +19,8 @@ def fold(i: str, n: str) -> str:
 
 def window(source: str, offsets: str, value: str = "value") -> str:
     """Rows (row, col, k, v) of a source table for each cell and offset, mirrored at the grid's edge."""
-    return f"SELECT c.row, c.col, o.i, o.j, o.k, s.{value} AS v FROM {source} c, ({offsets}) o JOIN {source} s ON s.row = {fold('c.row+o.i', NR)} AND s.col = {fold('c.col+o.j', '100')}"
+    at = f"SELECT c.row, c.col, o.i, o.j, o.k, {fold('c.row+o.i', NR)} AS at_row, {fold('c.col+o.j', '100')} AS at_col FROM {source} c, ({offsets}) o"
+    return f"SELECT c.row, c.col, c.i, c.j, c.k, s.{value} AS v FROM ({at}) c JOIN {source} s ON s.row = at_row AND s.col = at_col"
 
 
 def disk(r: int) -> str:
