@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoexposure.llm import exact_dedup, mixing, pii, quality, sentencepiece_codec, simhash, token_counts, token_files, topk, toxicity
+from geoexposure.llm import exact_dedup, html_text, mixing, pii, quality, ranked, sentencepiece_codec, simhash, token_counts, token_files, topk, toxicity, vector_codes
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +63,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
@@ -75,6 +87,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_token_files": op9_token_files,
         "op10_quality": op10_quality,
+        "op11_html_text": op11_html_text,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_ranked": op13_ranked,
     }
 
 
@@ -83,4 +98,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_exact_dedup": exact_dedup.DUPLICATES_SQL,
         "op4_topk": topk.TOP5_SQL,
         "op7_mixing": mixing.REPORT_SQL,
+        "op12_vector_codes": vector_codes.COMPRESSED_SQL,
+        "op13_ranked": ranked.RANKED_SQL,
     }

@@ -40,7 +40,7 @@ def components(pairs, nodes):
 @pytest.mark.parametrize("name", sorted(text_queries.oracle_sql()))
 def test_oracles(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     df = text_queries.queries()[name](spark, sf_dir)
     found = con.execute(f"SELECT * FROM ({text_queries.oracle_sql()[name]}) q")
