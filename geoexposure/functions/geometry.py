@@ -1,4 +1,4 @@
-"""Geometry as arrays: a line is array<struct<x, y>>, a polygon an array of closed rings, holes wound against their shells."""
+"""Geometry as arrays: a line is array<struct<x, y>>, a polygon an array of closed rings, of any orientation: a ring within an odd number of others is a hole."""
 
 from __future__ import annotations
 
@@ -54,9 +54,36 @@ def steps(values: Column, of) -> Column:
     return _sides(values, of)
 
 
+def oriented(polygon: Column) -> Column:
+    """The polygon with its rings wound by how deep they lie: shells counter-clockwise, holes clockwise, islands in holes counter-clockwise again.
+
+    A ring lies in another one if most of the middles of three of its sides do, so rings may touch. A polygon of one ring is not looked at further.
+    """
+
+    def middle(ring: Column, k: int) -> Column:
+        at = ((F.size(ring) - 1) * k / 3).cast("int")
+        p, q = F.get(ring, at), F.get(ring, at + 1)
+        return point((p["x"] + q["x"]) / 2, (p["y"] + q["y"]) / 2)
+
+    def known(ring: Column) -> Column:
+        return F.struct(ring.alias("ring"), bbox(ring).alias("box"), F.array(*[middle(ring, k) for k in range(3)]).alias("probes"), signed_area(ring).alias("area"))
+
+    def lies_in(a: Column, b: Column) -> Column:
+        near = (a["box"]["xmin"] <= b["box"]["xmax"]) & (b["box"]["xmin"] <= a["box"]["xmax"]) & (a["box"]["ymin"] <= b["box"]["ymax"]) & (b["box"]["ymin"] <= a["box"]["ymax"])
+        votes = F.aggregate(a["probes"], F.lit(0), lambda n, p: n + _crossings(b["ring"], p["x"], p["y"]) % 2)
+        return near & (F.abs(b["area"]) > F.abs(a["area"])) & F.when(near, votes >= 2).otherwise(F.lit(False))
+
+    def wound(rings: Column) -> Column:
+        depth = lambda a: F.size(F.filter(rings, lambda b: lies_in(a, b)))
+        return F.transform(rings, lambda a: F.when((a["area"] < 0) == (depth(a) % 2 == 1), a["ring"]).otherwise(F.reverse(a["ring"])))
+
+    # The outer array binds what is known of the rings to a name, so it is worked out once.
+    return F.when(F.size(polygon) <= 1, polygon).otherwise(F.get(F.transform(F.array(F.transform(polygon, known)), wound), F.lit(0)))
+
+
 def area(polygon: Column) -> Column:
-    """Planar area; holes subtract."""
-    return F.abs(_total(F.transform(polygon, signed_area)))
+    """Planar area; holes subtract, whichever way rings are wound."""
+    return F.abs(_total(F.transform(oriented(polygon), signed_area)))
 
 
 def length(line: Column) -> Column:
@@ -66,9 +93,10 @@ def length(line: Column) -> Column:
 def centroid(polygon: Column) -> Column:
     """Centre of area as a struct; null for a polygon without area."""
     cross = lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]
-    moment = lambda axis: _total(F.transform(polygon, lambda r: _total(_sides(r, lambda p, q: (p[axis] + q[axis]) * cross(p, q) / 6))))
-    whole = _total(F.transform(polygon, signed_area))
-    return F.when(whole != 0, F.struct((moment("x") / whole).alias("x"), (moment("y") / whole).alias("y")))
+    moment = lambda g, axis: _total(F.transform(g, lambda r: _total(_sides(r, lambda p, q: (p[axis] + q[axis]) * cross(p, q) / 6))))
+    whole = lambda g: _total(F.transform(g, signed_area))
+    of = lambda g: F.when(whole(g) != 0, F.struct((moment(g, "x") / whole(g)).alias("x"), (moment(g, "y") / whole(g)).alias("y")))
+    return F.get(F.transform(F.array(oriented(polygon)), of), F.lit(0))
 
 
 def bbox(points: Column) -> Column:
@@ -77,15 +105,19 @@ def bbox(points: Column) -> Column:
     return F.struct(F.array_min(x).alias("xmin"), F.array_min(y).alias("ymin"), F.array_max(x).alias("xmax"), F.array_max(y).alias("ymax"))
 
 
-def contains(polygon: Column, x: Column, y: Column) -> Column:
-    """Parity of crossings of a ray to the right; half-open in y, so a point on a shared side lies in one polygon."""
+def _crossings(ring: Column, x: Column, y: Column) -> Column:
+    """How many sides of a ring a ray to the right crosses."""
 
     def crossing(p: Column, q: Column) -> Column:
         across = (p["y"] > y) != (q["y"] > y)
         return (across & (x < (q["x"] - p["x"]) * (y - p["y"]) / F.when(across, q["y"] - p["y"]).otherwise(1.0) + p["x"])).cast("int")
 
-    count = F.aggregate(F.transform(polygon, lambda r: F.aggregate(_sides(r, crossing), F.lit(0), lambda a, v: a + v)), F.lit(0), lambda a, v: a + v)
-    return count % 2 == 1
+    return F.aggregate(_sides(ring, crossing), F.lit(0), lambda a, v: a + v)
+
+
+def contains(polygon: Column, x: Column, y: Column) -> Column:
+    """Parity of crossings of a ray to the right; half-open in y, so a point on a shared side lies in one polygon."""
+    return F.aggregate(polygon, F.lit(0), lambda n, ring: n + _crossings(ring, x, y)) % 2 == 1
 
 
 def point_segment_distance(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:

@@ -5,6 +5,7 @@ Each meets on the numbers of grid cells, an equality that Spark can shuffle or b
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -43,73 +44,165 @@ def read_features(features: DataFrame, zones: DataFrame, step: float = 16.0) ->
     return met.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
+#: Share of a cell by which the grid of lines and sides is moved, so that no line of it lies on round coordinates.
+SHIFT = 0.3819660112501051
+#: Sides of one zone that a cell should hold at most (the grid gets finer where one holds more), and cells of a row whose inner runs are looked up together.
+CROWD, RUN = 256, 64
+#: What a side is grown by, as a share of a cell, when its cells are listed.
+MARGIN = 1e-9
+
+
+def _number(v: str, step: float) -> str:
+    """The number of the interval of the moved grid that ``v`` lies in, as SQL."""
+    return f"CAST(floor(({v}) / {step!r}D - {SHIFT!r}D) AS BIGINT)"
+
+
+def _at(k: str, step: float) -> str:
+    """Where interval ``k`` of the moved grid begins, as SQL."""
+    return f"(({k}) + {SHIFT!r}D) * {step!r}D"
+
+
+def _passes(s: str, x: str, y: str) -> tuple[str, str]:
+    """Whether the line of side ``s`` passes below a point, and to the right of it, as SQL; the two agree however close it passes."""
+    dx, dy = f"({s}x2 - {s}x1)", f"({s}y2 - {s}y1)"
+    turn = f"coalesce(nullif({dx} * ({y} - {s}y1) - {dy} * ({x} - {s}x1), 0D), {dx})"
+    return f"({turn} * {dx} > 0)", f"({turn} * {dy} > 0)"
+
+
+def grid_step(zones: DataFrame, step: float) -> float:
+    """``step``, halved (ten times at most) until no cell should hold more than CROWD sides of one zone."""
+    if (zones.agg(F.max(F.size(F.flatten("geom")))).first()[0] or 0) <= CROWD:
+        return step
+    sides = zonal.polygon_sides(zones).selectExpr("zone_id", f"{_number('(x1 + x2) / 2', step)} AS cx", f"{_number('(y1 + y2) / 2', step)} AS cy")
+    most = sides.groupBy("zone_id", "cx", "cy").count().agg(F.max("count")).first()[0] or 0
+    return step / 2 ** min(10, max(0, math.ceil(math.log2(max(1, most) / CROWD))))
+
+
+def side_index(zones: DataFrame, cells: DataFrame, step: float) -> DataFrame:
+    """(cx, cy, zone_id, _odd, _sides): the cells that zones (geom) reach, as far as ``cells`` (cx, cy) names them.
+
+    _sides are the zone's sides in the cell; _odd (0 or 1) tells whether the cell's lower left corner lies inside. It is carried along each row of cells: a
+    running sum counts the sides that cross the row's lower line further left, so a cell needs no sides but its own. Cells inside without sides
+    are runs until they meet those in ``cells``, by RUN of them.
+    """
+    grown, low, high = f"{MARGIN * step!r}D", _at("cy", step), _at("cy + 1", step)
+    sides = zonal.polygon_sides(zones).where("x1 <> x2 OR y1 <> y2")
+    rows = sides.selectExpr("*", f"explode(sequence({_number(f'least(y1, y2) - {grown}', step)}, {_number(f'greatest(y1, y2) + {grown}', step)})) AS cy")
+    # Where the side enters and leaves the row, and the cell in whose lower line it crosses.
+    end = lambda x, y: f"IF(y1 <> y2, x1 + (x2 - x1) * ((least(greatest({y}, {low}), {high}) - y1) / (y2 - y1)), {x})"
+    crosses = f"(y1 > {low}) <> (y2 > {low})"
+    rows = rows.selectExpr("zone_id", "cy", "x1", "y1", "x2", "y2", f"{end('x1', 'y1')} AS _a", f"{end('x2', 'y2')} AS _b", f"IF({crosses}, {_number(f'x1 + (x2 - x1) * (({low} - y1) / (y2 - y1))', step)}, NULL) AS _near")
+    right_of = lambda k: _passes("", _at(k, step), low)[1]
+    hit = f"CASE WHEN NOT {right_of('_near')} THEN _near - 1 WHEN {right_of('_near + 1')} THEN _near + 1 ELSE _near END"  # rounding may miss it by one
+    rows = rows.selectExpr("zone_id", "cy", "struct(x1, y1, x2, y2) AS _side", f"{_number(f'least(_a, _b) - {grown}', step)} AS _first", f"{_number(f'greatest(_a, _b) + {grown}', step)} AS _last", f"IF(_near IS NULL, NULL, {hit}) AS _hit")
+    listed = rows.selectExpr("zone_id", "cy", "_side", "_hit", "explode(sequence(least(_first, _hit), greatest(_last, _hit))) AS cx").repartition("zone_id", "cy")
+    held = listed.groupBy("zone_id", "cy", "cx").agg(F.expr("collect_list(_side) AS _sides"), F.expr("count_if(cx = _hit) AS _hits"))
+    order = "OVER (PARTITION BY zone_id, cy ORDER BY cx"
+    held = held.selectExpr("*", f"coalesce(sum(_hits) {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _before", f"lead(cx) {order}) AS _next")
+    index = held.selectExpr("cx", "cy", "zone_id", "_before % 2 AS _odd", "_sides")
+    runs = held.where("_next > cx + 1 AND (_before + _hits) % 2 = 1")
+    runs = runs.selectExpr("zone_id", "cy", "cx + 1 AS _low", "_next - 1 AS _high", f"explode(sequence(floor((cx + 1) / {RUN}), floor((_next - 1) / {RUN}))) AS _tile")
+    inner = cells.selectExpr("cx", "cy", f"floor(cx / {RUN}) AS _tile").join(runs, ["cy", "_tile"]).where("cx BETWEEN _low AND _high")
+    return index.unionByName(inner.selectExpr("cx", "cy", "zone_id", "1L AS _odd", "CAST(array() AS array<struct<x1:double,y1:double,x2:double,y2:double>>) AS _sides"))
+
+
+def line_parts(lines: DataFrame, step: float) -> DataFrame:
+    """The segments of lines (fid, geom) cut at the moved grid: fid, _line (the other columns), _segment, x1, y1, x2, y2, _a and _b in shares of the segment, cx, cy."""
+    others = [F.col(c) for c in lines.columns if c not in ("fid", "geom")]
+    ends = F.expr("posexplode(transform(slice(geom, 1, greatest(size(geom) - 1, 0)), (p, i) -> struct(p.x AS x1, p.y AS y1, get(geom, i + 1).x AS x2, get(geom, i + 1).y AS y2)))")
+    segments = lines.select("fid", F.struct(F.lit(0).alias("_"), *others).alias("_line"), ends.alias("_segment", "_ends")).select("fid", "_line", "_segment", "_ends.*")
+    segments = segments.where(" AND ".join(f"abs({v}) < double('infinity')" for v in ("x1", "y1", "x2", "y2")))
+
+    def crossings(a: str, b: str) -> str:
+        first, last = f"{_number(f'least({a}, {b})', step)} + 1", _number(f"greatest({a}, {b})", step)
+        return f"IF({first} <= {last}, transform(sequence({first}, {last}), k -> ({_at('k', step)} - {a}) / ({b} - {a})), CAST(array() AS array<double>))"
+
+    ends = f"array_sort(concat(array(0D), filter(concat({crossings('x1', 'x2')}, {crossings('y1', 'y2')}), t -> t > 0 AND t < 1)))"
+    pieces = _named(ends, "e", "transform(e, (t, i) -> struct(t AS a, coalesce(get(e, i + 1), 1D) AS b))")
+    parts = segments.selectExpr("*", f"explode(filter({pieces}, p -> p.b > p.a)) AS _t")
+    cell = lambda a, b: _number(f"{a} + ({b} - {a}) * ((_t.a + _t.b) / 2)", step)
+    return parts.selectExpr("fid", "_line", "_segment", "x1", "y1", "x2", "y2", "_t.a AS _a", "_t.b AS _b", f"{cell('x1', 'x2')} AS cx", f"{cell('y1', 'y2')} AS cy")
+
+
+def _named(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` for ``value``, as SQL."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _inside(odd: str, sides: str, step: float) -> str:
+    """What of a part (see ``line_parts``) lies within a zone, from the sides in its cell: an array of structs a, b in shares of the segment, as SQL.
+
+    The part is cut where its line passes between the ends of sides, and is in and out of the zone by turns. Whether its longest piece is inside is told by the
+    way from the cell's corner to the middle of the piece, up the left edge and then to the right: it crosses an odd number of sides, or an even one if the corner itself is inside. What
+    runs along a side counts as right of it or above it, whichever way the line goes.
+    """
+    left, low = _at("cx", step), _at("cy", step)
+    above = lambda v: f"(IF(x2 > x1 OR (x2 = x1 AND y2 < y1), 1, -1) * ((x2 - x1) * (s.y{v} - y1) - (y2 - y1) * (s.x{v} - x1)) > 0)"
+    along = "try_divide((s.x1 - x1) * (s.y2 - s.y1) - (s.y1 - y1) * (s.x2 - s.x1), (x2 - x1) * (s.y2 - s.y1) - (y2 - y1) * (s.x2 - s.x1))"
+    cuts = f"array_sort(concat(array(_a), filter(transform({sides}, s -> IF({above(1)} <> {above(2)}, {along}, NULL)), t -> t > _a AND t < _b)))"
+    below_bend, right_of_bend = _passes("s.", left, "m.y")
+    up = f"((s.x1 > {left}) <> (s.x2 > {left}) AND NOT {_passes('s.', left, low)[0]} AND {below_bend})"
+    level = f"((s.y1 > m.y) <> (s.y2 > m.y) AND {right_of_bend} AND m.x >= (s.x2 - s.x1) * (m.y - s.y1) / (s.y2 - s.y1) + s.x1)"
+    way = f"aggregate({sides}, {odd}, (n, s) -> n + IF({up}, 1, 0) + IF({level}, 1, 0))"
+    found = "transform(filter(q, p -> pmod(z + p.i - m.i, 2) = 1 AND p.b - p.a > 1e-12), p -> struct(p.a AS a, p.b AS b))"
+    middle = "struct(w.i AS i, x1 + (x2 - x1) * w.t AS x, y1 + (y2 - y1) * w.t AS y)"
+    longest = "array_max(transform(q, p -> struct(p.b - p.a AS n, p.i AS i, (p.a + p.b) / 2 AS t)))"
+    pieces = "transform(e, (t, i) -> struct(t AS a, coalesce(get(e, i + 1), _b) AS b, i AS i))"
+    spans = _named(cuts, "e", _named(pieces, "q", _named(longest, "w", _named(middle, "m", _named(way, "z", found)))))
+    whole = f"IF({odd} = 1, array(struct(_a AS a, _b AS b)), CAST(array() AS array<struct<a:double,b:double>>))"
+    return f"IF(size({sides}) = 0, {whole}, {spans})"
+
+
+def _met(lines: DataFrame, zones: DataFrame, step: float, mask: DataFrame | None = None) -> DataFrame:
+    """(fid, _line, _segment, _length, zone_id, _a, _b): what of lines lies within zones, in shares of their segments; with a mask _hazard too, the sorted array of what lies under any of its polygons.
+
+    Lines are cut at a grid and meet, by cell, the sides that zones and the mask have in it. What is shuffled are lines and sides once each, by cell; all else is columns of
+    one row. Lines and rings without finite coordinates take no part.
+    """
+    step = min(grid_step(z, step) for z in (zones, mask) if z is not None)
+    parts = line_parts(lines, step)
+    cells = parts.select("cx", "cy").distinct()
+    met = parts.join(side_index(zones.select("zone_id", "geom"), cells, step), ["cx", "cy"])
+    if mask is not None:
+        polygons = side_index(mask.select("zone_id", "geom"), cells, step).groupBy("cx", "cy").agg(F.expr("collect_list(struct(_odd, _sides)) AS _mask"))
+        met = met.join(polygons, ["cx", "cy"], "left")
+    kept = ["fid", "_line", "_segment", "sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS _length", "zone_id"]
+    under = [] if mask is None else [f"IF(_mask IS NULL, NULL, array_sort(flatten(transform(_mask, c -> {_inside('c._odd', 'c._sides', step)})))) AS _hazard"]
+    # Unfolding the spans keeps them from being worked out once for each use.
+    return met.selectExpr(*kept, *under, f"inline({_inside('_odd', '_sides', step)}) AS (_a, _b)")
+
+
 def line_spans(lines: DataFrame, zones: DataFrame, step: float = 8.0) -> DataFrame:
     """The parts of the segments of lines (fid, geom) within zones: fid, zone_id, _segment, _from and _to in shares of the segment, _length of the segment,
     and the other columns of the lines as the struct _line. ``fid`` names a line.
+    """
+    return _met(lines, zones, step).selectExpr("fid", "zone_id", "_segment", "_a AS _from", "_b AS _to", "_length", "_line")
 
-    Segments and extents of zones meet on grid cells. Segments are then cut into bands of height ``step`` and meet the sides of their zone in the band
-    only: first to be cut at the crossings, then to count the sides to the right of the middle of each part, whose parity tells whether it is inside.
+
+#: The share of the segment that lies in [_a, _b] and under any of _hazard; what several hazards cover counts once.
+_COVERED = """coalesce(aggregate(_hazard, struct(_a AS reach, 0D AS total), (s, h) -> struct(greatest(s.reach, h.b) AS reach,
+  s.total + greatest(0D, least(_b, h.b) - greatest(s.reach, h.a)) AS total), s -> s.total), 0D)"""
+
+
+def overlay_with_mask(lines: DataFrame, zones: DataFrame, mask: DataFrame | None = None, step: float = 8.0) -> DataFrame:
+    """Lines with the zones that they run through: all columns of the lines, zone_id, the length inside (positive), and with a mask ``affected``, the part of that length
+    under the union of the mask's polygons. Lines are cut and meet the sides of zones once for both. ``fid`` names a line.
     """
-    others = [c for c in lines.columns if c not in ("fid", "geom")]
-    ends = F.posexplode(G.steps(F.col("geom"), lambda p, q: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2"))))
-    segments = lines.select("fid", F.struct(F.lit(0).alias("_"), *others).alias("_line"), ends.alias("_segment", "_at")).select("fid", "_line", "_segment", "_at.*")
-    own = lambda f, axis: f(f"{axis}1", f"{axis}2")
-    cells = segments.withColumn("_cx", F.explode(G.cover(own(F.least, "x"), own(F.greatest, "x"), step)))
-    cells = cells.withColumn("_cy", F.explode(G.cover(own(F.least, "y"), own(F.greatest, "y"), step)))
-    extents = on_grid(zones.select("zone_id", G.bbox(F.flatten("geom")).alias("_zone"), "geom"), F.flatten("geom"), step).drop("geom")
-    # A pair that shares several cells is taken in the first of them only: no shuffle for distinct.
-    first = lambda axis: F.floor(F.greatest(own(F.least, axis), F.col(f"_zone.{axis}min")) / step)
-    met = cells.join(extents, ["_cx", "_cy"]).where((F.col("_cx") == first("x")) & (F.col("_cy") == first("y"))).drop("_cx", "_cy", "_zone")
-
-    x1, y1, x2, y2 = map(F.col, ("x1", "y1", "x2", "y2"))
-    dx, dy = x2 - x1, y2 - y1
-    levels = F.when(dy != 0, F.transform(G.between(F.least(y1, y2) / step, F.greatest(y1, y2) / step), lambda v: (v * step - y1) / dy)).otherwise(F.array().cast("array<double>"))
-    part = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
-    between = lambda inner: F.filter(G.steps(F.array_sort(inner), part), lambda p: p["b"] > p["a"])
-    bands = met.select("*", F.explode(between(F.concat(F.array(F.lit(0.0), F.lit(1.0)), levels))).alias("_t"))
-    keys = ["zone_id", "_band", "fid", "_segment", "_a"]
-    bands = bands.select("zone_id", F.floor((y1 + dy * (F.col("_t.a") + F.col("_t.b")) / 2) / step).alias("_band"), "fid", "_segment", F.col("_t.a").alias("_a"), F.struct(F.col("_t.b").alias("b"), "x1", "y1", "x2", "y2", "_line").alias("_p"))
-
-    sides = zonal.polygon_sides(zones).where("y1 IS NOT NULL AND y2 IS NOT NULL").toDF("zone_id", "sx1", "sy1", "sx2", "sy2")
-    sides = sides.withColumn("_band", F.explode(G.cover(F.least("sy1", "sy2"), F.greatest("sy1", "sy2"), step)))
-    sx1, sy1, sx2, sy2 = map(F.col, ("sx1", "sy1", "sx2", "sy2"))
-    px, py, qx, qy = (F.col(f"_p.{c}") for c in ("x1", "y1", "x2", "y2"))
-    cross = (qx - px) * (sy2 - sy1) - (qy - py) * (sx2 - sx1)
-    along = F.try_divide((sx1 - px) * (sy2 - sy1) - (sy1 - py) * (sx2 - sx1), cross)
-    on_side = F.try_divide((sx1 - px) * (qy - py) - (sy1 - py) * (qx - px), cross)
-    hit = (on_side >= 0) & (on_side <= 1) & (along > F.col("_a")) & (along < F.col("_p.b"))
-    cut = bands.join(sides, ["zone_id", "_band"]).groupBy(*keys).agg(F.any_value("_p").alias("_p"), F.collect_list(F.when(hit, along)).alias("_hits"))
-    parts = cut.withColumn("_t", F.explode(between(F.concat(F.array("_a", "_p.b"), "_hits")))).where(F.col("_t.b") - F.col("_t.a") > 1e-12)
-    half = (F.col("_t.a") + F.col("_t.b")) / 2
-    mx, my = px + (qx - px) * half, py + (qy - py) * half
-    parts = parts.select(*keys, "_p", "_t", mx.alias("_mx"), my.alias("_my")).alias("p").join(sides.alias("s"), ["zone_id", "_band"])
-    across = (sy1 > F.col("_my")) != (sy2 > F.col("_my"))
-    right = F.col("_mx") < (sx2 - sx1) * (F.col("_my") - sy1) / F.when(across, sy2 - sy1).otherwise(1.0) + sx1
-    inside = parts.where(across & right).groupBy(*keys, "_t").agg(F.any_value("_p").alias("_p"), F.count("*").alias("_n")).where("_n % 2 = 1")
-    return inside.select("fid", "zone_id", "_segment", F.col("_t.a").alias("_from"), F.col("_t.b").alias("_to"), F.hypot(qx - px, qy - py).alias("_length"), "_p._line")
-
-
-def _lengths(spans: DataFrame, lines: DataFrame, share: Column) -> DataFrame:
-    """All columns of the lines but their geometry, zone_id and the length that ``share`` of the spans' segments gives."""
-    found = spans.groupBy("fid", "zone_id").agg(F.any_value("_line").alias("_line"), F.sum(share * F.col("_length")).alias("length")).where("length > 0")
-    return found.select(*["fid" if c == "fid" else f"_line.{c}" for c in lines.columns if c != "geom"], "zone_id", "length")
+    met = _met(lines, zones, step, mask)
+    sums = ["sum((_b - _a) * _length) AS length"] + ([] if mask is None else [f"sum({_COVERED} * _length) AS affected"])
+    found = met.groupBy("fid", "zone_id").agg(F.expr("any_value(_line) AS _line"), *map(F.expr, sums)).where("length > 0")
+    return found.select(*["fid" if c == "fid" else f"_line.{c}" for c in lines.columns if c != "geom"], "zone_id", "length", *([] if mask is None else ["affected"]))
 
 
 def overlay_lines(lines: DataFrame, zones: DataFrame, step: float = 8.0) -> DataFrame:
     """Lines with the zones that they run through and the length inside (positive); all columns of the lines."""
-    return _lengths(line_spans(lines, zones, step), lines, F.col("_to") - F.col("_from"))
+    return overlay_with_mask(lines, zones, None, step)
 
 
 def overlay_masked(lines: DataFrame, zones: DataFrame, mask: DataFrame, step: float = 8.0) -> DataFrame:
-    """Lines with the zones that they run through and the length within both the zone and the union of the mask's polygons; all columns of the lines.
-
-    What lies under several polygons of the mask counts once: spans under the mask lose what spans before them on the segment have.
-    """
-    before = Window.partitionBy("fid", "_segment").orderBy("_from", "_to").rowsBetween(Window.unboundedPreceding, -1)
-    hazard = line_spans(lines.select("fid", "geom"), mask, step)
-    hazard = hazard.select("fid", "_segment", F.greatest("_from", F.coalesce(F.max("_to").over(before), F.lit(0.0))).alias("_low"), F.col("_to").alias("_high"))
-    both = line_spans(lines, zones, step).join(hazard.where("_high > _low"), ["fid", "_segment"])
-    return _lengths(both, lines, F.greatest(F.lit(0.0), F.least("_to", "_high") - F.greatest("_from", "_low")))
+    """Lines with the zones that they run through and the length within both the zone and the union of the mask's polygons (positive); all columns of the lines."""
+    found = overlay_with_mask(lines, zones, mask, step).where("affected > 1e-12")
+    return found.drop("length").withColumnRenamed("affected", "length")
 
 
 def lines_intersect_zones(lines: DataFrame, zones: DataFrame, step: float = 8.0) -> DataFrame:
@@ -226,7 +319,7 @@ def polygons_to_grid_pieces(zones: DataFrame, step: float) -> DataFrame:
             out = batch[["zone_id", "_cx", "_cy"]].assign(area=np.array(parts, float)).rename(columns={"_cx": "cx", "_cy": "cy"})
             yield out[out["area"] > 0]
 
-    pieces = on_grid(zones.select("zone_id", "geom"), F.flatten("geom"), step).select("zone_id", "geom", "_cx", "_cy")
+    pieces = on_grid(zones.select("zone_id", G.oriented(F.col("geom")).alias("geom")), F.flatten("geom"), step).select("zone_id", "geom", "_cx", "_cy")
     return pieces.repartition("zone_id", "_cx", "_cy").mapInPandas(cut, "zone_id long, cx long, cy long, area double")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,12 +19,12 @@ def polygon_sides(zones: DataFrame) -> DataFrame:
     return rings.select("zone_id", F.explode(G.ring_sides(F.col("_ring"))).alias("_side")).select("zone_id", "_side.*")
 
 
-def zone_cell_weights(zones: DataFrame, nrows: int, ncols: int, block: int = BLOCK) -> DataFrame:
-    """(zone_id, row, col, w): the area fraction of every cell of the unit grid that a zone's polygon covers.
+def zone_runs(zones: DataFrame, nrows: int, ncols: int, block: int = BLOCK) -> DataFrame:
+    """(zone_id, row, first, last, w): the area fraction of the unit grid's cells that a zone's polygon covers, as runs of cells of a row that have the same.
 
-    Sides are cut at the grid lines. A piece covers its own cell to its right and all cells further right, by its signed height, so a running
-    sum along a row gives the weights. No geometry is copied: what is shuffled are the cells that sides cross, by zone and ``block`` rows, and the
-    cells inside come as runs.
+    Rings may be wound either way. Sides are cut at the grid lines. A piece covers its own cell to its right and all cells further right, by its signed
+    height, so a running sum along a row gives the weights. No geometry is copied: what is shuffled are the cells that sides cross, by
+    zone and ``block`` rows, and what lies inside between two of them is one run.
     """
     x1, y1, x2, y2 = map(F.col, ("x1", "y1", "x2", "y2"))
     met = (y1 != y2) & (F.greatest(y1, y2) > 0) & (F.least(y1, y2) < nrows) & (F.least(x1, x2) < ncols)
@@ -32,7 +34,7 @@ def zone_cell_weights(zones: DataFrame, nrows: int, ncols: int, block: int = BLO
     upright = F.transform(across, lambda v: cut((v - x1) / (x2 - x1), v.cast("double"), y1 + (y2 - y1) * ((v - x1) / (x2 - x1))))
     level = F.transform(lines(y1, y2, nrows), lambda v: cut((v - y1) / (y2 - y1), x1 + (x2 - x1) * ((v - y1) / (y2 - y1)), v.cast("double")))
     cuts = F.array_sort(F.concat(F.array(cut(F.lit(0.0), x1, y1), cut(F.lit(1.0), x2, y2)), upright, level))
-    sides = polygon_sides(zones).where(met).select("zone_id", cuts.alias("_cuts"))
+    sides = polygon_sides(zones.select("zone_id", G.oriented(F.col("geom")).alias("geom"))).where(met).select("zone_id", cuts.alias("_cuts"))
     middle = lambda p, q: F.struct(((p["x"] + q["x"]) / 2).alias("x"), ((p["y"] + q["y"]) / 2).alias("y"), (q["y"] - p["y"]).alias("h"))
     pieces = sides.select("zone_id", F.explode(G.steps(F.col("_cuts"), middle)).alias("_p")).select("zone_id", "_p.*")
     pieces = pieces.where((F.col("h") != 0) & (F.col("y") >= 0) & (F.col("y") < nrows) & (F.col("x") < ncols))
@@ -48,17 +50,26 @@ def zone_cell_weights(zones: DataFrame, nrows: int, ncols: int, block: int = BLO
     # A sum that rounds to nothing is no cover.
     runs = F.filter(runs, lambda r: (r["first"] <= r["last"]) & (r["last"] >= 0) & (r["w"] >= 1e-12))
     found = crossed.select("zone_id", "row", F.explode(runs).alias("_run"))
-    return found.select("zone_id", "row", F.explode(F.sequence("_run.first", "_run.last")).alias("col"), "_run.w")
+    return found.select("zone_id", "row", F.greatest(F.lit(0), "_run.first").alias("first"), F.col("_run.last").alias("last"), "_run.w")
+
+
+def zone_cell_weights(zones: DataFrame, nrows: int, ncols: int, block: int = BLOCK) -> DataFrame:
+    """(zone_id, row, col, w): the runs of ``zone_runs`` cell by cell."""
+    runs = zone_runs(zones, nrows, ncols, block)
+    return runs.select("zone_id", "row", F.explode(F.sequence("first", "last")).alias("col"), "w")
 
 
-#: Raster operators by name; ``v`` is a value, ``w`` its weight, ``on`` a condition on the cell.
+#: Raster operators by name: the parts of a block of cells that they need (sum, number, least, most of the values), and the result from the parts and weights of blocks.
 RASTER_OPS = {
-    "sum": lambda v, w, on: F.coalesce(F.sum(F.when(on, v * w)), F.lit(0.0)),
-    "mean": lambda v, w, on: F.sum(F.when(on, v * w)) / F.sum(F.when(on & v.isNotNull(), w)),
-    "count": lambda v, w, on: F.coalesce(F.sum(F.when(on & v.isNotNull(), w)), F.lit(0.0)),
-    "min": lambda v, w, on: F.min(F.when(on, v)),
-    "max": lambda v, w, on: F.max(F.when(on, v)),
+    "sum": (("s",), lambda s, w: F.coalesce(F.sum(s * w), F.lit(0.0))),
+    "mean": (("s", "n"), lambda s, n, w: F.try_divide(F.sum(s * w), F.sum(F.when(n > 0, n * w)))),
+    "count": (("n",), lambda n, w: F.coalesce(F.sum(n * w), F.lit(0.0))),
+    "min": (("least",), lambda least, w: F.min(least)),
+    "max": (("most",), lambda most, w: F.max(most)),
 }
+_PARTS = {"s": F.sum, "n": F.sum, "least": F.min, "most": F.max}
+#: A block of cells has FAN blocks of the level below, and there are so many levels above cells.
+FAN, LEVELS = 16, 4
 
 
 def raster_op(name: str):
@@ -68,15 +79,64 @@ def raster_op(name: str):
     return RASTER_OPS[name]
 
 
+def block_pyramid(cells: DataFrame, parts: dict[str, tuple[str, Column]], by: tuple[str, ...] = ()) -> DataFrame:
+    """(level, row, block, ``by``, parts): what ``parts`` (name -> kind, value) are of each cell (level 0), and what they sum up to in each block of FAN ** level cells of a row.
+
+    Cells are summed up to the first level on the map side; the levels above come from it.
+    """
+    single = cells.select(F.lit(0).alias("level"), "row", F.col("col").cast("long").alias("block"), *by, *[_one(k, v).alias(n) for n, (k, v) in parts.items()])
+    again = [_PARTS[k](n).alias(n) for n, (k, _) in parts.items()]
+    first = single.groupBy("row", F.floor(F.col("block") / FAN).alias("block"), *by).agg(*again)
+    above = F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col("block") / FAN ** (k - 1)).alias("block")) for k in range(1, LEVELS + 1)])
+    blocks = first.select("row", *by, *parts, F.explode(above).alias("_b")).groupBy("_b.level", "row", "_b.block", *by).agg(*again)
+    return single.unionByName(blocks)
+
+
+def run_blocks(runs: DataFrame) -> DataFrame:
+    """(zone_id, row, level, block, w): runs (first, last) as the fewest blocks that make them up: a run of n cells is some 30 blocks for each factor of FAN in n, not n rows."""
+    pairs, low, high = [], F.col("first").cast("long"), F.col("last").cast("long") + 1  # what is left: [low, high) in blocks of the level
+    named = lambda k: lambda v: F.struct(F.lit(k).alias("level"), v.alias("block"))
+    span = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<long>"))
+    out = runs.select("zone_id", "row", "w", low.alias("_l0"), high.alias("_h0"))
+    for k in range(LEVELS + 1):
+        a, b = F.col(f"_l{k}"), F.col(f"_h{k}")
+        if k == LEVELS:
+            pairs.append(F.transform(span(a, b), named(k)))
+            break
+        up, down = F.least(b, F.ceil(a / FAN) * FAN), F.floor(b / FAN) * FAN
+        down = F.greatest(up, down)
+        pairs.append(F.transform(F.concat(span(a, up), span(down, b)), named(k)))
+        out = out.withColumns({f"_l{k + 1}": F.ceil(up / FAN).cast("long"), f"_h{k + 1}": F.when(up >= down, F.ceil(up / FAN)).otherwise(F.floor(down / FAN)).cast("long")})
+    return out.select("zone_id", "row", "w", F.explode(F.concat(*pairs)).alias("_b")).select("zone_id", "row", "_b.level", "_b.block", "w")
+
+
+def _over_blocks(cells: DataFrame, weights: DataFrame, parts: dict[str, tuple[str, Column]], by: tuple[str, ...] = ()) -> DataFrame:
+    """Weights joined with the parts of their cells, or with those of the blocks that make up their runs."""
+    if "first" in weights.columns:
+        return run_blocks(weights).join(block_pyramid(cells, parts, by), ["row", "level", "block"])
+    return weights.join(cells, ["row", "col"]).select("zone_id", "w", *by, *[_one(k, v).alias(n) for n, (k, v) in parts.items()])
+
+
+def _one(kind: str, value: Column) -> Column:
+    return F.when(value.isNotNull(), 1).otherwise(0) if kind == "n" else value
+
+
 def zonal_stats(cells: DataFrame, weights: DataFrame, values: dict[str, tuple[str, str, Column | None]]) -> DataFrame:
     """Weighted statistics of cells by zone, all in one pass.
 
-    ``values``: name of the result -> (operator, value column, condition on the cell or None). Weights join cells on the cell, and
-    aggregation combines on the map side before it shuffles by zone.
+    ``values``: name of the result -> (operator, value column, condition on the cell or None). ``weights`` are runs (``zone_runs``) or single cells
+    (``zone_cell_weights``). Runs meet blocks of cells that are summed up beforehand, so what is shuffled of a zone goes with its edge and the logarithm of
+    its width, not with its area. Aggregation combines on the map side before it shuffles by zone.
     """
-    met = weights.join(cells, ["row", "col"])
-    always = F.lit(True)
-    return met.groupBy("zone_id").agg(*[raster_op(op)(F.col(v), F.col("w"), always if on is None else on).alias(n) for n, (op, v, on) in values.items()])
+    picked = {n: (raster_op(op), F.col(v) if on is None else F.when(on, F.col(v))) for n, (op, v, on) in values.items()}
+    parts, names = {}, {}
+    for n, ((kinds, _), v) in picked.items():
+        for kind in kinds:
+            same = (kind, str(v))  # results that need the same part share it
+            names[n, kind] = next((p for p, (k, x) in parts.items() if (k, str(x)) == same), f"_p{len(parts)}")
+            parts.setdefault(names[n, kind], (kind, v))
+    met = _over_blocks(cells, weights, parts)
+    return met.groupBy("zone_id").agg(*[of(*[F.col(names[n, k]) for k in kinds], F.col("w")).alias(n) for n, ((kinds, of), _) in picked.items()])
 
 
 def attach_stats(zones: DataFrame, stats: DataFrame) -> DataFrame:
@@ -91,7 +151,8 @@ def affected_pct(affected: Column, total: Column) -> Column:
 
 def class_area(cells: DataFrame, weights: DataFrame, pixel_area: float = 1.0) -> DataFrame:
     """(zone_id, cls, area)."""
-    return weights.join(cells, ["row", "col"]).groupBy("zone_id", "cls").agg((F.sum("w") * pixel_area).alias("area"))
+    met = _over_blocks(cells, weights, {"_n": ("n", F.lit(1))}, ("cls",))
+    return met.groupBy("zone_id", "cls").agg((F.sum(F.col("_n") * F.col("w")) * pixel_area).alias("area"))
 
 
 def rasterize(zones: DataFrame, nrows: int, ncols: int) -> DataFrame:

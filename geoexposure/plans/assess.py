@@ -47,17 +47,14 @@ def assess_raster(component: str, zones: DataFrame, weights: DataFrame, cells: D
 def assess_lines(component: str, zones: DataFrame, lines: DataFrame, mask: DataFrame | None) -> DataFrame:
     """A line component. ``lines``: fid, cls, geom; ``mask``: polygons (zone_id, geom) of the hazard; where they overlap a line counts once."""
     variables = CATALOG[component]
-    area = zones.select("zone_id", G.area(F.col("geom")).alias("_area"))
-    pieces = vector.overlay_lines(lines, zones)
-    parts = [("", pieces)]
-    if mask is not None:
-        hit = vector.overlay_masked(lines, zones, mask)
-        parts.append(("_affected", hit))
-    stats = area
-    for suffix, rows in parts:
-        wanted = [F.sum(F.when(F.lit(True) if v.cls is None else F.col("cls") == v.cls, F.col("length"))).alias(f"_{v.name}") for v in variables]
-        found = area.join(rows.groupBy("zone_id").agg(*wanted), "zone_id", "left")
-        stats = stats.join(found.select("zone_id", *[(F.try_divide(F.col(f"_{v.name}"), F.col("_area")) if v.operator == "density" else F.coalesce(f"_{v.name}", F.lit(0.0))).alias(v.name + suffix) for v in variables]), "zone_id")
+    pieces = vector.overlay_with_mask(lines, zones, mask)
+    picked = lambda v: F.lit(True) if v.cls is None else F.col("cls") == v.cls
+    sums = {v.name + suffix: F.sum(F.when(picked(v) & (F.col(c) > 1e-12), F.col(c))) for suffix, c in [("", "length")] + ([] if mask is None else [("_affected", "affected")]) for v in variables}
+    found = pieces.groupBy("zone_id").agg(*[s.alias(n) for n, s in sums.items()])
+    stats = zones.select("zone_id", G.area(F.col("geom")).alias("_area")).join(found, "zone_id", "left")
+    for v in variables:
+        for name in {v.name, v.name + "_affected"} & set(sums):
+            stats = stats.withColumn(name, F.try_divide(F.col(name), F.col("_area")) if v.operator == "density" else F.coalesce(name, F.lit(0.0)))
     return zonal.attach_stats(zones, _percentages(stats.drop("_area"), variables))
 
 

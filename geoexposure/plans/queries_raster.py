@@ -14,7 +14,7 @@ MET = f"SELECT z.zone_id, p.*, {W} AS w FROM zones z JOIN px p ON p.col < z.xmax
 
 
 def weights(t: Tables):
-    return zonal.zone_cell_weights(zone_polygons(t).select("zone_id", "geom"), t.nrows, 100)
+    return zonal.zone_runs(zone_polygons(t).select("zone_id", "geom"), t.nrows, 100)
 
 
 def _integer(c: str):
@@ -35,7 +35,8 @@ def agg1(t: Tables):
 
 @query("jn2_zone_cell_weights", f"SELECT zone_id, row, col, round(w, 9) AS w FROM ({MET}) q")
 def jn2(t: Tables):
-    return weights(t).select("zone_id", "row", "col", F.round("w", 9).alias("w"))
+    found = zonal.zone_cell_weights(zone_polygons(t).select("zone_id", "geom"), t.nrows, 100)
+    return found.select("zone_id", "row", "col", F.round("w", 9).alias("w"))
 
 
 @query("agg7_affected_pct", f"SELECT zone_id, round(CASE WHEN sum(mask*w) = 0 THEN NULL ELSE sum(CASE WHEN mask = 1 AND cls = 2 THEN w ELSE 0 END)/sum(mask*w)*100 END, 6) AS pct FROM ({MET}) q GROUP BY 1")
