@@ -47,7 +47,7 @@ def read_features(features: DataFrame, zones: DataFrame, step: float = 16.0) ->
 #: Share of a cell by which the grid of lines and sides is moved, so that no line of it lies on round coordinates.
 SHIFT = 0.3819660112501051
 #: Sides of one zone that a cell should hold at most (the grid gets finer where one holds more), and cells of a row whose inner runs are looked up together.
-CROWD, RUN = 256, 64
+CROWD, RUN = 48, 64
 #: What a side is grown by, as a share of a cell, when its cells are listed.
 MARGIN = 1e-9
 
