@@ -3,7 +3,7 @@
 A page becomes a tree of its elements, without those that never hold an article (scripts, menus, forms, what its class names an advert, comments and so
 on). Each node counts its characters and tags, and how many of them are in links; its density is characters for each tag, less where links
 make up much of it. The node whose children have the largest sum of densities is the heart of the article. The least density on its way
-to the body is the threshold: the way is climbed while what else a parent holds is dense enough, so an article of several sections stays whole.
+to the body is the threshold: the way is climbed while what else a parent holds is dense enough, or holds parts of the same kind, so an article of several sections stays whole.
 """
 
 from __future__ import annotations
@@ -51,10 +51,11 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 class Node:
     """An element of a page. ``parts``: its texts (string, whether in a link), blocks within it and None where a block ends, in page order."""
 
-    __slots__ = ("chars", "counts", "density", "leaf", "link_chars", "link_tags", "parent", "parts", "side", "tag", "tags", "total")
+    __slots__ = ("chars", "counts", "density", "kind", "leaf", "link_chars", "link_tags", "parent", "parts", "side", "tag", "tags", "total")
 
-    def __init__(self, tag: str, parent: Node | None, side: bool = False):
+    def __init__(self, tag: str, parent: Node | None, side: bool = False, name: str = ""):
         self.tag, self.parent, self.side = tag, parent, side
+        self.kind = (tag, name) if name or tag != "div" else None  # what parallel parts of an article share
         self.parts: list[tuple[str, bool] | Node | None] = []
         self.counts = self.leaf = True
         self.chars = self.tags = self.link_chars = self.link_tags = 0
@@ -112,7 +113,7 @@ class Page(HTMLParser):
         if tag == "hr":
             self.here.parts.append(None)
             return
-        node = Node(tag, self.here, _by_its_name(tag, named))
+        node = Node(tag, self.here, _by_its_name(tag, named), named.get("class") or "")
         if tag in ("article", "main") and self.first is None and not node.side:
             self.first = node
         self.here.leaf = False
@@ -228,7 +229,8 @@ def _article(page: Page) -> Node:
     threshold = min(n.density for n in way)
     for parent in way[1:]:
         chars, tags = parent.chars - best.chars, parent.tags - best.tags
-        if chars and density(chars, tags, parent.link_chars - best.link_chars, parent.link_tags - best.link_tags, linked) < SHARE * threshold:
+        alike = best.kind and any(isinstance(n, Node) and n is not best and n.counts and n.kind == best.kind for n in parent.parts)
+        if chars and not alike and density(chars, tags, parent.link_chars - best.link_chars, parent.link_tags - best.link_tags, linked) < SHARE * threshold:
             break
         best = parent
     return best

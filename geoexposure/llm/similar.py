@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoexposure.llm.shared import Words, bounded, filled, id_and_text, keep, slices
@@ -30,8 +30,6 @@ from geoexposure.operators.components import connected_components
 
 #: 64-bit words of a fingerprint, and bits that close ones may differ in: three deviations above what a pair at 0.8 differs in.
 WORDS, MOST = 4, 56
-#: Bits that may differ in the first one, two, ... words: five deviations or more above what a pair at 0.8 differs in.
-SO_FAR = (25, 39, 49, 56)
 #: Members that a root has on average, and the share of pairs at the threshold that meet under a root.
 ROOT, RECALL = 256, 0.98
 #: Roots of up to so many members are one node; larger ones get a Gray-order index.
@@ -44,8 +42,9 @@ MEMBERS, BYTES = 4096, 32 << 20
 PART_BYTES = 2 << 20
 #: Bits of a shingle's hash; the rest of 64 bits numbers the texts of a slice.
 HASH_BITS = 44
-#: In the exact form: bits that no similar pair differs in, eight deviations above the mean at 0.8, and rows under one shingle that are compared together with those of others.
-FAR, FEW = 84, 32
+#: In the exact form: sets of so many shingles at most are ruled out by their bitmaps, a true bound; larger ones by fingerprints that differ in more than FAR bits, eight
+#: deviations above the mean at 0.8. FEW: rows under one shingle that are compared together with those of others.
+BOUND, FAR, FEW = 384, 84, 32
 #: The order of shingles in the exact form: documents in its sample, of which so many make a shingle common, and common shingles at most. No order loses a pair.
 SAMPLE, COMMON, MOST_COMMON = 5000, 3, 200_000
 # Odd multipliers that spread hashes.
@@ -105,6 +104,7 @@ def wide_fingerprints(codes: np.ndarray, ends: np.ndarray, step: int = 4096) ->
 
 
 _WIDE = [f"w{k}" for k in range(WORDS)]
+_MAP = [f"m{k}" for k in range(WORDS)]
 
 
 def bitmaps(codes: np.ndarray, ends: np.ndarray, words: int) -> np.ndarray:
@@ -120,16 +120,17 @@ def bitmaps(codes: np.ndarray, ends: np.ndarray, words: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, size, w0 to w3) per document: number of distinct shingles, fingerprint."""
+    """(doc_id, size, w0 to w3, m0 to m3) per document: number of distinct shingles, fingerprint, bitmap."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, limit=PART_BYTES):
             codes, ends = shingle_codes(filled(part.column("text")), words)
             fps = wide_fingerprints(codes, ends).view(np.int64)
             columns = {"doc_id": part.column("doc_id"), "size": pa.array(np.diff(ends, prepend=0))}
-            yield pa.RecordBatch.from_pydict(columns | {w: pa.array(fps[:, k]) for k, w in enumerate(_WIDE)})
+            maps = bitmaps(codes, ends, WORDS).view(np.int64)
+            yield pa.RecordBatch.from_pydict(columns | {w: pa.array(fps[:, k]) for k, w in enumerate(_WIDE)} | {m: pa.array(maps[:, k]) for k, m in enumerate(_MAP)})
 
-    return id_and_text(docs).mapInArrow(hashed, "doc_id long, size long, " + ", ".join(f"{w} long" for w in _WIDE))
+    return id_and_text(docs).mapInArrow(hashed, "doc_id long, size long, " + ", ".join(f"{w} long" for w in _WIDE + _MAP))
 
 
 def masks_for(n: int, similarity: float, recall: float) -> list[np.ndarray]:
@@ -168,14 +169,12 @@ def close_members(own: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.n
     step = max(1, (1 << 20) // len(own))
     for at in range(0, len(own), step):
         some = own[at : at + step]
-        a, b = np.nonzero(np.bitwise_count(some[:, 0, None] ^ own[None, :, 0]) <= SO_FAR[0])
-        a, b = a[(later := a + at < b)], b[later]
-        met = np.bitwise_count(some[a, 0] ^ own[b, 0]).astype(np.int32)
-        for k in range(1, WORDS):
-            met = met + np.bitwise_count(some[a, k] ^ own[b, k])
-            stay = met <= SO_FAR[k]
-            a, b, met = a[stay], b[stay], met[stay]
-        yield a + at, b
+        met = np.bitwise_count(some[:, 0, None] ^ own[None, :, 0])
+        for k in range(1, WORDS):  # no sum is above 256, and one of 256 is no pair
+            met = np.add(met, np.bitwise_count(some[:, k, None] ^ own[None, :, k]), dtype=np.uint16, casting="unsafe")
+        a, b = np.nonzero(met <= most)
+        later = a + at < b
+        yield a[later] + at, b[later]
 
 
 def tree(ids: np.ndarray, own: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -285,8 +284,8 @@ def rare_links(docs: DataFrame, fps: DataFrame, n: int, words: int, similarity:
 
     Documents that reach ``similarity`` share at least that part of either's shingles. So, in any one order of all shingles, the first of each
     document that are one more than the rest hold a common one. Here the order is that of hashes, with common shingles last, so
-    that documents of a common passage do not all meet under it. A tree links those under a shingle that neither their sizes nor FAR bits of their fingerprints rule
-    out; a pair at the threshold differs in more with a chance of about 10 ** -14.
+    that documents of a common passage do not all meet under it. A tree links those under a shingle that neither their sizes nor their bitmaps rule out. For sets of more
+    than BOUND shingles, whose bitmaps rule out nothing, FAR bits of their fingerprints do; a pair at the threshold of such sets differs in more with a chance of about 10 ** -14.
     """
     common = common_shingles(docs, n, words)
 
@@ -302,18 +301,21 @@ def rare_links(docs: DataFrame, fps: DataFrame, n: int, words: int, similarity:
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids), "_pattern": pa.array(codes[spread(ends - sizes, taken)].astype(np.int64))})
 
     rows = id_and_text(docs).mapInArrow(first, "doc_id long, _pattern long")
-    rows = rows.withColumn("_met", F.count(F.lit(1)).over(Window.partitionBy("_pattern"))).where("_met > 1").drop("_met")
-    rows = rows.join(fps.select("doc_id", "size", *_WIDE), "doc_id").withColumn("_mask", F.lit(0))
+    rows = keep(rows, "similar-first")
+    shared = rows.groupBy("_pattern").count().where("count > 1").select("_pattern")
+    rows = rows.join(shared, "_pattern", "left_semi").join(fps.select("doc_id", "size", *_WIDE, *_MAP), "doc_id").withColumn("_mask", F.lit(0))
     met = split_roots(keep(rows, "similar-rare"), F.col("doc_id"))
 
     def handle(keys: np.ndarray, values: np.ndarray) -> list:
         values = values.astype(np.int64)
-        ids, sizes, bits = values[:, 0], values[:, 1], np.ascontiguousarray(values[:, 2:]).view(np.uint64)
+        ids, sizes = values[:, 0], values[:, 1]
+        bits, maps = (np.ascontiguousarray(values[:, k : k + WORDS]).view(np.uint64) for k in (2, 2 + WORDS))
 
         def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             a, b = sizes[i], sizes[j]
             fits = np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9
-            return fits & (differences(bits[i], bits[j]) <= FAR)
+            most = (1 - similarity) / (1 + similarity) * (a + b) + 1e-9
+            return fits & np.where(np.maximum(a, b) <= BOUND, differences(maps[i], maps[j]) <= most, differences(bits[i], bits[j]) <= FAR)
 
         bounds = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]])
         lengths = np.diff(bounds)
@@ -335,7 +337,7 @@ def rare_links(docs: DataFrame, fps: DataFrame, n: int, words: int, similarity:
         linked = np.flatnonzero(few.root != np.arange(len(ids)))
         return [ids[linked], ids[few.root[linked]]]
 
-    return by_root(met.withColumn("_rank", F.col("size")), ["doc_id", "size", *_WIDE], handle, "src long, dst long")
+    return by_root(met.withColumn("_rank", F.col("size")), ["doc_id", "size", *_WIDE, *_MAP], handle, "src long, dst long")
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -424,7 +426,9 @@ def classes(neighbours: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     many = rows.join(bounded(large), "part").withColumn("b", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     first = keep(clustered(many, ("part", "b"), similarity), "similar-blocks")
     leads = rows.join(first.select("part", "lead").distinct().withColumnRenamed("lead", "doc_id"), ["part", "doc_id"])
-    leads = leads.withColumn("b", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.ceil(F.count("*").over(Window.partitionBy("part")) / MEMBERS)))
+    leads = keep(leads, "similar-leads")
+    room = leads.groupBy("part").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum(F.length("shingles")) / BYTES)).cast("long").alias("room"))
+    leads = leads.join(bounded(room), "part").withColumn("b", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("room")))
     second = clustered(leads, ("part", "b"), similarity)
     links = first.select("part", "doc_id", "lead").unionByName(second)
     now = keep(links.where("doc_id <> lead"), "similar-found")
@@ -439,17 +443,33 @@ def classes(neighbours: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     return small.unionByName(found)
 
 
+def with_keys(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number _key of each distinct pair of doc_id and text: the doc_id, but where an id has several texts all of them but one get numbers above all ids."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    pairs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("_id"), F.md5(text).alias("_md5"))
+    clashing = keep(pairs.groupBy("_id").agg(F.min("_md5").alias("_first"), F.max("_md5").alias("_last")).where("_first <> _last"), "similar-clashes")
+    if clashing.isEmpty():
+        return docs.withColumn("_key", F.col("doc_id").cast("long"))
+    most = pairs.agg(F.max("_id")).first()[0]
+    more = pairs.join(bounded(clashing), "_id").where("_md5 <> _first").select("_id", "_md5").distinct()
+    more = keep(more.withColumn("_more", F.monotonically_increasing_id() + F.lit(most + 1)), "similar-keys")
+    rows = docs.withColumns({"_own": F.col("doc_id").cast("long"), "_body": F.md5(text)})
+    rows = rows.join(bounded(more), (rows["_own"] == more["_id"]) & (rows["_body"] == more["_md5"]), "left")
+    return rows.select(*[docs[c] for c in docs.columns], F.coalesce("_more", "_own").alias("_key"))
+
+
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = RECALL, exact: bool = True) -> DataFrame:
     """The rows of ``docs`` without near copies: of documents that links connect, the one with the smallest id stays.
 
     Documents link if their sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more, which is tested exactly. ``recall`` is the
     chance that the index brings together two documents at the threshold (closer ones meet more surely); with ``exact`` documents also meet under
     the first of their shingles, which similar pairs cannot miss, at the cost of shuffling a fifth of all shingles. Texts without words and rows
-    without id stay as they are. Rows that repeat an id are one document, whose set is the first of theirs in the order of bytes. Very long texts are read whole; an
-    empty table gives an empty table; other columns, of whatever names, are kept.
+    without id stay as they are. A document is a pair of id and text: rows that repeat both are one, those that share an id alone are
+    several, of which all but one count as larger than all ids. Very long texts are read whole; an empty table gives an empty table; other columns, of whatever names, are kept.
     """
-    usable = docs.where(F.col("doc_id").isNotNull() & F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    usable = usable.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
+    keyed = with_keys(whole)
+    usable = keyed.where(F.col("_key").isNotNull() & F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select(F.col("_key").alias("doc_id"), "text")
     fps = keep(fingerprints(usable, words), "similar-rows")
     n = fps.count()
     links = close_links(fps, n, similarity, recall)
@@ -459,4 +479,4 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall
     sets = shingle_sets(usable.join(bounded(near.select("doc_id")), "doc_id", "left_semi"), words)
     labels = classes(near, sets.groupBy("doc_id").agg(F.min("shingles").alias("shingles")), similarity)
     gone = keep(labels.where("node <> component").select(F.col("node").alias("_gone")), "similar-gone")
-    return docs.join(bounded(gone), docs["doc_id"] == gone["_gone"], "left_anti").select(*[docs[c] for c in docs.columns])
+    return keyed.join(bounded(gone), keyed["_key"] == gone["_gone"], "left_anti").select("row.*")
