@@ -14,12 +14,16 @@ from pyspark.sql import functions as F
 from geoexposure.operators import kernels as K
 from geoexposure.operators.focal import _std, tiled_apply
 from geoexposure.operators.graph import clumps
+from geoexposure.operators.quantiles import exact_quantile
 
 
 def scene_scalar(cells: DataFrame, value: Column, how: str = "mean") -> float | None:
-    """Mean or median of a column over valid cells, as a number; null if there are none."""
-    agg = F.avg(value) if how == "mean" else F.percentile(value, F.lit(0.5))
-    return cells.where("valid").agg(agg).first()[0]
+    """Mean or median of a column over valid cells, as a number; null if there are none. Cells whose value is null or NaN don't count; the median is selected exactly, without a buffer."""
+    own = cells.where("valid")
+    if how == "median":
+        found = exact_quantile(own, [], value).first()
+        return None if found is None else found[0]
+    return own.agg(F.avg(F.when(~F.isnan(value), value))).first()[0]
 
 
 def invalid_share_gate(granules: DataFrame, cloudy: Column, invalid: Column, by: str = "granule", add_clouds: bool = False) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from geoexposure.functions import geometry as G
 from geoexposure.operators import kernels as K
 from geoexposure.operators import zonal
+from geoexposure.operators.quantiles import exact_quantile
 from geoexposure.sources.workspace import keep
 
 
@@ -323,18 +324,28 @@ def polygons_to_grid_pieces(zones: DataFrame, step: float) -> DataFrame:
     return pieces.repartition("zone_id", "_cx", "_cy").mapInPandas(cut, "zone_id long, cx long, cy long, area double")
 
 
-#: Line operators by name, each over the lengths of a zone's lines; zones without lines have 0.
-LINE_OPS = {"sum": F.sum, "max": F.max, "min": F.min, "mean": F.avg, "median": F.median, "count": F.count}
+#: Line operators by name, each over the lengths of a zone's lines; zones without lines have 0. The median is selected, see ``quantiles``.
+LINE_OPS = {"sum": F.sum, "max": F.max, "min": F.min, "mean": F.avg, "count": F.count}
 
 
 def line_stats(pieces: DataFrame, zones: DataFrame, ops: tuple[str, ...], classes: dict[str, Column] | None = None) -> DataFrame:
     """Statistics of line lengths by zone (clipped pieces, or whole lines); with ``classes`` one set of columns for each condition, in one pass."""
-    if unknown := set(ops) - set(LINE_OPS):
-        raise ValueError(f"unknown line operators {sorted(unknown)}; known: {', '.join(LINE_OPS)}")
+    if unknown := set(ops) - {*LINE_OPS, "median"}:
+        raise ValueError(f"unknown line operators {sorted(unknown)}; known: median, {', '.join(LINE_OPS)}")
     sets = {"": F.lit(True)} if classes is None else {f"{n}_": on for n, on in classes.items()}
-    wanted = [LINE_OPS[op](F.when(on, F.col("length"))).alias(f"{n}{op}") for n, on in sets.items() for op in ops]
-    found = zones.select("zone_id").join(pieces.groupBy("zone_id").agg(*wanted), "zone_id", "left")
-    return found.fillna(0)
+    wanted = [LINE_OPS[op](F.when(on, F.col("length"))).alias(f"{n}{op}") for n, on in sets.items() for op in ops if op != "median"]
+    if "median" in ops:
+        named = F.array_compact(F.array(*[F.when(on, F.lit(n)) for n, on in sets.items()]))
+        pieces = keep(pieces.select("zone_id", "length", named.alias("_sets"), *[on.alias(f"_on_{n}") for n, on in sets.items()]), "line-lengths")
+        wanted = [LINE_OPS[op](F.when(F.col(f"_on_{n}"), F.col("length"))).alias(f"{n}{op}") for n in sets for op in ops if op != "median"]
+        middle = exact_quantile(pieces.select("zone_id", F.explode("_sets").alias("_set"), "length"), ["zone_id", "_set"], F.col("length"))
+        medians = middle.groupBy("zone_id").agg(*[F.max(F.when(F.col("_set") == n, F.col("quantile"))).alias(f"{n}median") for n in sets])
+    found = zones.select("zone_id")
+    if wanted:
+        found = found.join(pieces.groupBy("zone_id").agg(*wanted), "zone_id", "left")
+    if "median" in ops:
+        found = found.join(medians, "zone_id", "left")
+    return found.select("zone_id", *[f"{n}{op}" for n in sets for op in ops]).fillna(0)
 
 
 def line_density(pieces: DataFrame, zones: DataFrame) -> DataFrame:
