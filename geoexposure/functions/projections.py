@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +63,78 @@ def to_utm(lon: Column, lat: Column, zone: Column) -> tuple[Column, Column]:
     return east * (UTM_SCALE * radius) + 500000.0, north * (UTM_SCALE * radius) + F.when(lat < 0, 10000000.0).otherwise(0.0)
 
 
+def _named(value: Column, of) -> Column:
+    """``of(value)``, with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def from_utm(east: Column, north: Column, zone: Column, south: Column) -> Column:
+    """Longitude and latitude (a struct lon, lat) of an easting and northing of a zone; ``south``: whether the northing counts from the south. The inverse Krueger series, to the fourth order."""
+    n = FLAT / (2 - FLAT)
+    radius = A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    betas = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440, 17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280)
+    deltas = (2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45, 56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630)
+    grid = F.struct(((north - F.when(south, 10000000.0).otherwise(0.0)) / (UTM_SCALE * radius)).alias("xi"), ((east - 500000.0) / (UTM_SCALE * radius)).alias("eta"), zone.alias("zone"))
+
+    def plain(g: Column) -> Column:
+        x, y = g["xi"], g["eta"]
+        for k, b in enumerate(betas, 1):
+            x = x - F.sin(g["xi"] * 2 * k) * F.cosh(g["eta"] * 2 * k) * b
+            y = y - F.cos(g["xi"] * 2 * k) * F.sinh(g["eta"] * 2 * k) * b
+        return F.struct(x.alias("x"), y.alias("y"), g["zone"].alias("zone"))
+
+    def sphere(g: Column) -> Column:
+        lon = normalized_lon(g["zone"] * 6 - 183 + F.degrees(F.atan2(F.sinh(g["y"]), F.cos(g["x"]))))
+        return F.struct(F.asin(F.sin(g["x"]) / F.cosh(g["y"])).alias("chi"), lon.alias("lon"))
+
+    def ellipsoid(g: Column) -> Column:
+        lat = g["chi"]
+        for k, d in enumerate(deltas, 1):
+            lat = lat + F.sin(g["chi"] * 2 * k) * d
+        return F.struct(g["lon"].alias("lon"), F.degrees(lat).alias("lat"))
+
+    return _named(grid, lambda g: _named(plain(g), lambda p: _named(sphere(p), ellipsoid)))
+
+
+def _first_row(band: int) -> int:
+    """The least northing of a band in whole 100 km: that of its southern edge, on the middle of a zone in the north and at its rim in the south."""
+    n = FLAT / (2 - FLAT)
+    radius = A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    phi, lam, c = math.radians(band * 8 - 80), math.radians(3 if band < 10 else 0), 2 * n**0.5 / (1 + n)
+    t = math.sinh(math.atanh(math.sin(phi)) - c * math.atanh(c * math.sin(phi)))
+    xi, eta = math.atan2(t, math.cos(lam)), math.atanh(math.sin(lam) / math.hypot(t, 1))
+    xi += (n / 2 - 2 * n**2 / 3) * math.sin(2 * xi) * math.cosh(2 * eta)
+    return math.floor((UTM_SCALE * radius * xi + (10000000.0 if band < 10 else 0.0)) / 100000)
+
+
+def from_mgrs_100k(square: Column, east: Column | float = 0.0, north: Column | float = 0.0) -> Column:
+    """Longitude and latitude (a struct lon, lat) of a point ``east`` and ``north`` metres from the south-western corner of a 100-km square (zone, band, column, row letters; spaces don't count). Null for other names.
+
+    Row letters repeat every 2,000 km: of the rows that one may stand for the first that is not south of the band is taken.
+    """
+    letter = lambda name, k: F.substring(name, -k, 1)
+
+    def parts(name: Column) -> Column:
+        zone = F.regexp_extract(name, "^[0-9]+", 0).cast("int")
+        column = _place(F.element_at(F.array(*map(F.lit, COLUMNS)), (zone - 1) % 3 + 1), letter(name, 2))
+        row = _place(F.element_at(F.array(*map(F.lit, ROWS)), (zone - 1) % 2 + 1), letter(name, 1))
+        return F.struct(zone.alias("zone"), _place(BANDS, letter(name, 3)).alias("band"), column.alias("column"), row.alias("row"))
+
+    def found(p: Column) -> Column:
+        first = F.element_at(F.array(*[F.lit(_first_row(b)) for b in range(20)]), p["band"] + 1)
+        rows = first + F.pmod(p["row"] - first, F.lit(20))
+        return F.when((p["column"] >= 0) & (p["row"] >= 0), from_utm((p["column"] + 1) * 100000.0 + east, rows * 100000.0 + north, p["zone"], p["band"] < 10))
+
+    name = F.upper(F.regexp_replace(square, r"\s", ""))
+    sound = lambda n: n.rlike("^([1-9]|0[1-9]|[1-5][0-9]|60)[C-HJ-NP-X][A-HJ-NP-Z][A-HJ-NP-V]$")
+    return _named(name, lambda n: F.when(sound(n), _named(parts(n), found)))
+
+
+def _place(letters: Column | str, letter: Column) -> Column:
+    """The number of a letter among ``letters``, from 0; -1 if it isn't there."""
+    return F.instr(F.lit(letters) if isinstance(letters, str) else letters, letter) - 1
+
+
 def square_name(zone: Column, band: Column, east: Column, north: Column) -> Column:
     """Name of a square from its zone, the number of its band from 80 degrees south, and its easting and northing in whole 100 km."""
     column = _at(F.element_at(F.array(*map(F.lit, COLUMNS)), (zone - 1) % 3 + 1), east - 1)

@@ -41,6 +41,35 @@ def expand_until_found(scenes: DataFrame, needed: int, most_days: int = 365, ste
     return scenes.select("tile").distinct().join(enough.groupBy("tile").agg(F.min("steps").alias("steps")), "tile", "left")
 
 
+def expand_until_covered(
+    scenes: DataFrame, cells: DataFrame, target: DataFrame | None = None, enough: int = 6, most_days: int = 365, step: int = 7, tolerance: float = 0.01, by: str = "tile"
+) -> DataFrame:
+    """(tile, steps, candidates, covered): by how many widenings of ``step`` days on both sides the search window must grow until its scenes cover the tile, or are exactly ``enough``.
+
+    ``scenes``: tile, scene_id, days_outside (0 within the window; what lies in the future isn't there yet, so the window ends today). ``cells``: tile, scene_id, cell. The
+    area of a tile is that of ``target`` (tile, cell), cells outside of which don't count, or else what all of ``cells`` cover; covered means that less than
+    ``tolerance`` percent of it is missing. A cell is covered from the least step of its scenes on, so the cover after each step is a running sum over the
+    steps and no search is repeated. Where the window would grow by more than ``most_days`` steps is null, candidates and cover are those of the widest window.
+    """
+    last = most_days // step
+    near = scenes.select(by, "scene_id", F.greatest(F.lit(0), F.ceil(F.col("days_outside") / step)).cast("int").alias("steps")).distinct()
+    near = near.groupBy(by, "scene_id").agg(F.min("steps").alias("steps")).where(F.col("steps") <= last)
+    area = (cells if target is None else target).select(by, "cell").distinct()
+    own = cells.select(by, "scene_id", "cell") if target is None else cells.select(by, "scene_id", "cell").join(area, [by, "cell"], "left_semi")
+    first = own.join(near, [by, "scene_id"]).groupBy(by, "cell").agg(F.min("steps").alias("steps"))
+    fresh = near.groupBy(by, "steps").agg(F.count("*").alias("_scenes"), F.lit(0).cast("long").alias("_cells"))
+    fresh = fresh.unionByName(first.groupBy(by, "steps").agg(F.lit(0).cast("long").alias("_scenes"), F.count("*").alias("_cells"))).groupBy(by, "steps").agg(F.sum("_scenes").alias("_scenes"), F.sum("_cells").alias("_cells"))
+    so_far = Window.partitionBy(by).orderBy("steps")  # a row for each step at most
+    run = fresh.select(by, "steps", F.sum("_scenes").over(so_far).alias("_have"), F.sum("_cells").over(so_far).alias("_held"))
+    run = run.join(area.groupBy(by).agg(F.count("*").alias("_area")), by, "left").withColumn("covered", F.coalesce(F.col("_held") * 100.0 / F.col("_area"), F.lit(0.0)))
+    run = run.withColumn("_stop", (F.col("covered") >= 100.0 - tolerance) | (F.col("_have") == enough))
+    widest = F.max_by(F.struct("_have", "covered"), "steps")
+    found = run.groupBy(by).agg(F.min_by(F.when(F.col("_stop"), F.struct("steps", "_have", "covered")), F.when(F.col("_stop"), F.col("steps"))).alias("_found"), widest.alias("_widest"))
+    out = scenes.select(by).distinct().join(found, by, "left")
+    pick = lambda c: F.coalesce(f"_found.{c}", f"_widest.{c}", F.lit(0))
+    return out.select(by, F.col("_found.steps").alias("steps"), pick("_have").cast("long").alias("candidates"), pick("covered").cast("double").alias("covered"))
+
+
 def latest_available_month(wanted: DataFrame, months: DataFrame, back: int = 3) -> DataFrame:
     """Each wanted month (id, month) with the latest month that has data, ``back`` months before it at most."""
     tried = wanted.withColumn("_m", F.explode(F.transform(F.sequence(F.lit(0), F.lit(back)), lambda k: F.add_months("month", -k))))
@@ -95,8 +124,8 @@ def prune_similar(cells: DataFrame, by: str = "tile", similar: float = 0.5) -> D
     return rows.repartition(by).sortWithinPartitions(by, "rank").mapInPandas(walk, f"{by} {cells.schema[by].dataType.simpleString()}, rank int")
 
 
-def minimum_cover(cells: DataFrame, target: DataFrame, most: int | None = 3) -> DataFrame:
-    """(ids, covered, pct): the smallest set of up to ``most`` granules (None: of any number) that covers the most of the target cells, then the lowest ids.
+def minimum_cover(cells: DataFrame, target: DataFrame, most: int | None = None) -> DataFrame:
+    """(ids, covered, pct): the smallest set of granules (of any number, or of up to ``most``) that covers the most of the target cells, then the lowest ids.
 
     ``cells``: granule, cell; few granules. Cells that the same granules hold count as one, so Spark counts cells by set of granules, and the
     search over those counts on the driver goes through the sizes until one covers all that any can. Without a granule on the target there is no row.
@@ -163,6 +192,22 @@ def complete_tile_set(files: DataFrame, expected: int) -> DataFrame:
     return whole.groupBy("day").agg(F.min("product").alias("product"))
 
 
+def complete_tile_set_by_route(files: DataFrame, expected: int, levels: list[str], routes: list[str]) -> DataFrame:
+    """(day, level, route, product, ts, first): for each level the first route, in the order of ``routes``, whose files are whole; ``first`` marks the first such level in the order of ``levels``.
+
+    ``files``: day, level, route, product, tile, ts. Of a level and route the first product by name counts: it is whole if it has all ``expected`` tiles and one
+    timestamp. Levels and routes that are not named take no part. All alternatives are ranked in one aggregation, none is tried after another.
+    """
+    order = lambda names, c: F.array_position(F.array(*map(F.lit, names)), F.col(c))
+    known = files.withColumn("_l", order(levels, "level")).withColumn("_r", order(routes, "route")).where("_l > 0 AND _r > 0")
+    sets = known.groupBy("day", "_l", "level", "_r", "route", "product").agg(F.countDistinct("tile").alias("_t"), F.countDistinct("ts").alias("_s"), F.min("ts").alias("ts"))
+    by_route = sets.groupBy("day", "_l", "level", "_r", "route").agg(F.min_by(F.struct("product", "ts", "_t", "_s"), "product").alias("_p"))
+    whole = by_route.where((F.col("_p._t") == expected) & (F.col("_p._s") == 1))
+    best = whole.groupBy("day", "_l", "level").agg(F.min_by(F.struct("route", "_p.product", "_p.ts"), "_r").alias("_b"))
+    first = F.col("_l") == F.min("_l").over(Window.partitionBy("day"))  # a row for each level
+    return best.select("day", "level", "_b.route", "_b.product", "_b.ts", first.alias("first"))
+
+
 def coverage_pct(a: DataFrame, b: DataFrame) -> DataFrame:
     """(coverage, similarity) in percent of two footprints as cell sets: share of b, and share of the union."""
     side = lambda df, s: df.select("cell").distinct().withColumn(s, F.lit(1))

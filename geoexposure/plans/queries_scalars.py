@@ -44,6 +44,15 @@ def prj3(t: Tables):
     return t.geo.select("fid", J.utm_zone(F.col("lon")).alias("zone"), J.to_mgrs_100k(F.col("lon"), F.col("lat")).alias("square"))
 
 
+@query("prj3_from_mgrs_100k", "SELECT fid, round(lon, 4) AS lon, round(lat, 4) AS lat FROM geo WHERE lat BETWEEN -80 AND 84")
+def prj3_inverse(t: Tables):
+    # From a point to its square and the metres within it, and back again.
+    east, north = J.to_utm(F.col("lon"), F.col("lat"), J.utm_zone(F.col("lon")))
+    there = t.geo.where("lat BETWEEN -80 AND 84").select("fid", J.to_mgrs_100k(F.col("lon"), F.col("lat")).alias("square"), F.pmod(east, F.lit(1e5)).alias("e"), F.pmod(north, F.lit(1e5)).alias("n"))
+    found = there.select("fid", J.from_mgrs_100k(F.col("square"), F.col("e"), F.col("n")).alias("p"))
+    return found.select("fid", F.round("p.lon", 4).alias("lon"), F.round("p.lat", 4).alias("lat"))
+
+
 def _boxes(t: Tables):
     return t.sql("SELECT fid, lon AS xmin, lat AS ymin, lon + (fid % 7)*3e0 AS xmax, lat + (fid % 5)*3e0 AS ymax FROM {geo}")
 

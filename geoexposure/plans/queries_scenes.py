@@ -32,6 +32,23 @@ def scn3(t: Tables):
     return S.expand_until_found(some, 6)
 
 
+COVER_CELLS = "SELECT tile, scene_id, (coverage + i) % 101 AS cell, d FROM (SELECT *, CAST(floor(abs(date_diff('second', TIMESTAMP '2024-01-15', ts))/864e2) AS BIGINT)*20 + cloud % 7 AS d FROM scenes WHERE cloud % 3 = 0) s, (SELECT range AS i FROM range(40)) r"
+
+
+@query("scn3_expand_until_covered", f"""
+WITH c AS ({COVER_CELLS}), s AS (SELECT tile, scene_id, CAST(ceil(greatest(0, min(d) - 30)/7e0) AS INTEGER) AS k FROM c GROUP BY 1, 2), n AS (SELECT * FROM s WHERE k <= 52),
+f AS (SELECT c.tile, cell, min(k) AS k FROM c JOIN n ON c.tile = n.tile AND c.scene_id = n.scene_id WHERE cell < 80 GROUP BY 1, 2), k AS (SELECT DISTINCT tile, k FROM n),
+r AS (SELECT k.tile, k.k, (SELECT count(*) FROM n WHERE n.tile = k.tile AND n.k <= k.k) AS have, (SELECT count(*) FROM f WHERE f.tile = k.tile AND f.k <= k.k)*100e0/80 AS pct FROM k),
+o AS (SELECT tile, min(CASE WHEN pct >= 99.99e0 OR have = 6 THEN k END) AS steps, max(k) AS far FROM r GROUP BY 1)
+SELECT t.tile, steps, coalesce(have, 0) AS candidates, round(coalesce(pct, 0e0), 6) AS covered FROM (SELECT DISTINCT tile FROM c) t LEFT JOIN o ON t.tile = o.tile LEFT JOIN r ON r.tile = t.tile AND r.k = coalesce(steps, far)""")
+def scn3_cover(t: Tables):
+    days = F.floor(_days()).cast("long") * 20 + F.col("cloud") % 7
+    some = t.scenes.where("cloud % 3 = 0").select("tile", "scene_id", "coverage", F.greatest(F.lit(0), days - 30).alias("days_outside"))
+    cells = some.select("tile", "scene_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: (F.col("coverage") + i) % 101)).alias("cell"))
+    area = some.select("tile").distinct().select("tile", F.explode(F.sequence(F.lit(0), F.lit(79))).alias("cell"))
+    return S.expand_until_covered(some, cells, area).withColumn("covered", F.round("covered", 6))
+
+
 @query("scn4_latest_available_month", """
 SELECT id, month, max(m) AS found FROM (SELECT DISTINCT user_id AS id, CAST(date_trunc('month', DATE '1995-03-01' + CAST(user_id*13 AS INTEGER)) AS DATE) AS month FROM events) w
 LEFT JOIN (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS m FROM orders) h ON m <= month AND m >= month - INTERVAL 3 MONTH GROUP BY 1, 2""")
@@ -105,3 +122,19 @@ SELECT day, min(product) AS product FROM (SELECT CAST(ts AS DATE) AS day, event_
 def agg18(t: Tables):
     files = t.events.select(F.col("ts").cast("date").alias("day"), F.col("event_type").alias("product"), (F.col("user_id") % 12).alias("tile"), F.floor(F.hour("ts") / 24).alias("ts"))
     return S.complete_tile_set(files, 12)
+
+
+@query("agg18_complete_tile_set_by_route", """
+WITH f AS (SELECT CAST(ts AS DATE) AS day, CASE WHEN event_id % 2 = 0 THEN 'A1' ELSE 'A2' END AS level, CASE WHEN event_id % 5 < 2 THEN 'bulk' ELSE 'api' END AS route, event_type AS product, user_id % 12 AS tile,
+  CASE WHEN event_id % 5 < 2 AND CAST(day(ts) AS INTEGER) % 3 = 0 THEN hour(ts) ELSE 0 END AS ts FROM events),
+s AS (SELECT day, level, route, product, count(DISTINCT tile) AS n, count(DISTINCT ts) AS k, min(ts) AS ts FROM f GROUP BY ALL),
+p AS (SELECT *, row_number() OVER (PARTITION BY day, level, route ORDER BY product) AS i FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY day, level ORDER BY CASE route WHEN 'bulk' THEN 1 ELSE 2 END) AS j FROM p WHERE i = 1 AND n = 12 AND k = 1)
+SELECT day, level, route, product, CAST(ts AS INTEGER) AS ts, level = max(level) OVER (PARTITION BY day) AS first FROM r WHERE j = 1""")
+def agg18_by_route(t: Tables):
+    bulk = F.col("event_id") % 5 < 2
+    files = t.events.select(
+        F.col("ts").cast("date").alias("day"), F.when(F.col("event_id") % 2 == 0, "A1").otherwise("A2").alias("level"), F.when(bulk, "bulk").otherwise("api").alias("route"), F.col("event_type").alias("product"),
+        (F.col("user_id") % 12).alias("tile"), F.when(bulk & (F.dayofmonth("ts") % 3 == 0), F.hour("ts")).otherwise(0).alias("ts"),
+    )
+    return S.complete_tile_set_by_route(files, 12, ["A2", "A1"], ["bulk", "api"])

@@ -19,17 +19,53 @@ def read_zones(zones: DataFrame) -> DataFrame:
     return sound.select("*", G.bbox(F.flatten("geom")).alias("bbox"), G.area(F.col("geom")).alias("area"))
 
 
-def read_cells(spark: SparkSession, path: str, xmin: float, ymin: float, xmax: float, ymax: float) -> DataFrame:
-    """Cells (row, col, ...) that a box meets; the range goes into the scan, as does the tile partition if there is one."""
-    cells = spark.read.parquet(path)
-    inside = F.col("row").between(int(ymin // 1), int(ymax // 1)) & F.col("col").between(int(xmin // 1), int(xmax // 1))
-    return cells.where(inside)
+#: Under a folder of cells: the ranges of rows and columns of its files.
+RANGES = "_ranges"
+
+
+def z_order(y: Column, x: Column) -> Column:
+    """Number of a tile along a space-filling curve: the bits of both 32-bit numbers by turns, so that near numbers are near tiles."""
+
+    def spread(v: Column) -> Column:
+        v = (v.cast("long") + 2**31).bitwiseAND(F.lit(0xFFFFFFFF))
+        for by, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            v = v.bitwiseOR(F.shiftleft(v, by)).bitwiseAND(F.lit(mask))
+        return v
+
+    return F.shiftleft(spread(y), 1).bitwiseOR(spread(x))
 
 
-def write_cells(cells: DataFrame, path: str, tile: int = 256) -> None:
-    """Store cells by tile, so that a read of a window opens few files."""
-    keyed = cells.withColumn("ty", F.floor(F.col("row") / tile).cast("int")).withColumn("tx", F.floor(F.col("col") / tile).cast("int"))
-    keyed.repartition("ty", "tx").sortWithinPartitions("ty", "tx", "row", "col").write.partitionBy("ty", "tx").mode("overwrite").parquet(path)
+def write_cells(cells: DataFrame, path: str, tile: int = 256, files: int | None = None) -> None:
+    """Store cells (row, col, ...) along a space-filling curve over tiles, in ``files`` files of about equal size (a file for each four tiles' worth of cells, if not given).
+
+    Beside them, in a folder that readers of the cells skip, stand the ranges of rows and columns of each file, so a read of a window opens the files that it needs only.
+    """
+    rows = cells.withColumn("_z", z_order(F.floor(F.col("row") / tile), F.floor(F.col("col") / tile)))
+    files = files or max(1, cells.count() // (4 * tile * tile))
+    rows.repartitionByRange(files, "_z", "row", "col").sortWithinPartitions("_z", "row", "col").drop("_z").write.mode("overwrite").parquet(path)
+    ends = [f(c).alias(f"{n}_{c}") for c in ("row", "col") for n, f in (("least", F.min), ("most", F.max))]
+    stored = cells.sparkSession.read.parquet(path)
+    stored.groupBy(F.col("_metadata.file_name").alias("file")).agg(*ends).coalesce(1).write.mode("overwrite").parquet(f"{path}/{RANGES}")
+
+
+def read_cells(spark: SparkSession, path: str, xmin: float, ymin: float, xmax: float, ymax: float) -> DataFrame:
+    """Cells (row, col, ...) that a box meets. The ranges go into the scan; of what ``write_cells`` stored only the files whose cells can lie in the box are opened."""
+    row, col = (int(ymin // 1), int(ymax // 1)), (int(xmin // 1), int(xmax // 1))
+    files = [path]
+    if _there(spark, f"{path}/{RANGES}"):
+        met = (F.col("most_row") >= row[0]) & (F.col("least_row") <= row[1]) & (F.col("most_col") >= col[0]) & (F.col("least_col") <= col[1])
+        ranges = spark.read.parquet(f"{path}/{RANGES}")
+        chosen = [r.file for r in ranges.where(met).select("file").collect()]
+        if not chosen:  # one file gives the columns
+            return spark.read.parquet(f"{path}/{ranges.first().file}").where("false") if not ranges.isEmpty() else spark.read.parquet(path)
+        files = [f"{path}/{f}" for f in chosen]
+    return spark.read.parquet(*files).where(F.col("row").between(*row) & F.col("col").between(*col))
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(context._jsc.hadoopConfiguration()).exists(where)
 
 
 def bbox_filter(rows: DataFrame, xmin: float, ymin: float, xmax: float, ymax: float, bbox: str = "bbox", subtype: str | None = None) -> DataFrame:

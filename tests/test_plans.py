@@ -31,6 +31,20 @@ def test_window_and_box_reach_the_scan(spark, tmp_path):
     assert "PushedFilters" in found._jdf.queryExecution().toString() and "LessThan(bbox.xmin,12.0)" in found._jdf.queryExecution().toString()
 
 
+def test_a_window_opens_few_files(spark, tmp_path):
+    """A read of one part in a hundred of the grid opens three files in a hundred at most, whether or not the grid starts at zero."""
+    cells = spark.range(320 * 320, numPartitions=8).selectExpr("cast(id div 320 as int) - 100 AS row", "cast(id % 320 as int) - 200 AS col", "id AS value")
+    path = str(tmp_path / "c")
+    readers.write_cells(cells, path, tile=8, files=800)
+    assert spark.read.parquet(path).count() == 320 * 320 and len(list((tmp_path / "c").glob("*.parquet"))) == 800
+    for x, y in ((-200, -100), (-140, 40), (60, 170), (-17, -3)):
+        got = readers.read_cells(spark, path, x, y, x + 31.5, y + 31.5)
+        assert got.count() == len({(r, c) for r in range(max(y, -100), min(y + 32, 220)) for c in range(max(x, -200), min(x + 32, 120))})
+        assert len(got.inputFiles()) <= 24
+    nothing = readers.read_cells(spark, path, 5000, 5000, 5001, 5001)
+    assert nothing.count() == 0 and nothing.columns == ["row", "col", "value"]
+
+
 def test_formulas_of_an_empty_zone_are_null(spark):
     """A zone without affected cells, and one without any people, have null ratios and end no job."""
     names = [v.source for v in CATALOG["population"] if not v.formula]

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from geoexposure.functions import projections as J
@@ -66,10 +67,62 @@ def test_minimum_cover(spark):
     for size in (6, 14):
         sets = {g: set(rnd.sample(range(30), size)) for g in range(7)}
         target = set(range(25))
-        best = max((c for n in (1, 2, 3) for c in itertools.combinations(sorted(sets), n)), key=lambda c: (len(set().union(*(sets[g] for g in c)) & target), -len(c), [-g for g in c]))
         cells = spark.createDataFrame([(g, c) for g, own in sets.items() for c in own], "granule int, cell int")
-        row = scenes.minimum_cover(cells, spark.createDataFrame([(c,) for c in target], "cell int")).first()
-        assert tuple(row.ids) == best and row.covered == len(set().union(*(sets[g] for g in best)) & target)
+        for most in (3, None):
+            found = (c for n in range(1, (most or 7) + 1) for c in itertools.combinations(sorted(sets), n))
+            best = max(found, key=lambda c: (len(set().union(*(sets[g] for g in c)) & target), -len(c), [-g for g in c]))
+            row = scenes.minimum_cover(cells, spark.createDataFrame([(c,) for c in target], "cell int"), most).first()
+            assert tuple(row.ids) == best and row.covered == len(set().union(*(sets[g] for g in best)) & target)
+
+
+def widened(own, cells, area, most_days=365, enough=6):
+    """(steps, candidates, covered) of one tile by widening the window step by step."""
+    for k in range(most_days // 7 + 1):
+        inside = {s for s, d in own if d <= 7 * k}
+        held = 100.0 * len(set().union(set(), *(cells.get(s, set()) for s in inside)) & area) / len(area)
+        if inside and (held >= 99.99 or len(inside) == enough):
+            return k, len(inside), held
+    return None, len(inside), held
+
+
+def test_search_widens_until_the_tile_is_covered(spark):
+    rnd = random.Random(8)
+    own, cells, want = {}, {}, {}
+    for tile in range(40):
+        own[tile] = [(tile * 100 + i, rnd.choice([0, 0, 3, 7, 8, 30, 100, 363, 364, 365, 900])) for i in range(rnd.choice([1, 3, 8, 20]))]
+        cells[tile] = {s: set(rnd.sample(range(30), rnd.choice([2, 10, 25]))) for s, _ in own[tile]}
+        want[tile] = widened(own[tile], cells[tile], set(range(20)))
+    scene = spark.createDataFrame([(t, s, d) for t, rows in own.items() for s, d in rows] + [(0, own[0][0][0], 900)], "tile int, scene_id int, days_outside int")
+    cell = spark.createDataFrame([(t, s, c) for t, rows in cells.items() for s, held in rows.items() for c in held], "tile int, scene_id int, cell int")
+    target = spark.createDataFrame([(t, c) for t in own for c in range(20)], "tile int, cell int")
+    got = {r.tile: (r.steps, r.candidates, pytest.approx(r.covered)) for r in scenes.expand_until_covered(scene, cell, target).collect()}
+    assert got == want and {None} < {k for k, _, _ in want.values()}
+
+
+def test_files_fall_back_by_level_and_route(spark):
+    whole = lambda day, level, route, product, ts="t", n=2: [(day, level, route, product, tile, ts) for tile in range(n)]
+    rows = whole(1, "A2", "bulk", "p") + whole(1, "A2", "api", "p") + whole(1, "A1", "api", "q")  # the first route of the first level, and the next level too
+    rows += whole(2, "A2", "bulk", "a", n=1) + whole(2, "A2", "bulk", "b") + whole(2, "A2", "api", "c")  # the first product isn't whole: the next route
+    rows += whole(3, "A2", "bulk", "a", n=1) + whole(3, "A1", "bulk", "a") + [(3, "A1", "bulk", "a", 0, "t")]  # the next level
+    rows += whole(4, "A2", "bulk", "a", "t", 1) + [(4, "A2", "bulk", "a", 1, "u")] + whole(5, "A3", "bulk", "a")  # two timestamps; an unknown level
+    files = spark.createDataFrame(rows, "day int, level string, route string, product string, tile int, ts string")
+    got = {tuple(r) for r in scenes.complete_tile_set_by_route(files, 2, ["A2", "A1"], ["bulk", "api"]).collect()}
+    assert got == {(1, "A2", "bulk", "p", "t", True), (1, "A1", "api", "q", "t", False), (2, "A2", "api", "c", "t", True), (3, "A1", "bulk", "a", "t", True)}
+
+
+def test_squares_and_back(spark):
+    """A point's square and the metres within it give the point again, within a metre, in all zones and bands."""
+    rnd = random.Random(9)
+    points = [(i, rnd.uniform(-180, 180), rnd.uniform(-80, 84)) for i in range(3000)] + [(3000 + k, 6.0 * k - 180 + 3, 8.0 * (k % 20) - 80 + 1e-6) for k in range(60)]
+    df = spark.createDataFrame(points, "i int, lon double, lat double")
+    east, north = J.to_utm(F.col("lon"), F.col("lat"), J.utm_zone(F.col("lon")))
+    there = df.select("*", J.to_mgrs_100k(F.col("lon"), F.col("lat")).alias("s"), F.pmod(east, F.lit(1e5)).alias("e"), F.pmod(north, F.lit(1e5)).alias("n"))
+    there = there.withColumn("p", J.from_mgrs_100k(F.col("s"), F.col("e"), F.col("n")))
+    lon, lat = F.col("p.lon"), F.col("p.lat")
+    off = F.hypot((lon - F.col("lon")) * 111320 * F.cos(F.radians("lat")), (lat - F.col("lat")) * 111320)
+    assert there.agg(F.max(off), F.count(off)).first() == (pytest.approx(0, abs=0.05), len(points))
+    odd = spark.createDataFrame([("31U DQ",), ("31UIQ",), ("61UDQ",), (None,), ("",)], "s string").select(J.from_mgrs_100k(F.col("s")).alias("p"))
+    assert [r.p is None for r in odd.collect()] == [False, True, True, True, True]
 
 
 def test_minimum_cover_of_any_size(spark):
