@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoexposure.operators.components import connected_components
-from geoexposure.sources.workspace import bounded, keep
+from geoexposure.sources.workspace import bounded, forget, keep
 
 TILE = 256
 # km/h by road class.
@@ -92,25 +94,40 @@ def travel_seconds(edges: DataFrame, speeds: dict[str, float] | None = None, def
     return edges.select("u", "v", F.ceil(F.col("length_m") * 3.6 / speed).cast("long").alias("cost"))
 
 
-def travel_times(edges: DataFrame, sites: DataFrame, most: int, barriers: DataFrame | None = None, rounds: int = 500) -> DataFrame:
+def travel_times(edges: DataFrame, sites: DataFrame, most: int, barriers: DataFrame | None = None, rounds: int = 500, width: int | None = None) -> DataFrame:
     """(node, seconds): least cost from each node to the nearest site, up to ``most``.
 
-    ``edges``: u, v, cost; times run backwards along them. ``barriers`` (u, v) are left out. Only nodes whose time fell in
-    the last round go on, and each round is written to the shared folder, so the lineage stays short.
+    ``edges``: u, v, cost; times run backwards along them. ``barriers`` (u, v) are left out. Nodes are settled in buckets of ``width`` seconds (a quarter of ``most``, if not
+    given): those in the current one go on, and go on again when their time falls, until none does; then the bucket is written once and never again. A round writes
+    what fell only; what lies beyond the bucket waits, and is merged when the next one begins. Tables of finished rounds are deleted.
     """
     if barriers is not None:
         edges = edges.join(barriers, ["u", "v"], "left_anti")
-    edges = keep(edges.select("u", "v", "cost"), "travel-edges")
-    times = keep(sites.select(F.col("node"), F.lit(0).cast("long").alias("seconds")).distinct(), "travel")
-    front = times
+    edges = keep(edges.select("u", "v", "cost").where("u <> v"), "travel-edges")
+    width = max(1, width or -(-(most + 1) // 4))
+    settled, limit = [], width
+    open_ = [keep(sites.select("node", F.lit(0).cast("long").alias("seconds")).where(F.col("node").isNotNull()).distinct(), "travel")]
+    front = open_[0]
     for _ in range(rounds):
         near = edges.join(bounded(front), edges["v"] == front["node"]).select(F.col("u").alias("node"), (F.col("seconds") + F.col("cost")).alias("seconds"))
-        near = near.where(F.col("seconds") <= most).groupBy("node").agg(F.min("seconds").alias("new"))
-        both = keep(times.join(near, "node", "full_outer").select("node", "seconds", "new"), "travel")
-        times = both.select("node", F.least("seconds", "new").alias("seconds"))
-        front = both.where("new IS NOT NULL AND (seconds IS NULL OR new < seconds)").select("node", F.col("new").alias("seconds"))
-        if front.isEmpty():
-            return times
+        near = near.where(F.col("seconds") <= most).groupBy("node").agg(F.min("seconds").alias("seconds"))
+        if settled:
+            near = near.join(reduce(DataFrame.unionByName, settled).select("node"), "node", "left_anti")
+        known = reduce(DataFrame.unionByName, open_).groupBy("node").agg(F.min("seconds").alias("_old"))
+        fell = keep(near.join(known, "node", "left").where("_old IS NULL OR seconds < _old").select("node", "seconds"), "travel")
+        open_.append(fell)
+        front = fell.where(F.col("seconds") < limit)
+        while front.isEmpty():
+            least = reduce(DataFrame.unionByName, open_).groupBy("node").agg(F.min("seconds").alias("seconds"))
+            settled.append(keep(least.where(F.col("seconds") < limit), "travel-settled"))
+            rest = keep(least.where(F.col("seconds") >= limit), "travel")
+            forget(*open_)
+            first = rest.agg(F.min("seconds")).first()[0]
+            if first is None:
+                forget(edges, rest)
+                return reduce(DataFrame.unionByName, settled)
+            limit = (first // width + 1) * width
+            open_, front = [rest], rest.where(F.col("seconds") < limit)
     raise RuntimeError(f"travel times did not settle in {rounds} rounds")
 
 

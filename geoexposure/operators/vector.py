@@ -232,31 +232,81 @@ def exclude_disputed(zones: DataFrame, lines: DataFrame, step: float = 8.0) -> D
     return zones.join(overlay_lines(lines, zones, step).select("zone_id").distinct(), "zone_id", "left_anti")
 
 
+#: Buckets of places: a bucket has FOUR x FOUR of the level below, one of the lowest level should hold so many places at most, and so many buckets are the top level.
+FOUR, PLACES, TOPMOST = 4, 64, 4
+_BOX = ("xlow", "xhigh", "ylow", "yhigh")
+
+
+def place_pyramid(places: DataFrame, step: float) -> tuple[DataFrame, list[DataFrame], float]:
+    """(places by bucket, levels of occupied buckets, width of the lowest). Of places at one spot the one with the smallest id counts.
+
+    A level is a table (cx, cy, the box of what is in it); each has one row for the occupied buckets of the level below that lie in it.
+    """
+    spots = keep(places.groupBy("px", "py").agg(F.min("place_id").alias("place_id")), "nearest-places")
+    for _ in range(12):
+        most = spots.groupBy(F.floor(F.col("px") / step), F.floor(F.col("py") / step)).count().agg(F.max("count")).first()[0]
+        if most <= PLACES:
+            break
+        step /= 2 ** max(1, math.ceil(math.log2(most / PLACES) / 2))
+    spots = spots.select("*", F.floor(F.col("px") / step).alias("cx"), F.floor(F.col("py") / step).alias("cy"))
+    ends = [f(F.col(c)).alias(n) for n, f, c in zip(_BOX, (F.min, F.max, F.min, F.max), ("px", "px", "py", "py"), strict=True)]
+    levels = [keep(spots.groupBy("cx", "cy").agg(*ends), "nearest-level")]
+    while levels[-1].count() > TOPMOST:
+        up = levels[-1].select(F.floor(F.col("cx") / FOUR).alias("cx"), F.floor(F.col("cy") / FOUR).alias("cy"), *_BOX)
+        levels.append(keep(up.groupBy("cx", "cy").agg(*[f(n).alias(n) for n, f in zip(_BOX, (F.min, F.max, F.min, F.max), strict=True)]), "nearest-level"))
+    return spots, levels, step
+
+
+def _around(cells: DataFrame, *kept: str) -> DataFrame:
+    """The 3 x 3 buckets around each (cx, cy)."""
+    near = F.explode(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(cx + i AS cx, cy + j AS cy))))")).alias("_c")
+    return cells.select(*kept, near).select(*kept, "_c.cx", "_c.cy")
+
+
 def nearest_place(points: DataFrame, places: DataFrame, step: float = 1.0) -> DataFrame:
-    """Each point (fid, x, y) with its nearest place (place_id, px, py) and the distance, however far; ties to the smaller id.
+    """Each point (fid, x, y) with its nearest place (place_id, px, py) and the distance, however far; ties to the smaller id. ``fid`` names a point.
 
-    Points meet the places of the 3 x 3 buckets around them; a nearest place within a bucket's width is final, and what
-    is left goes on with buckets four times as wide. Points and places without finite coordinates take no part; without places there are no rows.
+    Places make up a pyramid of occupied buckets. A point goes up to the first level that has one next to it: the nearest place lies within the 3 x 3 buckets of the level above. From
+    there it goes down: of the buckets that it meets those stay whose nearest side is no farther than another one's farthest, until few places are left. So a
+    point meets a few buckets a level, far or near, and never all places. Points and places without finite coordinates take no part; without places there are no rows.
     """
-    finite = lambda *c: [F.abs(v) < float("inf") for v in c]
-    found, left = [], points.where(reduce(Column.__and__, finite("x", "y"))).select("fid", "x", "y")
-    places = places.where(reduce(Column.__and__, finite("px", "py")))
+    finite = lambda *c: reduce(Column.__and__, [F.abs(v) < float("inf") for v in c])
+    places, left = places.where(finite("px", "py")), points.where(finite("x", "y")).select("fid", "x", "y")
     if places.isEmpty():
         return left.select("fid", F.lit(None).cast(places.schema["place_id"].dataType).alias("place_id"), F.lit(0.0).alias("distance")).where("false")
-    while True:
-        cells = left.select("*", F.floor(F.col("x") / step).alias("_cx"), F.floor(F.col("y") / step).alias("_cy"))
-        around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-        spots = places.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around))
-        spots = spots.select(*places.columns, (F.floor(F.col("px") / step) + F.col("_dx")).alias("_cx"), (F.floor(F.col("py") / step) + F.col("_dy")).alias("_cy"))
-        gap = F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))
-        met = cells.join(spots, ["_cx", "_cy"]).select("fid", gap.alias("distance"), "place_id")
-        best = met.groupBy("fid").agg(F.min(F.struct("distance", "place_id")).alias("_best")).where(F.col("_best.distance") <= step)
-        best = keep(best.select("fid", "_best.place_id", "_best.distance"), "nearest")
-        found.append(best)
-        left = keep(left.join(best, "fid", "left_anti"), "nearest-left")
-        step *= 4
+    spots, levels, step = place_pyramid(places, step)
+    cell = lambda k: [F.floor(F.col(c) / (step * FOUR**k)).alias(n) for c, n in (("x", "cx"), ("y", "cy"))]
+    point = ("fid", "x", "y")
+    starts = {}
+    for k in range(len(levels) - 1):
+        here = left.select(*point, *cell(k))
+        seen = _around(levels[k].select("cx", "cy")).distinct()
+        starts[k + 1] = keep(here.join(seen, ["cx", "cy"], "left_semi").select(*point), "nearest-start")
+        left = keep(here.join(seen, ["cx", "cy"], "left_anti").select(*point), "nearest-left")
         if left.isEmpty():
-            return reduce(DataFrame.unionByName, found)
+            break
+    top = max(starts, default=0)
+    met = None
+    if len(starts) == len(levels) - 1:  # what has nothing near it at any level meets all of the few buckets at the top
+        top = len(levels) - 1
+        few = [F.struct(*[F.lit(b[c]).alias(c) for c in ("cx", "cy", *_BOX)]) for b in levels[top].collect()]
+        met = left.select(*point, F.explode(F.array(*few)).alias("_b")).select(*point, "_b.*")
+    for k in range(top, -1, -1):
+        if k in starts:
+            own = _around(starts[k].select(*point, *cell(k)), *point).join(levels[k], ["cx", "cy"]).select(*point, "cx", "cy", *_BOX)
+            met = own if met is None else met.unionByName(own)
+        gap = lambda c, low, high: F.greatest(F.lit(0.0), F.col(low) - F.col(c), F.col(c) - F.col(high))
+        reach = lambda c, low, high: F.greatest(F.abs(F.col(c) - F.col(low)), F.abs(F.col(c) - F.col(high)))
+        met = met.select(*point, "cx", "cy", F.hypot(gap("x", "xlow", "xhigh"), gap("y", "ylow", "yhigh")).alias("_least"), F.hypot(reach("x", "xlow", "xhigh"), reach("y", "ylow", "yhigh")).alias("_most"))
+        # A bit more than the bound, as distances are rounded.
+        met = met.withColumn("_bound", F.min("_most").over(Window.partitionBy("fid"))).where(F.col("_least") <= F.col("_bound") * (1 + 1e-12)).select(*point, "cx", "cy")
+        met = keep(met, "nearest-met")
+        if k:
+            below = levels[k - 1].select(F.floor(F.col("cx") / FOUR).alias("_ux"), F.floor(F.col("cy") / FOUR).alias("_uy"), "cx", "cy", *_BOX)
+            met = met.withColumnsRenamed({"cx": "_ux", "cy": "_uy"}).join(below, ["_ux", "_uy"]).select(*point, "cx", "cy", *_BOX)
+    gap = F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))
+    best = met.join(spots, ["cx", "cy"]).groupBy("fid").agg(F.min(F.struct(gap.alias("distance"), "place_id")).alias("_best"))
+    return best.select("fid", "_best.place_id", "_best.distance")
 
 
 def admin_hierarchy(points: DataFrame, areas: DataFrame, levels: tuple[int, ...] = (0, 1, 2), step: float = 16.0) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geoexposure.operators import outage, raster, scenes, zonal
-from geoexposure.operators.quantiles import exact_quantile
 from geoexposure.plans.fixtures import Tables
 from geoexposure.plans.queries_sources import zone_polygons
 from geoexposure.plans.registry import query
@@ -150,9 +149,8 @@ def agg11(t: Tables):
 @query("agg19_scene_scalar_stats", "SELECT round(avg(v), 6) AS mean, round(quantile_cont(v, 0.5), 6) AS median FROM (SELECT ln(1+value) AS v FROM px WHERE mask = 1) q")
 def agg19(t: Tables):
     cells = t.px.select((F.col("mask") == 1).alias("valid"), F.log1p("value").alias("v"))
-    mean = cells.where("valid").agg(F.round(F.avg("v"), 6).alias("mean"))
-    median = exact_quantile(cells.where("valid"), [], F.col("v")).select(F.round("quantile", 6).alias("median"))
-    return mean.join(F.broadcast(median), F.lit(True), "left")  # one row each
+    median = outage.scene_scalar(cells, F.col("v"), "median")
+    return cells.where("valid").agg(F.round(F.avg("v"), 6).alias("mean"), F.round(F.lit(median), 6).alias("median"))
 
 
 @query("agg20_invalid_share_gate", "SELECT cls AS granule, round(avg(CASE WHEN mask = 1 OR cls > 3 THEN 1e0 ELSE 0e0 END)*100) < 95 AS use_mask, round(avg(CASE WHEN value % 100 < 97 THEN 1e0 ELSE 0e0 END)*100) < 97 AS keep FROM px GROUP BY 1")

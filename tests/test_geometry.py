@@ -93,6 +93,27 @@ def test_nearest_place_has_no_limit(spark):
     assert vector.nearest_place(points, places.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["even", "clustered", "one spot", "far"])
+def test_nearest_place_of_many(spark, kind):
+    """Against all distances; no join has anything like points times places."""
+    draws = np.random.default_rng(11)
+    n = 1500
+    p, q = draws.uniform(-50, 50, (n, 2)), draws.uniform(-50, 50, (n, 2))
+    if kind == "clustered":
+        q = np.concatenate([draws.normal(7, 0.01, (n // 2, 2)), draws.normal(-40, 3, (n // 2, 2))])
+        p[: n // 2] = draws.normal(7, 0.02, (n // 2, 2))
+    if kind == "one spot":
+        q[: n // 2] = (3.0, 4.0)
+    if kind == "far":
+        p += (40_000.0, -9_000.0)
+    gaps = np.hypot(p[:, None, 0] - q[None, :, 0], p[:, None, 1] - q[None, :, 1])
+    want = {i: (int(np.flatnonzero(g == g.min())[0]), g.min()) for i, g in enumerate(gaps)}
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(p)], "fid int, x double, y double")
+    places = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(q)], "place_id int, px double, py double")
+    got = {r.fid: (r.place_id, pytest.approx(r.distance)) for r in vector.nearest_place(points, places).collect()}
+    assert {i: d for i, (_, d) in got.items()} == {i: d for i, (_, d) in want.items()} and sum(got[i][0] != want[i][0] for i in want) == 0
+
+
 def test_geojson_centroids():
     from geoexposure.sources.readers import centroid_of
 
