@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoexposure.operators.components import connected_components
-from geoexposure.sources.workspace import bounded, forget, keep
+from geoexposure.sources.workspace import BROADCAST_ROWS, forget, keep
 
 TILE = 256
+#: Edges of mean cost that a bucket of travel times spans at least; narrower ones would have more rounds than they save work.
+HOPS = 8
 # km/h by road class.
 SPEEDS = {"motorway": 105, "trunk": 90, "primary": 75, "secondary": 60, "tertiary": 50, "unclassified": 40, "residential": 35, "service": 25}
 
@@ -97,19 +99,22 @@ def travel_seconds(edges: DataFrame, speeds: dict[str, float] | None = None, def
 def travel_times(edges: DataFrame, sites: DataFrame, most: int, barriers: DataFrame | None = None, rounds: int = 500, width: int | None = None) -> DataFrame:
     """(node, seconds): least cost from each node to the nearest site, up to ``most``.
 
-    ``edges``: u, v, cost; times run backwards along them. ``barriers`` (u, v) are left out. Nodes are settled in buckets of ``width`` seconds (a quarter of ``most``, if not
-    given): those in the current one go on, and go on again when their time falls, until none does; then the bucket is written once and never again. A round writes
+    ``edges``: u, v, cost; times run backwards along them. ``barriers`` (u, v) are left out. Nodes are settled in buckets of ``width`` seconds (if not given, a quarter of ``most``, or
+    HOPS edges of mean cost if that is more): those in the current one go on, and go on again when their time falls, until none does; then the bucket is written and never touched again. A round writes
     what fell only; what lies beyond the bucket waits, and is merged when the next one begins. Tables of finished rounds are deleted.
     """
     if barriers is not None:
         edges = edges.join(barriers, ["u", "v"], "left_anti")
     edges = keep(edges.select("u", "v", "cost").where("u <> v"), "travel-edges")
-    width = max(1, width or -(-(most + 1) // 4))
+    if width is None:
+        width = max(most // 4, int(HOPS * (edges.agg(F.avg("cost")).first()[0] or 0)))
+    width = max(1, width)
     settled, limit = [], width
-    open_ = [keep(sites.select("node", F.lit(0).cast("long").alias("seconds")).where(F.col("node").isNotNull()).distinct(), "travel")]
-    front = open_[0]
+    front = keep(sites.select("node", F.lit(0).cast("long").alias("seconds")).where(F.col("node").isNotNull()).distinct(), "travel")
+    open_, going = [front], front.count()
     for _ in range(rounds):
-        near = edges.join(bounded(front), edges["v"] == front["node"]).select(F.col("u").alias("node"), (F.col("seconds") + F.col("cost")).alias("seconds"))
+        ahead = F.broadcast(front) if going <= BROADCAST_ROWS else front
+        near = edges.join(ahead, edges["v"] == front["node"]).select(F.col("u").alias("node"), (F.col("seconds") + F.col("cost")).alias("seconds"))
         near = near.where(F.col("seconds") <= most).groupBy("node").agg(F.min("seconds").alias("seconds"))
         if settled:
             near = near.join(reduce(DataFrame.unionByName, settled).select("node"), "node", "left_anti")
@@ -117,17 +122,17 @@ def travel_times(edges: DataFrame, sites: DataFrame, most: int, barriers: DataFr
         fell = keep(near.join(known, "node", "left").where("_old IS NULL OR seconds < _old").select("node", "seconds"), "travel")
         open_.append(fell)
         front = fell.where(F.col("seconds") < limit)
-        while front.isEmpty():
-            least = reduce(DataFrame.unionByName, open_).groupBy("node").agg(F.min("seconds").alias("seconds"))
-            settled.append(keep(least.where(F.col("seconds") < limit), "travel-settled"))
-            rest = keep(least.where(F.col("seconds") >= limit), "travel")
-            forget(*open_)
-            first = rest.agg(F.min("seconds")).first()[0]
+        going = front.count()
+        if not going:  # the bucket is settled: all that is open is merged, once, and the rest goes on to the next bucket that has anything
+            least = keep(reduce(DataFrame.unionByName, open_).groupBy("node").agg(F.min("seconds").alias("seconds")), "travel-settled")
+            forget(*(t for t in open_ if hasattr(t, "kept_path")))
+            first, waiting = least.where(F.col("seconds") >= limit).agg(F.min("seconds"), F.count("*")).first()
+            settled.append(least.where(F.col("seconds") < limit))
             if first is None:
-                forget(edges, rest)
+                forget(edges)
                 return reduce(DataFrame.unionByName, settled)
-            limit = (first // width + 1) * width
-            open_, front = [rest], rest.where(F.col("seconds") < limit)
+            rest, limit = least.where(F.col("seconds") >= limit), (first // width + 1) * width
+            open_, front, going = [rest], rest.where(F.col("seconds") < limit), waiting
     raise RuntimeError(f"travel times did not settle in {rounds} rounds")
 
 

@@ -101,26 +101,30 @@ def greedy_cover(cells: DataFrame, by: str = "tile", most: int = 10, target: Dat
 def prune_similar(cells: DataFrame, by: str = "tile", similar: float = 0.5) -> DataFrame:
     """(tile, rank) of scenes that are kept: one that shares more than ``similar`` of its union with the cover so far is left out, the first never.
 
-    Which scenes the cover holds depends on all before, so a tile's scenes are walked through in one task, one row with its cells after the other; the task
-    holds a batch of them and the cover, and a tile's cells are a bounded grid.
+    Which scenes the cover holds depends on all before, so a tile's scenes are walked through in one task, one after the other. Spark packs the cells of a scene
+    into words of 64 bits first, so what comes to the task is a few words for each scene, and the task holds a batch of them and the words of the cover.
     """
 
     def walk(batches):
         import pandas as pd
 
-        tile, cover = None, set()
+        tile, cover, held = None, {}, 0
         for batch in batches:
             kept = []
-            for key, rank, own in zip(batch[by], batch["rank"], batch["cells"], strict=True):
+            for key, rank, words, bits in zip(batch[by], batch["rank"], batch["words"], batch["bits"], strict=True):
                 if tile is None or key != tile:
-                    tile, cover = key, set()
-                own = set(own)
-                if not cover or len(own & cover) / len(own | cover) <= similar:
-                    cover |= own
+                    tile, cover, held = key, {}, 0
+                own = dict(zip(words.tolist(), (int(b) % 2**64 for b in bits), strict=True))
+                size, both = sum(b.bit_count() for b in own.values()), sum((b & cover.get(w, 0)).bit_count() for w, b in own.items())
+                if not held or both / (size + held - both) <= similar:
+                    cover |= {w: b | cover.get(w, 0) for w, b in own.items()}
+                    held += size - both
                     kept.append((key, int(rank)))
             yield pd.DataFrame(kept, columns=[by, "rank"])
 
-    rows = cells.groupBy(by, "rank").agg(F.collect_set("cell").alias("cells"))
+    cell = F.col("cell").cast("long")
+    words = cells.groupBy(by, "rank", F.floor(cell / 64).alias("_w")).agg(F.expr("bit_or(shiftleft(1L, CAST(pmod(cell, 64) AS INT)))").alias("_b"))
+    rows = words.groupBy(by, "rank").agg(F.sort_array(F.collect_list(F.struct("_w", "_b"))).alias("_c")).select(by, "rank", F.col("_c._w").alias("words"), F.col("_c._b").alias("bits"))
     return rows.repartition(by).sortWithinPartitions(by, "rank").mapInPandas(walk, f"{by} {cells.schema[by].dataType.simpleString()}, rank int")
 
 

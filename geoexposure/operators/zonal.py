@@ -67,7 +67,7 @@ RASTER_OPS = {
     "min": (("least",), lambda least, w: F.min(least)),
     "max": (("most",), lambda most, w: F.max(most)),
 }
-_PARTS = {"s": F.sum, "n": F.sum, "least": F.min, "most": F.max}
+_PARTS = {"s": "sum", "n": "sum", "least": "min", "most": "max"}
 #: A block of cells has FAN blocks of the level below, and there are so many levels above cells.
 FAN, LEVELS = 16, 4
 
@@ -85,29 +85,24 @@ def block_pyramid(cells: DataFrame, parts: dict[str, tuple[str, Column]], by: tu
     Cells are summed up to the first level on the map side; the levels above come from it.
     """
     single = cells.select(F.lit(0).alias("level"), "row", F.col("col").cast("long").alias("block"), *by, *[_one(k, v).alias(n) for n, (k, v) in parts.items()])
-    again = [_PARTS[k](n).alias(n) for n, (k, _) in parts.items()]
-    first = single.groupBy("row", F.floor(F.col("block") / FAN).alias("block"), *by).agg(*again)
-    above = F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col("block") / FAN ** (k - 1)).alias("block")) for k in range(1, LEVELS + 1)])
-    blocks = first.select("row", *by, *parts, F.explode(above).alias("_b")).groupBy("_b.level", "row", "_b.block", *by).agg(*again)
-    return single.unionByName(blocks)
+    again = [F.expr(f"{_PARTS[k]}({n}) AS {n}") for n, (k, _) in parts.items()]
+    first = single.groupBy("row", F.expr(f"floor(block / {FAN}) AS block"), *by).agg(*again)
+    above = ", ".join(f"struct({k} AS level, floor(block / {FAN ** (k - 1)}) AS block)" for k in range(1, LEVELS + 1))
+    blocks = first.selectExpr("row", *by, *parts, f"inline(array({above})) AS (level, _block)").withColumnRenamed("_block", "block")
+    return single.unionByName(blocks.groupBy("level", "row", "block", *by).agg(*again))
 
 
 def run_blocks(runs: DataFrame) -> DataFrame:
     """(zone_id, row, level, block, w): runs (first, last) as the fewest blocks that make them up: a run of n cells is some 30 blocks for each factor of FAN in n, not n rows."""
-    pairs, low, high = [], F.col("first").cast("long"), F.col("last").cast("long") + 1  # what is left: [low, high) in blocks of the level
-    named = lambda k: lambda v: F.struct(F.lit(k).alias("level"), v.alias("block"))
-    span = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<long>"))
-    out = runs.select("zone_id", "row", "w", low.alias("_l0"), high.alias("_h0"))
-    for k in range(LEVELS + 1):
-        a, b = F.col(f"_l{k}"), F.col(f"_h{k}")
-        if k == LEVELS:
-            pairs.append(F.transform(span(a, b), named(k)))
-            break
-        up, down = F.least(b, F.ceil(a / FAN) * FAN), F.floor(b / FAN) * FAN
-        down = F.greatest(up, down)
-        pairs.append(F.transform(F.concat(span(a, up), span(down, b)), named(k)))
-        out = out.withColumns({f"_l{k + 1}": F.ceil(up / FAN).cast("long"), f"_h{k + 1}": F.when(up >= down, F.ceil(up / FAN)).otherwise(F.floor(down / FAN)).cast("long")})
-    return out.select("zone_id", "row", "w", F.explode(F.concat(*pairs)).alias("_b")).select("zone_id", "row", "_b.level", "_b.block", "w")
+    # What is left at each level, [l, h) in its blocks: the ends that don't fill a block of the next level are taken, the rest goes up.
+    span = lambda a, b, k: f"IF({a} < {b}, transform(sequence({a}, {b} - 1), v -> struct({k} AS level, v AS block)), CAST(array() AS array<struct<level:int,block:bigint>>))"
+    out, pairs = runs.selectExpr("zone_id", "row", "w", "CAST(first AS BIGINT) AS l0", "CAST(last AS BIGINT) + 1 AS h0"), []
+    for k in range(LEVELS):
+        up, down = f"least(h{k}, CAST(ceil(l{k} / {FAN}) AS BIGINT) * {FAN})", f"CAST(floor(h{k} / {FAN}) AS BIGINT) * {FAN}"
+        pairs += [span(f"l{k}", up, k), span(f"greatest({up}, {down})", f"h{k}", k)]
+        out = out.selectExpr("*", f"CAST(ceil(l{k} / {FAN}) AS BIGINT) AS l{k + 1}", f"CAST(floor(h{k} / {FAN}) AS BIGINT) AS h{k + 1}")
+    pairs.append(span(f"l{LEVELS}", f"h{LEVELS}", LEVELS))
+    return out.selectExpr("zone_id", "row", f"inline(concat({', '.join(pairs)})) AS (level, block)", "w")
 
 
 def _over_blocks(cells: DataFrame, weights: DataFrame, parts: dict[str, tuple[str, Column]], by: tuple[str, ...] = ()) -> DataFrame:
@@ -129,11 +124,10 @@ def zonal_stats(cells: DataFrame, weights: DataFrame, values: dict[str, tuple[st
     its width, not with its area. Aggregation combines on the map side before it shuffles by zone.
     """
     picked = {n: (raster_op(op), F.col(v) if on is None else F.when(on, F.col(v))) for n, (op, v, on) in values.items()}
-    parts, names = {}, {}
+    parts, names, shared = {}, {}, {}
     for n, ((kinds, _), v) in picked.items():
         for kind in kinds:
-            same = (kind, str(v))  # results that need the same part share it
-            names[n, kind] = next((p for p, (k, x) in parts.items() if (k, str(x)) == same), f"_p{len(parts)}")
+            names[n, kind] = shared.setdefault((kind, str(v)), f"_p{len(shared)}")  # results that need the same part share it
             parts.setdefault(names[n, kind], (kind, v))
     met = _over_blocks(cells, weights, parts)
     return met.groupBy("zone_id").agg(*[of(*[F.col(names[n, k]) for k in kinds], F.col("w")).alias(n) for n, ((kinds, of), _) in picked.items()])
