@@ -151,8 +151,13 @@ def out3(t: Tables):
     return _rounded(outage.outage_confidence(_bands(t), t.nrows, 100), "log_diff", "confidence")
 
 
-@query("foc5_ssim_gauss")
+@query("foc5_ssim_gauss", f"""
+WITH v AS (SELECT row, col, value/1e7 AS a, value/1e7*(1-cls/1e1) AS b FROM px), k AS (SELECT CAST(range-5 AS INTEGER) AS i, exp(-5e-1*power((range-5)/15e-1, 2)) AS w FROM range(11)),
+o AS MATERIALIZED (SELECT x.i, y.i AS j, x.w*y.w/power((SELECT sum(w) FROM k), 2) AS w FROM k x, k y), n AS MATERIALIZED (SELECT {NR} AS n),
+c AS MATERIALIZED (SELECT row, col, {fold('row+i', 'n')} AS r2, {fold('col+j', '100')} AS c2, w FROM v, o, n),
+s AS (SELECT c.row, c.col, sum(w*a) AS ma, sum(w*b) AS mb, sum(w*a*a) AS aa, sum(w*b*b) AS bb, sum(w*a*b) AS ab FROM c JOIN v ON v.row = r2 AND v.col = c2 GROUP BY 1, 2)
+SELECT row, col, round((2*ma*mb+144e-4)*(2*(ab-ma*mb)+1296e-4)/((ma*ma+mb*mb+144e-4)*(greatest(aa-ma*ma, 0)+greatest(bb-mb*mb, 0)+1296e-4)), 6) AS value FROM s""")
 def foc5b(t: Tables):
     bands = t.px.select("row", "col", (F.col("value") / 1e7).alias("a"), (F.col("value") / 1e7 * (1 - F.col("cls") / 10.0)).alias("b"))
     assert abs(sum(K.gaussian(1.5, 3.5).values()) - 1) < 1e-9
-    return O.ssim(bands, t.nrows, 100, "a", "b", gauss=True)
+    return _rounded(O.ssim(bands, t.nrows, 100, "a", "b", gauss=True), "value")

@@ -80,7 +80,11 @@ def scn5_all(t: Tables):
     return S.greedy_cover(_cells(t)).select("tile", F.col("rank").cast("long").alias("rank"), "added")
 
 
-@query("scn6_prune_similar")
+@query("scn6_prune_similar", f"""
+WITH m AS (SELECT tile, rank, bit_or(CAST(1 AS HUGEINT) << CAST(cell AS INTEGER)) AS own FROM ({CELLS}) c GROUP BY 1, 2),
+w AS (SELECT tile, rank, own AS cover, true AS kept FROM m WHERE rank = 1
+  UNION ALL SELECT tile, rank, CASE WHEN k THEN cover | own ELSE cover END, k FROM (SELECT m.tile, m.rank, own, cover, bit_count(own & cover)*1e0/bit_count(own | cover) <= 5e-1 AS k FROM w JOIN m ON m.tile = w.tile AND m.rank = w.rank + 1) q)
+SELECT tile, CAST(rank AS INTEGER) AS rank FROM w WHERE kept""")
 def scn6(t: Tables):
     return S.prune_similar(_cells(t))
 
