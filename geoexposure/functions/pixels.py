@@ -24,6 +24,7 @@ def class_to_area(value: Column, cls: int, pixel_area: float) -> Column:
 
 def normalize_bands(bands: Column, low: list[float], high: list[float]) -> Column:
     """Band values to (0, 1): logarithm, scale between a low and a high percentile, then a soft curve."""
+    # The factor of the logarithm, and slope and shift of the curve.
     logs = F.transform(bands, lambda x: F.log(x * 0.005 + 1))
     scaled = F.zip_with(F.zip_with(logs, F.array(*map(F.lit, low)), lambda x, a: x - a), F.array(*[F.lit(b - a) for a, b in zip(low, high, strict=True)]), lambda x, d: x / d)
     return F.transform(F.transform(scaled, lambda x: F.exp(x * 5 - 1)), lambda x: x / (x + 1))

@@ -101,6 +101,7 @@ def haze_mask(cells: DataFrame, nrows: int, ncols: int, radius: int = 7, most_st
 
 def ssim(cells: DataFrame, nrows: int, ncols: int, a: str, b: str, data_range: float = 12.0, gauss: bool = False) -> DataFrame:
     """Structural similarity of two bands per cell: 7 x 7 box, or Gaussian of sigma 1.5 (then variances are not below zero)."""
+    # The windows, and the shares of the data range that keep the quotient from zero.
     kernel = K.gaussian(1.5, 3.5) if gauss else K.box(7)
     c1, c2 = (0.01 * data_range) ** 2, (0.03 * data_range) ** 2
 

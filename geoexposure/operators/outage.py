@@ -86,6 +86,7 @@ def outage_zscore(cells: DataFrame, floor: float = 0.15) -> DataFrame:
     shift = scene_scalar(cells, F.col("daily") - F.col("base"), "median")
     rest = F.col("daily") - F.col("base") - F.lit(shift)
     score = rest / F.greatest(F.col("std") / (F.expm1("base") + 1), F.lit(floor))
+    # Limits of outage and of dimming, of the rest and of its score.
     health = F.when((rest < -0.7) | (score < -3), 2).when((rest < -0.3) | (score < -2), 1).otherwise(0)
     return cells.select("row", "col", F.when(F.col("valid"), score).alias("z_score"), F.when(F.col("valid"), health).otherwise(0).alias("health"))
 

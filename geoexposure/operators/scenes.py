@@ -13,6 +13,7 @@ PULSE = 85.41667
 
 def quality_score(days: Column, cloud: Column, coverage: Column) -> Column:
     """0 to 100 from nearness in time (decay of three days), clear sky and coverage, one third each."""
+    # The decay and the three equal shares.
     clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(100.0), c.cast("double")))
     near = F.exp(-F.abs(days) / 3.0)
     return F.round((near + (1 - clamp(cloud) / 100.0) + clamp(coverage) / 100.0) * (100.0 / 3.0), 3)

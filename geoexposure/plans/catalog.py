@@ -22,6 +22,7 @@ class Variable:
         return set(re.findall(r"[A-Za-z_]\w*", self.formula or ""))
 
 
+# Fixed values here and below: names of variables, and formulas of their ratios.
 SEXES, GROUPS = ("male", "female"), ("child", "active", "elderly")
 # The six road classes, and land-use classes by number.
 ROAD_CLASSES = ("Highways", "Local roads", "Primary roads", "Secondary roads", "Tertiary roads", "Others")

@@ -60,7 +60,7 @@ def src5(t: Tables):
     shape = F.when(F.col("fid") % 3 == 0, F.format_string('"Point","coordinates":[%s, %s]', F.col("x").cast("string"), F.col("y").cast("string")))
     shape = shape.otherwise(F.format_string('"LineString","coordinates":[[%s,%s],[%s,%s]]', *[c.cast("string") for c in (F.col("x"), F.col("y"), F.col("x") + 1.0, F.col("y") - 0.5)]))
     one = F.format_string('{"type":"Feature","id":"%s","properties":{"tags":{"amenity":"%s","name":"n"}},"geometry":{"type":%s}}', F.col("fid").cast("string"), amenity, shape)
-    texts = t.feats.groupBy((F.col("fid") % 50).alias("g")).agg(F.array_join(F.collect_list(one), ",").alias("f"))
+    texts = t.feats.groupBy(F.floor(F.col("fid") / 1000).alias("g")).agg(F.array_join(F.collect_list(one), ",").alias("f"))
     texts = texts.select(F.format_string('{"type":"FeatureCollection","features":[%s]}', "f").alias("text"))
     return R.read_geojson(texts).select("id", "type", F.col("tags")["amenity"].alias("amenity"), "lon", "lat")
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A broadcast side may have this many rows at most; above it a shuffle join is used.
 BROADCAST_ROWS = 200_000
+#: A kept table may have this many bytes on disk to be broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,14 +42,24 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return kept
 
 
+def _kept(table: DataFrame):
+    """The file system and path of a table that ``keep`` returned."""
+    context = table.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(table.kept_path)
+    return path.getFileSystem(context._jsc.hadoopConfiguration()), path
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables that ``keep`` returned and that nothing reads any more, such as those of a finished round."""
     for table in tables:
-        context = table.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(table.kept_path)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        files, path = _kept(table)
+        files.delete(path, True)
 
 
 def bounded(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``small`` with a broadcast hint if it has ``rows`` rows at most, else as it is."""
+    """``small`` with a broadcast hint if it has ``rows`` rows at most and, if it was kept, BROADCAST_BYTES on disk; else as it is."""
+    if hasattr(small, "kept_path"):
+        files, path = _kept(small)
+        if files.getContentSummary(path).getLength() > BROADCAST_BYTES:
+            return small
     return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
