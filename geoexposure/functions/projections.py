@@ -240,3 +240,22 @@ def baseline_year(day: Column, today: Column, mid_year: bool) -> Column:
     """Date of the yearly baseline: the year before if ``day`` is in the current year; July or January 1st."""
     year = F.year(day) - (F.year(day) == F.year(today)).cast("int")
     return F.make_date(year, F.lit(7 if mid_year else 1), F.lit(1))
+
+
+def baseline_period(day: Column, today: Column, level: Column, stac: Column, lon: Column, recent: Column | None = None) -> Column:
+    """Time that a search for the observations of ``day`` asks for, by processing level.
+
+    Daily levels (A1, A2) are flown over at 01:30 local solar time at ``lon``, the middle of the area. Monthly ones (A3) lie on the 15th in catalogs (``stac``) and on the 1st elsewhere,
+    a month before where ``day`` is in the current one; ``latest_available_month`` steps further back to what is published. Yearly ones (A4) lie on July 1st or January 1st; a day to come has none.
+    Null for other levels, and where ``recent`` (a stream that holds seven days) is true and ``day`` is more than seven days off.
+    """
+    # Names of the levels, and the days that the near real-time stream holds.
+    of = lambda *names: F.coalesce(F.upper(level).rlike("|".join(names)), F.lit(False))
+    by_route = lambda at: F.when(stac, at(day, today, True)).otherwise(at(day, today, False)).cast("timestamp")
+    period = F.when(of("A1", "A2"), local_overpass_utc(day, lon)).when(of("A3"), by_route(baseline_month)).when(of("A4") & (day <= today), by_route(baseline_year))
+    return period if recent is None else F.when(~(recent & (F.abs(F.datediff(today, day)) > 7)), period)
+
+
+def outage_baseline_day(day: Column) -> Column:
+    """The day whose monthly baseline an outage on ``day`` is held against: six weeks before."""
+    return F.date_sub(day, 42)

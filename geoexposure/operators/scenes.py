@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import itertools
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoexposure.sources.workspace import keep
+
 #: Length of a scene's pulse in seconds.
 PULSE = 85.41667
 
@@ -129,33 +131,42 @@ def prune_similar(cells: DataFrame, by: str = "tile", similar: float = 0.5) -> D
     return rows.repartition(by).sortWithinPartitions(by, "rank").mapInPandas(walk, f"{by} {cells.schema[by].dataType.simpleString()}, rank int")
 
 
-def minimum_cover(cells: DataFrame, target: DataFrame, most: int | None = None) -> DataFrame:
-    """(ids, covered, pct): the smallest set of granules (of any number, or of up to ``most``) that covers the most of the target cells, then the lowest ids.
+def minimum_covers(cells: DataFrame, target: DataFrame, by: str = "box", most: int | None = None) -> DataFrame:
+    """(box, ids, covered, pct): of each box the smallest set of granules (of any number, or of up to ``most``) that covers the most of its target cells, then the lowest ids.
 
-    ``cells``: granule, cell; few granules. Cells that the same granules hold count as one, so Spark counts cells by set of granules, and the
-    search over those counts on the driver goes through the sizes until one covers all that any can. Without a granule on the target there is no row.
+    ``cells``: box, granule, cell; ``target``: box, cell. A box without a granule on its target has no row. Cells of a box that the same granules hold count as one, a set
+    of granules is a word of bits (62 granules of a box at most; more end the job), and sets of one more granule come from those of the round before, as rows. A box
+    is done once a set covers all that any can; there is a round for each size that some box needs.
     """
-    own = cells.join(target, "cell", "left_semi").select("granule", "cell").distinct()
-    total = target.select("cell").distinct().count()
-    held = own.groupBy("cell").agg(F.sort_array(F.collect_set("granule")).alias("by")).groupBy("by").count().collect()
-    granules = sorted({g for row in held for g in row["by"]})
-    bit = {g: 1 << k for k, g in enumerate(granules)}
-    sets = [(sum(bit[g] for g in row["by"]), row["count"]) for row in held]
-    reach = sum(n for _, n in sets)
-    best = (0, ())
-    for size in range(1, min(len(granules), most or len(granules)) + 1):
-        for ids in itertools.combinations(granules, size):
-            chosen = sum(bit[g] for g in ids)
-            covered = sum(n for by, n in sets if by & chosen)
-            if covered > best[0]:
-                best = (covered, ids)
-                if covered == reach:
-                    break
-        if best[0] == reach:
+    own = cells.join(target.select(by, "cell").distinct(), [by, "cell"], "left_semi").select(by, "granule", "cell").distinct()
+    names = own.groupBy(by).agg(F.sort_array(F.collect_set("granule")).alias("_names"))
+    names = names.withColumn("_names", F.when(F.size("_names") <= 62, F.col("_names")).otherwise(F.raise_error(F.lit("more than 62 granules over a box"))))
+    total = target.groupBy(by).agg(F.countDistinct("cell").alias("_total"))
+    # The first granule by name has the highest bit, so of two sets of one size the one with the lower names is the larger number.
+    numbered = names.select(by, F.posexplode("_names").alias("_k", "granule")).select(by, "granule", F.expr("shiftleft(1L, 61 - _k)").alias("_bit"))
+    held = own.join(numbered, [by, "granule"]).groupBy(by, "cell").agg(F.expr("bit_or(_bit)").alias("_bits")).groupBy(by, "_bits").agg(F.count("*").alias("_n"))
+    boxes = held.groupBy(by).agg(F.collect_list(F.struct("_bits", "_n")).alias("_held"), F.sum("_n").alias("_reach"))
+    boxes = keep(boxes.join(names, by).join(total, by), "cover-boxes")
+    single = boxes.select(by, F.explode(F.sequence(F.lit(0), F.size("_names") - 1)).alias("_last")).selectExpr(f"{by}", "_last", "shiftleft(1L, 61 - _last) AS _set")
+    covered = F.expr("aggregate(_held, 0L, (n, h) -> n + IF((h._bits & _set) != 0, h._n, 0L))")
+    sets, open_boxes, best, size = single, boxes, [], 1
+    while True:
+        scored = keep(sets.join(open_boxes, by).select(by, "_last", "_set", covered.alias("_covered"), "_reach", F.size("_names").alias("_size")), "cover-sets")
+        best.append(scored.groupBy(by).agg(F.max(F.struct("_covered", F.lit(-size).alias("_less"), "_set")).alias("_b")))
+        left = scored.groupBy(by).agg(F.max("_covered").alias("_c"), F.first("_reach").alias("_r"), F.first("_size").alias("_s")).where((F.col("_c") < F.col("_r")) & (F.col("_s") > size))
+        if size == most or left.isEmpty():
             break
-    kind = cells.schema["granule"].dataType.simpleString()
-    rows = [(list(best[1]), best[0])] if granules else []
-    return cells.sparkSession.createDataFrame(rows, f"ids array<{kind}>, covered int").withColumn("pct", F.col("covered") * 100.0 / max(total, 1))
+        wider = scored.join(left.select(by), by, "left_semi").where("_last < _size - 1")
+        sets = wider.select(by, "_set", F.explode(F.sequence(F.col("_last") + 1, F.col("_size") - 1)).alias("_last")).selectExpr(by, "_last", "_set | shiftleft(1L, 61 - _last) AS _set")
+        open_boxes, size = boxes.join(left.select(by), by, "left_semi"), size + 1
+    chosen = reduce(DataFrame.unionByName, best).groupBy(by).agg(F.max("_b").alias("_b")).join(boxes.select(by, "_names", "_total"), by)
+    ids = F.expr("filter(_names, (g, k) -> (_b._set & shiftleft(1L, 61 - k)) != 0)")
+    return chosen.select(by, ids.alias("ids"), F.col("_b._covered").cast("int").alias("covered"), (F.col("_b._covered") * 100.0 / F.col("_total")).alias("pct"))
+
+
+def minimum_cover(cells: DataFrame, target: DataFrame, most: int | None = None) -> DataFrame:
+    """(ids, covered, pct): ``minimum_covers`` of one box. ``cells``: granule, cell; ``target``: cell."""
+    return minimum_covers(cells.withColumn("_box", F.lit(0)), target.withColumn("_box", F.lit(0)), "_box", most).drop("_box")
 
 
 def scene_filter(scenes: DataFrame, overlap: float, most_cloud: float, assets: list[str]) -> DataFrame:

@@ -101,6 +101,15 @@ def detect_outage(observations: DataFrame, baseline: DataFrame, nrows: int, ncol
     return bands.join(cells.select("row", "col", "zone_id"), ["row", "col"], "left"), zones
 
 
+def outage_population(zones: DataFrame, cells: DataFrame, people: DataFrame) -> DataFrame:
+    """Outage zones with the variables of the population component: the last step of ``detect_outage``, whose results ``zones`` and ``cells`` are.
+
+    ``people``: row, col and one column for each group, on the grid of the outages. A zone's cells count whole.
+    """
+    weights = cells.where("zone_id IS NOT NULL").select("zone_id", "row", "col", F.lit(1.0).alias("w"))
+    return assess_raster("population", zones, weights, people, mask=False)
+
+
 def service_area_exposure(edges: DataFrame, sites: DataFrame, people: DataFrame, minutes: tuple[int, ...], barriers: DataFrame | None = None) -> DataFrame:
     """People (node, people) within each contour, and with barriers, and the difference; contours count all smaller ones."""
 

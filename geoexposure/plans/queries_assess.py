@@ -8,6 +8,7 @@ from geoexposure.operators import raster
 from geoexposure.plans import assess as A
 from geoexposure.plans.catalog import GROUPS, ROAD_CLASSES, SEXES
 from geoexposure.plans.fixtures import Tables
+from geoexposure.plans.queries_focal import BOX3, smoothed, window
 from geoexposure.plans.queries_raster import MET, weights
 from geoexposure.plans.queries_sources import zone_polygons
 from geoexposure.plans.queries_vector import IN_ZONE, PIECES, polygons, segments
@@ -125,6 +126,51 @@ def out4(t: Tables):
     return zones.join(people.groupBy("zone_id").agg(F.sum("people").alias("people")), "zone_id", "left")
 
 
+#: Bands of the two granules of ``out4_detect_outage``: the gate, the first clear observation, the smoothed drop, and clumps of two cells or more.
+OUTAGES = f"""g AS (SELECT row, col, o AS granule, value/1e5*CASE WHEN col % 40 < 12 THEN 5e-2 ELSE 1e0 END AS radiance, (value + o) % 5 = 0 AS cloud, cls = 5 AS out FROM px, (SELECT unnest([1, 2]) AS o) u),
+u AS (SELECT granule, round(avg(CASE WHEN cloud THEN 1e0 ELSE 0e0 END)*100) < 95 AS used, round(avg(CASE WHEN out THEN 1e0 ELSE 0e0 END)*100) AS plain, round(avg(CASE WHEN out OR cloud THEN 1e0 ELSE 0e0 END)*100) AS clouded FROM g GROUP BY 1),
+y AS (SELECT row, col, arg_min(ln(1+radiance), g.granule) AS daily FROM g JOIN u ON u.granule = g.granule WHERE CASE WHEN used THEN clouded ELSE plain END < 97 AND NOT (cloud AND used) GROUP BY 1, 2),
+b AS MATERIALIZED (SELECT px.row, px.col, ln(1+value/1e5) AS base, coalesce(daily, ln(1+value/1e5)) AS daily, daily IS NOT NULL AND cls <> 5 AS valid FROM px LEFT JOIN y ON y.row = px.row AND y.col = px.col),
+{smoothed(2)}, d AS ({window('s', BOX3, 'base')}), n AS (SELECT row, col, stddev_pop(v) AS sd FROM d GROUP BY 1, 2),
+z AS MATERIALIZED (SELECT b.row, b.col, coalesce(valid AND s.daily-s.base < ln(5e-1) AND (s.daily-s.base)/greatest(sd/exp(s.base), 15e-2) < -2, false) AS dark FROM b JOIN s ON s.row = b.row AND s.col = b.col JOIN n ON n.row = b.row AND n.col = b.col),
+dark AS MATERIALIZED (SELECT row, col, CAST(row AS BIGINT)*100+col AS id FROM z WHERE dark),
+step AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM dark a JOIN dark b ON (b.row = a.row AND abs(b.col-a.col) = 1) OR (b.col = a.col AND abs(b.row-a.row) = 1)),
+reached(a, b) AS (SELECT id, id FROM dark UNION SELECT reached.a, step.b FROM reached JOIN step ON step.a = reached.b),
+zone AS (SELECT a AS id, min(b) AS zone_id FROM reached GROUP BY 1 HAVING count(*) >= 2)"""
+
+
+def _outages(t: Tables):
+    seen = t.px.withColumn("granule", F.explode(F.array(F.lit(1), F.lit(2))))
+    radiance = F.col("value") / 1e5 * F.when(F.col("col") % 40 < 12, 0.05).otherwise(1.0)
+    seen = seen.select("row", "col", "granule", F.col("granule").alias("order"), radiance.alias("radiance"), F.when((F.col("value") + F.col("granule")) % 5 == 0, 192).otherwise(0).alias("quality"))
+    baseline = t.px.select("row", "col", (F.col("value") / 1e5).alias("radiance"), F.when(F.col("cls") == 5, 2).otherwise(1).alias("land_water"))
+    return A.detect_outage(seen, baseline, t.nrows, 100)
+
+
+def _outage_people_sql() -> str:
+    own = {n: f"sum(CAST(value % {97 + k} AS DOUBLE))" for n, k in POP}
+    own |= {f"{s}_total": "(" + "+".join(own[f"{s}_{g}"] for g in GROUPS) + ")" for s in SEXES}
+    own |= {f"{g}_total": "(" + "+".join(own[f"{s}_{g}"] for s in SEXES) + ")" for g in GROUPS}
+    own |= {"total": f"({own['male_total']}+{own['female_total']})", "dependency": f"({own['child_total']}+{own['elderly_total']})/nullif({own['active_total']}, 0)*100"}
+    own |= {f"{g}_dependency": f"{own[f'{g}_total']}/nullif({own['active_total']}, 0)*100" for g in ("child", "elderly")}
+    extent = "CAST(min(px.col) AS DOUBLE) AS xmin, CAST(max(px.col)+1 AS DOUBLE) AS xmax, CAST(min(px.row) AS DOUBLE) AS ymin, CAST(max(px.row)+1 AS DOUBLE) AS ymax"
+    return f"WITH {OUTAGES} SELECT zone_id, count(*) AS cells, CAST(count(*) AS DOUBLE) AS area, {extent}, {', '.join(f'round({e}, 4) AS {n}' for n, e in own.items())} FROM zone JOIN px ON CAST(px.row AS BIGINT)*100+px.col = zone.id GROUP BY 1"
+
+
+@query("out4_outage_cells", f"WITH {OUTAGES} SELECT z.row, z.col, dark AS outage, zone_id FROM z LEFT JOIN zone ON zone.id = CAST(z.row AS BIGINT)*100+z.col")
+def out4_cells(t: Tables):
+    return _outages(t)[0].select("row", "col", "outage", "zone_id")
+
+
+@query("out4_outage_population", _outage_people_sql())
+def out4_people(t: Tables):
+    cells, zones = _outages(t)
+    people = t.px.select("row", "col", *[(F.col("value") % (97 + k)).cast("double").alias(n) for n, k in POP])
+    out = A.outage_population(zones, cells, people)
+    named = [c for c in out.columns if c not in zones.columns]
+    return out.withColumns({c: F.round(c, 4) for c in named})
+
+
 @query("jn17_mosaic_by_country", "SELECT row, col, value FROM px WHERE cls <> 3")
 def by_country(t: Tables):
     parts = t.px.where("cls <> 3").select("row", "col", "value", F.col("cls").alias("k"))

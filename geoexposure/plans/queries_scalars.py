@@ -149,6 +149,26 @@ def prj20(t: Tables):
     return days.select("d", J.baseline_month(d, today, True).alias("month_mid"), J.baseline_month(d, today, False).alias("month_first"), J.baseline_year(d, today, True).alias("year_mid"), (F.abs(F.datediff(today, d)) <= 7).alias("nrt"))
 
 
+DAY96 = "DATE '1996-06-20'"
+
+
+def _month(d: str) -> str:
+    return f"(CASE WHEN date_trunc('month', {d}) = DATE '1996-06-01' THEN date_trunc('month', {d}) - INTERVAL 1 MONTH ELSE date_trunc('month', {d}) END + CASE WHEN o_custkey % 2 = 0 THEN INTERVAL 14 DAY ELSE INTERVAL 0 DAY END)"
+
+
+@query("prj20_baseline_by_level", f"""
+WITH o AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS d, CAST(o_orderdate AS DATE) - 42 AS before FROM orders),
+p AS (SELECT *, CASE WHEN o_custkey % 3 = 0 AND abs(date_diff('day', d, {DAY96})) > 7 THEN NULL WHEN o_orderkey % 5 IN (1, 2) THEN epoch(d) + 5400 - (o_orderkey % 360 - 180)*240
+  WHEN o_orderkey % 5 = 3 THEN epoch({_month('d')}) WHEN o_orderkey % 5 = 4 AND d <= {DAY96} THEN epoch(make_date(CAST(year(d) - CASE WHEN year(d) = 1996 THEN 1 ELSE 0 END AS INTEGER), CASE WHEN o_custkey % 2 = 0 THEN 7 ELSE 1 END, 1)) END AS period FROM o)
+SELECT o_orderkey, CAST(period AS BIGINT) AS period, CAST(epoch({_month('before')}) AS BIGINT) AS outage_baseline FROM p""")
+def prj20_level(t: Tables):
+    today, d = F.to_date(F.lit("1996-06-20")), F.col("o_orderdate").cast("date")
+    level, stac = F.format_string("vnp46a%d", F.col("o_orderkey") % 5), F.col("o_custkey") % 2 == 0
+    period = J.baseline_period(d, today, level, stac, F.col("o_orderkey") % 360 - 180, F.col("o_custkey") % 3 == 0)
+    outage = J.baseline_period(J.outage_baseline_day(d), today, F.lit("A3"), stac, F.lit(0))
+    return t.orders.select("o_orderkey", F.unix_seconds(period).alias("period"), F.unix_seconds(outage).alias("outage_baseline"))
+
+
 @query("prj22_admin_level_map", "SELECT fid, CASE WHEN l = 2 THEN 0 WHEN l IN (3,4) THEN 1 WHEN l BETWEEN 5 AND 8 THEN 2 END AS level FROM (SELECT fid, fid % 11 AS l FROM feats) q")
 def prj22(t: Tables):
     return t.feats.select("fid", P.admin_level(F.col("fid") % 11).alias("level"))

@@ -95,6 +95,19 @@ def scn7(t: Tables):
     return S.minimum_cover(cells, t.scenes.select((F.col("scene_id") % 499).alias("cell")).distinct(), most=None)
 
 
+@query("scn7_minimum_covers", """
+WITH w AS (SELECT DISTINCT tile, cell FROM (SELECT tile, (coverage*3) % 31 AS cell FROM scenes) q), g AS (SELECT DISTINCT tile, scene_id % 7 AS g, (scene_id*7 + coverage) % 31 AS cell FROM scenes),
+s AS (SELECT tile, cell, CAST(sum(CAST(power(2, 6-g) AS INTEGER)) AS INTEGER) AS bits FROM g JOIN w USING (tile, cell) GROUP BY 1, 2), m AS (SELECT CAST(range AS INTEGER) AS m FROM range(1, 128)),
+c AS (SELECT tile, m, count(*) AS covered FROM s, m WHERE (bits & m) <> 0 GROUP BY 1, 2),
+b AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY covered DESC, bit_count(m), m DESC) AS n FROM c)
+SELECT b.tile, array_to_string([g FOR g IN range(0, 7) IF (m >> CAST(6-g AS INTEGER)) & 1 = 1], ',') AS ids, CAST(covered AS INTEGER) AS covered, round(covered*1e2/total, 6) AS pct
+FROM b JOIN (SELECT tile, count(*) AS total FROM w GROUP BY 1) t ON t.tile = b.tile WHERE n = 1""")
+def scn7_boxes(t: Tables):
+    cells = t.scenes.select("tile", (F.col("scene_id") % 7).alias("granule"), ((F.col("scene_id") * 7 + F.col("coverage")) % 31).alias("cell"))
+    found = S.minimum_covers(cells, t.scenes.select("tile", (F.col("coverage") * 3 % 31).alias("cell")), "tile")
+    return found.select("tile", F.array_join(F.transform("ids", lambda g: g.cast("string")), ",").alias("ids"), "covered", F.round("pct", 6).alias("pct"))
+
+
 @query("scn8_scene_filter", "SELECT scene_id FROM scenes WHERE coverage > 10 AND cloud < 20 AND scene_id % 3 <> 0")
 def scn8(t: Tables):
     assets = F.when(F.col("scene_id") % 3 != 0, F.array(*map(F.lit, ("B02", "B03", "B04")))).otherwise(F.array(F.lit("B02")))

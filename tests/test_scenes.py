@@ -173,3 +173,22 @@ def test_detect_outage_finds_a_dark_block(spark):
     assert len(zone) == 1 and 110 <= zone[0].cells <= 156
     hit = [(r.row, r.col) for r in cells.where("zone_id IS NOT NULL").collect()]
     assert all(8 <= r < 22 and 3 <= c < 18 for r, c in hit)
+
+
+def test_minimum_covers_of_many_boxes(spark):
+    """Boxes that need other sizes of sets, one whose cells no granule holds, and targets that repeat; ties go to the lowest names."""
+    rnd = random.Random(12)
+    sets, target, want = {}, {}, {}
+    for box in range(12):
+        sets[box] = {f"g{k}": set(rnd.sample(range(16), rnd.choice([2, 5, 9]))) for k in range(rnd.choice([1, 2, 4, 6]))}
+        target[box] = set(rnd.sample(range(20), 8))
+        found = [c for n in range(1, len(sets[box]) + 1) for c in itertools.combinations(sorted(sets[box]), n)]
+        held = lambda c, b=box: len(set().union(*(sets[b][g] for g in c)) & target[b])
+        best = min(found, key=lambda c: (-held(c), len(c), c))
+        want[box] = (list(best), held(best), pytest.approx(held(best) * 12.5))
+    target[99] = {1, 2}
+    cells = spark.createDataFrame([(b, g, c) for b, own in sets.items() for g, held in own.items() for c in held] * 2, "box int, granule string, cell int")
+    wanted = spark.createDataFrame([(b, c) for b, own in target.items() for c in own] * 2, "box int, cell int")
+    got = {r.box: (r.ids, r.covered, r.pct) for r in scenes.minimum_covers(cells, wanted).collect()}
+    assert got == {b: w for b, w in want.items() if w[1]} and len({len(w[0]) for w in want.values()}) > 2
+    assert scenes.minimum_covers(cells.limit(0), wanted).count() == 0
