@@ -3,8 +3,9 @@
 Of a BPE encoding, every pair of neighbouring tokens encodes to itself, and a sequence all of whose neighbours
 do is the encoding of its bytes. So of the tokens that a prefix could end with exactly one can follow the
 last token of the prefix before it; its count is that prefix's count plus one. One pass over
-a pre-token gives the count of each of its prefixes, and the counts of a text's prefixes follow by addition:
-truncation to a token budget and "does it fit" need no further encoding.
+a pre-token gives the count of each of its prefixes, and the counts of a text's prefixes follow by addition.
+They are stored as steps from one prefix to the next: truncation to a token budget and "does it fit" are read
+from the stored table, whatever the budget, without encoding again.
 """
 
 from __future__ import annotations
@@ -17,13 +18,16 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from geoexposure.llm.shared import filled, id_and_text, slices, sums
+from geoexposure.llm.shared import filled, fresh_path, id_and_text, slices
 from geoexposure.llm.token_words import REMEMBERED, chunked
 
 # Fixed value: the pre-token pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LIMIT = 1024
+#: What a code point adds to the count of its prefix is held in two bytes: it is bounded by the length of a token. Code points whose steps lie together in a stored part.
+STEP, PART = np.dtype("<i2"), 4096
 
 
 def byte_letters() -> dict[int, str]:
@@ -57,10 +61,11 @@ class PrefixCounter:
         self.rank = {(a, b): i for i, (a, b) in enumerate(pairs)}
         self.endings = {t[i:] for t in self.vocab for i in range(len(t))}
         self.pattern = regex.compile(PATTERN)
+        self.runs = regex.compile(r"\s{2,}(?=\S)")
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.follows: dict[tuple[str, str], bool] = {}
-        self.pieces: dict[str, int] = {}
-        self.chunks: dict[str, int] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
 
     @staticmethod
     def _refuse_others(stored: dict) -> None:
@@ -113,100 +118,120 @@ class PrefixCounter:
             last.append(token)
         return counts
 
-    def _piece(self, piece: str) -> int:
-        if (n := self.pieces.get(piece)) is None:
-            n = self.piece_table(piece)[-1]
+    def _piece(self, piece: str) -> bytes:
+        """Steps of one pre-token. A prefix that ends within a contraction has its apostrophe and letter as pre-tokens of their own."""
+        if (steps := self.pieces.get(piece)) is None:
+            counts = np.array(self.piece_table(piece))
+            if len(counts) != len(piece) + 1:
+                counts = counts[np.cumsum([0, *(len(c.encode("utf-8", "surrogatepass")) for c in piece)])]
+            if piece[0] == "'" and len(piece) == 3:
+                counts[2] = self.count(piece[:2])
+            steps = np.diff(counts).astype(STEP).tobytes()
             if len(self.pieces) < REMEMBERED:
-                self.pieces[piece] = n
-        return n
+                self.pieces[piece] = steps
+        return steps
+
+    def _size(self, piece: str) -> int:
+        return int(np.frombuffer(self._piece(piece), STEP).sum())
+
+    def steps(self, text: str) -> bytes:
+        """By how much each code point of a text without special strings changes the token count of the prefix that it ends.
+
+        Pre-tokens before a prefix's end stay as they are, but for a run of white space: up to its end it is one pre-token, and what follows it takes the last of it.
+        """
+        joined = b"".join(map(self._piece, self.pattern.findall(text)))
+        runs = list(self.runs.finditer(text))
+        if not runs:
+            return joined
+        steps = np.frombuffer(joined, STEP).copy()
+        for m in runs:
+            end, step = m.end(), self._size(m[0]) - self._size(m[0][:-1])
+            steps[end] += steps[end - 1] - step
+            steps[end - 1] = step
+        return steps.tobytes()
+
+    def whole_steps(self, text: str) -> bytes:
+        """Steps of any text; a special string in it is one token, the beginnings of one are plain text after the text before it."""
+        parts, out = (self.split.split(text) if self.split else [text]), []
+        for i, part in enumerate(parts):
+            if i % 2 == 0:
+                out.append(self.steps(part))
+                continue
+            before = parts[i - 1]
+            inside = np.frombuffer(self.steps(before + part[:-1]), STEP).astype(np.int64)
+            plain = np.frombuffer(self.steps(before), STEP).astype(np.int64).sum()
+            own = np.append(np.cumsum(inside)[len(before) :] if len(part) > 1 else [], 1 + plain)
+            out.append(np.diff(own, prepend=plain).astype(STEP).tobytes())
+        return b"".join(out)
 
     def count(self, text: str) -> int:
         """Tokens of the whole text; special strings in it are one token each, as the library takes them."""
-        if self.split and any(s in text for s in self.special):
-            parts = self.split.split(text)
-            return sum(1 if i % 2 else self.count(p) for i, p in enumerate(parts))
-        return sum(map(self._piece, self.pattern.findall(text)))
+        return int(np.frombuffer(self.whole_steps(text), STEP).astype(np.int64).sum())
 
     def table(self, text: str) -> np.ndarray:
-        """Token counts of all prefixes of a text without special strings, by code points, the empty one included.
+        """Token counts of all prefixes of a text, by code points, the empty one included."""
+        return np.concatenate([[0], np.cumsum(np.frombuffer(self.whole_steps(text), STEP), dtype=np.int64)])
 
-        A prefix that ends within a run of white space has that run as one pre-token, and one that ends within a
-        contraction loses it; elsewhere the pre-tokens before the prefix's end stay as they are.
-        """
-        out = np.zeros(len(text) + 1, np.int64)
-        before = 0
-        for m in self.pattern.finditer(text):
-            piece, start = m[0], m.start()
-            table = self.piece_table(piece)
-            at = 0
-            for i, c in enumerate(piece):
-                at += len(c.encode("utf-8", "surrogatepass"))
-                out[start + i + 1] = before + table[at]
-            if piece[0] == "'" and len(piece) == 3:
-                out[start + 2] = before + self.count(piece[:2])
-            before += table[-1]
-        for m in regex.finditer(r"\s+", text):
-            counts = self.piece_table(m[0])
-            ends = np.cumsum([len(c.encode()) for c in m[0]])
-            out[m.start() + 1 : m.end() + 1] = out[m.start()] + np.array(counts)[ends]
-        return out
-
-    def _chunk(self, chunk: str) -> int:
-        if (n := self.chunks.get(chunk)) is None:
-            n = self.count(chunk)
+    def _chunk(self, chunk: str) -> bytes:
+        if (steps := self.chunks.get(chunk)) is None:
+            steps = self.steps(chunk)
             if len(self.chunks) < REMEMBERED:
-                self.chunks[chunk] = n
-        return n
+                self.chunks[chunk] = steps
+        return steps
+
+    def all_steps(self, texts: pa.Array) -> pa.Array:
+        """The steps of each text; a chunk's are found once."""
+        import pyarrow.compute as pc
 
-    def counts(self, texts: pa.Array, limit: int) -> tuple[np.ndarray, np.ndarray]:
-        """(tokens of each text, code points of its longest prefix within ``limit`` tokens)."""
         codes, values, offsets, whole = chunked(texts, self.special)
         words = values.to_pylist()
-        each = np.fromiter((self._chunk(" " + w) for w in words), np.int64, len(words))[codes] if len(words) else np.zeros(0, np.int64)
-        wide = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
         firsts = offsets[:-1][~whole]
-        each[firsts] = [self._chunk(words[c]) for c in codes[firsts]]
-        totals = sums(each, offsets)
-        strings = {int(i): texts[int(i)].as_py() for i in np.flatnonzero(whole)}
-        for i, text in strings.items():
-            totals[i] = self.count(text)
-        fits = sums(wide[codes] if len(words) else each, offsets) - 1
-        fits[whole] = [len(t) for t in strings.values()]
-        for i in np.flatnonzero(totals > limit):
-            if i in strings:
-                fits[i] = self._fit_whole(strings[i], limit)
-                continue
-            running = np.cumsum(each[offsets[i] : offsets[i + 1]])
-            k = int(np.searchsorted(running, limit, side="right"))
-            own = codes[offsets[i] : offsets[i + 1]]
-            chunk = words[own[k]] if k == 0 else " " + words[own[k]]
-            left = limit - (int(running[k - 1]) if k else 0)
-            fits[i] = max(0, int(wide[own[:k]].sum()) - (1 if k else 0)) + int(np.flatnonzero(self.table(chunk) <= left)[-1])
-        return totals, fits
-
-    def _fit_whole(self, text: str, limit: int) -> int:
-        parts = self.split.split(text) if self.split else [text]
-        at = used = fit = 0
-        for i, part in enumerate(parts):
-            if i % 2:
-                used += 1
-                fit = at + len(part) if used <= limit else fit
-            else:
-                within = np.flatnonzero(self.table(part) + used <= limit)
-                fit = at + int(within[-1]) if len(within) else fit
-                used += self.count(part)
-            at += len(part)
-            if used > limit:
-                break
-        return fit
+        known = pa.array([*(self._chunk(" " + w) for w in words), *(self._chunk(words[c]) for c in codes[firsts])], pa.binary())
+        codes[firsts] = len(words) + np.arange(len(firsts))
+        taken = known.take(pa.array(codes))
+        ends = np.frombuffer(taken.buffers()[1], np.int32)[: len(taken) + 1][offsets] if len(taken) else np.zeros(len(texts) + 1, np.int32)
+        steps = pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(np.ascontiguousarray(ends)), taken.buffers()[2]])
+        if whole.any():
+            steps = pc.replace_with_mask(steps, pa.array(whole), pa.array([self.whole_steps(texts[int(i)].as_py()) for i in np.flatnonzero(whole)], pa.binary()))
+        return steps
 
 
-def report(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_tokens, over_limit, and fit_chars, the longest prefix within ``limit`` tokens.
+    def counts(self, texts: pa.Array, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens of each text, code points of its longest prefix within ``limit`` tokens), without a stored table."""
+        steps = self.all_steps(texts)
+        return _parts(steps)[0], np.array([_longest(s, 0, limit) for s in steps], np.int64)
 
-    A null text counts as empty (0 bytes, 0 tokens). Rows are handled on their own, without a shuffle, so
-    repeats, null ids and other columns change nothing; an empty table gives an empty table. What a worker
-    remembers is bounded; very long texts without spaces cost time in proportion to their bytes.
+
+def _longest(steps: pa.Scalar, before: int, limit: int) -> int:
+    """How many of the steps go to the last prefix within ``limit`` tokens, from ``before`` on."""
+    counts = before + np.cumsum(np.frombuffer(steps.as_buffer(), STEP), dtype=np.int64)
+    within = np.flatnonzero(counts <= limit)
+    return int(within[-1]) + 1 if len(within) else 0
+
+
+def _parts(steps: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(tokens, code points, parts) of texts by their steps. A part holds PART steps, the count before it and the least count of a prefix that ends in it."""
+    ends = np.frombuffer(steps.buffers()[1], np.int32)[steps.offset : steps.offset + len(steps) + 1].astype(np.int64) // STEP.itemsize
+    flat = np.frombuffer(steps.buffers()[2] or b"", STEP)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    running = np.concatenate([[0], np.cumsum(flat, dtype=np.int64)])
+    sizes = np.diff(ends)
+    each = -(-sizes // PART)
+    row = np.repeat(np.arange(len(sizes)), each)
+    firsts = np.cumsum(each) - each
+    starts = ends[row] + (np.arange(len(row)) - firsts[row]) * PART
+    base = running[ends[row]]
+    least = np.minimum.reduceat(running[1:], starts) if len(starts) else np.zeros(0, np.int64)
+    cut = pa.py_buffer((np.append(starts, ends[-1]) * STEP.itemsize).astype(np.int32))
+    held = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, cut, pa.py_buffer(np.ascontiguousarray(flat))])
+    rows = pa.StructArray.from_arrays([pa.array(running[starts] - base), pa.array(least - base), held], ["before", "least", "steps"])
+    return running[ends[1:]] - running[ends[:-1]], sizes, pa.ListArray.from_arrays(pa.array(np.append(firsts, len(row)), pa.int32()), rows)
+
+
+def stored(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """The prefix table of each row, written to the shared folder: doc_id, n_bytes, n_tokens, n_chars and parts.
+
+    The steps of a text say the exact token count of every prefix. They lie in parts of PART code points with the count before them, so a question reads one part, not the text, and nothing is encoded again.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +240,43 @@ def report(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFrame:
         counter = prefix_counter(tokenizer)
         for part in slices(batches):
             texts = filled(part.column("text"))
-            totals, fits = counter.counts(texts, limit)
-            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_bytes": pc.binary_length(texts).cast(pa.int64()), "n_tokens": pa.array(totals), "over_limit": pa.array(totals > limit), "fit_chars": pa.array(fits)})
+            totals, sizes, parts = _parts(counter.all_steps(texts))
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_bytes": pc.binary_length(texts).cast(pa.int64()), "n_tokens": pa.array(totals), "n_chars": pa.array(sizes), "parts": parts})
+
+    made = id_and_text(docs).mapInArrow(counted, "doc_id long, n_bytes long, n_tokens long, n_chars long, parts array<struct<before:long,least:long,steps:binary>>")
+    path = fresh_path(docs.sparkSession, "prefix-counts")
+    made.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(made.schema).parquet(path)
+
+
+def within(tables: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Of each row of ``stored`` doc_id, n_bytes, n_tokens, over_limit, and fit_chars, the code points of its longest prefix within ``limit`` tokens.
 
-    return id_and_text(docs).mapInArrow(counted, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
+    Any number of budgets can be asked of one table. Of a text over the limit the last part with a prefix within it is looked at, of others none.
+    """
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fits = batch.column("_start").to_numpy().copy()
+            before, steps = batch.column("_before").to_numpy(zero_copy_only=False), batch.column("_steps")
+            for i in np.flatnonzero(steps.is_valid().to_numpy(zero_copy_only=False)):
+                fits[i] += _longest(steps[int(i)], before[i], limit)
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("doc_id", "n_bytes", "n_tokens", "over_limit")} | {"fit_chars": pa.array(fits)})
+
+    over = F.col("n_tokens") > limit
+    last = F.when(over, F.expr(f"array_max(transform(parts, (p, i) -> IF(p.least <= {int(limit)}, i, -1)))"))
+    rows = tables.select("doc_id", "n_bytes", "n_tokens", over.alias("over_limit"), "n_chars", last.alias("_at"), F.when(over, F.col("parts")).alias("parts"))
+    part = F.when(F.col("_at") >= 0, F.expr("get(parts, _at)"))
+    start = F.when(F.col("over_limit"), F.greatest(F.col("_at"), F.lit(0)) * PART).otherwise(F.col("n_chars")).cast("long")
+    rows = rows.select("doc_id", "n_bytes", "n_tokens", "over_limit", start.alias("_start"), F.coalesce(part["before"], F.lit(0)).cast("long").alias("_before"), part["steps"].alias("_steps"))
+    return rows.mapInArrow(fitted, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
+
+
+def report(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFrame:
+    """``within`` of the ``stored`` prefix tables of ``docs``.
+
+    A null text counts as empty (0 bytes, 0 tokens). Rows are handled on their own, without a shuffle, so
+    repeats, ties, null ids and other columns change nothing; an empty table gives an empty table. What a worker
+    remembers is bounded; very long texts without spaces cost time in proportion to their bytes, and a text's steps take two bytes for each code point.
+    """
+    return within(stored(docs, tokenizer), limit)

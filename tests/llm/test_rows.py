@@ -108,6 +108,30 @@ def test_counts_query(edge_docs, no_docs, encoder):
     assert token_counts.report(no_docs, path).count() == 0
 
 
+@settings(max_examples=150, deadline=None)
+@given(parts=st.lists(st.one_of(TRICKY, st.sampled_from(["<|endoftext|>", "<|endo", "  <|endoftext|> "])), max_size=5))
+def test_prefixes_of_texts_with_special_strings(encoder, counter, parts):
+    text = "".join(parts)
+    assert counter.table(text).tolist() == [len(plain_ids(encoder, text[:k])) for k in range(len(text) + 1)]
+
+
+def test_budgets_from_one_stored_table(spark, edge_docs, encoder, monkeypatch):
+    """Several budgets are answered from one table; afterwards no encoder is needed, and a text of many parts is cut within the right one."""
+    path = tokenizer_path(BPE)
+    long = "it's  a 日 text\n\nof many parts " * 700
+    docs = edge_docs.select("doc_id", "text").unionByName(spark.createDataFrame([(900, long), (901, "a" * 9000), (902, long + "<|endoftext|> end")], "doc_id long, text string"))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    table = token_counts.stored(docs, path)
+    assert table.where("doc_id = 900").selectExpr("size(parts) AS n").first().n == -(-len(long) // token_counts.PART)
+    monkeypatch.setattr(token_counts, "prefix_counter", None)
+    size = lambda t: len(plain_ids(encoder, t))
+    for limit in (0, 3, 2500, 5200, 10**6):
+        for r in token_counts.within(table, limit).collect():
+            t = texts[r.doc_id]
+            assert (r.n_tokens, r.over_limit) == (size(t), size(t) > limit)
+            assert size(t[: r.fit_chars]) <= limit and (r.fit_chars == len(t) if not r.over_limit else all(size(t[: r.fit_chars + k]) > limit for k in range(1, 4)))
+
+
 def test_token_files(spark, edge_docs, no_docs, documents, encoder):
     path = tokenizer_path(BPE)
     assert token_files.round_trip(spark, no_docs, path).count() == 0
