@@ -25,6 +25,8 @@ from geoexposure.llm.token_words import text_encoder
 SEQUENCE, BATCH = 2048, 64
 #: Bytes of text that are encoded at once: the larger, the more often a rare word is encoded once only.
 PART_BYTES = 8 << 20
+#: Code points of a text that take part in the ranges of documents.
+HEAD = 32
 #: The id that ends each document.
 END = 0
 
@@ -99,7 +101,7 @@ class SequenceReader:
 def write(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
     """Write the ids of ``docs`` to ``folder`` in ascending doc_id order; return the table of the files.
 
-    The table has a row for each file: part, file, n_docs, n_tokens. Documents are range-partitioned by id; a task writes
+    The table has a row for each file: part, file, n_docs, n_tokens. Documents are range-partitioned by id and the beginning of their text; a task writes
     the files of its range under a name of its own and renames them when they are whole, so a task that runs
     again, after a lost executor or beside a slow one, leaves the same files. Null ids come first, rows with the same
     id follow each other by text, a null text counts as empty (its only id is END).
@@ -130,7 +132,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
             _put(store, f"{root}/.{name}.{own}.{kind}", f"{root}/{name}.{kind}")
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "file": [name], "n_docs": pa.array([n_docs], pa.int64()), "n_tokens": pa.array([total], pa.int64())})
 
-    ordered = id_and_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Beginnings of texts order as texts do, so rows without id, or of one repeated id, are spread too.
+    ordered = id_and_text(docs).repartitionByRange("doc_id", F.substring("text", 1, HEAD)).sortWithinPartitions("doc_id", "text")
     return keep(ordered.mapInArrow(write_range, "part long, file string, n_docs long, n_tokens long"), "token-files")
 
 

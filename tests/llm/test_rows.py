@@ -212,6 +212,23 @@ def test_codec_of_a_unigram_model(tmp_path):
     assert found["ids"].tolist() == [i for t in texts for i in lib.encode(t)] and found["same"].all()
 
 
+def test_rows_without_id_are_spread_over_files(spark, tmp_path, encoder):
+    """A third of all rows has no id: no file holds much more than its share, and their order is by text still."""
+    rnd = random.Random(4)
+    rows = [(None if i % 3 == 0 else i, f"{rnd.random()} text {i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would make one file
+    try:
+        files = token_files.write(docs, tokenizer_path(BPE), f"file:{tmp_path}/f")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r.n_docs for r in files.collect()]
+    assert sum(sizes) == 3000 and max(sizes) <= 2 * 3000 / len(sizes) and len(sizes) > 2
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in token_files.read(files, f"file:{tmp_path}/f").collect())
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    assert [(d, n) for _, d, n in got] == [(d, len(plain_ids(encoder, t)) + 1) for d, t in want]
+
+
 def test_codec_query(edge_docs, no_docs, codec):
     path = tokenizer_path(SP)
     texts = {r.doc_id: r.text or "" for r in edge_docs.select("doc_id", "text").collect()}
