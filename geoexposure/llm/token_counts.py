@@ -10,8 +10,11 @@ from the stored table, whatever the budget, without encoding again.
 
 from __future__ import annotations
 
+import array
 import functools
+import itertools
 import json
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +30,7 @@ from geoexposure.llm.token_words import REMEMBERED, chunked
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LIMIT = 1024
 #: What a code point adds to the count of its prefix is held in two bytes: it is bounded by the length of a token. Code points whose steps lie together in a stored part.
-STEP, PART = np.dtype("<i2"), 4096
+STEP, PART = np.dtype(np.int16), 4096
 
 
 def byte_letters() -> dict[int, str]:
@@ -121,12 +124,13 @@ class PrefixCounter:
     def _piece(self, piece: str) -> bytes:
         """Steps of one pre-token. A prefix that ends within a contraction has its apostrophe and letter as pre-tokens of their own."""
         if (steps := self.pieces.get(piece)) is None:
-            counts = np.array(self.piece_table(piece))
+            counts = self.piece_table(piece)
             if len(counts) != len(piece) + 1:
-                counts = counts[np.cumsum([0, *(len(c.encode("utf-8", "surrogatepass")) for c in piece)])]
+                ends = itertools.accumulate((len(c.encode("utf-8", "surrogatepass")) for c in piece), initial=0)
+                counts = [counts[end] for end in ends]
             if piece[0] == "'" and len(piece) == 3:
                 counts[2] = self.count(piece[:2])
-            steps = np.diff(counts).astype(STEP).tobytes()
+            steps = array.array("h", map(operator.sub, counts[1:], counts)).tobytes()
             if len(self.pieces) < REMEMBERED:
                 self.pieces[piece] = steps
         return steps
