@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoexposure.llm.shared import filled, slices, sums
+from geoexposure.llm.shared import filled, loaded, slices, sums
 from geoexposure.llm.token_words import AT_ONCE, IdPool, chunked, flattened, spread
 
 MARK = "▁"
 #: Threads that encode a batch: as many as an executor commonly has cores.
 THREADS = 2
 #: Bytes of text encoded at once, and bytes of distinct strings that a worker remembers: two workers share an executor with the JVM.
-PART_BYTES, REMEMBERED_BYTES = 2 << 20, 4 << 20
+PART_BYTES, REMEMBERED_BYTES = 1 << 20, 4 << 20
 #: Marks of strings: the libraries' ids differ; the ids do not decode to the string.
 DIFFERENT, BENT = 1, 2
 # Piece types and model types of the file format.
@@ -126,6 +126,9 @@ def codec_of(path: str) -> Codec:
     return Codec(path)
 
 
+loaded.append(codec_of.cache_clear)
+
+
 class Codec:
     """Encodes and decodes texts; remembers distinct strings up to a bound in bytes."""
 

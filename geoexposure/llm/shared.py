@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 
 from geoexposure.sources.workspace import bounded, fresh_path, keep, shared_dir
 
-__all__ = ["REMEMBERED_WORDS", "Words", "bounded", "filled", "fresh_path", "give_back", "id_and_text", "keep", "shared_dir", "slices", "sums"]
+__all__ = ["REMEMBERED_WORDS", "Words", "bounded", "filled", "fresh_path", "give_back", "id_and_text", "keep", "let_go", "loaded", "shared_dir", "slices", "sums"]
 
 #: Distinct words whose features a worker remembers.
 REMEMBERED_WORDS = 100_000
 #: Texts handled at once in a Python worker, in bytes.
 SLICE_BYTES = 4 << 20
+#: What empties the stores of loaded files that this process has.
+loaded: list[Callable[[], None]] = []
 
 
 def give_back() -> None:
@@ -29,6 +31,13 @@ def give_back() -> None:
         trim(0)
 
 
+def let_go() -> None:
+    """Forget what earlier tasks loaded into this worker, such as tokenizers, when it goes on to work that has no use for it."""
+    for forget in loaded:
+        forget()
+    give_back()
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches``, cut so that a slice has about ``limit`` bytes of text (one row at least)."""
     for batch in batches:

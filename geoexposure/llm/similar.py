@@ -39,7 +39,7 @@ TIGHT, ROUNDS = 16, 2
 #: Members and bytes of shingles of a neighbourhood that a task holds; larger ones are split.
 MEMBERS, BYTES = 4096, 32 << 20
 #: Bytes of text whose shingles are worked out at once.
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 20
 #: Bits of a shingle's hash; the rest of 64 bits numbers the texts of a slice.
 HASH_BITS = 44
 #: In the exact form: sets of so many shingles at most are ruled out by their bitmaps, a true bound; larger ones by fingerprints that differ in more than FAR bits, eight
