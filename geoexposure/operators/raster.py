@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoexposure.functions import geometry as G
+
 CELL = ["row", "col"]
 
 
@@ -66,15 +68,17 @@ def resample_nearest(cells: DataFrame, nrows: int, ncols: int, step: float, orig
 
 
 def resample_bilinear(cells: DataFrame, nrows: int, ncols: int, step: float) -> DataFrame:
-    """Values between the four nearest source centres, weights renormalised where some are missing (grid edges)."""
-    places = target_cells(cells, nrows, ncols)
-    for c in CELL:
-        places = places.withColumn(f"_{c}p", _centre(F.col(c), step, -0.5)).withColumn(f"_{c}0", F.floor(f"_{c}p").cast("int"))
-        places = places.withColumn(f"_{c}", F.explode(F.array(F.col(f"_{c}0"), F.col(f"_{c}0") + 1)))
-    weight = (1 - F.abs(F.col("_rowp") - F.col("_row"))) * (1 - F.abs(F.col("_colp") - F.col("_col")))
-    source = cells.select(F.col("row").alias("_row"), F.col("col").alias("_col"), "value")
-    met = places.withColumn("_w", weight).where("_w > 0").join(source, ["_row", "_col"])
-    return met.groupBy(*CELL).agg((F.sum(F.col("value") * F.col("_w")) / F.sum("_w")).alias("value"))
+    """Values between the four nearest source centres, weights renormalised where some are missing (grid edges).
+
+    A source cell goes to the targets less than one source cell away, and is summed up there: no table of targets is made, joined or broadcast.
+    """
+    near = cells.select(F.col("row").alias("_row"), F.col("col").alias("_col"), "value")
+    for c, n in zip(CELL, (nrows, ncols), strict=True):
+        first, last = F.floor((F.col(f"_{c}") - 0.5) / step - 0.5), F.ceil((F.col(f"_{c}") + 1.5) / step - 0.5)
+        targets = G.between(F.greatest(F.lit(0), first), F.least(F.lit(n - 1), last))
+        near = near.withColumn(c, F.explode(targets.cast("array<int>"))).withColumn(f"_{c}w", 1 - F.abs(_centre(F.col(c), step, -0.5) - F.col(f"_{c}"))).where(f"_{c}w > 0")
+    weight = F.col("_roww") * F.col("_colw")
+    return near.groupBy(*CELL).agg((F.sum(F.col("value") * weight) / F.sum(weight)).alias("value"))
 
 
 def interpolate_years(cells: DataFrame, year: int) -> DataFrame:
