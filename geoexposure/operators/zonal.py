@@ -106,10 +106,13 @@ def run_blocks(runs: DataFrame) -> DataFrame:
 
 
 def _over_blocks(cells: DataFrame, weights: DataFrame, parts: dict[str, tuple[str, Column]], by: tuple[str, ...] = ()) -> DataFrame:
-    """Weights joined with the parts of their cells, or with those of the blocks that make up their runs."""
+    """Weights joined with the parts of their cells, or with those of the blocks that make up their runs.
+
+    Both sides are shuffled: Spark takes weights for as small as the zones that they are unfolded from, and would send them to the driver and broadcast them, however many there are.
+    """
     if "first" in weights.columns:
-        return run_blocks(weights).join(block_pyramid(cells, parts, by), ["row", "level", "block"])
-    return weights.join(cells, ["row", "col"]).select("zone_id", "w", *by, *[_one(k, v).alias(n) for n, (k, v) in parts.items()])
+        return run_blocks(weights).hint("merge").join(block_pyramid(cells, parts, by), ["row", "level", "block"])
+    return weights.hint("merge").join(cells, ["row", "col"]).select("zone_id", "w", *by, *[_one(k, v).alias(n) for n, (k, v) in parts.items()])
 
 
 def _one(kind: str, value: Column) -> Column:

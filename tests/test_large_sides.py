@@ -2,10 +2,16 @@
 
 import math
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from geoexposure.operators import raster
+from geoexposure.functions import geometry as G
+from geoexposure.operators import raster, zonal
+from geoexposure.plans import registry
+
+WEIGHTED = ["agg12_class_area"]
 
 
 def bilinear(cells, nrows, ncols, step):
@@ -40,3 +46,23 @@ def test_bilinear_makes_no_table_of_targets(spark):
     plan = found._jdf.queryExecution().toString()
     assert "Join" not in plan and "Range" not in plan
     assert sorted((r.row, r.col, r.value) for r in found.collect()) == [(r, c, v) for r in (0, 1, 2) for c, v in ((0, 1.0), (1, 1.5), (2, 2.5), (3, 3.0))]
+
+
+@pytest.mark.parametrize("name", WEIGHTED)
+def test_weights_are_not_broadcast(spark, sf_dir, name):
+    """Weights are unfolded from a few zones and grow with the grid; Spark knows nothing of that and must be told to shuffle them."""
+    plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    joins = re.findall(r"(\w+) \[row#\d+, level#\d+, block#", plan)
+    joins = [j for j in joins if j.endswith("Join")]
+    assert joins and set(joins) == {"SortMergeJoin"}
+
+
+def test_weights_cell_by_cell_are_not_broadcast(spark):
+    cells = spark.range(400).selectExpr("cast(id div 20 as int) AS row", "cast(id % 20 as int) AS col", "id AS value")
+    zones = spark.createDataFrame([(1, 0.5, 0.0, 20.0, 20.0), (2, 3.0, 4.0, 5.0, 4.5)], "zone_id long, xmin double, ymin double, xmax double, ymax double")
+    zones = zones.select("zone_id", G.rectangle(*map(F.col, ("xmin", "ymin", "xmax", "ymax"))).alias("geom"))
+    found = zonal.zonal_stats(cells, zonal.zone_cell_weights(zones, 20, 20), {"total": ("sum", "value", None), "n": ("count", "value", None)})
+    joins = re.findall(r"(\w+Join) \[row#", found._jdf.queryExecution().executedPlan().toString())
+    assert set(joins) == {"SortMergeJoin"}
+    got = {r.zone_id: (r.total, r.n) for r in found.collect()}
+    assert got == {1: (sum(range(400)) - sum(range(0, 400, 20)) / 2, 390.0), 2: ((83 + 84) / 2, 1.0)}
