@@ -11,7 +11,7 @@ from geoexposure.functions import geometry as G
 from geoexposure.operators import raster, zonal
 from geoexposure.plans import registry
 
-WEIGHTED = ["agg12_class_area"]
+WEIGHTED = ["agg12_class_area", "agg1_zonal_stats"]
 
 
 def bilinear(cells, nrows, ncols, step):
