@@ -11,7 +11,7 @@ from geoexposure.functions import geometry as G
 from geoexposure.operators import raster, zonal
 from geoexposure.plans import registry
 
-WEIGHTED = ["agg12_class_area", "agg1_zonal_stats", "agg7_affected_pct", "assess_deprivation", "assess_gdp", "assess_landuse", "assess_ntl", "assess_population"]
+WEIGHTED = ["agg12_class_area", "agg1_zonal_stats", "agg7_affected_pct", "assess_deprivation", "assess_gdp", "assess_landuse", "assess_ntl", "assess_population", "assess_rwi"]
 
 
 def bilinear(cells, nrows, ncols, step):
